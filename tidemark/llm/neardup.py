@@ -288,6 +288,19 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, trees: int = TREE
     )
 
 
+def keep_representatives(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, in their own columns, whose doc_id stands for its component.
+
+    The ids that go mark a small fixed-size filter; only rows that it may hold meet the exact anti-join, so
+    the texts of all others are neither shuffled nor written.
+    """
+    spark = docs.sparkSession
+    gone = materialise(near_duplicates(docs.select("doc_id", "text"), **options).filter("not kept").select("doc_id").distinct(), "gone")
+    marked = reducer(gone, "doc_id").marked(docs, "doc_id", "__near")
+    doubtful = marked.filter("__near").drop("__near").join(gone, "doc_id", "left_anti").select(docs.columns)
+    return marked.filter("not __near").select(docs.columns).unionByName(doubtful)
+
+
 def _links(docs, classes, percent, trees, depth, leaf, block, max_depth) -> DataFrame:
     """Links (a, b) between classes that join all that lie in one component."""
     spark = docs.sparkSession

@@ -65,6 +65,7 @@ def pyarrow_fs(uri: str):
 def publish(uri: str, data) -> None:
     """Write a file under a name of its own and move it into place, so that a repeated or second attempt leaves one whole file."""
     fs, path = pyarrow_fs(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temporary) as out:
         for part in data if isinstance(data, (list, tuple)) else [data]:
