@@ -26,7 +26,7 @@ from tidemark.llm.linear import labelled_sample
 from tidemark.llm.textcore import LETTERS, Chunk, chunks
 
 _U = np.uint64
-SAMPLE_ROWS, SAMPLE_BYTES, SEED = 6000, 24 << 20, 5
+SAMPLE_ROWS, SAMPLE_BYTES, SEED = 3000, 12 << 20, 5
 LONGEST = 5
 EVIDENCE = 30
 UNDETERMINED = "und"
@@ -60,17 +60,26 @@ def ngrams(c: Chunk, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.n
 
 
 class Table:
-    """Log frequencies of keys in each language, with add-half counts."""
+    """Counts of keys in each language, and their log frequencies with add-half counts."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys = keys
-        total = counts.sum(0)
-        self.logs = np.log((counts + 0.5) / (total + 0.5 * max(len(keys), 1))).astype(np.float32)
-
-    @classmethod
-    def count(cls, keys: list[np.ndarray], langs: list[np.ndarray], weights: list[np.ndarray], n: int) -> "Table":
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        return cls(key, np.bincount(back * n + np.concatenate(langs), np.concatenate(weights), minlength=len(key) * n).reshape(len(key), n))
+        self.keys, self.counts = keys, counts
+
+    def plus(self, keys: np.ndarray, langs: np.ndarray, weights: np.ndarray) -> "Table":
+        n = self.counts.shape[1]
+        new, back = np.unique(keys, return_inverse=True)
+        more = np.bincount(back * n + langs, weights, minlength=len(new) * n).reshape(len(new), n)
+        all_keys = np.union1d(self.keys, new)
+        counts = np.zeros((len(all_keys), n))
+        counts[np.searchsorted(all_keys, self.keys)] += self.counts
+        counts[np.searchsorted(all_keys, new)] += more
+        return Table(all_keys, counts)
+
+    def frozen(self) -> "Table":
+        """With log frequencies instead of counts."""
+        self.logs = np.log((self.counts + 0.5) / (self.counts.sum(0) + 0.5 * max(len(self.keys), 1))).astype(np.float32)
+        self.counts = None
+        return self
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The row of each key, or -1."""
@@ -93,24 +102,20 @@ class LanguageModel:
             return cls([], None, {}, 0)
         number, n = {lang: i for i, lang in enumerate(langs)}, len(langs)
         label = np.array([number[lang] for _, lang in sample])
-        got: dict[int, tuple[list, list, list]] = {k: ([], [], []) for k in range(LONGEST + 1)}
+        # merged after each chunk, so that memory holds the tables and one chunk
+        tables = {k: Table(np.zeros(0, _U), np.zeros((0, n))) for k in range(LONGEST + 1)}
         for c in _padded(pa.array([t for t, _ in sample], pa.large_string())):
             w = c.words(LETTERS)
             lang = label[c.lo + w.doc]
             # one of each word and language, weighed by how often it comes
-            key = w.hash * _U(64) + lang.astype(_U)
-            _, one, times = np.unique(key, return_index=True, return_counts=True)
-            got[0][0].append(w.hash[one])
-            got[0][1].append(lang[one])
-            got[0][2].append(times)
+            _, one, times = np.unique(w.hash * _U(64) + lang.astype(_U), return_index=True, return_counts=True)
+            tables[0] = tables[0].plus(w.hash[one], lang[one], times)
             for k in range(1, LONGEST + 1):
                 word, h = ngrams(c, w.starts[one], w.ends[one], k)
-                got[k][0].append(h)
-                got[k][1].append(lang[one][word])
-                got[k][2].append(times[word])
-        tables = {k: Table.count(*v, n) for k, v in got.items()}
-        mass = np.bincount(np.concatenate(got[0][1]), np.concatenate(got[0][2]), minlength=n)
-        return cls(langs, tables.pop(0), tables, int(mass.argmax()))
+                tables[k] = tables[k].plus(h, lang[one][word], times[word])
+        words = tables.pop(0)
+        default = int(words.counts.sum(0).argmax())
+        return cls(langs, words.frozen(), {k: t.frozen() for k, t in tables.items()}, default)
 
     def score(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(language number, score) of each document of a padded chunk."""

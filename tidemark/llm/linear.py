@@ -48,7 +48,7 @@ class Rows:
 
     def __init__(self, begin: np.ndarray, index: np.ndarray, value: np.ndarray, dim: int):
         self.begin, self.index, self.value, self.dim = begin, index, value, dim
-        self.row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        self.row = np.repeat(np.arange(len(begin) - 1, dtype=np.int32), np.diff(begin))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.index], minlength=len(self.begin) - 1)

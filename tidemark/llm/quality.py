@@ -27,7 +27,7 @@ from tidemark.llm.textcore import NONSPACE, Chunk, Words, chunks, per_doc
 _U = np.uint64
 BITS = 18
 #: Bounds of the labelled sample.
-SAMPLE_ROWS, SAMPLE_BYTES, SEED = 3000, 12 << 20, 11
+SAMPLE_ROWS, SAMPLE_BYTES, SEED = 2000, 8 << 20, 11
 #: Buckets in fewer documents of the sample have no weight.
 MIN_DOCS = 5
 THRESHOLD = 0.5
@@ -60,22 +60,29 @@ class QualityModel:
         return cls(np.zeros(3 << BITS, np.float32), 0.0, 0.0, 20.0)
 
     @classmethod
-    def fit(cls, sample: list[tuple[str, int]], l2: float = 1e-4) -> "QualityModel":
+    def fit(cls, sample: list[tuple[str, int]], l2: float = 1e-6) -> "QualityModel":
         y = np.array([int(v) for _, v in sample], float)
         if len(set(y.tolist())) < 2:
             return cls.constant()
-        docs, buckets, values, base = [], [], [], 0
-        for c in chunks(pa.array([t for t, _ in sample], pa.large_string())):
-            for d, k in _kinds(c, c.words(NONSPACE)):
-                pair, n = np.unique(d * (3 << BITS) + k, return_counts=True)
-                d, k = pair // (3 << BITS), pair % (3 << BITS)
-                docs.append(d + base)
-                buckets.append(k.astype(np.int32))
-                values.append((SCALE * n / np.bincount(d, n, minlength=c.n)[d]).astype(np.float32))
-            base += c.n
+        texts = pa.array([t for t, _ in sample], pa.large_string())
+        dim, seen = 3 << BITS, np.zeros(3 << BITS, np.int64)
+        # the first pass counts documents of buckets, the second keeps the common ones
+        docs, buckets, values = [], [], []
+        for keep in (False, True):
+            for c in chunks(texts):
+                for d, k in _kinds(c, c.words(NONSPACE)):
+                    pair, n = np.unique(d * dim + k, return_counts=True)
+                    d, k = pair // dim, pair % dim
+                    if not keep:
+                        seen += np.bincount(k, minlength=dim)
+                        continue
+                    share = SCALE * n / np.bincount(d, n, minlength=c.n)[d]
+                    common = seen[k] >= MIN_DOCS
+                    docs.append((c.lo + d[common]).astype(np.int32))
+                    buckets.append(k[common].astype(np.int32))
+                    values.append(share[common].astype(np.float32))
         doc, bucket, value = np.concatenate(docs), np.concatenate(buckets), np.concatenate(values)
-        common = np.bincount(bucket, minlength=3 << BITS)[bucket] >= MIN_DOCS
-        doc, bucket, value = doc[common], bucket[common], value[common]
+        del docs, buckets, values
         order = np.argsort(doc, kind="stable")
         doc, bucket, value = doc[order], bucket[order], value[order]
         held = np.arange(len(y)) % 5 == 4

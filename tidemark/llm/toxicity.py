@@ -24,8 +24,8 @@ from tidemark.llm.textcore import Chunk, chunks
 _U = np.uint64
 BITS = 18
 SIZES = (4, 5, 6)
-SAMPLE_ROWS, SAMPLE_BYTES, SEED = 6000, 24 << 20, 6
-MIN_DOCS, MIN_RATIO = 8, 1.0
+SAMPLE_ROWS, SAMPLE_BYTES, SEED = 3000, 12 << 20, 6
+MIN_DOCS, MIN_RATIO = 8, 2.0
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -60,20 +60,22 @@ class ToxicityModel:
         y = np.array([int(v) for _, v in sample], float)
         if len(set(y.tolist())) < 2:
             return cls(np.zeros(1 << BITS, np.float32), 30.0 if y.sum() else -30.0)
-        docs, buckets, base = [], [], 0
-        for c in chunks(pa.array([t for t, _ in sample], pa.large_string())):
+        texts = pa.array([t for t, _ in sample], pa.large_string())
+        toxic, clean = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for c in chunks(texts):
             d, k = grams(c)
-            docs.append((d + base).astype(np.int32))
-            buckets.append(k.astype(np.int32))
-            base += c.n
-        doc, bucket = np.concatenate(docs), np.concatenate(buckets)
-        del docs, buckets
-        toxic = np.bincount(bucket[y[doc] > 0], minlength=1 << BITS)
-        clean = np.bincount(bucket[y[doc] == 0], minlength=1 << BITS)
+            bad = y[c.lo + d] > 0
+            toxic += np.bincount(k[bad], minlength=1 << BITS)
+            clean += np.bincount(k[~bad], minlength=1 << BITS)
         ratio = np.log((toxic + 1) / (y.sum() + 2)) - np.log((clean + 1) / (len(y) - y.sum() + 2))
         ratio[(toxic + clean < MIN_DOCS) | (np.abs(ratio) < MIN_RATIO)] = 0
-        keep = ratio[bucket] != 0
-        doc, bucket = doc[keep], bucket[keep]
+        # a second pass keeps only the buckets that say something
+        docs, buckets = [], []
+        for c in chunks(texts):
+            d, k = grams(c, ratio != 0)
+            docs.append((c.lo + d).astype(np.int32))
+            buckets.append(k.astype(np.int32))
+        doc, bucket = np.concatenate(docs), np.concatenate(buckets)
         begin = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(y)))])
         weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
         w, bias = fit_logistic(Rows(begin, bucket, ratio[bucket].astype(np.float32), 1 << BITS), y, l2, weight=weight)
