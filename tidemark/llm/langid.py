@@ -153,7 +153,7 @@ class LanguageModel:
 def fit(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> LanguageModel:
     """Learns from text and lang of the rows where ``learn`` holds."""
     known = docs.select("doc_id", F.lower("text").alias("text"), "lang").filter(learn)
-    return LanguageModel.fit(labelled_sample(known, F.col("lang"), rows, size, SEED))
+    return LanguageModel.fit(labelled_sample(known, None, "lang", rows, size, SEED))
 
 
 def predict(docs: DataFrame, model: LanguageModel, carry: list[str] | None = None) -> DataFrame:

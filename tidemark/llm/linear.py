@@ -3,27 +3,32 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialise, release
 
 
-def labelled_sample(docs: DataFrame, label: Column, rows: int, size: int, seed: int) -> list[tuple[str, object]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, rows: int, size: int, seed: int) -> list[tuple[str, object]]:
     """(text, label) of at most ``rows`` rows of docs and ``size`` bytes of text, where label is not null.
 
-    The rows with the smallest seeded hashes of doc_id are taken in that order until a bound is met, so the
-    sample is uniform and the same in every run.  Rows without text count as empty.  Equal ids come in
-    the order of their texts' hashes.
+    ``label`` is a column of ``labels`` (joined by doc_id), or of docs where labels is None.  The rows with
+    the smallest seeded hashes of doc_id are taken in that order until a bound is met, so the sample is
+    uniform and the same in every run; equal ids come in the order of their texts' hashes.  Rows without
+    text count as empty.  Only ids, hashes and lengths are joined and sorted; texts are read for the chosen ids.
     """
     spark = docs.sparkSession
-    order = F.xxhash64("doc_id", F.lit(seed)).alias("h")
-    tie = F.xxhash64("text").alias("t")
-    length = F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")
-    known = docs.withColumn("label", label).filter("label is not null and doc_id is not null")
-    first = known.select("doc_id", order, tie, length).orderBy("h", "doc_id", "t").limit(rows).collect()
+    key = ["h", "doc_id", "t"]
+    slim = [F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", F.xxhash64("text").alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")]
+    known = None if labels is None else labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label"))
+
+    def labelled(d: DataFrame, *more) -> DataFrame:
+        if known is None:
+            return d.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(*slim, *more, F.col(label).alias("label"))
+        return d.filter("doc_id is not null").select(*slim, *more).join(known, "doc_id")
+
     ids, total = [], 0
-    for r in first:
+    for r in labelled(docs).select(*key, "n").orderBy(*key).limit(rows).collect():
         total += r["n"]
         if total > size and ids:
             break
@@ -32,9 +37,11 @@ def labelled_sample(docs: DataFrame, label: Column, rows: int, size: int, seed:
         return []
     # bounded by ``rows`` ids, so that the broadcast is as well
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long"))
-    taken = materialise(known.join(chosen, "doc_id", "left_semi").select("doc_id", order, tie, length, F.coalesce("text", F.lit("")).alias("text"), "label"), "sample")
+    if known is not None:
+        known = known.join(chosen, "doc_id", "left_semi")
+    taken = materialise(labelled(docs.join(chosen, "doc_id", "left_semi"), F.coalesce("text", F.lit("")).alias("text")), "sample")
     out, total = [], 0
-    for r in taken.orderBy("h", "doc_id", "t").limit(rows).toLocalIterator():
+    for r in taken.orderBy(*key).limit(rows).toLocalIterator():
         total += r["n"]
         if total > size and out:
             break

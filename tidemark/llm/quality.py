@@ -144,8 +144,7 @@ def measure(c: Chunk, w: Words) -> dict[str, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> QualityModel:
-    known = labels.select(F.col("doc_id"), F.col("quality").alias("__label")).filter("__label is not null")
-    return QualityModel.fit(labelled_sample(docs.select("doc_id", "text").join(known, "doc_id"), F.col("__label"), rows, size, SEED))
+    return QualityModel.fit(labelled_sample(docs.select("doc_id", "text"), labels, "quality", rows, size, SEED))
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:

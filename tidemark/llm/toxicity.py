@@ -88,8 +88,7 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> ToxicityModel:
     """Learns from rows of docs with a label where ``learn`` holds."""
-    known = labels.select(F.col("doc_id"), F.col("toxic").alias("__label")).filter("__label is not null")
-    return ToxicityModel.fit(labelled_sample(docs.select("doc_id", "text").join(known, "doc_id").filter(learn), F.col("__label"), rows, size, SEED))
+    return ToxicityModel.fit(labelled_sample(docs.select("doc_id", "text").filter(learn), labels, "toxic", rows, size, SEED))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
