@@ -20,11 +20,13 @@ import math
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.storage import privately
 from tidemark.llm.textcore import ALNUM, bitmap, chunks, in_sorted, per_doc
 
 WINDOW = 10
@@ -152,10 +154,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_percent: int = 50,
     A document of which ``drop_percent`` of the words or more are hit goes; from the others the hit runs
     are cut out (a blank stands in their place), and clean documents stay byte for byte.
     """
-    found = scan(docs, benchmark, docs.columns, size, block_bytes)
+    hidden, own = privately(docs)
+    found = scan(hidden, benchmark, hidden.columns, size, block_bytes)
 
     @F.pandas_udf("string")
-    def cut(texts, spans):
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, ss in zip(texts, spans):
             if t is not None and len(ss):
@@ -165,8 +168,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_percent: int = 50,
                     at = s["end"]
                 t = b"".join([*parts, raw[at:]]).decode()
             out.append(t)
-        return type(texts)(out, dtype=object)
+        return pd.Series(out, dtype=object)
 
     kept = found.filter((F.col("n_hit") == 0) | (100 * F.col("n_hit") < drop_percent * F.col("n_words")))
     text = F.when(F.col("n_hit") > 0, cut("text", "spans")).otherwise(F.col("text"))
-    return kept.withColumn("text", text).select(docs.columns)
+    return kept.withColumn("text", text).select(own)

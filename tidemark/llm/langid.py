@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.linear import labelled_sample
+from tidemark.llm.storage import privately
 from tidemark.llm.textcore import LETTERS, Chunk, chunks
 
 _U = np.uint64
@@ -156,6 +157,12 @@ def fit(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, size: int = SAM
     return LanguageModel.fit(labelled_sample(known, None, "lang", rows, size, SEED))
 
 
+def identified(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows of docs, in their own columns, whose language is known with a score of ``least`` or more."""
+    hidden, own = privately(docs)
+    return predict(hidden, model, hidden.columns).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(own)
+
+
 def predict(docs: DataFrame, model: LanguageModel, carry: list[str] | None = None) -> DataFrame:
     """The carried columns (doc_id by default) with lang_pred and score."""
     carry = carry or ["doc_id"]

@@ -104,6 +104,8 @@ _SPELLED = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
 _AT, _DOT = "at|arroba|arobase", "dot|punkt|punto|point"
+# Words that begin a phrase and no host.
+_PLAIN = "the|a|an|this|that|my|your|his|her|its|our|their|some|any|each|one"
 
 _UNIT = "|".join(sorted(map(re.escape, _SPELLED), key=len, reverse=True))
 #: A digit word alone is a word; four or more signs of a number in a row are digits.
@@ -111,7 +113,7 @@ _RUN = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:(?:{_UNIT}|[0-9]+)(?:[ -]+|(?!\w)))
 _TOKEN = re.compile(rf"plus|{_UNIT}|[0-9]+|[ -]+", re.I)
 _BRACKET_AT = re.compile(rf"\s*[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*", re.I)
 _BRACKET_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.I)
-_NAME_AT_HOST = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.| +(?:{_DOT}) +)[A-Za-z0-9_%+-]+)*( *@ *| +(?:{_AT}) +)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?: +(?:{_DOT}) +[A-Za-z0-9-]+)+(?!\w)", re.I)
+_NAME_AT_HOST = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.| +(?:{_DOT}) +)[A-Za-z0-9_%+-]+)*( *@ *| +(?:{_AT}) +)(?!(?:{_PLAIN}) )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?: +(?:{_DOT}) +[A-Za-z0-9-]+)+(?!\w)", re.I)
 _WORD_DOT = re.compile(rf" +(?:{_DOT}) +", re.I)
 _DIGIT_DOT = re.compile(rf"(?<=[0-9]) *(?: (?:{_DOT}) )+ *(?=[0-9])", re.I)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9]) *@ *(?=[A-Za-z0-9])")

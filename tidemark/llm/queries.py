@@ -114,6 +114,22 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, md5(array_to_string(w[i : i + 4], ' ')) AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT p.doc_id AS a, q.doc_id AS b FROM c JOIN n nx ON nx.r = c.x JOIN n ny ON ny.r = c.y JOIN w p ON p.r = c.x JOIN w q ON q.r = c.y WHERE 100 * common >= 75 * (nx.n + ny.n - common)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+k AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.component, w.doc_id) AS component_id, coalesce(k.component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.r = w.r LEFT JOIN k ON k.a = w.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
@@ -129,4 +145,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.SQL,
     "op4_benchmark_decontamination": OP4_SQL,
+    "op10_minhash_near_dedup": OP10_SQL,
 }

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,16 @@ def fetch(uri: str, start: int = 0, length: int | None = None) -> bytes:
         return f.read(length) if length is not None else f.read()
 
 
+def privately(docs: DataFrame, keep: tuple[str, ...] = ("text",)) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but ``keep`` under private names, and the columns that give its own names back.
+
+    A stage that adds columns works on the first and ends with a select of the second, so no name of the
+    input can clash with one of its own.
+    """
+    names = {c: c if c in keep else f"__own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def _place(column: str) -> tuple[Column, Column]:
     """Of an id: its word, and its bit in that word."""
     h = f"xxhash64(`{column}`)"
@@ -111,7 +122,7 @@ class Reducer:
         words = self.words
 
         @F.pandas_udf("long")
-        def bits(w):
-            return type(w)(words.value[w.to_numpy()])
+        def bits(w: pd.Series) -> pd.Series:
+            return pd.Series(words.value[w.to_numpy()])
 
         return df.withColumn(name, bits(word).bitwiseAND(bit) != 0)
