@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontam import decontaminate
-from tidemark.llm.langid import UNDETERMINED, fit, predict
+from tidemark.llm.langid import fit, identified
 from tidemark.llm.neardup import keep_representatives
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import redact
@@ -14,16 +14,13 @@ from tidemark.llm.storage import materialise
 from tidemark.llm.toxicity import held_out
 from tidemark.session import ship
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose language is less sure than this is rejected.
 MIN_LANGUAGE_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: no letter, or a posterior below ``MIN_LANGUAGE_SCORE``."""
-    model = fit(docs, ~held_out(F.col("doc_id"), 4, 2))
-    scored = predict(docs, model, docs.columns)
-    return scored.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    return identified(docs, fit(docs, ~held_out(F.col("doc_id"), 4, 2)), MIN_LANGUAGE_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
