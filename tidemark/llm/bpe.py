@@ -47,7 +47,7 @@ class Encoder:
     LONGEST = 64
     _shared: dict[tuple[str, int], "Encoder"] = {}
 
-    def __init__(self, path: str, slots: int = 1 << 20):
+    def __init__(self, path: str, slots: int = 1 << 19):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

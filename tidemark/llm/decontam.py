@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.storage import privately
+from tidemark.llm.storage import bounded, privately
 from tidemark.llm.textcore import ALNUM, bitmap, chunks, in_sorted, per_doc
 
 WINDOW = 10
@@ -104,7 +104,7 @@ def _scan(docs: DataFrame, windows: WindowSet, carry: list[str]) -> DataFrame:
                 out.append(pa.array(spans, pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "first", "last")]))))
                 yield pa.RecordBatch.from_arrays(out, names=[*carry, "n_words", "items", "spans"])
 
-    return docs.select(*carry, *(["text"] if "text" not in carry else [])).mapInArrow(run, schema)
+    return bounded(docs).select(*carry, *(["text"] if "text" not in carry else [])).mapInArrow(run, schema)
 
 
 def _merged(spans: list) -> list:

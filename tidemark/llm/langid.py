@@ -17,13 +17,16 @@ are never learned from.  Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.linear import labelled_sample
-from tidemark.llm.storage import privately
+from tidemark.llm.storage import bounded, privately
 from tidemark.llm.textcore import LETTERS, Chunk, chunks
 
 _U = np.uint64
@@ -33,8 +36,10 @@ EVIDENCE = 30
 UNDETERMINED = "und"
 
 
-def _padded(texts: pa.Array) -> list[Chunk]:
-    return [Chunk(*_with_blanks(c), c.lo, c.hi) for c in chunks(texts)]
+def _padded(texts: pa.Array) -> Iterator[Chunk]:
+    """Chunks of the lowered texts."""
+    for c in chunks(pc.utf8_lower(texts)):
+        yield Chunk(*_with_blanks(c), c.lo, c.hi)
 
 
 def _with_blanks(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +102,7 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, sample: list[tuple[str, str]]) -> "LanguageModel":
-        """sample: lowered texts and their languages."""
+        """sample: texts and their languages."""
         langs = sorted({lang for _, lang in sample})
         if not langs:
             return cls([], None, {}, 0)
@@ -153,7 +158,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> LanguageModel:
     """Learns from text and lang of the rows where ``learn`` holds."""
-    known = docs.select("doc_id", F.lower("text").alias("text"), "lang").filter(learn)
+    known = docs.select("doc_id", "text", "lang").filter(learn)
     return LanguageModel.fit(labelled_sample(known, None, "lang", rows, size, SEED))
 
 
@@ -168,7 +173,9 @@ def predict(docs: DataFrame, model: LanguageModel, carry: list[str] | None = Non
     carry = carry or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*carry, F.lower("text").alias("__text"), lettered.alias("__lettered"))
+    # a text that is carried goes to the workers once
+    at_text = carry.index("text") if "text" in carry else len(carry)
+    rows = bounded(docs).select(*carry, *([] if "text" in carry else ["text"]), lettered.alias("__lettered"))
     from pyspark.sql import types as T
 
     schema = T.StructType([docs.schema[c] for c in carry]).add("lang_pred", "string").add("score", "double")
@@ -176,7 +183,7 @@ def predict(docs: DataFrame, model: LanguageModel, carry: list[str] | None = Non
     def run(batches):
         model = shared.value
         for b in batches:
-            text, lettered = b.column(len(carry)), b.column(len(carry) + 1).to_numpy(zero_copy_only=False).astype(bool)
+            text, lettered = b.column(at_text), b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             for c in _padded(text) if model.langs else [Chunk(np.zeros(0, np.uint8), np.zeros(b.num_rows + 1, np.int64), 0, b.num_rows)]:
                 ok = lettered[c.lo : c.hi]
                 if model.langs:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shingles import SHINGLE, TOKENS, sets, sketch
-from tidemark.llm.storage import materialise, reducer, release
+from tidemark.llm.storage import bounded, materialise, reducer, release
 from tidemark.llm.textcore import mix
 
 _U = np.uint64
@@ -66,7 +66,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n", "d1", "d2", "tokens"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH)
 
 
 def _step(row: np.ndarray, node: np.ndarray, tokens: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import Encoder, default_path
+from tidemark.llm.storage import bounded
 
 CAPACITY = 2048
 SLACK = 64
@@ -121,7 +122,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
             place(bin_)
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
 
 
 _NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.storage import bounded
+
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -240,7 +242,7 @@ def find_pii(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
             columns = [pa.array([[dict(zip(("kind", "start", "end"), s)) for s in f[k]] for f in found], _ARROW) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[*carry, "base", "spans"])
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return bounded(docs).select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -266,4 +268,4 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[k] = pa.array(texts, b.schema.types[k])
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

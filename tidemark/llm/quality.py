@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.linear import Rows, fit_logistic, fit_platt, labelled_sample, sigmoid
+from tidemark.llm.storage import bounded
 from tidemark.llm.textcore import NONSPACE, Chunk, Words, chunks, per_doc
 
 _U = np.uint64
@@ -162,4 +163,4 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
                 columns = [b["doc_id"].slice(c.lo, c.n), *(pa.array(m[k].astype(np.int64)) for k in names), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *names, "base_failed", "probability", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {', '.join(f'{n} long' for n in names)}, base_failed boolean, probability double, kept boolean")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {', '.join(f'{n} long' for n in names)}, base_failed boolean, probability double, kept boolean")

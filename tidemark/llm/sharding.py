@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.neardup import groups
-from tidemark.llm.storage import new_path
+from tidemark.llm.storage import bounded, new_path
 
 SHARDS = 24
 SEED = 20240131
@@ -60,7 +60,7 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     buckets = max(1, math.ceil(total / (shards * bucket_bytes)))
     tie = F.xxhash64("text")
     rows = (
-        docs.withColumn("shard", shard_of(F.col("doc_id"), shards, seed))
+        bounded(docs).withColumn("shard", shard_of(F.col("doc_id"), shards, seed))
         .withColumn("bucket", F.pmod(F.xxhash64(F.col("doc_id"), tie, F.lit(seed + 1)), F.lit(buckets)).cast("int"))
         .repartition(max(1, shards * buckets), "shard", "bucket")
         .sortWithinPartitions("shard", "bucket", "doc_id", tie)

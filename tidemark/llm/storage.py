@@ -33,6 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _made[app]
 
 
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are small however long its texts are; smaller settings stay."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import Encoder, default_path
 from tidemark.llm.neardup import groups
-from tidemark.llm.storage import fetch, materialise, new_path, publish
+from tidemark.llm.storage import bounded, fetch, materialise, new_path, publish
 from tidemark.llm.textcore import mix
 
 MAGIC = b"TIDETOK1"
@@ -183,7 +183,7 @@ class TokenStore:
     def write(cls, docs: DataFrame, root: str | None = None, path: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, segment_keys: int = SEGMENT_KEYS) -> "TokenStore":
         spark = docs.sparkSession
         root, path = root or new_path(spark, "tokens"), path or default_path()
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
         shards, segments = max(1, math.ceil((size or 0) / shard_bytes)), max(1, math.ceil(rows / segment_keys))
         tie = F.xxhash64("text")

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.linear import Rows, fit_logistic, labelled_sample, sigmoid
+from tidemark.llm.storage import bounded
 from tidemark.llm.textcore import Chunk, chunks
 
 _U = np.uint64
@@ -99,4 +100,4 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             for c in chunks(b["text"]):
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(c.lo, c.n), pa.array(shared.value.score(c))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
