@@ -190,16 +190,28 @@ def query_ladder(focus: Column, terms: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*steps, step(terms, 12, 1, " OR "))))
 
 
-def stem(t: Column) -> Column:
-    """Drops -ing or -ed, then turns -ies to y or drops -s, from words that are long enough."""
+def _without_suffix(t: Column) -> Column:
+    """Drops -ing or -ed from a word that is long enough."""
+    n = F.length(t)
+    ing = t.endswith("ing") & (n > 5)
+    return F.when(ing, F.left(t, n - 3)).when(t.endswith("ed") & (n > 4), F.left(t, n - 2)).otherwise(t)
+
+
+def _singular(t: Column) -> Column:
+    """Turns -ies to y or drops -s from a word that is long enough."""
     n = F.length(t)
-    a = F.when(t.endswith("ing") & (n > 5), F.left(t, n - 3)).when(~(t.endswith("ing") & (n > 5)) & t.endswith("ed") & (n > 4), F.left(t, n - 2)).otherwise(t)
-    m = F.length(a)
-    return F.when(a.endswith("ies") & (m > 5), F.concat(F.left(a, m - 3), F.lit("y"))).when(a.endswith("s") & (m > 4), F.left(a, m - 1)).otherwise(a)
+    return F.when(t.endswith("ies") & (n > 5), F.concat(F.left(t, n - 3), F.lit("y"))).when(t.endswith("s") & (n > 4), F.left(t, n - 1)).otherwise(t)
+
+
+def stem(t: Column) -> Column:
+    return _singular(_without_suffix(t))
 
 
 def search_tokens(c: Column) -> Column:
-    stemmed = F.transform(words_of(F.lower(c)), lambda t: stem(bare(t)))
+    """Stemmed words; one pass a step, so that no step's expression is repeated inside the next."""
+    stemmed = words_of(F.lower(c))
+    for step in (bare, _without_suffix, _singular):
+        stemmed = F.transform(stemmed, step)
     return F.filter(stemmed, lambda t: (F.length(t) >= 2) & ~_stop(t))
 
 

@@ -45,11 +45,11 @@ def weighted_bm25(postings: DataFrame, n_passages: DataFrame, wanted: DataFrame,
 
 
 def search_postings(p: DataFrame) -> DataFrame:
-    """(pid, term, tf, in_title, size) of stemmed terms; terms of the title alone have tf 0."""
-    body = p.select("pid", F.explode(tx.search_tokens(F.col("chunk"))).alias("term")).groupBy("pid", "term").agg(F.count("*").alias("tf"))
-    size = p.select("pid", F.size(tx.search_tokens(F.col("chunk"))).alias("size")).filter("size > 0")
-    title = p.select("pid", F.explode(F.array_distinct(tx.search_tokens(F.col("title")))).alias("term")).withColumn("in_title", F.lit(1))
-    return body.join(title, ["pid", "term"], "full").join(size, "pid").select("pid", "term", F.coalesce("tf", F.lit(0)).alias("tf"), F.coalesce("in_title", F.lit(0)).alias("in_title"), "size")
+    """(pid, term, tf, in_title, size) of stemmed terms; terms of the title alone have tf 0. One scan, one exchange."""
+    toks = p.select("pid", tx.search_tokens(F.col("chunk")).alias("body"), F.array_distinct(tx.search_tokens(F.col("title"))).alias("title")).filter(F.size("body") > 0)
+    of = lambda c, tf: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(1 - tf).alias("in_title")))
+    rows = toks.select("pid", F.size("body").alias("size"), F.explode(F.concat(of("body", 1), of("title", 0))).alias("t"))
+    return rows.groupBy("pid", "t.term").agg(F.sum("t.tf").alias("tf"), F.max("t.in_title").alias("in_title"), F.first("size").alias("size"))
 
 
 def lexical_scores(p: DataFrame, questions: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -61,7 +61,7 @@ def lexical_scores(p: DataFrame, questions: DataFrame, k1: float = 1.2, b: float
     rows = terms.join(df, "term", "left").join(postings, "term").crossJoin(F.broadcast(totals))
     smooth = F.coalesce(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, F.lit(1.0))
     okapi = F.coalesce(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
-    lexical = smooth * F.least("tf", F.lit(3)) + F.col("in_title") * 0.35 * smooth
+    lexical = smooth * F.least(F.col("tf"), F.lit(3).cast("long")) + F.col("in_title") * 0.35 * smooth
     gain = okapi * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean"))) + F.col("in_title") * 0.35 * F.greatest(okapi, F.lit(0.1))
     return rows.groupBy("item_id", "pid").agg((F.sum(F.col("times") * lexical) / F.sqrt(F.first("size"))).alias("lexical"), F.sum(F.when(F.col("tf") > 0, F.col("times") * gain).otherwise(0.0)).alias("bm25"))
 
