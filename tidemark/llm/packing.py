@@ -32,7 +32,7 @@ CAPACITY = 2048
 SLACK = 64
 END_ID = 1
 #: Bytes of ids that a task gathers before it passes them on.
-FLUSH = 4 << 20
+FLUSH = 1 << 20
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 

@@ -10,12 +10,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A reducer's words of 64 bits.
+#: A reducer's words of 64 bits: 2 MB.
 WORDS = 1 << 18
 _made: dict[str, str] = {}
 
@@ -112,32 +110,23 @@ def _place(column: str) -> tuple[Column, Column]:
     return F.expr(f"pmod({h}, {WORDS}L)"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, 40) & 63 as int))")
 
 
-def reducer(ids: DataFrame, column: str) -> "Reducer":
-    """A one-hash Bloom filter of a fixed 2 MB over a column of any length."""
-    word, bit = _place(column)
-    got = ids.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    words = np.zeros(WORDS, np.int64)
-    words[got["w"].to_numpy()] = got["b"].to_numpy()
-    return Reducer(ids.sparkSession, words)
-
-
 class Reducer:
-    """Semi-join reduction before a wide column is shuffled: rows without a bit have no partner for sure.
+    """Semi-join reduction before a wide column is shuffled: a one-hash Bloom filter of at most ``WORDS`` rows.
 
-    Its size does not grow with the data; when it fills up it lets more rows pass to the exact join
-    that always follows, and never fewer.
+    Rows without a bit have no partner for sure.  The filter's size does not grow with the data, so it can be
+    broadcast; when it fills up it lets more rows pass to the exact join that always follows, and never fewer.
     """
 
-    def __init__(self, spark: SparkSession, words: np.ndarray):
-        self.words = spark.sparkContext.broadcast(words)
+    def __init__(self, words: DataFrame):
+        self.words = words
 
     def marked(self, df: DataFrame, column: str, name: str) -> DataFrame:
         """df and a boolean that is false only where the id is surely absent."""
         word, bit = _place(column)
-        words = self.words
+        joined = df.withColumn("__w", word).join(F.broadcast(self.words), "__w", "left")
+        return joined.withColumn(name, F.coalesce(F.col("__b").bitwiseAND(bit) != 0, F.lit(False))).drop("__w", "__b")
 
-        @F.pandas_udf("long")
-        def bits(w: pd.Series) -> pd.Series:
-            return pd.Series(words.value[w.to_numpy()])
 
-        return df.withColumn(name, bits(word).bitwiseAND(bit) != 0)
+def reducer(ids: DataFrame, column: str) -> Reducer:
+    word, bit = _place(column)
+    return Reducer(materialise(ids.select(word.alias("__w"), bit.alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__b")), "filter"))

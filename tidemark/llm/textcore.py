@@ -8,6 +8,7 @@ batch.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,6 +135,22 @@ class Words:
         return tuple(bytes(self.chunk.buf[s:e]) for s, e in zip(self.starts[i : i + size], self.ends[i : i + size]))
 
 
+_since_tidy = 0
+
+
+def tidy(handled: int, every: int = 16 << 20) -> None:
+    """Give freed memory back to the system after each ``every`` bytes of text, so that workers stay small."""
+    global _since_tidy
+    _since_tidy += handled
+    if _since_tidy >= every:
+        _since_tidy = 0
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library keeps its own house
+            pass
+
+
 def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = 0) -> Iterator[Chunk]:
     """The rows of a string array in order, in chunks of at most ``limit`` bytes unless one row is longer."""
     limit = limit or CHUNK_BYTES
@@ -154,6 +171,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = 0) -> Iterator[Chunk]
         hi = min(hi, n)
         yield Chunk(raw[off[lo] : off[hi]], (off[lo : hi + 1] - off[lo]).astype(np.int64), lo, hi)
         lo = hi
+    tidy(int(off[n] - off[0]))
 
 
 def per_doc(values: np.ndarray, first: np.ndarray, count: np.ndarray, dtype=np.int64) -> np.ndarray:
