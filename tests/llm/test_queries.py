@@ -76,6 +76,17 @@ def test_near_duplicates_in_large_and_split_nodes(spark, leaf, block):
     assert got_components(neardup.near_duplicates(df, leaf=leaf, block=block)) == brute_components(rows)
 
 
+def test_near_duplicates_keep_links_of_large_nodes(spark):
+    """Pairs of exactly 0.75 among rows just below it: all share nodes above ``leaf``, and no pair may get lost."""
+    rows = []
+    for g in range(60):
+        prefix = [f"g{g}w{i}" for i in range(94)]
+        rows += [(g * 100 + k, " ".join(prefix + [f"g{g}k{k}t{i}" for i in range(15)])) for k in (0, 1)]
+        rows += [(g * 100 + k, " ".join(prefix[:93] + [f"g{g}k{k}t{i}" for i in range(16)])) for k in range(2, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_components(neardup.near_duplicates(df, leaf=1)) == brute_components(rows)
+
+
 def test_one_id_with_two_texts_links_them(spark):
     rows = [(1, BASE), (2, BASE), (2, "q w e r t y u i o p"), (3, "q w e r t y u i o p")]
     got = got_components(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))

@@ -9,15 +9,16 @@ or more are linked, and every link is confirmed on the full sets.
   64 tokens (with probability 1/3 a second one, so 4/3 on average, the reciprocal of the threshold)
   and a class follows the branches of its own token values.  Nodes depend on the path alone, so this
   needs no exchange.  A pair of similarity 0.75 still shares a node after three levels with
-  probability 0.6 in one tree (offspring law: none 3/16, one 5/8, two 3/16), and misses all 14 trees
-  with probability 3e-6; likelier pairs miss far more rarely.
+  probability 0.6 in one tree (offspring law: none 3/16, one 5/8, two 3/16).  All trees draw from the
+  same 64 tokens, so it misses all 14 with probability 5.5e-5; likelier pairs miss far more rarely.
 * Nodes that hold one class are dropped.  Each other class is compared with the smallest class of the
   node it shares most paths with (a star, so a large group of near copies costs one comparison each),
   and the links found join components.  Two classes of one component need no further comparison.
-* Nodes whose classes lie in several components are searched exhaustively: nodes with more than
-  ``leaf`` classes first branch on, level by level, up to ``max_depth``; then every two classes of
-  different components are compared in the task that holds the node.  Nodes with more than ``block``
-  classes are dealt to one task for each pair of blocks.  Only links that join components leave a task.
+* Nodes whose classes lie in several components are searched exhaustively, whatever their size: every
+  two classes of different components are compared in the task that holds the node.  Nodes with more
+  than ``block`` classes are dealt to one task for each pair of blocks.  In nodes with more than ``leaf``
+  classes, blocks hold sets of like size, and pairs of blocks that cannot hold a link (by size, or as they
+  lie in one component) are left out.  Only links that join components leave a task.
 * Components are found by hooking and pointer jumping on tables in the shared folder.
 
 Defined cases: null or wordless text has no set and no link; null doc_id likewise (component null,
@@ -26,6 +27,7 @@ kept).  Rows with one doc_id are one vertex.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +45,6 @@ TREES = 14
 DEPTH = 3
 LEAF = 4096
 BLOCK = 1024
-MAX_DEPTH = 15
 
 _SKETCH = "doc_id long, n long, d1 long, d2 long, tokens binary"
 
@@ -102,19 +103,6 @@ def _paths(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     return classes.select("rep", "tokens").mapInArrow(run, "node long, rep long")
 
 
-def _deeper(rows: DataFrame, level: int) -> DataFrame:
-    """(node, rep, comp, tokens) one level down."""
-
-    def run(batches):
-        for b in batches:
-            node = b["node"].to_numpy().view(_U)
-            row, child = _step(np.arange(len(node)), node, _tokens(b["tokens"]), level)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(b[c].take(at) for c in ("rep", "comp", "tokens"))], names=["node", "rep", "comp", "tokens"])
-
-    return rows.select("node", "rep", "comp", "tokens").mapInArrow(run, "node long, rep long, comp long, tokens binary")
-
-
 def similar(common, n, m, percent: int = THRESHOLD):
     """Exact test of Jaccard >= percent / 100 in integers."""
     return 100 * common >= percent * (n + m - common)
@@ -215,15 +203,46 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def _search(nodes: DataFrame, blobs: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) from rows (node, size, rep, comp) of nodes that hold several components."""
+def _blocks(nodes: DataFrame, block: int) -> DataFrame:
+    """(node, x, y, rep, comp, side): the pairs of blocks of each node."""
     parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    tasks = (
+    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    return (
         nodes.withColumn("parts", parts).withColumn("own", own)
-        .select("node", "rep", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select("node", "rep", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other"))
         .select("node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "comp", (F.col("own") > F.col("other")).alias("side"))
     )
+
+
+def _banded(nodes: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
+    """The same for large nodes, without pairs of blocks that cannot hold a link.
+
+    Sets are banded by the logarithm of their size, so that links lie in one band or in two adjacent ones.
+    """
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent) * (1 + 1e-9)))
+    rows = nodes.join(sizes, "rep").withColumn("band", band)
+    of = rows.groupBy("node", "band").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    near = of
+    for side, step in (("below", 1), ("above", -1)):
+        near = near.join(of.select("node", (F.col("band") + step).alias("band"), *(F.col(c).alias(f"{side}_{c}") for c in ("size", "lo", "hi"))), ["node", "band"], "left")
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(block))
+    others = lambda several, c: F.when(several & F.col(c).isNotNull(), F.sequence(F.lit(0).cast("long"), blocks(c) - 1)).otherwise(F.array().cast("array<bigint>"))
+    several = lambda side: F.least("lo", f"{side}_lo") != F.greatest("hi", f"{side}_hi")
+    near = near.select("node", "band", blocks("size").alias("parts"), others(F.col("lo") != F.col("hi"), "size").alias("same"), *(others(several(s), f"{s}_size").alias(s) for s in ("below", "above")))
+    name = lambda shift, i: (F.col("band") + shift) * F.lit(1 << 32) + i
+    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    pair = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), side.alias("side"))
+    pairs = F.concat(
+        F.transform("same", lambda o: pair(name(0, F.least("own", o)), name(0, F.greatest("own", o)), F.col("own") > o)),
+        F.transform("below", lambda o: pair(name(-1, o), name(0, F.col("own")), F.lit(True))),
+        F.transform("above", lambda o: pair(name(0, F.col("own")), name(1, o), F.lit(False))),
+    )
+    dealt = rows.drop("size").join(near, ["node", "band"]).withColumn("own", own).select("node", "rep", "comp", F.explode(pairs).alias("p"))
+    return dealt.select("node", "p.x", "p.y", "rep", "comp", "p.side")
+
+
+def _search(tasks: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) from pairs of blocks (node, x, y, rep, comp, side)."""
     rows = tasks.join(blobs, "rep").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y")
 
     def run(batches):
@@ -267,12 +286,12 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK, max_depth: int = MAX_DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     drawn = materialise(sketches(docs).withColumn("cls", F.xxhash64("n", "d1", "d2")), "sketches")
     usable = drawn.filter("n > 0 and doc_id is not null")
     classes = materialise(usable.groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.max("tokens").alias("tokens")), "classes")
-    links = _links(docs, classes.withColumnRenamed("cls", "rep"), percent, trees, depth, leaf, block, max_depth)
+    links = _links(docs, classes.withColumnRenamed("cls", "rep"), percent, trees, depth, leaf, block)
     # where one doc_id stands for several sets, it links their classes
     doubled = usable.groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("c")).filter("b <> c").select("doc_id", "b")
     if not doubled.isEmpty():
@@ -301,7 +320,7 @@ def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     return marked.filter("not __near").select(docs.columns).unionByName(doubtful)
 
 
-def _links(docs, classes, percent, trees, depth, leaf, block, max_depth) -> DataFrame:
+def _links(docs, classes, percent, trees, depth, leaf, block) -> DataFrame:
     """Links (a, b) between classes that join all that lie in one component."""
     spark = docs.sparkSession
     nodes = _paths(classes, trees, depth)
@@ -317,19 +336,9 @@ def _links(docs, classes, percent, trees, depth, leaf, block, max_depth) -> Data
     stars = materialise(_star_links(best, blobs, percent), "stars")
     labels = components(stars)
     placed = members.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("comp"))
-    mixed = materialise(_mixed(placed), "nodes")
-    found = [stars]
-    level = depth
-    large = mixed.filter(F.col("size") > leaf)
-    while level < max_depth and not large.isEmpty():
-        found.append(_search(_once(mixed.filter(F.col("size") <= leaf)), blobs, percent, block))
-        tokens = large.join(classes.select("rep", "tokens"), "rep")
-        mixed = materialise(_mixed(_deeper(tokens, level).select("node", "rep", "comp").distinct()), "nodes")
-        large, level = mixed.filter(F.col("size") > leaf), level + 1
-    found.append(_search(_once(mixed), blobs, percent, block))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
+    mixed = materialise(_once(_mixed(placed)), "nodes")
+    small, large = _blocks(mixed.filter(F.col("size") <= leaf), block), _banded(mixed.filter(F.col("size") > leaf), classes.select("rep", "n"), percent, block)
+    links = stars.unionByName(_search(small.unionByName(large), blobs, percent))
     links = materialise(links, "links")
     release(spark, members, blobs, labels, mixed)
     return links
