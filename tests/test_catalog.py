@@ -36,6 +36,13 @@ def test_query_equals_sql(spark, duck, name):
     assert len(got) and normal(got) == normal(want)
 
 
+def test_intervals_of_all_users(spark, duck):
+    """The SQL without its filter on ids."""
+    sql = catalog.ORACLES["interval_overlap_join"].replace("WHERE question_id % 5 = 0", "").replace("WHERE user_id % 5 = 0", "")
+    got = catalog.QUERIES["interval_overlap_join"](spark, SF).toPandas()
+    assert set(got["question_id"] % 5) == set(range(5)) and normal(got) == normal(duck.execute(sql).df())
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())

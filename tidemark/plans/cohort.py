@@ -72,8 +72,8 @@ def checkpoint_intersect(spark, sf):
   SELECT s.question_id, s.ord, f.object, CAST((CASE WHEN s.start_ts IS NOT DISTINCT FROM f.fs THEN 2 ELSE 0 END) + (CASE WHEN s.end_ts IS NOT DISTINCT FROM f.fe THEN 2 ELSE 0 END) + (CASE WHEN s.start_ts < f.fe AND (s.end_ts IS NULL OR f.fs < s.end_ts) THEN 1 ELSE 0 END) AS INTEGER) AS score
   FROM s JOIN f ON s.question_id = f.question_id WHERE s.start_ts < f.fe AND (s.end_ts IS NULL OR f.fs < s.end_ts)""")
 def interval_overlap_join(spark, sf):
-    s = spans(spark, sf).filter("question_id % 5 = 0")
-    f = table(spark, sf, "events").filter("user_id % 5 = 0").groupBy(F.col("user_id").alias("question_id"), F.col("event_type").alias("object")).agg(F.min("ts").alias("fs"), F.max("ts").alias("fe"))
+    s = spans(spark, sf)
+    f = table(spark, sf, "events").groupBy(F.col("user_id").alias("question_id"), F.col("event_type").alias("object")).agg(F.min("ts").alias("fs"), F.max("ts").alias("fe"))
     bounds = [F.col(c) for c in ("start_ts", "end_ts", "fs", "fe")]
     return s.join(f, "question_id").filter(tp.overlap(*bounds)).select("question_id", "ord", "object", tp.match_score(*bounds).alias("score"))
 
