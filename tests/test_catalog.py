@@ -43,6 +43,15 @@ def test_intervals_of_all_users(spark, duck):
     assert set(got["question_id"] % 5) == set(range(5)) and normal(got) == normal(duck.execute(sql).df())
 
 
+def test_versions_that_start_alike(spark, tmp_path):
+    """Only rows of one time, title and opening are one version."""
+    opening = "An opening line that many have\n" + "licence " * 60
+    # 850 days apart is the same time again
+    rows = [(1, opening + "first"), (2, opening + "second"), (3, opening + "first"), (851, opening + "first"), (852, "Another title of this\n" + opening), (1701, "short")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["doc_id"] for r in catalog.QUERIES["version_dedup"](spark, str(tmp_path)).collect()) == [1, 2, 3, 852]
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())

@@ -182,8 +182,9 @@ def retrieved_blocks(spark, sf):
 
 @query(f"WITH {ARTICLES}, r AS (SELECT article_id, url, ts, doc_id, row_number() OVER (PARTITION BY md5(left(text, 400)) ORDER BY ts, doc_id) AS n FROM articles WHERE length(text) >= 80) SELECT article_id, url, ts, doc_id FROM r WHERE n = 1")
 def version_dedup(spark, sf):
+    """The first of the rows that agree in time, title and first 400 characters; the URL names the document here, so it cannot be in the key."""
     a = articles(spark, sf).filter(F.length("text") >= 80)
-    return rt.top_k(a, [F.md5(F.left("text", F.lit(400)))], [F.asc("ts"), F.asc("doc_id")], 1).select("article_id", "url", "ts", "doc_id")
+    return rt.top_k(a, ["ts", tx.title_of(F.col("text")), F.md5(F.left("text", F.lit(400)))], [F.asc("ts"), F.asc("doc_id")], 1).select("article_id", "url", "ts", "doc_id")
 
 
 _HOSTP = "'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)'"
