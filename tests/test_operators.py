@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -81,6 +82,25 @@ def test_interleave_and_ratio(spark):
     assert df.select(probe.ratio_counts(F.lit(25), 10, F.lit(9), F.lit(9))).first()[0].asDict() == {"stale": 2, "current": 8}
 
 
+def test_ratio_of_too_few_documents(spark):
+    """What the reference's ``_ratio_counts`` gives, side by side."""
+
+    def want(percent, total, current, stale):
+        s = round(total * percent / 100)
+        c = total - s
+        if percent in (0, 100):
+            return (min(s, stale), min(c, current))
+        g = math.gcd(s, c)
+        k = min(g, current // (c // g) if c else total, stale // (s // g) if s else total)
+        return (s // g * k, c // g * k) if k else (min(s, stale), min(c, current))
+
+    rows = list(itertools.product((0, 25, 50, 75, 100), range(9), range(9)))
+    df = spark.createDataFrame(rows, "p int, c int, s int")
+    got = df.select("p", "c", "s", probe.ratio_counts(F.col("p"), 8, F.col("c"), F.col("s")).alias("r")).collect()
+    assert {(r["p"], r["c"], r["s"]): tuple(r["r"]) for r in got} == {(p, c, s): want(p, 8, c, s) for p, c, s in rows}
+    assert want(25, 8, 6, 0) == (0, 6)
+
+
 def test_distances():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(12, 8))

@@ -18,14 +18,18 @@ def interleave(current: Column, stale: Column) -> Column:
 
 
 def ratio_counts(percent: Column, total: int, n_current: Column, n_stale: Column) -> Column:
-    """(stale, current) counts of a mix: the stale share rounded half to even, scaled down in its own ratio if documents are short."""
+    """(stale, current) counts of a mix: the stale share rounded half to even, scaled down in its own ratio if documents are short.
+
+    Where they do not suffice for one unit of the ratio, each side gives what it has of its share.
+    """
     stale = F.bround(F.lit(total) * percent / 100).cast("int")
     current = F.lit(total) - stale
     # gcd of the two counts, by Euclid's steps
     g = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.struct(stale.alias("a"), current.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], s["b"]).alias("b"))))["a"]
     us, uc = (stale / g).cast("int"), (current / g).cast("int")
     fit = F.least(g, F.when(us > 0, F.floor(n_stale / us).cast("int")).otherwise(g), F.when(uc > 0, F.floor(n_current / uc).cast("int")).otherwise(g))
-    return F.struct((us * fit).alias("stale"), (uc * fit).alias("current"))
+    some = fit > 0
+    return F.struct(F.when(some, us * fit).otherwise(F.least(stale, n_stale.cast("int"))).alias("stale"), F.when(some, uc * fit).otherwise(F.least(current, n_current.cast("int"))).alias("current"))
 
 
 def labelled(docs: Column, source: str) -> Column:
