@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tidemark import catalog
+from tidemark.plans import probe
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -52,6 +53,22 @@ def test_versions_that_start_alike(spark, tmp_path):
     assert sorted(r["doc_id"] for r in catalog.QUERIES["version_dedup"](spark, str(tmp_path)).collect()) == [1, 2, 3, 852]
 
 
+#: Every document whole, in the terms of ``_DOCS``.
+WHOLE_DOCS = """docs AS (SELECT doc_id // 8 AS q, doc_id, text AS d FROM documents), a AS (SELECT q, coalesce(list(d ORDER BY doc_id) FILTER (WHERE doc_id % 8 >= q % 6), []) AS cur, coalesce(list(d ORDER BY doc_id) FILTER (WHERE doc_id % 8 < q % 6), []) AS old FROM docs GROUP BY q)"""
+
+
+@pytest.mark.parametrize("name", ["interleaved_context", "labelled_context", "ratio_mix", "evidence_ladder"])
+def test_contexts_of_all_documents(spark, duck, name):
+    """The SQL over whole documents; in ratio_mix, with what each side has where no unit of the ratio fits."""
+    assert probe._DOCS in catalog.ORACLES[name]
+    sql = catalog.ORACLES[name].replace(probe._DOCS, WHOLE_DOCS)
+    if name == "ratio_mix":
+        for side, unit, most, have in (("stale", "us", "s", "ns"), ("current", "uc", "8 - s", "nc")):
+            sql = sql.replace(f"CAST({unit} * k AS INTEGER)", f"CAST(CASE WHEN k > 0 THEN {unit} * k ELSE least({most}, {have}) END AS INTEGER)")
+    got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.execute(sql).df()
+    assert got["question_id"].nunique() == 25 and normal(got) == normal(want)
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())

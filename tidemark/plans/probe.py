@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
@@ -63,14 +62,11 @@ _DOCS = """docs AS (SELECT doc_id % 40 AS q, doc_id, left(regexp_replace(text, '
 
 
 def _contexts(spark, sf):
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("q"), "doc_id", F.left(F.regexp_replace("text", r"\s+", " "), F.lit(40)).alias("d"))
-    stale = F.floor(F.col("doc_id") / 40) % 3 == 0
-    # six documents a side are wanted, so each side keeps its first six before the lists are made
-    n = F.row_number().over(Window.partitionBy("q", stale).orderBy("doc_id"))
-    kept = d.select("*", stale.alias("old"), n.alias("n")).filter("n <= 6")
-    of = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("old") == side, F.struct("doc_id", "d")))), lambda s: s["d"])
-    g = kept.groupBy("q").agg(of(False).alias("cur"), of(True).alias("old"))
-    return g.select("q", "cur", F.slice("old", F.lit(1), (F.col("q") % 6).cast("int")).alias("old"))
+    """Whole documents, eight in a row a question; 0 to 5 of them are stale, by question, and all are used."""
+    d = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 8).alias("q"), "doc_id", F.col("text").alias("d"))
+    stale = F.pmod("doc_id", F.lit(8)) < F.pmod("q", F.lit(6))
+    of = lambda side: F.transform(F.array_sort(F.collect_list(F.when(stale == side, F.struct("doc_id", "d")))), lambda s: s["d"])
+    return d.groupBy("q").agg(of(False).alias("cur"), of(True).alias("old"))
 
 
 @query(f"""WITH {_DOCS}, o AS (SELECT q, CASE WHEN len(cur) >= len(old) THEN cur ELSE old END AS f, CASE WHEN len(cur) >= len(old) THEN old ELSE cur END AS s FROM a)
