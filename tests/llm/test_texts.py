@@ -1,6 +1,7 @@
 """Byte-level helpers and operators on plain Python objects, against brute force."""
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -163,3 +164,28 @@ def test_language_backs_off_to_ngrams():
 def test_platt_stays_finite():
     a, b = linear.fit_platt(np.array([-5.0, -4, 4, 5]), np.array([0.0, 0, 1, 1]))
     assert np.isfinite([a, b]).all() and a > 0
+
+
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("write to jоhn.smith@example.com now", "email", "jоhn.smith@example.com"), ("call +49 30 1234 567 eight nine please", "phone", "+49 30 1234 567 eight nine"),
+        ("host 10.2.3.4５ is up", "ip", "10.2.3.4５"), ("mail john@mail.example dot com, thanks", "email", "john@mail.example dot com"),
+        ("mail joe @ example.com, thanks", "email", "joe @ example.com"), ("mail joe@ example.com, thanks", "email", "joe@ example.com"),
+        ("host ᠑᠐.᠒.᠓.᠔ is up", "ip", "᠑᠐.᠒.᠓.᠔"), ("host \U0001e951\U0001e950.2.3.4 is up", "ip", "\U0001e951\U0001e950.2.3.4"),
+    ],
+)
+def test_partly_disguised(text, kind, part):
+    """A disguised part is found and redacted along with a plain one; plain spans stay."""
+    base, spans = pii.find(text)
+    at = text.index(part)
+    assert (kind, at, at + len(part)) in spans and set(base) <= set(spans)
+    assert pii.redact_text(text, spans) == text.replace(part, f"<{kind.upper()}>")
+
+
+def test_prices_are_no_addresses():
+    assert pii.find("five apples @ 3.50 each, a @ b") == ([], [])
+
+
+def test_every_decimal_digit_is_strange():
+    assert all(pii._STRANGE.match(chr(c)) and pii._FOREIGN.match(chr(c)) for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd")

@@ -6,16 +6,16 @@ fails its check (parts over 255, digit count, Luhn) is dropped without a retry.
 Disguised ones are found through transducers.  Each turns a text with offsets into another text with
 offsets, where every character of the result carries the source range it came from:
 
-1. homoglyphs: full-width forms, mathematical letters and digits, digits of other scripts, and Greek and
-   Cyrillic lookalikes become ASCII;
+1. homoglyphs: full-width forms, mathematical letters and digits, decimal digits of all other scripts, and
+   Greek and Cyrillic lookalikes become ASCII;
 2. spelled digits and ``plus``: runs of digit words (English, German, Spanish, French), set apart by blanks
    or hyphens, become digits without gaps;
 3. at/dot disguises: a bracketed ``at`` or ``dot``, and unbracketed ones in the order name at host dot end,
-   become ``@`` and ``.``; a spelled dot between digits becomes ``.``.
+   become ``@`` and ``.``; blanks around an ``@`` before a host go; a spelled dot between digits becomes ``.``.
 
 The same detectors then run on the normalised text.  A span that covers something a transducer changed,
-and overlaps no plain span of its kind, is mapped back to source characters and added.  Plain spans
-always stay as they are.  Offsets count code points, ends are exclusive.
+and lies in no plain span of its kind, is mapped back to source characters and added; it may reach beyond
+a plain span that it overlaps.  Plain spans always stay as they are.  Offsets count code points, ends are exclusive.
 
 Defined cases: a null or empty text has no spans and stays as it is; all other columns pass untouched.
 """
@@ -23,6 +23,7 @@ Defined cases: a null or empty text has no spans and stays as it is; all other c
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -118,11 +119,15 @@ _BRACKET_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.I)
 _NAME_AT_HOST = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.| +(?:{_DOT}) +)[A-Za-z0-9_%+-]+)*( *@ *| +(?:{_AT}) +)(?!(?:{_PLAIN}) )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?: +(?:{_DOT}) +[A-Za-z0-9-]+)+(?!\w)", re.I)
 _WORD_DOT = re.compile(rf" +(?:{_DOT}) +", re.I)
 _DIGIT_DOT = re.compile(rf"(?<=[0-9]) *(?: (?:{_DOT}) )+ *(?=[0-9])", re.I)
-_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9]) *@ *(?=[A-Za-z0-9])")
+#: A host of this kind ends in a label that begins with a letter, so that a price is none.
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?: +@ *|@ +)(?=(?:[A-Za-z0-9-]+\.)+[A-Za-z])")
 _WORDED = re.compile(rf"(?<!\w)(?:{_UNIT})[ -]+(?:{_UNIT}|[0-9])|\s(?:{_DOT})\s", re.I)
 _BRACKETED = re.compile(rf"[\[({{<]\s*(?:{_AT}|@|{_DOT}|\.)\s*[\])}}>]", re.I)
 _TRIGGERS = frozenset([*_SPELLED, *_DOT.split("|")])
-_STRANGE = re.compile("[Ͱ-ԯ٠-٩۰-۹०-९⁰-ₜ①-⓿！-～\U0001d400-\U0001d7ff]")
+_DECIMAL = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+_STRANGE = re.compile(f"[Ͱ-ԯ⁰-ₜ①-⓿！-～\U0001d400-\U0001d7ff{_DECIMAL}]")
+#: Without a character outside Latin and common punctuation, a text has none of these.
+_FOREIGN = re.compile("[^\0-\u036f\u2000-\u206f]")
 
 
 def _lookalike(c: str) -> str:
@@ -187,20 +192,22 @@ class Mapped:
             if m.group(1) != "@":
                 edits.append((m.start(1), m.end(1), "@"))
         self.rewrite(sorted(edits))
+        self.rewrite([(m.start(), m.end(), "@") for m in _SPACED_AT.finditer(self.text)])
         self.rewrite([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(self.text)])
 
 
 def disguised(text: str, plain: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """Spans that only the normalised text shows, in source offsets."""
     none = {k: [] for k in KINDS}
-    strange = not text.isascii() and _STRANGE.search(text)
+    strange = not text.isascii() and _FOREIGN.search(text) and _STRANGE.search(text)
     if not strange:
         # most texts have no word of a disguise and end here
         worded = not _TRIGGERS.isdisjoint(text.lower().replace("-", " ").split()) and _WORDED.search(text)
-        if not worded and not _BRACKETED.search(text):
+        if not worded and not _BRACKETED.search(text) and not ("@" in text and _SPACED_AT.search(text)):
             return none
     m = Mapped(text)
-    m.homoglyphs()
+    if strange:
+        m.homoglyphs()
     m.spelled_digits()
     m.at_and_dot()
     if m.text == text:
@@ -212,7 +219,7 @@ def disguised(text: str, plain: dict[str, list[tuple[int, int]]]) -> dict[str, l
         for s, e in spans:
             lo, hi = int(m.start[s]), int(m.end[e - 1])
             gaps = hi - lo != e - s
-            if (changed[e] > changed[s] or gaps) and not any(x < hi and lo < y for x, y in plain[kind]):
+            if (changed[e] > changed[s] or gaps) and not any(x <= lo and hi <= y for x, y in plain[kind]):
                 out[kind].append((lo, hi))
     return out
 
