@@ -101,6 +101,38 @@ def test_ratio_of_too_few_documents(spark):
     assert want(25, 8, 6, 0) == (0, 6)
 
 
+_PEOPLE = "id long, transition int, relation int, style int, risk double"
+
+
+@pytest.mark.parametrize("limit, want", [(1, [(1, 13)]), (3, [(1, 13), (2, 12), (None, 10)]), (4, [(1, 13), (2, 12), (None, 10), (None, 11)]), (9, [(1, 13), (2, 12), (None, 10), (None, 11), (None, 14)])])
+def test_matched_controls_are_filled_up(spark, limit, want):
+    """One control a case, then the riskiest others, by id where equal."""
+    cases = spark.createDataFrame([(1, 0, 0, 0, 0.9), (2, 0, 0, 1, 0.9)], _PEOPLE)
+    controls = spark.createDataFrame([(10, 1, 1, 1, 0.7), (11, 1, 1, 1, 0.7), (12, 0, 1, 1, 0.1), (13, 0, 0, 0, 0.2), (14, 2, 2, 0, 0.3)], _PEOPLE)
+    got = probe.match_controls(cases, controls, limit).collect()
+    assert sorted(((r["case_id"], r["control_id"]) for r in got), key=lambda x: (x[0] is None, x[1])) == sorted(want, key=lambda x: (x[0] is None, x[1]))
+    assert all((r["cost"] is None) == (r["case_id"] is None) for r in got)
+
+
+def test_matched_controls_without_cases(spark):
+    controls = spark.createDataFrame([(10, 1, 1, 1, 0.7), (11, 1, 1, 1, 0.8)], _PEOPLE)
+    assert [(r["case_id"], r["control_id"]) for r in probe.match_controls(controls.limit(0), controls, 1).collect()] == [(None, 11)]
+
+
+def test_stratum_controls_fall_back(spark):
+    """Exact strata up to their quota, then (relation, style) of the targets, the commonest first, then any."""
+    exact, coarse = ["transition", "relation", "style"], ["relation", "style"]
+    strata = [(0, 0, 0)] * 3 + [(0, 1, 1)] * 2
+    targets = spark.createDataFrame([(i, *s, 1.0) for i, s in enumerate(strata)], _PEOPLE)
+    rows = [(10, 0, 0, 0, 0.5), (20, 5, 1, 1, 0.9), (21, 6, 1, 1, 0.9), (22, 5, 0, 0, 0.1), (30, 7, 8, 0, 0.8), (31, 7, 8, 1, 0.95)]
+    chosen = lambda some: sorted(r["id"] for r in probe.quota_controls(targets, spark.createDataFrame(some, _PEOPLE), exact, coarse).collect())
+    assert chosen(rows) == [10, 20, 21, 22, 31]
+    # a row less in the second tier, and one more of the any tier
+    assert chosen(rows[:1] + rows[2:]) == [10, 21, 22, 30, 31]
+    # enough in every stratum: the quota alone
+    assert chosen(rows + [(40 + i, *s, 0.1 * i) for i, s in enumerate(strata)]) == [10, 41, 42, 43, 44]
+
+
 def test_distances():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(12, 8))

@@ -84,20 +84,45 @@ def cohort(target: Column, alarm: Column) -> Column:
 def match_controls(cases: DataFrame, controls: DataFrame, limit: int) -> DataFrame:
     """Greedy nearest controls without replacement: 10 for another transition, 3 for another relation, 1 for another style, plus the risk difference.
 
+    What is left of ``limit`` goes to the riskiest other controls; these have no case and no cost.
+
     Cases are few by design (alarms of one update).  Each case first keeps its ``limit`` nearest controls, which is
-    enough for any greedy choice among ``limit`` cases; the sequential choice then sees those rows only.
+    enough for any greedy choice among ``limit`` cases; the sequential choice then sees those rows only, and the
+    ``2 * limit`` riskiest controls, which are enough to fill up with.
     """
     d = cases.select(*(F.col(c).alias(f"c_{c}") for c in ("id", "transition", "relation", "style", "risk"))).join(F.broadcast(controls), F.lit(True))
     cost = F.when(F.col("c_transition") != F.col("transition"), 10).otherwise(0) + F.when(F.col("c_relation") != F.col("relation"), 3).otherwise(0) + F.when(F.col("c_style") != F.col("style"), 1).otherwise(0) + F.abs(F.col("c_risk") - F.col("risk"))
     near = d.select(F.col("c_id").alias("case_id"), "id", F.round(cost, 9).alias("cost")).withColumn("n", F.row_number().over(Window.partitionBy("case_id").orderBy("cost", "id"))).filter(F.col("n") <= limit)
+    # a row of the fill has n = 0 and its risk, falling, in place of a cost
+    fill = controls.orderBy(F.desc("risk"), "id").limit(2 * limit).select(F.lit(0).alias("case_id"), "id", (-F.col("risk")).cast("double").alias("cost"), F.lit(0).alias("n"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
-        for case, rows in pdf.sort_values(["case_id", "cost", "id"]).groupby("case_id"):
+        for case, rows in pdf[pdf["n"] > 0].sort_values(["case_id", "cost", "id"]).groupby("case_id"):
             free = rows[~rows["id"].isin(used)]
             if len(free) and len(out) < limit:
                 used.add(free["id"].iloc[0])
                 out.append((case, free["id"].iloc[0], free["cost"].iloc[0]))
-        return pd.DataFrame(out, columns=["case_id", "control_id", "cost"])
+        rest = pdf[(pdf["n"] == 0) & ~pdf["id"].isin(used)].sort_values(["cost", "id"])
+        out += [(None, i, None) for i in rest["id"].head(limit - len(out))]
+        return pd.DataFrame(out, columns=["case_id", "control_id", "cost"]).astype({"case_id": "Int64", "control_id": "int64", "cost": "Float64"})
+
+    return near.unionByName(fill).groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: choose(pdf), "case_id long, control_id long, cost double")
+
 
-    return near.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: choose(pdf), "case_id long, control_id long, cost double")
+def quota_controls(targets: DataFrame, controls: DataFrame, exact: list[str], coarse: list[str]) -> DataFrame:
+    """As many rows of controls as there are targets, the riskiest first in each tier.
+
+    First as many of each stratum (``exact``) as it has targets; then, while rows are missing, controls that
+    share ``coarse`` with targets, the commonest values first; then any.
+    """
+    quota = targets.groupBy(*exact).agg(F.count("*").alias("quota"))
+    ranked = controls.withColumn("n", F.row_number().over(Window.partitionBy(*exact).orderBy(F.desc("risk"), "id"))).join(quota, exact, "left")
+    first = ranked.filter("n <= quota").select(*controls.columns)
+    short = targets.count() - first.count()
+    if short <= 0:
+        return first
+    common = targets.groupBy(*coarse).agg(F.count("*").alias("common"))
+    rest = ranked.filter("quota is null or n > quota").select(*controls.columns).join(common, coarse, "left")
+    keys = [F.when(F.col("common").isNotNull(), F.col(c)) for c in coarse]
+    return first.unionByName(rest.orderBy(F.desc_nulls_last("common"), *keys, F.desc("risk"), "id").limit(short).select(*controls.columns))

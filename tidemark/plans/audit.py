@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
+from tidemark.operators import probe as pb
 from tidemark.operators import resample as rs
 from tidemark.plans.views import ARTICLES, SCORED_LABELS, articles, scored_labels, table
 
@@ -76,8 +77,9 @@ def union_first_run(spark, sf):
 @query("""WITH x AS (SELECT s_suppkey AS id, s_nationkey % 3 AS stratum, round(s_acctbal / 10000, 4) AS risk, s_acctbal > 7000 AS target FROM supplier), q AS (SELECT stratum, count(*) AS quota FROM x WHERE target GROUP BY 1), r AS (SELECT id, x.stratum, row_number() OVER (PARTITION BY x.stratum ORDER BY risk DESC, id) AS n FROM x WHERE NOT target)
   SELECT r.id, r.stratum FROM r JOIN q ON q.stratum = r.stratum WHERE r.n <= quota""")
 def stratum_controls(spark, sf):
-    """As many controls of each stratum as it has targets, the riskiest first."""
-    x = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 3).alias("stratum"), F.round(F.col("s_acctbal") / 10000, 4).alias("risk"), (F.col("s_acctbal") > 7000).alias("target"))
-    quota = x.filter("target").groupBy("stratum").agg(F.count("*").alias("quota"))
-    n = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("risk"), "id"))
-    return x.filter("not target").withColumn("n", n).join(quota, "stratum").filter("n <= quota").select("id", "stratum")
+    """As many controls of each stratum as it has targets, the riskiest first; what a stratum lacks comes by relation and style, then from any."""
+    x = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 3).alias("stratum"), F.round(F.col("s_acctbal") / 10000, 4).alias("risk"), (F.col("s_acctbal") > 7000).alias("target"),
+        (F.col("s_suppkey") % 5).alias("relation"), (F.col("s_suppkey") % 2).alias("style"),
+    )
+    return pb.quota_controls(x.filter("target"), x.filter("not target"), ["stratum"], ["relation", "style"]).select("id", "stratum")
