@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, langid, neardup, packing, pii, quality, queries, sharding, tokenstore, toxicity
+from tidemark.llm import bpe, chat, decontam, langid, linear, neardup, packing, pii, quality, queries, sharding, tokenstore, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, rep long, kept string"
@@ -170,6 +170,24 @@ def test_scoring_of_odd_and_empty_tables(spark):
     assert got[0] == got[1] == got[2] == "und" and got[3] == "en"
 
 
+def test_long_rows_do_not_end_a_sample(spark):
+    """Texts that are longer than the bound, or than a row's share of it, leave the rest of the sample as it is."""
+    rows = [(i, f"text {i}", i % 2) for i in range(300)]
+    longer = [(1000 + i, "long " * (3000 if i % 2 else 400), 1) for i in range(60)]
+    df = lambda r: spark.createDataFrame(r, "doc_id long, text string, y int")
+    sample = lambda r, size: linear.labelled_sample(df(r), None, "y", 200, size, 7)
+    want = sample(rows, 10000)
+    assert len(want) == 200 and sample(rows + longer, 10000) == want
+    with pytest.warns(UserWarning, match="rows with"):
+        some = sample(rows, 500)
+    assert len(some) >= 50 and sum(len(t) for t, _ in some) <= 500
+    # where all are long, some are taken all the same
+    with pytest.warns(UserWarning, match="rows with"):
+        assert len(sample(longer, 5000)) == 2
+    with pytest.warns(UserWarning, match="no labelled text"):
+        assert sample(longer, 100) == []
+
+
 def test_pii_frames(spark):
     rows = [(1, "a@b.co and joe [at] site [dot] org", "x"), (2, None, "y"), (3, "", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialise, release
 
+#: No text takes more than this part of the bytes of a sample, and a sample of fewer rows is reported.
+SHARE, LEAST = 16, 100
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, rows: int, size: int, seed: int) -> list[tuple[str, object]]:
     """(text, label) of at most ``rows`` rows of docs and ``size`` bytes of text, where label is not null.
 
     ``label`` is a column of ``labels`` (joined by doc_id), or of docs where labels is None.  The rows with
-    the smallest seeded hashes of doc_id are taken in that order until a bound is met, so the sample is
-    uniform and the same in every run; equal ids come in the order of their texts' hashes.  Rows without
-    text count as empty.  Only ids, hashes and lengths are joined and sorted; texts are read for the chosen ids.
+    the smallest seeded hashes of doc_id are taken in that order, without those that do not fit in the bytes that
+    are left, so the sample is the same in every run; equal ids come in the order of their texts' hashes.  A text
+    of more than 1 / ``SHARE`` of ``size`` is taken only if no other has a label.  Rows without text count as empty.
+    Only ids, hashes and lengths are joined and sorted; texts are read for the chosen ids.  A sample of fewer than
+    ``LEAST`` rows or two labels gives a warning.
     """
     spark = docs.sparkSession
     key = ["h", "doc_id", "t"]
@@ -27,26 +34,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, rows:
             return d.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(*slim, *more, F.col(label).alias("label"))
         return d.filter("doc_id is not null").select(*slim, *more).join(known, "doc_id")
 
-    ids, total = [], 0
-    for r in labelled(docs).select(*key, "n").orderBy(*key).limit(rows).collect():
-        total += r["n"]
-        if total > size and ids:
+    def fitting(found, total: int = 0):
+        for r in found:
+            if total + r["n"] <= size:
+                total += r["n"]
+                yield r
+
+    for most in (size // SHARE, size):
+        ids = [r["doc_id"] for r in fitting(labelled(docs).filter(F.col("n") <= most).select(*key, "n").orderBy(*key).limit(rows).collect())]
+        if ids:
             break
-        ids.append(r["doc_id"])
-    if not ids:
+    else:
+        warnings.warn(f"no labelled text for {label}", stacklevel=2)
         return []
     # bounded by ``rows`` ids, so that the broadcast is as well
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long"))
     if known is not None:
         known = known.join(chosen, "doc_id", "left_semi")
     taken = materialise(labelled(docs.join(chosen, "doc_id", "left_semi"), F.coalesce("text", F.lit("")).alias("text")), "sample")
-    out, total = [], 0
-    for r in taken.orderBy(*key).limit(rows).toLocalIterator():
-        total += r["n"]
-        if total > size and out:
-            break
-        out.append((r["text"], r["label"]))
+    out = [(r["text"], r["label"]) for r in fitting(taken.filter(F.col("n") <= most).orderBy(*key).limit(rows).toLocalIterator())]
     release(spark, taken)
+    if len(out) < LEAST or len({x for _, x in out}) < 2:
+        warnings.warn(f"{label} is learnt from {len(out)} rows with {len({x for _, x in out})} labels", stacklevel=2)
     return out
 
 
