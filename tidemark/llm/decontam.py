@@ -6,8 +6,9 @@ length.  One scan hashes the token windows of every document, looks them up in t
 verifies each hit on the words themselves and marks all words that lie inside an occurrence.
 
 The set is broadcast only within ``block_bytes`` of benchmark text.  A larger benchmark is dealt to
-blocks of that size by a hash of item_id; each block is one more scan of the documents with its own
-broadcast, and the hits of all blocks are united.  So no size of either table changes the result.
+blocks of that size (long items in overlapping pieces, equal rows once); the blocks are scanned one after
+another, each with a broadcast of its own that is dropped again, and their hits are written and united by
+doc_id and text.  So no size of either table changes the result, and one block is in memory at a time.
 
 Defined cases: null or wordless texts have no words and no hits; an item with null item_id or no words
 is left out; equal item_ids count once; a null doc_id is kept as it is; rows with one doc_id are
@@ -17,159 +18,259 @@ separate rows.  Extra columns stay untouched in ``decontaminate``.
 from __future__ import annotations
 
 import math
-import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.storage import bounded, privately
-from tidemark.llm.textcore import ALNUM, bitmap, chunks, in_sorted, per_doc
+from tidemark.llm.storage import bounded, materialise, privately, reducer
+from tidemark.llm.textcore import ALNUM, Words, bitmap, chunks, in_sorted
 
 WINDOW = 10
-#: Benchmark text behind one broadcast.
+#: Benchmark text behind one broadcast: about 90 MB in a worker, measured by ``tests/llm``.
 BLOCK_BYTES = 8 << 20
+#: Longer items are cut into pieces that share a window less one word.
+PIECE_BYTES = 1 << 20
+_SPANS = "array<struct<start:long,end:long,first:long,last:long>>"
+_SPAN = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "first", "last")]))
 
 
 class WindowSet:
-    """The windows of some benchmark items, by length: sorted hashes, a bitmap, words and items of each."""
+    """The windows of some benchmark items, by length: sorted hashes, where each stands in the items, and its items."""
 
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
-        self.size = size
-        found: dict[int, dict[int, tuple[bytes, set]]] = {}
-        ids = [i for i, _ in items]
+        self.size, self.ids = size, [i for i, _ in items]
+        self.parts: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for c in chunks(pa.array([t for _, t in items], pa.large_string())):
             w = c.lowered().words(ALNUM)
             length = np.minimum(w.count, size)
             for n in np.unique(length[length > 0]).tolist():
                 at, h = w.windows(n)
                 ok = length[w.doc[at]] == n
-                for i, k in zip(at[ok].tolist(), h[ok].tolist()):
-                    found.setdefault(n, {}).setdefault(k, (b" ".join(w.text(i, n)), set()))[1].add(ids[c.lo + int(w.doc[i])])
+                at = at[ok]
+                found.setdefault(n, []).append((h[ok], np.full(len(at), len(self.parts), np.int32), at.astype(np.int32), (c.lo + w.doc[at]).astype(np.int32)))
+            self.parts.append((w.chunk.buf.tobytes(), w.starts.astype(np.int32), w.ends.astype(np.int32)))
         self.by_length = {}
-        for n, windows in found.items():
-            keys = np.array(sorted(windows), np.uint64)
-            self.by_length[n] = (keys, bitmap(keys), [windows[k][0] for k in keys.tolist()], [windows[k][1] for k in keys.tolist()])
+        for n, columns in found.items():
+            h, part, at, owner = (np.concatenate(x) for x in zip(*columns))
+            order = np.lexsort((owner, h))
+            h, part, at, owner = h[order], part[order], at[order], owner[order]
+            first = np.append(True, h[1:] != h[:-1])
+            head = np.flatnonzero(first)[np.cumsum(first) - 1]
+            # windows of one hash that differ in their words stay apart, next to each other
+            for i in np.flatnonzero(~first).tolist():
+                first[i] = self.text(part[i], at[i], n) != self.text(part[head[i]], at[head[i]], n)
+            begin = np.flatnonzero(first)
+            self.by_length[n] = (h[begin], bitmap(h[begin]), part[begin], at[begin], np.append(begin, len(h)), owner)
 
-    def scan(self, words) -> tuple[np.ndarray, dict[int, set]]:
+    def text(self, part: int, at: int, n: int) -> bytes:
+        raw, starts, ends = self.parts[part]
+        return b" ".join(raw[s:e] for s, e in zip(starts[at : at + n].tolist(), ends[at : at + n].tolist()))
+
+    def scan(self, words: Words) -> tuple[np.ndarray, dict[int, set]]:
         """(which words of the chunk lie in an occurrence, items of each document that has one)."""
         edge, items = np.zeros(len(words.hash) + 1, np.int64), {}
-        for n, (keys, bits, texts, owners) in self.by_length.items():
+        for n, (keys, bits, part, place, begin, owner) in self.by_length.items():
             at, h = words.windows(n)
             for p in in_sorted(keys, h, bits).tolist():
                 i, k = int(at[p]), int(np.searchsorted(keys, h[p]))
-                if b" ".join(words.text(i, n)) == texts[k]:
-                    edge[i] += 1
-                    edge[i + n] -= 1
-                    items.setdefault(int(words.doc[i]), set()).update(owners[k])
+                here = b" ".join(words.text(i, n))
+                while k < len(keys) and keys[k] == h[p]:
+                    if self.text(part[k], place[k], n) == here:
+                        edge[i] += 1
+                        edge[i + n] -= 1
+                        items.setdefault(int(words.doc[i]), set()).update(self.ids[o] for o in owner[begin[k] : begin[k + 1]].tolist())
+                    k += 1
         return np.cumsum(edge[:-1]) > 0, items
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+def pieces(text: str, size: int, limit: int) -> list[str]:
+    """A text in pieces of about ``limit`` bytes that have all its windows between them, and no others."""
+    raw = text.encode()
+    if len(raw) <= limit:
+        return [text]
+    (c,) = chunks(pa.array([text], pa.large_string()))
+    w = c.lowered().words(ALNUM)
+    n, out, i = len(w.starts), [], 0
+    while i < n:
+        j = n if n <= size else min(n, max(i + size, int(np.searchsorted(w.starts, w.starts[i] + limit))))
+        out.append(raw[w.starts[i] : w.ends[j - 1]].decode())
+        i = n if j == n else min(j - size + 1, n - size)
+    return out
+
+
+def _blocks(benchmark: DataFrame, size: int, block_bytes: int, piece_bytes: int) -> list[DataFrame]:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    return [items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+    if total <= block_bytes:
+        return [items]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b["item_id"].to_pylist(), b["text"].to_pylist()):
+                for p in pieces(t, size, piece_bytes):
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([p])], names=["item_id", "text"])
+
+    small = materialise(bounded(items.distinct()).mapInArrow(cut, "item_id string, text string"), "items")
+    n = max(1, math.ceil((small.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+    return [small.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _windows(block: DataFrame, size: int) -> WindowSet:
+    got = block.toArrow()
+    return WindowSet(list(zip(got["item_id"].to_pylist(), got["text"].to_pylist())), size)
 
 
-def _scan(docs: DataFrame, windows: WindowSet, carry: list[str]) -> DataFrame:
-    """Per row: the carried columns, n_words, items, spans (byte offsets of runs of hit words) and their words."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+def _without(text: str, spans: list[dict]) -> str:
+    """The text with a blank in place of each span of bytes."""
+    raw, at, parts = text.encode(), 0, []
+    for s in spans:
+        parts += [raw[at : s["start"]], b" "]
+        at = s["end"]
+    return b"".join([*parts, raw[at:]]).decode()
+
+
+def _schema(docs: DataFrame, carry: list[str]) -> T.StructType:
     schema = T.StructType([docs.schema[c] for c in carry])
-    for name, kind in (("n_words", "long"), ("items", "array<string>"), ("spans", "array<struct<start:long,end:long,first:long,last:long>>")):
+    for name, kind in (("n_words", "long"), ("items", "array<string>"), ("spans", _SPANS)):
         schema = schema.add(name, T.DataType.fromDDL(kind))
+    return schema
+
+
+def _spans_of(w: Words, hit: np.ndarray) -> list[list[dict]]:
+    """The runs of hit words of each document, in bytes and words."""
+    c, spans, where = w.chunk, [[] for _ in range(w.chunk.n)], np.flatnonzero(hit)
+    if len(where):
+        new = np.append(True, (np.diff(where) > 1) | (w.doc[where[1:]] != w.doc[where[:-1]]))
+        first = where[new]
+        last = where[np.append(np.flatnonzero(new)[1:], len(where)) - 1]
+        for i, j in zip(first.tolist(), last.tolist()):
+            d = int(w.doc[i])
+            o, f = int(c.off[d]), int(w.first[d])
+            spans[d].append({"start": int(w.starts[i]) - o, "end": int(w.ends[j]) - o, "first": i - f, "last": j - f})
+    return spans
+
+
+def _scan(docs: DataFrame, shared, carry: list[str], drop_percent: int | None = None) -> DataFrame:
+    """Per row: the carried columns, n_words, items, spans (byte offsets of runs of hit words) and their words.
+
+    With ``drop_percent`` (and text among the carried): the carried columns alone, the spans cut out of text,
+    without rows of which that share of the words or more is hit.
+    """
     at_text = carry.index("text") if "text" in carry else len(carry)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b.column(at_text)):
                 w = c.lowered().words(ALNUM)
                 hit, items = shared.value.scan(w)
-                spans = [[] for _ in range(c.n)]
-                where = np.flatnonzero(hit)
-                if len(where):
-                    new = np.ones(len(where), bool)
-                    new[1:] = (np.diff(where) > 1) | (w.doc[where[1:]] != w.doc[where[:-1]])
-                    first = where[new]
-                    last = where[np.append(np.flatnonzero(new)[1:], len(where)) - 1]
-                    for i, j in zip(first.tolist(), last.tolist()):
-                        d = int(w.doc[i])
-                        o, f = int(c.off[d]), int(w.first[d])
-                        spans[d].append({"start": int(w.starts[i]) - o, "end": int(w.ends[j]) - o, "first": i - f, "last": j - f})
+                spans = _spans_of(w, hit)
                 out = [b.column(k).slice(c.lo, c.n) for k in range(len(carry))]
-                out += [pa.array(w.count.astype(np.int64)), pa.array([sorted(items.get(d, ())) for d in range(c.n)], pa.list_(pa.string()))]
-                out.append(pa.array(spans, pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "first", "last")]))))
-                yield pa.RecordBatch.from_arrays(out, names=[*carry, "n_words", "items", "spans"])
+                if drop_percent is None:
+                    out += [pa.array(w.count.astype(np.int64)), pa.array([sorted(items.get(d, ())) for d in range(c.n)], pa.list_(pa.string())), pa.array(spans, _SPAN)]
+                    yield pa.RecordBatch.from_arrays(out, names=[*carry, "n_words", "items", "spans"])
+                else:
+                    yield _cut(pa.RecordBatch.from_arrays(out, names=carry), spans, w.count, drop_percent)
 
-    return bounded(docs).select(*carry, *(["text"] if "text" not in carry else [])).mapInArrow(run, schema)
+    rows = bounded(docs).select(*carry, *(["text"] if "text" not in carry else []))
+    return rows.mapInArrow(run, _schema(docs, carry) if drop_percent is None else docs.select(*carry).schema)
 
 
-def _merged(spans: list) -> list:
+def _cut(b: pa.RecordBatch, spans: list[list[dict]], n_words: np.ndarray, drop_percent: int) -> pa.RecordBatch:
+    if not any(spans):
+        return b
+    n_hit = np.array([sum(s["last"] - s["first"] + 1 for s in ss) for ss in spans])
+    k = b.schema.names.index("text")
+    texts = b.column(k).to_pylist()
+    columns = list(b.columns)
+    columns[k] = pa.array([_without(t, ss) if ss else t for t, ss in zip(texts, spans)], b.schema.types[k])
+    keep = (n_hit == 0) | (100 * n_hit < drop_percent * n_words)
+    return pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep))
+
+
+def _merged(spans: list[dict]) -> list[dict]:
     """Spans of several blocks as disjoint runs of words."""
-    out: list = []
-    for s in sorted(([x["start"], x["end"], x["first"], x["last"]] for x in spans or []), key=lambda x: x[2]):
-        if out and s[2] <= out[-1][3] + 1:
-            if s[3] > out[-1][3]:
-                out[-1][1], out[-1][3] = s[1], s[3]
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda x: x["first"]):
+        if out and s["first"] <= out[-1]["last"] + 1:
+            if s["last"] > out[-1]["last"]:
+                out[-1] = out[-1] | {"end": s["end"], "last": s["last"]}
         else:
             out.append(s)
-    return [dict(zip(("start", "end", "first", "last"), s)) for s in out]
+    return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs (all of ``carry``, by default doc_id) with n_words, n_hit, items and spans."""
-    carry = carry or ["doc_id"]
-    found = []
-    blocks = _blocks(benchmark, block_bytes)
-    key = f"row_{uuid.uuid4().hex}"
-    if len(blocks) > 1:
-        docs, carry = docs.withColumn(key, F.monotonically_increasing_id()), [key, *carry]
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        items = [sorted({i for x in ii for i in x}) for ii in b["items"].to_pylist()]
+        spans = [_merged([s for x in ss for s in x]) for ss in b["spans"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPAN)], schema=pa.schema([*list(b.schema)[:-2], pa.field("items", pa.list_(pa.string())), pa.field("spans", _SPAN)]))
+
+
+def _hits_of_blocks(docs: DataFrame, blocks: list[DataFrame], size: int) -> DataFrame:
+    """(__mark, items, spans) of each doc_id and text that any block hits; docs carry __mark, which tells them apart."""
+    spark, found = docs.sparkSession, None
     for block in blocks:
-        got = block.toArrow()
-        windows = WindowSet(list(zip(got["item_id"].to_pylist(), got["text"].to_pylist())), size)
-        found.append(_scan(docs, windows, carry if not found else [key]))
-    out = found[0]
-    if len(found) > 1:
-        more = found[1].select(key, "items", "spans")
-        for f in found[2:]:
-            more = more.unionByName(f.select(key, "items", "spans"))
-        more = more.filter(F.size("items") > 0).groupBy(key).agg(F.flatten(F.collect_list("items")).alias("i2"), F.flatten(F.collect_list("spans")).alias("s2"))
-        merged = F.udf(_merged, out.schema["spans"].dataType)
-        out = (
-            out.join(more, key, "left")
-            .withColumn("items", F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i2", F.array().cast("array<string>"))))))
-            .withColumn("spans", F.when(F.col("s2").isNull(), F.col("spans")).otherwise(merged(F.concat("spans", "s2"))))
-            .drop(key, "i2", "s2")
-        )
+        shared = spark.sparkContext.broadcast(_windows(block, size))
+        # equal rows have equal hits
+        hits = materialise(_scan(docs, shared, ["__mark"]).filter(F.size("items") > 0).dropDuplicates(["__mark"]), "hits")
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    both = found.groupBy("__mark").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
+    return materialise(both.mapInArrow(_unite, f"__mark string, items array<string>, spans {_SPANS}"), "hits")
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame, carry: list[str], size: int, block_bytes: int, piece_bytes: int, drop_percent: int | None) -> DataFrame:
+    spark, blocks = docs.sparkSession, _blocks(benchmark, size, block_bytes, piece_bytes)
+    if len(blocks) == 1:
+        return _scan(docs, spark.sparkContext.broadcast(_windows(blocks[0], size)), carry, drop_percent)
+    mark = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))))
+    marked = docs.select(*dict.fromkeys([*carry, "doc_id", "text"])).withColumn("__mark", mark)
+    hits = _hits_of_blocks(marked, blocks, size)
+    # texts of rows that no block hits are not shuffled
+    seen = reducer(hits, "__mark").marked(marked, "__mark", "__near")
+    near = seen.filter("__near").join(hits, "__mark", "left").select(*carry, *([] if "text" in carry else ["text"]), "items", "spans")
+    clean, none = seen.filter("not __near"), spark.sparkContext.broadcast(WindowSet([], size))
+    if drop_percent is not None:
+        return clean.select(*carry).unionByName(near.mapInArrow(_finish(carry, drop_percent), docs.select(*carry).schema))
+    return _scan(clean, none, carry).unionByName(near.mapInArrow(_finish(carry, None), _schema(docs, carry)))
+
+
+def _finish(carry: list[str], drop_percent: int | None) -> Callable:
+    """From rows with their hits to those of ``_scan``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.schema.names.index("text")
+            spans = [x or [] for x in b["spans"].to_pylist()]
+            for c in chunks(b.column(k)):
+                n = c.lowered().words(ALNUM).count.astype(np.int64)
+                rows = b.select(carry).slice(c.lo, c.n)
+                if drop_percent is not None:
+                    yield _cut(rows, spans[c.lo : c.hi], n, drop_percent)
+                    continue
+                items = pa.array([x or [] for x in b["items"].slice(c.lo, c.n).to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n), items, pa.array(spans[c.lo : c.hi], _SPAN)], names=[*carry, "n_words", "items", "spans"])
+
+    return run
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """The rows of docs (all of ``carry``, by default doc_id) with n_words, n_hit, items and spans."""
+    out = _with_hits(docs, benchmark, carry or ["doc_id"], size, block_bytes, piece_bytes, None)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
     return out.withColumn("n_hit", n_hit)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_percent: int = 50, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_percent: int = 50, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """docs without contamination, in their own columns.
 
     A document of which ``drop_percent`` of the words or more are hit goes; from the others the hit runs
     are cut out (a blank stands in their place), and clean documents stay byte for byte.
     """
-    hidden, own = privately(docs)
-    found = scan(hidden, benchmark, hidden.columns, size, block_bytes)
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, ss in zip(texts, spans):
-            if t is not None and len(ss):
-                raw, at, parts = t.encode(), 0, []
-                for s in ss:
-                    parts += [raw[at : s["start"]], b" "]
-                    at = s["end"]
-                t = b"".join([*parts, raw[at:]]).decode()
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    kept = found.filter((F.col("n_hit") == 0) | (100 * F.col("n_hit") < drop_percent * F.col("n_words")))
-    text = F.when(F.col("n_hit") > 0, cut("text", "spans")).otherwise(F.col("text"))
-    return kept.withColumn("text", text).select(own)
+    hidden, own = privately(docs, ("text", "doc_id"))
+    return _with_hits(hidden, benchmark, hidden.columns, size, block_bytes, piece_bytes, drop_percent).select(own)
