@@ -2,9 +2,11 @@
 
 The byte-level pre-tokenizer never joins bytes across (a) the start of a white-space run, (b) the
 last character of a run that a non-space follows, (c) a non-space after white space other than a
-blank, and (d) an ASCII letter or digit and a following sign other than an apostrophe.  A text cut there encodes to the concatenation of its parts, so each distinct part is
-given to the library once per worker and looked up afterwards by a 64-bit hash of its bytes.  Texts
-with white space beyond ASCII or with a special token's string go to the library whole.
+blank, and (d) an ASCII letter or digit and a following sign other than an apostrophe.  A text cut
+there encodes to the concatenation of its parts, so each distinct part of up to ``LONGEST`` bytes is
+given to the library once per worker and looked up afterwards by its bytes: a hash picks the slot, and
+the slot's own copy of the bytes must be equal.  Longer parts are told apart by their bytes within a
+chunk.  Texts with white space beyond ASCII or with a special token's string go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm.textcore import Chunk, chunks
+from tidemark.llm.textcore import Chunk, chunks, mix
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -44,7 +46,8 @@ def default_path() -> str:
 class Encoder:
     """Ids of documents; ``slots`` parts at most are remembered, and none longer than ``LONGEST`` bytes."""
 
-    LONGEST = 64
+    EIGHTS = 3
+    LONGEST = 8 * EIGHTS
     _shared: dict[tuple[str, int], "Encoder"] = {}
 
     def __init__(self, path: str, slots: int = 1 << 19):
@@ -66,18 +69,18 @@ class Encoder:
         return cls._shared[path, os.getpid()]
 
     def _clear(self) -> None:
-        self.key = np.zeros(self.slots, _U)
-        self.at = np.zeros(self.slots, np.int64)
-        self.len = np.zeros(self.slots, np.int32)
+        self.bytes = np.zeros((self.EIGHTS, self.slots), _U)
+        self.size = np.zeros(self.slots, np.int8)
+        self.at = np.zeros(self.slots, np.int32)
+        self.len = np.zeros(self.slots, np.int8)
         self.pool = np.zeros(4 * self.slots, self.dtype)
         self.used = 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _encode_parts(self, chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_parts(self, raw: bytes, chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each part); parts without white space but a leading blank share one call."""
-        raw = chunk.buf.tobytes()
         parts = [raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]
         plain = ~SPACE[chunk.buf[ends - 1]]
         size = np.zeros(len(parts), np.int64)
@@ -98,6 +101,17 @@ class Encoder:
             size[i] = len(out[i])
         return (np.concatenate(out) if out else np.zeros(0, self.dtype)), size
 
+    def _distinct(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, eights: np.ndarray, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(parts, which of them each missed part equals), by their bytes: those that a hash puts together are compared."""
+        _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+        one = miss[first]
+        head, long = one[back], ends - starts
+        sure = (long[miss] <= self.LONGEST) & (long[head] == long[miss]) & (eights[:, head] == eights[:, miss]).all(0)
+        rest, more = np.flatnonzero(~sure), {}
+        for k, i in zip(rest.tolist(), miss[rest].tolist()):
+            back[k] = more.setdefault(raw[starts[i] : ends[i]], (len(one) + len(more), i))[0]
+        return np.concatenate([one, np.array([i for _, i in more.values()], np.int64)]), back
+
     def _wide(self, chunk: Chunk) -> np.ndarray:
         """Which documents hold white space beyond ASCII or a special token."""
         found = np.zeros(chunk.n, bool)
@@ -138,26 +152,35 @@ class Encoder:
         start[0] = start[inner] = True
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(b))
-        h = chunk.hashes(starts, ends)
-        h[h == 0] = 1
+        long = ends - starts
+        eights = np.zeros((self.EIGHTS, len(starts)), _U)
+        h = long.astype(_U)
+        for k in range(self.EIGHTS):
+            more = np.flatnonzero(long > 8 * k)
+            eights[k, more] = chunk.eights(starts[more] + 8 * k, long[more] - 8 * k)
+            h[more] = mix(h[more] ^ eights[k, more])
         slot = (h & _U(self.slots - 1)).astype(np.int64)
-        at, size = self.at[slot], self.len[slot].astype(np.int64)
-        miss = np.flatnonzero(self.key[slot] != h)
+        same = self.size[slot] == np.minimum(long, 127)
+        for k in range(self.EIGHTS):
+            same &= self.bytes[k, slot] == eights[k]
+        at, size = self.at[slot].astype(np.int64), self.len[slot].astype(np.int64)
+        miss = np.flatnonzero(~same)
         pool = self.pool
         if len(miss):
-            keys, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            one = miss[first]
-            ids, n = self._encode_parts(chunk, starts[one], ends[one])
+            raw = b.tobytes()
+            one, back = self._distinct(raw, starts, ends, h, eights, miss)
+            ids, n = self._encode_parts(raw, chunk, starts[one], ends[one])
             where = np.cumsum(n) - n
-            keep = np.flatnonzero((ends[one] - starts[one]) <= self.LONGEST)
+            # a part has no more ids than bytes, so what is remembered fits the small columns
+            keep = np.flatnonzero(long[one] <= self.LONGEST)
             pool = np.concatenate([self.pool[: self.used], ids])
             at[miss], size[miss] = (where + self.used)[back], n[back]
             if self.used + len(ids) > len(self.pool):
                 self._clear()
             else:
                 self.pool[self.used : self.used + len(ids)] = ids
-                s = slot[one[keep]]
-                self.key[s], self.at[s], self.len[s] = keys[keep], where[keep] + self.used, n[keep]
+                s, o = slot[one[keep]], one[keep]
+                self.bytes[:, s], self.size[s], self.at[s], self.len[s] = eights[:, o], long[o], where[keep] + self.used, n[keep]
                 self.used += len(ids)
         total = int(size.sum())
         where = np.cumsum(size) - size

@@ -9,6 +9,7 @@ batch.  Null texts count as empty.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,13 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
 _Q = _U(0xC2B2AE3D27D4EB4F)
-_powers = np.ones(1, _U)
-_inverses = np.ones(1, _U)
+#: Spans longer than this many bytes are hashed one by one with a keyed digest.
+LONG = 256
+_KEY = hashlib.blake2b(b"tidemark spans", digest_size=32).digest()
+_K0, _K1 = (_U(int.from_bytes(_KEY[i : i + 8], "little")) for i in (0, 8))
+#: Masks of 0 to 8 low bytes.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 #: ASCII A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -37,15 +40,6 @@ LETTERS = np.zeros(256, bool)
 LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = 1 << max(n - 1, 1).bit_length()
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, _P, _U)]), dtype=_U)
-            _inverses = np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, _PINV, _U)]), dtype=_U)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> _U(33))
@@ -56,12 +50,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: What the hash of a span of each size begins with.
+_SIZES = mix((np.arange(LONG + 1).astype(_U) * _Q) ^ _K0)
+
+
 class Chunk:
     """Some documents of a batch: their bytes and offsets, and the rows lo to hi they come from."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, lo: int, hi: int):
         self.buf, self.off, self.lo, self.hi = buf, off, lo, hi
-        self._sums = None
+        self._words = None
 
     @property
     def n(self) -> int:
@@ -84,14 +82,42 @@ class Chunk:
     def words(self, alphabet: np.ndarray) -> "Words":
         return Words(self, *self.runs(alphabet[self.buf]))
 
+    def eights(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next 8 bytes from each position as an integer, of which at most ``left`` count."""
+        if self._words is None:
+            padded = np.zeros(len(self.buf) + 8, np.uint8)
+            padded[: len(self.buf)] = self.buf
+            self._words = np.ndarray((len(self.buf) + 1,), "<u8", padded, strides=(1,))
+        return self._words[at] & _LOW[np.minimum(left, 8)]
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes of each span, wherever it stands."""
-        if self._sums is None:
-            _grow(len(self.buf) + 1)
-            self._sums = np.zeros(len(self.buf) + 1, _U)
-            np.cumsum((self.buf.astype(_U) + _U(1)) * _powers[: len(self.buf)], out=self._sums[1:])
-        h = (self._sums[ends] - self._sums[starts]) * _inverses[starts]
-        return mix(h + (ends - starts).astype(_U) * _Q)
+        """A 64-bit hash of the bytes of each span, wherever it stands.
+
+        Eight bytes a step go through a keyed bijective finaliser, so that no structure of a text makes
+        different spans meet; longer spans have a digest.
+        """
+        size = ends - starts
+        h = mix((_SIZES[np.minimum(size, LONG)] ^ self.eights(starts, size)) + _K1)
+        for k in range(8, min(int(size.max(initial=0)), LONG), 8):
+            more = np.flatnonzero(size > k)
+            h[more] = mix((h[more] ^ self.eights(starts[more] + k, size[more] - k)) + _K1)
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.buf[starts[i] : ends[i]].tobytes(), digest_size=8, key=_KEY).digest(), "little")
+        return h
+
+    def heads(self) -> np.ndarray:
+        """Byte positions where characters begin."""
+        return np.flatnonzero((self.buf & 0xC0) != 0x80)
+
+    def grams(self, n: int, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document, hash) of all runs of n characters within a document, ``block`` of them at a time, so that a long text takes no more memory than others."""
+        heads = np.append(self.heads(), len(self.buf))
+        for lo in range(0, len(heads) - n, block):
+            at, end = heads[lo : min(lo + block, len(heads) - n)], heads[lo + n : lo + n + block]
+            doc = np.searchsorted(self.off, at, "right") - 1
+            inside = end <= self.off[doc + 1]
+            at, end, doc = at[inside], end[inside], doc[inside]
+            yield doc, self.hashes(at, end)
 
     def counts(self, positions: np.ndarray) -> np.ndarray:
         """How many of the sorted byte positions lie in each document."""
@@ -114,12 +140,12 @@ class Words:
         m = len(self.hash) - size + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, _U)
-        acc = self.hash[:m].copy()
+        at = np.flatnonzero(self.doc[:m] == self.doc[size - 1 :])
+        acc = self.hash[at]
         for k in range(1, size):
             acc *= _Q
-            acc += self.hash[k : m + k]
-        at = np.flatnonzero(self.doc[:m] == self.doc[size - 1 :])
-        return at, mix(acc[at] + _U(size))
+            acc += self.hash[at + k]
+        return at, mix(acc + _U(size))
 
     def short(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(document, hash of its whole word sequence) where there are 1 to ``size`` - 1 words."""
@@ -181,6 +207,12 @@ def per_doc(values: np.ndarray, first: np.ndarray, count: np.ndarray, dtype=np.i
     return sums[first + count] - sums[first]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by one sort."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def in_sorted(keys: np.ndarray, h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Positions of h that lie in the sorted keys; ``bits`` (see ``bitmap``) settles most of them."""
     near = np.flatnonzero(bits[(h >> _U(44)).astype(np.int64)])
