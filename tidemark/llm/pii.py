@@ -17,6 +17,9 @@ The same detectors then run on the normalised text.  A span that covers somethin
 and lies in no plain span of its kind, is mapped back to source characters and added; it may reach beyond
 a plain span that it overlaps.  Plain spans always stay as they are.  Offsets count code points, ends are exclusive.
 
+Every search is linear in the text: patterns begin at a boundary and take runs whole, and at, dot and
+bracket signs are found first, before what stands around them is looked at.
+
 Defined cases: a null or empty text has no spans and stays as it is; all other columns pass untouched.
 """
 
@@ -25,6 +28,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,8 @@ KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+#: A run of digits is taken whole: no match of the plain pattern begins inside one.
+_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -111,16 +116,18 @@ _AT, _DOT = "at|arroba|arobase", "dot|punkt|punto|point"
 _PLAIN = "the|a|an|this|that|my|your|his|her|its|our|their|some|any|each|one"
 
 _UNIT = "|".join(sorted(map(re.escape, _SPELLED), key=len, reverse=True))
-#: A digit word alone is a word; four or more signs of a number in a row are digits.
-_RUN = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:(?:{_UNIT}|[0-9]+)(?:[ -]+|(?!\w)))*?(?:{_UNIT})(?!\w)(?:[ -]+(?:{_UNIT}|[0-9]+)(?!\w))*", re.I)
-_TOKEN = re.compile(rf"plus|{_UNIT}|[0-9]+|[ -]+", re.I)
-_BRACKET_AT = re.compile(rf"\s*[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]\s*", re.I)
-_BRACKET_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.I)
-_NAME_AT_HOST = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.| +(?:{_DOT}) +)[A-Za-z0-9_%+-]+)*( *@ *| +(?:{_AT}) +)(?!(?:{_PLAIN}) )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?: +(?:{_DOT}) +[A-Za-z0-9-]+)+(?!\w)", re.I)
-_WORD_DOT = re.compile(rf" +(?:{_DOT}) +", re.I)
+#: Signs of a number: whole words for digits, ``plus``, whole runs of digits.
+_SIGN = re.compile(rf"(?<!\w)(?:plus|{_UNIT}|[0-9]++)(?!\w)", re.I)
+_BRACKET_AT = re.compile(rf"[\[({{<]\s*+(?:{_AT}|@)\s*+[\])}}>]", re.I)
+_BRACKET_DOT = re.compile(rf"[\[({{<]\s*+(?:{_DOT}|\.)\s*+[\])}}>]", re.I)
+_SOME_AT = re.compile(rf"@|(?<= )(?:{_AT})(?= )", re.I)
+_SOME_DOT = re.compile(rf"(?<= )(?:{_DOT})(?= )", re.I)
+_HOST = re.compile(rf"(?!(?:{_PLAIN}) )[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?: ++(?:{_DOT}) ++[A-Za-z0-9-]++)++(?!\w)", re.I)
+#: A name with its dots, read from its end backwards.
+_EMAN = re.compile(rf"[A-Za-z0-9_%+-]++(?:(?:\.| ++(?:{'|'.join(w[::-1] for w in _DOT.split('|'))}) ++)[A-Za-z0-9_%+-]++)*+", re.I)
 _DIGIT_DOT = re.compile(rf"(?<=[0-9]) *(?: (?:{_DOT}) )+ *(?=[0-9])", re.I)
 #: A host of this kind ends in a label that begins with a letter, so that a price is none.
-_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?: +@ *|@ +)(?=(?:[A-Za-z0-9-]+\.)+[A-Za-z])")
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?: ++@ *+|@ ++)(?=(?:[A-Za-z0-9-]++\.)+[A-Za-z])")
 _WORDED = re.compile(rf"(?<!\w)(?:{_UNIT})[ -]+(?:{_UNIT}|[0-9])|\s(?:{_DOT})\s", re.I)
 _BRACKETED = re.compile(rf"[\[({{<]\s*(?:{_AT}|@|{_DOT}|\.)\s*[\])}}>]", re.I)
 _TRIGGERS = frozenset([*_SPELLED, *_DOT.split("|")])
@@ -173,29 +180,72 @@ class Mapped:
         self.rewrite([(m.start(), m.end(), new) for m in _STRANGE.finditer(self.text) if (new := _lookalike(m.group())) != m.group()])
 
     def spelled_digits(self) -> None:
-        edits = []
-        for m in _RUN.finditer(self.text):
-            for t in _TOKEN.finditer(self.text, m.start(), m.end()):
-                token = t.group().lower()
-                if token in _SPELLED or token == "plus":
-                    edits.append((t.start(), t.end(), _SPELLED.get(token, "+")))
-                elif not token[0].isdecimal():
-                    edits.append((t.start(), t.end(), ""))
+        """Runs of signs that blanks or hyphens set apart become digits without gaps, if one of them is a word."""
+        edits, run = [], []
+
+        def close() -> None:
+            if any(t.lower() in _SPELLED for _, _, t in run):
+                for k, (s, e, t) in enumerate(run):
+                    if k and s > run[k - 1][1]:
+                        edits.append((run[k - 1][1], s, ""))
+                    if not t[0].isdecimal():
+                        edits.append((s, e, _SPELLED.get(t.lower(), "+")))
+            run.clear()
+
+        for m in _SIGN.finditer(self.text):
+            if run and (m.group().lower() == "plus" or self.text[run[-1][1] : m.start()].strip(" -")):
+                close()
+            run.append((m.start(), m.end(), m.group()))
+        close()
+        self.rewrite(edits)
+
+    def _brackets(self, pattern: re.Pattern, new: str) -> None:
+        """What the pattern finds becomes ``new``, with the white space around it."""
+        text, edits, done = self.text, [], 0
+        for m in pattern.finditer(text):
+            s, e = m.span()
+            while s > done and text[s - 1].isspace():
+                s -= 1
+            while e < len(text) and text[e].isspace():
+                e += 1
+            edits.append((s, e, new))
+            done = e
+        self.rewrite(edits)
+
+    def _names_at_hosts(self) -> None:
+        text, back, edits, done = self.text, self.text[::-1], [], 0
+        for m in _SOME_AT.finditer(text):
+            at, end = _blanks(text, m.start(), m.end(), done)
+            if at < done:
+                continue
+            host = _HOST.match(text, end)
+            name = host and _EMAN.match(back, len(text) - at, len(text) - done)
+            if not name:
+                continue
+            for lo, hi in ((len(text) - name.end(), at), (end, host.end())):
+                edits += [(*_blanks(text, d.start(), d.end(), lo), ".") for d in _SOME_DOT.finditer(text, lo, hi)]
+                if lo < at and text[at:end] != "@":
+                    edits.append((at, end, "@"))
+            done = host.end()
         self.rewrite(edits)
 
     def at_and_dot(self) -> None:
-        self.rewrite([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(self.text)])
-        self.rewrite([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(self.text)])
-        edits = []
-        for m in _NAME_AT_HOST.finditer(self.text):
-            edits += [(d.start(), d.end(), ".") for d in _WORD_DOT.finditer(self.text, m.start(), m.end()) if d.end() <= m.start(1) or d.start() >= m.end(1)]
-            if m.group(1) != "@":
-                edits.append((m.start(1), m.end(1), "@"))
-        self.rewrite(sorted(edits))
+        self._brackets(_BRACKET_AT, "@")
+        self._brackets(_BRACKET_DOT, ".")
+        self._names_at_hosts()
         self.rewrite([(m.start(), m.end(), "@") for m in _SPACED_AT.finditer(self.text)])
         self.rewrite([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(self.text)])
 
 
+def _blanks(text: str, start: int, end: int, least: int) -> tuple[int, int]:
+    """A span with the blanks on both sides of it."""
+    while start > least and text[start - 1] == " ":
+        start -= 1
+    while end < len(text) and text[end] == " ":
+        end += 1
+    return start, end
+
+
 def disguised(text: str, plain: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
     """Spans that only the normalised text shows, in source offsets."""
     none = {k: [] for k in KINDS}
@@ -216,10 +266,13 @@ def disguised(text: str, plain: dict[str, list[tuple[int, int]]]) -> dict[str, l
     changed = np.concatenate([[0], np.cumsum(m.made)])
     for kind, spans in detect(m.text).items():
         out[kind] = []
+        starts = [x for x, _ in plain[kind]]
         for s, e in spans:
             lo, hi = int(m.start[s]), int(m.end[e - 1])
             gaps = hi - lo != e - s
-            if (changed[e] > changed[s] or gaps) and not any(x <= lo and hi <= y for x, y in plain[kind]):
+            # plain spans are disjoint: only the last that begins here or before can hold this one
+            k = bisect_right(starts, lo) - 1
+            if (changed[e] > changed[s] or gaps) and not (k >= 0 and hi <= plain[kind][k][1]):
                 out[kind].append((lo, hi))
     return out
 
