@@ -41,7 +41,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     # sizes and checksums are taken while the shards are read, so that no text goes through the join
     rows = slots(spark, out, ["doc_id", size_of(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")])
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", shard_of(F.col("doc_id"), SHARDS + 1).alias("grown_shard"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("__shard").cast("int").alias("shard"), F.col("__slot").alias("slot"), shard_of(F.col("doc_id"), SHARDS + 1).alias("grown_shard"))
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(_table(spark, sf_dir, "documents"))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(F.array_remove(F.transform("base", lambda s: F.when(s["kind"] == F.lit(k), k).otherwise("")), "")).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 OP4_SQL = r"""

@@ -76,21 +76,34 @@ def pyarrow_fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def publish(uri: str, data) -> None:
-    """Write a file under a name of its own and move it into place, so that a repeated or second attempt leaves one whole file."""
-    fs, path = pyarrow_fs(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(temporary) as out:
-        for part in data if isinstance(data, (list, tuple)) else [data]:
-            out.write(part)
-    fs.move(temporary, path)
+class Publisher:
+    """A file that is written under a name of its own and moved into place when it is closed, so that a repeated or second attempt leaves one whole file."""
+
+    def __init__(self, uri: str):
+        self.fs, self.path = pyarrow_fs(uri)
+        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.temporary = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.out = self.fs.open_output_stream(self.temporary)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.temporary, self.path)
+
+
+def publish(uri: str, data: bytes) -> None:
+    out = Publisher(uri)
+    out.write(data)
+    out.close()
 
 
 def fetch(uri: str, start: int = 0, length: int | None = None) -> bytes:
+    """Bytes of a file; a negative start counts from its end.  A file that is not there is an error."""
     fs, path = pyarrow_fs(uri)
     with fs.open_input_file(path) as f:
-        f.seek(start)
+        f.seek(start if start >= 0 else f.size() + start)
         return f.read(length) if length is not None else f.read()
 
 
@@ -104,6 +117,27 @@ def privately(docs: DataFrame, keep: tuple[str, ...] = ("text",)) -> tuple[DataF
     return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
 
 
+#: Rows of a key that a task takes without a thought.
+HOT = 50
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+    """Left join of ``right`` (at most one row a key), whose hot keys do not meet in one task.
+
+    At most ``parts`` keys can have more than a ``parts``-th of the rows of left.  What right has for them is that many
+    rows or fewer, whatever the size of either table, and is broadcast; all other keys are spread by the exchange.
+    left is read twice and should be a written table.
+    """
+    count = left.groupBy(key).agg(F.count("*").alias("__n"))
+    limit = max(left.count() // parts, HOT)
+    hot = [r[0] for r in count.filter((F.col("__n") > limit) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return left.join(right, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    broad = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, "left")
+    return broad.unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key, "left"))
+
+
 def _place(column: str) -> tuple[Column, Column]:
     """Of an id: its word, and its bit in that word."""
     h = f"xxhash64(`{column}`)"
