@@ -12,21 +12,32 @@ the parts in order are the whole rendering.  Ordinary conversations have one par
 Defined cases: a null text is empty; a null role is the speaker ``unknown``; messages are ordered by turn
 (null turns last), role and text, and repeated rows are kept; a null conv_id is a conversation of its
 own; a conversation of system messages alone has one rendering with a null perspective and no mask;
-extra columns are ignored.
+extra columns are ignored.  Messages that share a turn (or have none) are one block, which one task puts in order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import materialise
+
 PART = 256
 SYSTEM = "system"
 END = "<|end|>\n"
 
 
-def rotate(conversations: DataFrame, part: int = PART) -> DataFrame:
-    """(conv_id, perspective, part, n_messages, n_trained, char_start, text, mask) of every part."""
+def _head(role: Column, own: Column) -> Column:
+    return F.when(own, F.lit("<|assistant|>\n")).when(role == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+
+
+def _body(text: Column) -> Column:
+    return F.concat(text, F.lit(END))
+
+
+def _parts(conversations: DataFrame, part: int) -> DataFrame:
+    """(conv_id, block, piece, messages, size, roles): the messages of each part, its length if all of them were
+    users or the system, and how many each role has."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
     block = F.coalesce(F.floor(F.col("turn") / part), F.lit((1 << 62) // part)).alias("block")
@@ -36,13 +47,40 @@ def rotate(conversations: DataFrame, part: int = PART) -> DataFrame:
         .groupBy("conv_id", "block", F.floor((F.col("place") - 1) / part).alias("piece"))
         .agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("messages"))
     )
-    speakers = rows.groupBy("conv_id", "role").agg(F.lit(1).alias("one")).filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("role").alias("perspective"))
-    faced = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    length = lambda m: (F.length(_head(m["role"], F.lit(False))) + F.length(_body(m["text"]))).cast("long")
+    size = F.aggregate("messages", F.lit(0).cast("long"), lambda n, m: n + length(m))
+    count = lambda r: F.size(F.filter("messages", lambda m: m["role"] == r)).cast("long")
+    roles = F.transform(F.array_distinct(F.transform("messages", lambda m: m["role"])), lambda r: F.struct(r.alias("role"), count(r).alias("n")))
+    return parts.select("conv_id", "block", "piece", "messages", size.alias("size"), roles.alias("roles"))
+
+
+def _places(parts: DataFrame) -> DataFrame:
+    """(conv, perspective, b, p, part, char_start) of every rendered part, from lengths alone: no text is read, joined or sorted."""
+    roles = parts.select("conv_id", F.explode("roles.role").alias("perspective")).filter(F.col("perspective") != SYSTEM)
+    speakers = roles.groupBy("conv_id", "perspective").agg(F.lit(1).alias("one")).select(F.col("conv_id").alias("conv"), "perspective")
+    faced = parts.select("conv_id", "block", "piece", "size", "roles").join(speakers, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    own = F.aggregate("roles", F.lit(0).cast("long"), lambda n, r: n + F.when(r["role"].eqNullSafe(F.col("perspective")), r["n"]).otherwise(0))
+    saved = F.length(_head(F.col("perspective"), F.lit(False))) - F.length(_head(F.col("perspective"), F.lit(True)))
+    at = F.col("size") - F.coalesce(own * saved, F.lit(0))
+    before = Window.partitionBy("conv_id", "perspective").orderBy("block", "piece")
+    return faced.withColumn("at", at).select(
+        F.col("conv_id").alias("conv"), "perspective", F.col("block").alias("b"), F.col("piece").alias("p"), (F.row_number().over(before) - 1).cast("long").alias("part"),
+        F.coalesce(F.sum("at").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("char_start"),
+    )
+
+
+def rotate(conversations: DataFrame, part: int = PART) -> DataFrame:
+    """(conv_id, perspective, part, n_messages, n_trained, char_start, text, mask) of every part.
+
+    The parts are written once; where each of them begins is found from lengths, and the texts then meet
+    their perspectives by part, so that no task holds the texts of a conversation.
+    """
+    parts = materialise(_parts(conversations, part), "parts")
+    faced = parts.drop("size", "roles").join(_places(parts), F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("block") == F.col("b")) & (F.col("piece") == F.col("p")))
 
     def render(m):
         own = m["role"].eqNullSafe(F.col("perspective"))
-        head = F.when(own, F.lit("<|assistant|>\n")).when(m["role"] == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), m["role"], F.lit("|>\n")))
-        body = F.concat(m["text"], F.lit(END))
+        head, body = _head(m["role"], own), _body(m["text"])
         return F.struct(F.concat(head, body).alias("text"), F.length(head).cast("long").alias("skip"), F.length(body).cast("long").alias("length"), own.alias("own"))
 
     def walk(state, s):
@@ -50,16 +88,11 @@ def rotate(conversations: DataFrame, part: int = PART) -> DataFrame:
         span = F.concat(F.when(state["mask"] == "", "").otherwise(","), begin.cast("string"), F.lit(":"), (begin + s["length"]).cast("string"))
         return F.struct((begin + s["length"]).alias("at"), F.concat(state["mask"], F.when(s["own"], span).otherwise("")).alias("mask"))
 
-    lines = faced.select("conv_id", "perspective", "block", "piece", F.transform("messages", render).alias("lines"))
+    lines = faced.select("conv_id", "perspective", "part", "char_start", F.transform("messages", render).alias("lines"))
     walked = F.aggregate("lines", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("mask")), walk)
-    rendered = lines.select(
-        "conv_id", "perspective", "block", "piece", walked.alias("walked"), F.array_join(F.transform("lines", lambda s: s["text"]), "").alias("text"),
-        F.size("lines").cast("long").alias("n_messages"), F.size(F.filter("lines", lambda s: s["own"])).cast("long").alias("n_trained"),
-    )
-    before = Window.partitionBy("conv_id", "perspective").orderBy("block", "piece")
-    return rendered.select(
-        "conv_id", "perspective", (F.row_number().over(before) - 1).cast("long").alias("part"), "n_messages", "n_trained",
-        F.coalesce(F.sum("walked.at").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("char_start"), "text", F.col("walked.mask").alias("mask"),
+    return lines.select(
+        "conv_id", "perspective", "part", F.size("lines").cast("long").alias("n_messages"), F.size(F.filter("lines", lambda s: s["own"])).cast("long").alias("n_trained"),
+        "char_start", F.array_join(F.transform("lines", lambda s: s["text"]), "").alias("text"), walked["mask"].alias("mask"),
     )
 
 
