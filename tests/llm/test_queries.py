@@ -118,18 +118,20 @@ def test_sharding_of_odd_rows(spark, tmp_path):
     df = odd(spark)
     rows = sharding.slots(spark, sharding.external_shuffle(df, 4, bucket_bytes=100000, out=str(tmp_path / "s")), df.columns).collect()
     assert len(rows) == df.count()
-    for shard in {r["shard"] for r in rows}:
-        mine = sorted(r["slot"] for r in rows if r["shard"] == shard)
+    for shard in {r["__shard"] for r in rows}:
+        mine = sorted(r["__slot"] for r in rows if r["__shard"] == shard)
         assert mine == list(range(len(mine)))
     one, more = (df.select("doc_id", sharding.shard_of(F.col("doc_id"), n).alias("s")).collect() for n in (4, 5))
     assert all(b["s"] in (a["s"], 4) for a, b in zip(one, more))
 
 
 def test_token_store_of_odd_rows(spark, tmp_path):
-    df = odd(spark)
+    df = odd(spark).unionByName(odd(spark, [(3, BASE, None, None, None, None, None, None)] * 5))
     e = bpe.Encoder.shared(bpe.default_path())
     ids = lambda t: e.tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
-    store = tokenstore.TokenStore.write(df, str(tmp_path / "t"), shard_bytes=2000, segment_keys=3)
+    root = str(tmp_path / "t")
+    tokenstore.TokenStore.write(df, root, shard_bytes=200, segment_keys=3)
+    store = tokenstore.TokenStore.open(spark, root)
     got = sorted(store.read(store.lookup(df)).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted([r["doc_id"] for r in df.collect()], key=lambda x: -1 if x is None else x)
     at = 0
@@ -139,7 +141,28 @@ def test_token_store_of_odd_rows(spark, tmp_path):
         at += r["n_tokens"]
     want = sorted(np.array(ids(r["text"]), "<u4").tobytes() for r in df.collect())
     assert sorted(bytes(r["ids"]) for r in got) == want
-    assert store.lookup(spark.createDataFrame([(12345,)], "doc_id long")).count() == 0
+    by_id = {}
+    for r in df.collect():
+        by_id.setdefault(r["doc_id"], []).append(ids(r["text"]))
+    for doc_id, texts in by_id.items():
+        assert sorted(x.tolist() for x in store.get(doc_id)) == sorted(texts)
+    assert store.get(12345) == [] and store.lookup(spark.createDataFrame([(12345,)], "doc_id long")).count() == 0
+    # an index file that is lost is an error
+    os.remove(next(f for f in tmp_path.glob("t/index-*")))
+    with pytest.raises(Exception, match="index-"):
+        store.lookup(df).count()
+    none = tokenstore.TokenStore.write(odd(spark, []), str(tmp_path / "none"))
+    assert none.read(none.lookup(df)).count() == 0 and none.get(1) == []
+
+
+def test_a_keyed_read_touches_little(spark, tmp_path, monkeypatch):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), "id", F.repeat(F.lit(" word"), 300)).alias("text"))
+    store = tokenstore.TokenStore.write(rows, str(tmp_path / "t"))
+    fetched, fetch = [], tokenstore.fetch
+    monkeypatch.setattr(tokenstore, "fetch", lambda *a: fetched.append(out := fetch(*a)) or out)
+    e = bpe.Encoder.shared(bpe.default_path())
+    assert store.get(1234)[0].tolist() == e.tokenizer.encode("text number 1234" + " word" * 300, add_special_tokens=False).ids + [2]
+    assert sum(map(len, fetched)) < 10000 and len(fetched) < 100
 
 
 def test_packing_of_odd_rows(spark):

@@ -84,13 +84,20 @@ def test_packer_wastes_little():
 
 def test_perfect_hash_is_minimal_and_turns_strangers_away():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64))
-    assert sorted(tokenstore.PerfectHash.build(keys).slots(keys).tolist()) == list(range(len(keys)))
     marks = (keys >> np.uint64(7)).astype(np.uint32)
     one = np.ones(len(keys), np.int64)
-    s = tokenstore.Segment.load(tokenstore.Segment.build(keys, marks, one, np.arange(len(keys)), one).dump())
-    who, run = s.find(keys, marks)
-    assert (s.arrays["ordinal"][run] == who).all() and len(who) == len(keys)
+    data, n = tokenstore.Segment.dump(keys, marks, {"shard": one, "at": 10 * np.arange(len(keys)), "ids": one, "ordinal": np.arange(len(keys)), "count": one})
+    touched = []
+    s = tokenstore.Segment(lambda start, length: touched.append(length) or data[start : start + length])
+    assert s.n == n == len(keys)
+    who, runs = s.find(keys, marks)
+    assert (runs["ordinal"] == who).all() and sorted(who.tolist()) == list(range(len(keys)))
     assert len(s.find(keys + np.uint64(1), marks ^ np.uint32(0xFFFF))[0]) == 0
+    # a keyed access reads a few bytes and finds the same
+    for i in range(0, 5000, 97):
+        touched.clear()
+        assert [r["at"] for r in s.get(int(keys[i]), int(marks[i]))] == [10 * i] and sum(touched) < 2000
+        assert s.get(int(keys[i]), int(marks[i]) ^ 1) == []
 
 
 def test_fisher_yates_is_a_permutation_by_seed():
