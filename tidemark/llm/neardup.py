@@ -14,6 +14,7 @@ or more are linked, and every link is confirmed on the full sets.
 * Nodes that hold one class are dropped.  Each other class is compared with the smallest class of the
   node it shares most paths with (a star, so a large group of near copies costs one comparison each),
   and the links found join components.  Two classes of one component need no further comparison.
+  A leader that many follow is dealt to salted copies of it, so its followers meet it in many tasks.
 * Nodes whose classes lie in several components are searched exhaustively, whatever their size: every
   two classes of different components are compared in the task that holds the node.  Nodes with more
   than ``block`` classes are dealt to one task for each pair of blocks.  In nodes with more than ``leaf``
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shingles import SHINGLE, TOKENS, sets, sketch
-from tidemark.llm.storage import bounded, materialise, reducer, release
+from tidemark.llm.storage import bounded, hot_join, materialise, privately, reducer, release
 from tidemark.llm.textcore import mix
 
 _U = np.uint64
@@ -45,6 +46,8 @@ TREES = 14
 DEPTH = 3
 LEAF = 4096
 BLOCK = 1024
+#: Followers that share one copy of a leader's set.
+FOLLOWERS = 512
 
 _SKETCH = "doc_id long, n long, d1 long, d2 long, tokens binary"
 
@@ -131,10 +134,14 @@ def _set_blobs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _star_links(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """The pairs (a, b) that are links; each a has one b, and a b with many pairs is dealt to salted copies."""
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(FOLLOWERS)).alias("copies"))
+    leaders = blobs.select(F.col("rep").alias("b"), F.col("shingles").alias("right")).join(copies, "b")
+    leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1))).drop("copies")
+    salted = hot_join(pairs, copies, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("copies"))).drop("copies")
     both = (
-        pairs.join(blobs.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a")
-        .join(blobs.select(F.col("rep").alias("b"), F.col("shingles").alias("right")), "b")
+        salted.join(blobs.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), "a")
+        .join(leaders, ["b", "salt"])
         .select("a", "b", "left", "right")
     )
 
@@ -268,17 +275,17 @@ def components(links: DataFrame) -> DataFrame:
         point = materialise(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")), "pointers")
         while True:
             up = point.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            jumped = materialise(point.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "pointers")
+            jumped = materialise(hot_join(point, up, "p").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "pointers")
             release(spark, point)
             point = jumped.select("v", "p")
             point.tidemark_path = jumped.tidemark_path
             if jumped.filter("moved").isEmpty():
                 break
         up = point.select(F.col("v").alias("label"), F.col("p").alias("q"))
-        relabelled = materialise(labels.join(up, "label", "left").select("vertex", F.coalesce("q", "label").alias("label")), "labels")
+        relabelled = materialise(hot_join(labels, up, "label").select("vertex", F.coalesce("q", "label").alias("label")), "labels")
         redrawn = edges
         for side in ("a", "b"):
-            redrawn = redrawn.join(point.select(F.col("v").alias(side), F.col("p").alias(f"{side}_root")), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")
+            redrawn = hot_join(redrawn, point.select(F.col("v").alias(side), F.col("p").alias(f"{side}_root")), side).withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")
         redrawn = materialise(norm(redrawn), "edges")
         release(spark, labels, edges, point)
         labels, edges = relabelled, redrawn
@@ -296,12 +303,12 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, trees: int = TREE
     doubled = usable.groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("c")).filter("b <> c").select("doc_id", "b")
     if not doubled.isEmpty():
         links = links.unionByName(usable.join(doubled, "doc_id").select(F.col("cls").alias("a"), "b"))
-    labelled = classes.select("cls", "first", "last").join(components(links).withColumnRenamed("vertex", "cls"), "cls", "left")
+    labelled = materialise(classes.select("cls", "first", "last").join(components(links).withColumnRenamed("vertex", "cls"), "cls", "left"), "classes")
     smallest = labelled.filter("label is not null").groupBy("label").agg(F.min("first").alias("found"))
-    joined = labelled.join(smallest, "label", "left").filter("label is not null or first <> last").select("cls", F.coalesce("found", "first").alias("found"))
+    joined = hot_join(labelled, smallest, "label").filter("label is not null or first <> last").select("cls", F.coalesce("found", "first").alias("found"))
     member = F.when(F.col("n") > 0, F.col("cls"))
     return (
-        drawn.select("doc_id", "n", member.alias("cls")).join(joined, "cls", "left")
+        hot_join(drawn.select("doc_id", "n", member.alias("cls")), joined, "cls")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
@@ -315,9 +322,10 @@ def keep_representatives(docs: DataFrame, **options) -> DataFrame:
     """
     spark = docs.sparkSession
     gone = materialise(near_duplicates(docs.select("doc_id", "text"), **options).filter("not kept").select("doc_id").distinct(), "gone")
-    marked = reducer(gone, "doc_id").marked(docs, "doc_id", "__near")
-    doubtful = marked.filter("__near").drop("__near").join(gone, "doc_id", "left_anti").select(docs.columns)
-    return marked.filter("not __near").select(docs.columns).unionByName(doubtful)
+    hidden, own = privately(docs, ("doc_id",))
+    marked = reducer(gone, "doc_id").marked(hidden, "doc_id", "__near")
+    doubtful = marked.filter("__near").join(gone, "doc_id", "left_anti").select(hidden.columns)
+    return marked.filter("not __near").select(hidden.columns).unionByName(doubtful).select(own)
 
 
 def _links(docs, classes, percent, trees, depth, leaf, block) -> DataFrame:
@@ -328,11 +336,11 @@ def _links(docs, classes, percent, trees, depth, leaf, block) -> DataFrame:
     members = materialise(nodes.join(shared, "node").distinct(), "members")
     wanted = members.select("rep").distinct().join(classes.select("rep", "first"), "rep")
     blobs = materialise(_set_blobs(docs, wanted), "sets")
-    best = (
+    best = materialise((
         members.filter("rep <> leader").groupBy("rep", "leader").count()
         .groupBy("rep").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b"))
         .select(F.col("rep").alias("a"), "b")
-    )
+    ), "pairs")
     stars = materialise(_star_links(best, blobs, percent), "stars")
     labels = components(stars)
     placed = members.join(labels.withColumnRenamed("vertex", "rep"), "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("comp"))
@@ -340,7 +348,7 @@ def _links(docs, classes, percent, trees, depth, leaf, block) -> DataFrame:
     small, large = _blocks(mixed.filter(F.col("size") <= leaf), block), _banded(mixed.filter(F.col("size") > leaf), classes.select("rep", "n"), percent, block)
     links = stars.unionByName(_search(small.unionByName(large), blobs, percent))
     links = materialise(links, "links")
-    release(spark, members, blobs, labels, mixed)
+    release(spark, members, blobs, labels, mixed, best)
     return links
 
 
