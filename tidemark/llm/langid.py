@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.linear import labelled_sample
 from tidemark.llm.storage import bounded, privately
-from tidemark.llm.textcore import LETTERS, Chunk, chunks
+from tidemark.llm.textcore import LETTERS, Chunk, chunks, mix
 
 _U = np.uint64
 SAMPLE_ROWS, SAMPLE_BYTES, SEED = 3000, 12 << 20, 5
@@ -56,7 +56,7 @@ def _with_blanks(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 def ngrams(c: Chunk, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the word, hash) of the n-grams of words with a blank on either side."""
-    heads = np.flatnonzero((c.buf & 0xC0) != 0x80)
+    heads = c.heads()
     first, last = np.searchsorted(heads, starts - 1), np.searchsorted(heads, ends)
     count = np.maximum(last - first + 2 - n, 0)
     word = np.repeat(np.arange(len(starts)), count)
@@ -114,7 +114,7 @@ class LanguageModel:
             w = c.words(LETTERS)
             lang = label[c.lo + w.doc]
             # one of each word and language, weighed by how often it comes
-            _, one, times = np.unique(w.hash * _U(64) + lang.astype(_U), return_index=True, return_counts=True)
+            _, one, times = np.unique(mix(w.hash ^ mix(lang.astype(_U) + _U(1))), return_index=True, return_counts=True)
             tables[0] = tables[0].plus(w.hash[one], lang[one], times)
             for k in range(1, LONGEST + 1):
                 word, h = ngrams(c, w.starts[one], w.ends[one], k)

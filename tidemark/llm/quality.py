@@ -2,7 +2,7 @@
 
 Rules on whole texts: too few words, or too many words inside three-word windows that occur again.
 
-Classifier: logistic regression on hashed words, word pairs and character trigrams (bytes of UTF-8), each
+Classifier: logistic regression on hashed words, word pairs and character trigrams, each
 kind as relative frequencies in its own third of the weights, so that length plays no part; buckets in
 fewer than ``MIN_DOCS`` documents of the sample have no weight.  It is
 fitted on a bounded sample of rows with a quality label (``rows``, ``size``), four fifths for the
@@ -16,6 +16,8 @@ only, or none, the classifier keeps everything that passes the rules.  Extra col
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,17 +41,14 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
 
-def _kinds(c: Chunk, w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(document, bucket) of every word, word pair and character trigram."""
+def _kinds(c: Chunk, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, document, bucket) of every word, word pair and character trigram; trigrams come in blocks."""
     shift = _U(64 - BITS)
     pairs, h2 = w.windows(2)
-    at = np.arange(max(len(c.buf) - 2, 0))
-    doc = np.repeat(np.arange(c.n), np.diff(c.off))
-    at = at[doc[at] == doc[at + 2]] if len(at) else at
-    b = c.buf.astype(_U)
-    tri = ((b[at] | b[at + 1] << _U(8) | b[at + 2] << _U(16)) * _U(0x9E3779B97F4A7C15)) >> shift if len(at) else np.zeros(0, _U)
-    out = [(w.doc, w.hash >> shift), (w.doc[pairs], h2 >> shift), (doc[at], tri)]
-    return [(d, h.astype(np.int64) + (k << BITS)) for k, (d, h) in enumerate(out)]
+    yield 0, w.doc, (w.hash >> shift).astype(np.int64)
+    yield 1, w.doc[pairs], (h2 >> shift).astype(np.int64) + (1 << BITS)
+    for d, h in c.grams(3):
+        yield 2, d, (h >> shift).astype(np.int64) + (2 << BITS)
 
 
 class QualityModel:
@@ -71,8 +70,7 @@ class QualityModel:
         docs, buckets, values = [], [], []
         for keep in (False, True):
             for c in chunks(texts):
-                for d, k in _kinds(c, c.words(NONSPACE)):
-                    pair, n = np.unique(d * dim + k, return_counts=True)
+                for pair, n in _counted(c, dim):
                     d, k = pair // dim, pair % dim
                     if not keep:
                         seen += np.bincount(k, minlength=dim)
@@ -95,13 +93,24 @@ class QualityModel:
         return cls(w.astype(np.float32), bias, a, b)
 
     def score(self, c: Chunk, w: Words) -> np.ndarray:
-        total = np.full(c.n, self.bias)
-        for d, k in _kinds(c, w):
-            n = np.bincount(d, minlength=c.n)
-            total += SCALE * np.bincount(d, self.weights[k], minlength=c.n) / np.maximum(n, 1)
+        count, weight = np.zeros((3, c.n)), np.zeros((3, c.n))
+        for kind, d, k in _kinds(c, w):
+            count[kind] += np.bincount(d, minlength=c.n)
+            weight[kind] += np.bincount(d, self.weights[k], minlength=c.n)
+        total = self.bias + SCALE * (weight / np.maximum(count, 1)).sum(0)
         return sigmoid(self.a * total + self.b)
 
 
+def _counted(c: Chunk, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each kind: its distinct (document * dim + bucket) and how often each comes."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for kind, d, k in _kinds(c, c.words(NONSPACE)):
+        held.setdefault(kind, []).append(np.unique(d * dim + k, return_counts=True))
+    for parts in held.values():
+        pair, back = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+        yield pair, np.bincount(back, np.concatenate([n for _, n in parts]), minlength=len(pair)).astype(np.int64)
+
+
 def repeat_words(w: Words, size: int = 3) -> np.ndarray:
     """Words of each document inside windows that occur twice or more in it."""
     at, h = w.windows(size)

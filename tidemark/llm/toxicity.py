@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios (operator 6).
 
-Features are the character n-grams (four to six bytes of the lowered text) that a document has, hashed
+Features are the character n-grams (three to five characters of the lowered text) that a document has, hashed
 to 2**18 buckets.  A bucket's value is its log-count ratio: how much likelier a toxic document has it
 than a clean one, with add-one counts.  Buckets in fewer than ``MIN_DOCS`` documents or with a ratio
 below ``MIN_RATIO`` either way say nothing and are left out.  Logistic regression weighs the scaled
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.linear import Rows, fit_logistic, labelled_sample, sigmoid
 from tidemark.llm.storage import bounded
-from tidemark.llm.textcore import Chunk, chunks
+from tidemark.llm.textcore import Chunk, chunks, distinct
 
 _U = np.uint64
 BITS = 18
-SIZES = (4, 5, 6)
+SIZES = (3, 4, 5)
 SAMPLE_ROWS, SAMPLE_BYTES, SEED = 3000, 12 << 20, 6
 MIN_DOCS, MIN_RATIO = 8, 2.0
 
@@ -37,17 +37,17 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 def grams(c: Chunk, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of the n-grams each document has, each pair once."""
     c = c.lowered()
-    found = []
+    pair = np.zeros(0, np.int64)
     for n in SIZES:
-        at = np.arange(max(len(c.buf) - n + 1, 0))
-        k = (c.hashes(at, at + n) >> _U(64 - BITS)).astype(np.int64)
-        if wanted is not None:
-            at = at[wanted[k]]
-            k = k[at]
-        doc = np.searchsorted(c.off, at, "right") - 1
-        inside = at + n <= c.off[doc + 1]
-        found.append(doc[inside] << BITS | k[inside])
-    pair = np.unique(np.concatenate(found))
+        found = [pair]
+        for doc, h in c.grams(n):
+            k = (h >> _U(64 - BITS)).astype(np.int64)
+            if wanted is not None:
+                hit = wanted[k]
+                doc, k = doc[hit], k[hit]
+            # at most one of each bucket stays, however long the text
+            found.append(distinct(doc << BITS | k))
+        pair = distinct(np.concatenate(found))
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
@@ -93,6 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_RO
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(doc_id, score) of every row of docs: the model's probability of label 1, for a null text that of an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
