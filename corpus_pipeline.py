@@ -18,28 +18,46 @@ from tidemark.session import ship
 MIN_LANGUAGE_SCORE = 0.5
 
 
+# All stages: columns of docs other than doc_id and text are carried as they are, whatever their names; rows are
+# judged one by one, so repeated rows fare alike; an empty table stays empty.
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no letter, or a posterior below ``MIN_LANGUAGE_SCORE``."""
+    """Drop documents without a language: no letter, or a posterior below ``MIN_LANGUAGE_SCORE``.
+
+    A null or empty text has no language and goes; a null doc_id is judged by its text and not learned from; with
+    nothing to learn from (no row with a language) every document goes.  Ties go to the first language by name.
+    """
     return identified(docs, fit(docs, ~held_out(F.col("doc_id"), 4, 2)), MIN_LANGUAGE_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near duplicates."""
+    """Keep the document with the smallest doc_id of each group of near duplicates.
+
+    Null or wordless texts and rows with a null doc_id are in no group and stay; repeated rows of the doc_id that
+    stays all stay.
+    """
     return keep_representatives(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut benchmark passages out of documents; drop documents that are passages for the most part."""
+    """Cut benchmark passages out of documents; drop documents of which they are half of the words or more.
+
+    Null and empty texts stay; benchmark rows with a null item_id or no words count for nothing.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data, plain or disguised, by its kind."""
+    """Replace personal data, plain or disguised, by its kind; null and empty texts stay as they are."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the tokenised documents into sequences of 2048 tokens."""
+    """Pack the tokenised documents into sequences of 2048 tokens.
+
+    A null or empty text is its end id alone; a null doc_id and repeated rows are packed like others.
+    """
     return pack(docs)
 
 
