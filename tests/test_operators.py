@@ -1,6 +1,5 @@
 import datetime as dt
 import itertools
-import math
 
 import numpy as np
 import pytest
@@ -12,8 +11,8 @@ from tidemark.operators import detector, distances, drift, probe, temporal
 @pytest.mark.parametrize(
     "old, new, change, want",
     [
-        (0.40, 0.20, "changed", "persistent_failure"), (0.80, 0.60, "stable", "new_degradation"), (0.20, 0.60, "changed", "recovery_or_adaptive_success"),
-        (0.80, 0.80, "changed", "recovery_or_adaptive_success"), (0.80, 0.80, "stable", "normal"), (0.00, 0.20, "changed", "persistent_failure"),
+        (0.49, 0.49, "stable", "persistent_failure"), (0.49, 0.0, "changed", "persistent_failure"), (0.5, 0.49, "stable", "normal"), (0.75, 0.625, "changed", "new_degradation"),
+        (0.5, 0.25, "stable", "new_degradation"), (0.25, 0.5, "stable", "recovery_or_adaptive_success"), (0.5625, 0.5, "changed", "recovery_or_adaptive_success"), (0.5625, 0.5, "stable", "normal"),
     ],
 )
 def test_outcomes(spark, old, new, change, want):
@@ -22,22 +21,23 @@ def test_outcomes(spark, old, new, change, want):
 
 
 @pytest.mark.parametrize(
-    "p, stage, mechanism",
+    "old, p, moved, stage, mechanism",
     [
-        ((0.5, 0.9375, 1.0, 1.0, 1.0), "p2_support_presence", "retrieval_coverage_failure"),
-        ((0.5, 0.50, 0.55, 0.60, 1.0), "p5_fact_card", "evidence_utilization_or_answer_realization_failure"),
-        ((0.95, 1.0, 1.0, 1.0, 1.0), "p1_natural", "no_degradation_on_probe_rerun"),
+        (0.875, (0.8125, 0.9, 0.9, 0.9, 0.9), True, "p1_natural", "no_degradation_on_probe_rerun"), (0.875, (0.25, 0.25, 0.25, 0.8125, 1.0), True, "p4_evidence_only", "evidence_extraction_or_context_complexity_failure"),
+        (0.875, (0.25, 0.5, 0.875, 1.0, 1.0), True, "p3_support_first", "ranking_or_position_sensitivity"), (0.875, (0.25, 0.5, 0.875, 1.0, 1.0), False, "p3_support_first", "stochastic_recovery_without_context_change"),
+        (0.75, (0.125, 0.6875, 0.0, 0.0, 0.0), True, "p2_support_presence", "retrieval_coverage_failure"), (0.75, (0.125, 0.625, 0.6, 0.6, 0.6), True, "none", "persistent_after_explicit_fact"),
     ],
-)
-def test_recovery_stages(spark, p, stage, mechanism):
-    df = spark.createDataFrame([(1.0, *p)], "old double, a double, b double, c double, d double, e double")
-    r = df.select(probe.linked_recovery(F.col("old"), [F.col(c) for c in "abcde"], F.lit(True), F.lit(True)).alias("r")).first()["r"]
+)
+def test_recovery_stages(spark, old, p, moved, stage, mechanism):
+    df = spark.createDataFrame([(old, *p)], "old double, a double, b double, c double, d double, e double")
+    r = df.select(probe.linked_recovery(F.col("old"), [F.col(c) for c in "abcde"], F.lit(True), F.lit(moved)).alias("r")).first()["r"]
     assert (r["stage"], r["mechanism"]) == (stage, mechanism)
 
 
-def test_quantile_higher(spark):
-    df = spark.createDataFrame([(x,) for x in (0.1, 0.2, 0.3, 0.8, 0.9)], "score double")
-    assert detector.quantile_higher(df, "score", 0.8).first()["threshold"] == 0.9
+@pytest.mark.parametrize("q, want", [(0.0, 1.0), (0.5, 4.0), (0.51, 5.0), (0.99, 7.0), (1.0, 7.0)])
+def test_quantile_higher(spark, q, want):
+    df = spark.createDataFrame([(float(x),) for x in range(1, 8)], "score double")
+    assert detector.quantile_higher(df, "score", q).first()["threshold"] == want
 
 
 def test_constant_reference_is_finite(spark):
@@ -83,22 +83,11 @@ def test_interleave_and_ratio(spark):
 
 
 def test_ratio_of_too_few_documents(spark):
-    """What the reference's ``_ratio_counts`` gives, side by side."""
-
-    def want(percent, total, current, stale):
-        s = round(total * percent / 100)
-        c = total - s
-        if percent in (0, 100):
-            return (min(s, stale), min(c, current))
-        g = math.gcd(s, c)
-        k = min(g, current // (c // g) if c else total, stale // (s // g) if s else total)
-        return (s // g * k, c // g * k) if k else (min(s, stale), min(c, current))
-
-    rows = list(itertools.product((0, 25, 50, 75, 100), range(9), range(9)))
-    df = spark.createDataFrame(rows, "p int, c int, s int")
+    """The largest mix in the ratio that both sides can fill; where no unit of it fits, what each side has of its share."""
+    rows = [(25, 8, 8, (2, 6)), (25, 8, 1, (1, 3)), (25, 5, 2, (1, 3)), (25, 2, 2, (2, 2)), (25, 6, 0, (0, 6)), (50, 3, 8, (3, 3)), (50, 0, 2, (2, 0)), (75, 1, 8, (3, 1)), (0, 5, 5, (0, 5)), (100, 5, 5, (5, 0)), (30, 8, 8, (2, 6))]
+    df = spark.createDataFrame([r[:3] for r in rows], "p int, c int, s int")
     got = df.select("p", "c", "s", probe.ratio_counts(F.col("p"), 8, F.col("c"), F.col("s")).alias("r")).collect()
-    assert {(r["p"], r["c"], r["s"]): tuple(r["r"]) for r in got} == {(p, c, s): want(p, 8, c, s) for p, c, s in rows}
-    assert want(25, 8, 6, 0) == (0, 6)
+    assert [(r["p"], r["c"], r["s"], tuple(r["r"])) for r in got] == rows
 
 
 _PEOPLE = "id long, transition int, relation int, style int, risk double"

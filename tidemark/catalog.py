@@ -27,4 +27,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["retrieval_rrf_fusion"](spark, sf_dir)
 
 
-from tidemark.plans import answers, audit, cohort, detection, drift, probe, retrieval, statistics, vectors  # noqa: E402, F401
+from tidemark.plans import answers, audit, cohort, detection, drift, evidence, models, probe, quality, records, retrieval, statistics, vectors  # noqa: E402, F401

@@ -143,6 +143,42 @@ def text_hash(c: Column) -> Column:
     return F.left(F.sha2(c, 256), F.lit(16))
 
 
+def fingerprint(model: str, texts: Column) -> Column:
+    """16 hex digits for the texts of an array in order, as one model sees them."""
+    return text_hash(F.array_join(F.transform(texts, lambda t: F.concat(F.lit(model + "\n"), t)), "\n"))
+
+
+def cache_key(kind: str, key: Column, text: Column) -> Column:
+    """16 hex digits for a text of a kind; the parts are set apart by a character that no text holds."""
+    return text_hash(F.concat_ws("\0", F.lit(kind), key, text))
+
+
+#: Forms of a timestamp, and of a date in running text with what it is parsed by.
+TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyyMMddHHmmss", "yyyyMMdd")
+DATE_FORMS = (
+    (r"\b\d{1,2}\s+[A-Za-z]{3,9}\s+\d{4}\b", ("d MMMM yyyy", "d MMM yyyy")), (r"\b[A-Za-z]{3,9}\s+\d{1,2},\s+\d{4}\b", ("MMMM d, yyyy", "MMM d, yyyy")),
+    (r"\b\d{4}-\d{2}-\d{2}\b", ("yyyy-MM-dd",)), (r"\b\d{4}/\d{2}/\d{2}\b", ("yyyy/MM/dd",)),
+)
+
+
+def parse_time(c: Column, formats: tuple[str, ...] = TIME_FORMATS) -> Column:
+    """A timestamp by the first format that fits; null if none does or the text stands for a missing one."""
+    text = F.trim(c)
+    return F.when((text != "") & (F.lower(text) != "nan"), F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats)))
+
+
+def date_in_text(c: Column, lines: int = 25, most: int = 2500) -> Column:
+    """The first date in the head of a text, of the first form that has one."""
+    head = F.left(F.array_join(F.slice(F.split(F.coalesce(c, F.lit("")), "\n"), 1, lines), "\n"), F.lit(most))
+
+    def of(text: Column, pattern: str, formats: tuple[str, ...]) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), 0)
+        one = lambda t: F.coalesce(*(F.try_to_timestamp(F.initcap(F.regexp_replace(t, r"\s+", " ")), F.lit(f)) for f in formats))
+        return F.get(F.filter(F.transform(found, one), lambda t: t.isNotNull()), F.lit(0))
+
+    return let(lambda s: F.coalesce(*(of(s["head"], *form) for form in DATE_FORMS)), head=head)
+
+
 def derived_seed(base: int, *parts: Column) -> Column:
     """Seeds by v * 33 + code point, modulo 2**32, over the parts in turn."""
     chars = F.filter(F.split(F.concat(*parts), ""), lambda c: c != "")
@@ -183,11 +219,20 @@ def quoted(t: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def query_ladder(focus: Column, terms: Column) -> Column:
-    """Ever broader match queries: all of the first 6 to 3 focus terms, of the first 8, 6, 4, 3 terms, any of 12."""
+def query_ladder(focus: Column, terms: Column, title: Column | None = None, title_terms: Column | None = None) -> Column:
+    """Ever broader match queries: the title as a phrase, all of its first 8 terms, all of the first 6 to 3 focus terms,
+    of the first 8, 6, 4, 3 terms, any of 12 terms of title and question."""
     step = lambda a, n, least, sep: F.when(F.size(a) >= least, F.array_join(F.transform(F.slice(a, 1, n), quoted), sep))
     steps = [step(focus, n, n, " AND ") for n in (6, 5, 4, 3)] + [step(terms, n, n, " AND ") for n in (8, 6, 4, 3)]
-    return F.array_distinct(F.array_compact(F.array(*steps, step(terms, 12, 1, " OR "))))
+    if title is not None:
+        steps = [F.when(title != "", quoted(title)), step(title_terms, 8, 1, " AND "), *steps]
+    both = terms if title_terms is None else F.concat(title_terms, terms)
+    return F.array_distinct(F.array_compact(F.array(*steps, step(both, 12, 1, " OR "))))
+
+
+def any_query(title_terms: Column, terms: Column, most: int = 24) -> Column:
+    """One broad match query: any of the distinct terms of title and question."""
+    return F.array_join(F.transform(F.slice(F.array_distinct(F.concat(title_terms, terms)), 1, most), quoted), " OR ")
 
 
 def _without_suffix(t: Column) -> Column:

@@ -88,6 +88,14 @@ def auroc_ap(rows: DataFrame) -> DataFrame:
     return c.agg(F.try_divide(wins, F.first("pos") * F.first("negs")).alias("auroc"), F.when(F.first("negs") > 0, ap).alias("auprc"))
 
 
+def auroc_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, auroc) of each group, ties at half weight; null for one class.  Ranks run over a group's distinct scores."""
+    by = rows.groupBy(*keys, "score").agg(F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("m"))
+    up = by.withColumn("tp", F.sum("p").over(Window.partitionBy(*keys).orderBy(F.desc("score"))))
+    wins = F.sum(F.col("m") * (F.col("tp") - F.col("p")) + 0.5 * F.col("m") * F.col("p"))
+    return up.groupBy(*keys).agg(F.try_divide(wins, F.sum("p") * F.sum("m")).alias("auroc"))
+
+
 def best_f1(rows: DataFrame) -> DataFrame:
     """The threshold (a score, 0 or 1) with the largest (F1, precision, threshold)."""
     c = _curve(rows)

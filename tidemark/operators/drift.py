@@ -66,3 +66,34 @@ def condition_summary(metrics: DataFrame, columns: list[str]) -> DataFrame:
         sd = F.coalesce(F.stddev_samp(c), F.lit(0.0))
         aggs += [F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(sd, 6).alias(f"{c}_std"), F.round(sd / F.sqrt(F.greatest(F.count(c), F.lit(1))), 6).alias(f"{c}_se")]
     return metrics.groupBy("condition").agg(*aggs)
+
+
+def pivot_strict(rows: DataFrame, key: str, by: str, value: str, names: list[str]) -> DataFrame:
+    """Values of each key by name, side by side; two rows of one key and name fail."""
+    one = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("more than one row of "), F.first(F.col(key).cast("string"))))).otherwise(F.first(value))
+    return rows.groupBy(key, by).agg(one.alias("_v")).groupBy(key).pivot(by, names).agg(F.first("_v"))
+
+
+def run_frame(metrics: DataFrame, distances: DataFrame, metadata: DataFrame, comparison: str = "current_only__vs__stale_only", drop: float = 0.1, failure: float = 0.5) -> DataFrame:
+    """One row a question of a run: its distances of a comparison, the metrics of both snapshots, deltas, the target and its metadata.
+
+    Questions without distances or metrics are left out; those without metadata stay.
+    """
+    of = lambda c, name: F.first(F.when(F.col("condition") == name, F.col(c)), ignorenulls=True)
+    wide = metrics.groupBy("question_id").agg(
+        of("accuracy", "stale_only").alias("accuracy_stale"), of("accuracy", "current_only").alias("accuracy_current"),
+        (of("semantic_entropy", "current_only") - of("semantic_entropy", "stale_only")).alias("delta_entropy"), (of("semantic_volume", "current_only") - of("semantic_volume", "stale_only")).alias("delta_volume"),
+    )
+    lost = F.col("accuracy_stale") - F.col("accuracy_current")
+    target = ~((F.col("accuracy_stale") < failure) & (F.col("accuracy_current") < failure)) & (F.round(lost, 9) >= drop)
+    frame = distances.filter(F.col("comparison") == comparison).join(wide, "question_id").withColumns({"accuracy_drop": lost, "target": target.cast("int")})
+    return frame.join(metadata, "question_id", "left")
+
+
+def shift_summary(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows, mean, median and population deviation of a value in each group; the median over counts of distinct values."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("_c"))
+    return counts.groupBy(key).agg(
+        F.sum("_c").alias("n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"), F.percentile(value, F.lit(0.5), F.col("_c")).alias("median"),
+        F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col(value) * F.col(value) * F.col("_c")) / F.sum("_c") - F.pow(F.sum(F.col(value) * F.col("_c")) / F.sum("_c"), F.lit(2)))).alias("sd"),
+    )

@@ -77,10 +77,12 @@ def minmax(value: Column, over: list[str], others: Column) -> Column:
     return F.when(F.abs(hi - lo) <= 1e-9 * F.greatest(F.abs(hi), F.abs(lo)), F.when(hi == 0, 0.0).otherwise(1.0)).otherwise((value - lo) / (hi - lo))
 
 
-def ladder(questions: DataFrame) -> DataFrame:
-    """(item_id, step, q): the match queries of each question, narrow ones first."""
-    terms = questions.select("item_id", tx.focus_terms(F.col("question")).alias("focus"), tx.query_terms(F.col("question")).alias("terms"))
-    return terms.select("item_id", F.posexplode(tx.query_ladder(F.col("focus"), F.col("terms"))).alias("step", "q"))
+def ladder(questions: DataFrame, title: str | None = None) -> DataFrame:
+    """(item_id, step, q): the match queries of each question, narrow ones first; with a title's steps before them."""
+    named = [] if title is None else [F.col(title).alias("title"), tx.query_terms(F.col(title), 12).alias("title_terms")]
+    terms = questions.select("item_id", tx.focus_terms(F.col("question")).alias("focus"), tx.query_terms(F.col("question")).alias("terms"), *named)
+    more = [] if title is None else [F.col("title"), F.col("title_terms")]
+    return terms.select("item_id", F.posexplode(tx.query_ladder(F.col("focus"), F.col("terms"), *more)).alias("step", "q"))
 
 
 def ladder_terms(questions: DataFrame) -> DataFrame:
@@ -127,3 +129,19 @@ def first_per(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The first row of each key in order of place, then the first k of each question."""
     kept = rows.withColumn("nth", F.row_number().over(Window.partitionBy("item_id", *keys).orderBy("place"))).filter("nth = 1").drop("nth")
     return top_k(kept, ["item_id"], [F.asc("place")], k)
+
+
+def archive_map(rows: DataFrame, order: str) -> DataFrame:
+    """(url, timestamp, archive_url): the last entry, by ``order``, of each URL and timestamp that has all three."""
+    full = rows.filter("url <> '' and timestamp <> '' and archive_url <> ''")
+    return full.groupBy("url", "timestamp").agg(F.max_by("archive_url", order).alias("archive_url"))
+
+
+def archived(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (url, timestamp) with archive_url, their own URL where the archive has none."""
+    return rows.join(known, ["url", "timestamp"], "left").withColumn("archive_url", F.coalesce("archive_url", "url"))
+
+
+def column_of(df: DataFrame, *names: str, default: str = "") -> Column:
+    """The first of these columns that df has, else a constant."""
+    return next((F.col(n) for n in names if n in df.columns), F.lit(default))

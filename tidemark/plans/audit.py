@@ -74,8 +74,10 @@ def union_first_run(spark, sf):
     return best.select("id", F.round("s.v", 2).alias("v"), "s.run")
 
 
-@query("""WITH x AS (SELECT s_suppkey AS id, s_nationkey % 3 AS stratum, round(s_acctbal / 10000, 4) AS risk, s_acctbal > 7000 AS target FROM supplier), q AS (SELECT stratum, count(*) AS quota FROM x WHERE target GROUP BY 1), r AS (SELECT id, x.stratum, row_number() OVER (PARTITION BY x.stratum ORDER BY risk DESC, id) AS n FROM x WHERE NOT target)
-  SELECT r.id, r.stratum FROM r JOIN q ON q.stratum = r.stratum WHERE r.n <= quota""")
+@query("""WITH x AS (SELECT s_suppkey AS id, s_nationkey % 3 AS stratum, round(s_acctbal / 10000, 4) AS risk, s_acctbal > 7000 AS target, s_suppkey % 5 AS relation, s_suppkey % 2 AS style FROM supplier), q AS (SELECT stratum, count(*) AS quota FROM x WHERE target GROUP BY 1),
+  r AS (SELECT x.*, coalesce(quota, 0) AS quota, row_number() OVER (PARTITION BY x.stratum ORDER BY risk DESC, id) AS n FROM x LEFT JOIN q ON q.stratum = x.stratum WHERE NOT target), c AS (SELECT relation, style, count(*) AS common FROM x WHERE target GROUP BY 1, 2),
+  o AS (SELECT r.id, r.stratum, row_number() OVER (ORDER BY common DESC NULLS LAST, CASE WHEN common IS NOT NULL THEN r.relation END NULLS FIRST, CASE WHEN common IS NOT NULL THEN r.style END NULLS FIRST, risk DESC, id) AS k FROM r LEFT JOIN c ON c.relation = r.relation AND c.style = r.style WHERE n > quota)
+  SELECT id, stratum FROM r WHERE n <= quota UNION ALL SELECT id, stratum FROM o WHERE k <= (SELECT count(*) FROM x WHERE target) - (SELECT count(*) FROM r WHERE n <= quota)""")
 def stratum_controls(spark, sf):
     """As many controls of each stratum as it has targets, the riskiest first; what a stratum lacks comes by relation and style, then from any."""
     x = table(spark, sf, "supplier").select(

@@ -68,7 +68,7 @@ def checkpoint_intersect(spark, sf):
     return old.intersect(new).withColumn("side", F.lit("both")).unionByName(old.subtract(new).withColumn("side", F.lit("only_old")))
 
 
-@query(f"""WITH {SPANS}, s AS (SELECT * FROM spans WHERE question_id % 5 = 0), f AS (SELECT user_id AS question_id, event_type AS object, min(ts) AS fs, max(ts) AS fe FROM events WHERE user_id % 5 = 0 GROUP BY 1, 2)
+@query(f"""WITH {SPANS}, s AS (SELECT * FROM spans), f AS (SELECT user_id AS question_id, event_type AS object, min(ts) AS fs, max(ts) AS fe FROM events GROUP BY 1, 2)
   SELECT s.question_id, s.ord, f.object, CAST((CASE WHEN s.start_ts IS NOT DISTINCT FROM f.fs THEN 2 ELSE 0 END) + (CASE WHEN s.end_ts IS NOT DISTINCT FROM f.fe THEN 2 ELSE 0 END) + (CASE WHEN s.start_ts < f.fe AND (s.end_ts IS NULL OR f.fs < s.end_ts) THEN 1 ELSE 0 END) AS INTEGER) AS score
   FROM s JOIN f ON s.question_id = f.question_id WHERE s.start_ts < f.fe AND (s.end_ts IS NULL OR f.fs < s.end_ts)""")
 def interval_overlap_join(spark, sf):

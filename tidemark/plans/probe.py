@@ -58,7 +58,7 @@ def recovery_grid(spark, sf):
     return rows.select("g.gain", "g.least", r["mechanism"].alias("mechanism")).groupBy("gain", "least", "mechanism").agg(F.count("*").alias("n"))
 
 
-_DOCS = """docs AS (SELECT doc_id % 40 AS q, doc_id, left(regexp_replace(text, '\\s+', ' ', 'g'), 40) AS d FROM documents), a AS (SELECT q, coalesce(list(d ORDER BY doc_id) FILTER (WHERE (doc_id // 40) % 3 <> 0), [])[1:6] AS cur, coalesce(list(d ORDER BY doc_id) FILTER (WHERE (doc_id // 40) % 3 = 0), [])[1:q % 6] AS old FROM docs GROUP BY q)"""
+_DOCS = """docs AS (SELECT doc_id // 8 AS q, doc_id, text AS d FROM documents), a AS (SELECT q, coalesce(list(d ORDER BY doc_id) FILTER (WHERE doc_id % 8 >= q % 6), []) AS cur, coalesce(list(d ORDER BY doc_id) FILTER (WHERE doc_id % 8 < q % 6), []) AS old FROM docs GROUP BY q)"""
 
 
 def _contexts(spark, sf):
@@ -83,7 +83,7 @@ def labelled_context(spark, sf):
 
 @query(f"""WITH {_DOCS}, p AS (SELECT *, unnest([0, 25, 50, 75, 100]) AS pct FROM a), r AS (SELECT q, pct, len(cur) AS nc, len(old) AS ns, CAST(round_even(8 * pct / 100.0, 0) AS INTEGER) AS s FROM p), g AS (SELECT *, gcd(s, 8 - s) AS g FROM r),
   f AS (SELECT *, s // g AS us, (8 - s) // g AS uc FROM g), k AS (SELECT *, least(g, CASE WHEN us > 0 THEN ns // us ELSE g END, CASE WHEN uc > 0 THEN nc // uc ELSE g END) AS k FROM f)
-  SELECT q AS question_id, pct, CAST(us * k AS INTEGER) AS n_stale, CAST(uc * k AS INTEGER) AS n_current FROM k""")
+  SELECT q AS question_id, pct, CAST(CASE WHEN k > 0 THEN us * k ELSE least(s, ns) END AS INTEGER) AS n_stale, CAST(CASE WHEN k > 0 THEN uc * k ELSE least(8 - s, nc) END AS INTEGER) AS n_current FROM k""")
 def ratio_mix(spark, sf):
     rows = _contexts(spark, sf).select("q", F.size("cur").alias("nc"), F.size("old").alias("ns"), F.explode(F.array(*map(F.lit, (0, 25, 50, 75, 100)))).alias("pct"))
     return rows.select(F.col("q").alias("question_id"), "pct", pb.ratio_counts(F.col("pct"), 8, F.col("nc"), F.col("ns")).alias("k")).select("question_id", "pct", F.col("k.stale").alias("n_stale"), F.col("k.current").alias("n_current"))

@@ -180,7 +180,7 @@ def retrieved_blocks(spark, sf):
     return top.select("item_id", "rank", F.md5(block).alias("block_md5"))
 
 
-@query(f"WITH {ARTICLES}, r AS (SELECT article_id, url, ts, doc_id, row_number() OVER (PARTITION BY md5(left(text, 400)) ORDER BY ts, doc_id) AS n FROM articles WHERE length(text) >= 80) SELECT article_id, url, ts, doc_id FROM r WHERE n = 1")
+@query(f"WITH {ARTICLES}, r AS (SELECT article_id, url, ts, doc_id, row_number() OVER (PARTITION BY ts, {_TITLE}, md5(left(text, 400)) ORDER BY ts, doc_id) AS n FROM articles WHERE length(text) >= 80) SELECT article_id, url, ts, doc_id FROM r WHERE n = 1")
 def version_dedup(spark, sf):
     """The first of the rows that agree in time, title and first 400 characters; the URL names the document here, so it cannot be in the key."""
     a = articles(spark, sf).filter(F.length("text") >= 80)
