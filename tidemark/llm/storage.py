@@ -126,14 +126,15 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000) ->
 
     At most ``parts`` keys can have more than a ``parts``-th of the rows of left.  What right has for them is that many
     rows or fewer, whatever the size of either table, and is broadcast; all other keys are spread by the exchange.
-    left is read twice and should be a written table.
+    Rows of left without a key match nothing and stay where they are too.  left is read twice and should be a written table.
     """
     count = left.groupBy(key).agg(F.count("*").alias("__n"))
     limit = max(left.count() // parts, HOT)
-    hot = [r[0] for r in count.filter((F.col("__n") > limit) & F.col(key).isNotNull()).select(key).collect()]
-    if not hot:
+    found = [r[0] for r in count.filter(F.col(key).isNull() | (F.col("__n") > limit)).select(key).collect()]
+    if not found:
         return left.join(right, key, "left")
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    hot = [k for k in found if k is not None]
+    is_hot = F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull()
     broad = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, "left")
     return broad.unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key, "left"))
 
