@@ -30,7 +30,7 @@ from tidemark.llm.storage import bounded, materialise, privately, reducer
 from tidemark.llm.textcore import ALNUM, Words, bitmap, chunks, in_sorted
 
 WINDOW = 10
-#: Benchmark text behind one broadcast: about 90 MB in a worker, measured by ``tests/llm``.
+#: Benchmark text behind one broadcast: at most 14 bytes of memory a byte (``tests/llm`` measures it), so about 110 MB in a worker.
 BLOCK_BYTES = 8 << 20
 #: Longer items are cut into pieces that share a window less one word.
 PIECE_BYTES = 1 << 20
