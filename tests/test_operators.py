@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import detector, distances, drift, probe, temporal
+from tidemark.functions import answers, text
+from tidemark.operators import contexts, detector, distances, drift, evidence, probe, retrieval, temporal
 
 
 @pytest.mark.parametrize(
@@ -133,3 +134,136 @@ def test_distances():
     assert distances.sliced_wasserstein(x, x) == 0
     labels = distances.average_linkage(np.array([[1, 0], [1, 0.01], [0, 1], [0.01, 1.0]]), 0.8)
     assert labels[0] == labels[1] != labels[2] == labels[3]
+
+
+def one(spark, column, schema="x int", *row):
+    return spark.createDataFrame([row or (1,)], schema).select(column.alias("v")).first()["v"]
+
+
+def test_reference_lists(spark):
+    a = lambda *xs: F.array(*map(F.lit, xs))
+    assert one(spark, answers.distinct_references(F.array(F.lit("The  Cat"), F.lit(None), F.lit("the cat!"), F.lit(" "), F.lit("dog")))) == ["The  Cat", "dog"]
+    docs = a("Old answer: Paris. He was formerly mayor of Lyon; PRIOR ANSWER - x", "answer: " + "w " * 21)
+    assert one(spark, answers.answer_patterns(docs)) == ["Paris", "x", "mayor of Lyon"]
+    assert one(spark, answers.reference_match(F.lit("in Paris today"), a("Rome", "paris"))).asDict() == {"hit": 1, "best": 0.5}
+    assert one(spark, answers.reference_match(F.lit("x"), F.array().cast("array<string>"))).asDict() == {"hit": 0, "best": 0.0}
+
+
+@pytest.mark.parametrize(
+    "answer, mode, want",
+    [
+        ("note\n Status :  Open.", 0, ("perfect_current", 1)), ("status: CLOSED", 1, ("perfect_stale", 0)), ("it is open", 1, ("harmful_other", 0)), ("it is open", 0, ("perfect_current", 1)), ("status: unheard", 0, ("harmful_other", 0)),
+        ("I don't know", 0, ("missing", 0)), ("open or closed", 0, ("ambiguous", 1)),
+    ],
+)
+def test_classes_with_and_without_a_status(spark, answer, mode, want):
+    a = lambda x: F.array(F.lit(x))
+    c = answers.classify(F.lit(answer), F.lit("current_only"), F.lit("open"), F.lit("closed"), a("open"), a("closed"), F.lit(answers.STATUS_MODES[mode]), F.array(F.lit("Open"), F.lit("closed")), (F.lit("Open"), F.lit("Closed")))
+    got = one(spark, c)
+    assert (got["quality_label"], got["target_correct"]) == want
+
+
+def test_rouge_never_beats_token_f1(spark):
+    import random
+
+    rng = random.Random(0)
+    for _ in range(200):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randrange(1, 9))] for _ in range(2))
+        common = sum(min(x.count(t), y.count(t)) for t in set(x))
+        assert text.lcs_length(x, y) <= common
+
+
+@pytest.mark.parametrize("a, b", [("a b a c a", "a a d"), ("x", "x x x"), ("a a b b", "b b b a"), ("", "a")])
+def test_overlap_counts_what_comes_again(spark, a, b):
+    x, y = a.split(), b.split()
+    want = sum(min(x.count(t), y.count(t)) for t in set(x))
+    got = spark.createDataFrame([(x, y)], "x array<string>, y array<string>").select(text.overlap(F.col("x"), F.col("y"))).first()[0]
+    assert got == want
+
+
+def test_contexts_of_conditions(spark):
+    cur, old = F.array(F.lit("c1"), F.lit("c2"), F.lit("c3")), F.array(F.lit("s1"))
+    ctx = lambda c, **k: one(spark, contexts.context(F.lit(c), cur, old, **k))
+    assert ctx("stale_only") == "[stale doc 1]\ns1" and ctx("mixed", labels=False, separator="|") == "c1|c2|c3|s1"
+    assert ctx("mixed", mixed_order="stale_first", labels=False, separator="|") == "s1|c1|c2|c3"
+    assert ctx("stale_25", labels=False, separator="|") == "c1|s1|c2|c3" and ctx("stale_25_stale_first", labels=False, separator="|") == "s1|c1|c2|c3"
+    assert ctx("anything", given=F.array(F.lit("g"))) == "[retrieved doc 1]\ng" and ctx("mixed", mixed=F.array(F.lit("m"))) == "[mixed doc 1]\nm"
+    assert sorted(ctx("mixed", shuffle_key=F.lit("7"), labels=False, separator="|").split("|")) == ["c1", "c2", "c3", "s1"]
+    with pytest.raises(Exception, match="no such condition"):
+        ctx("nothing")
+
+
+def test_prompts(spark):
+    q = lambda cond, own=None: one(spark, contexts.timed_question(F.lit("Who?"), F.lit(cond), F.lit(own).cast("string"), [F.lit(""), F.lit("2021-01-02T00")], [F.lit("2022-03-04")]))
+    assert q("stale_only") == "As of 2021-01-02, answer the following question: Who?" and q("mixed").startswith("As of 2022-03-04,") and q("other") == "Who?" and q("other", "2020-05-06T07").startswith("As of 2020-05-06,")
+    roles = one(spark, contexts.chat_messages(F.lit("Who?"), F.lit("ctx"), override="Be brief."))
+    assert [(m["role"], m["content"]) for m in roles] == [("system", "Be brief."), ("user", "Question:\nWho?\n\nRetrieved Context:\nctx\n\nReturn only the final answer:\n")]
+    with pytest.raises(ValueError):
+        contexts.system_prompt("odd")
+
+
+def test_partitions_must_be_disjoint_and_whole(spark):
+    df = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    assert contexts.merge_partitions([df(1, 2, 8), df(3)], df(1, 2, 3), "id").count() == 3
+    with pytest.raises(ValueError, match="overlap"):
+        contexts.merge_partitions([df(1, 2), df(2)], df(1, 2), "id")
+    with pytest.raises(ValueError, match="no partition"):
+        contexts.merge_partitions([df(1)], df(1, 2), "id")
+
+
+def test_strict_pivot_fails_on_two_rows(spark):
+    df = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.6)], "q int, c string, v double")
+    with pytest.raises(Exception, match="more than one row"):
+        drift.pivot_strict(df, "q", "c", "v", ["a"]).collect()
+
+
+def test_support_is_found_by_rank_or_url(spark):
+    docs = F.array(F.lit("one"), F.lit("see WWW.Site.org/a/b here"), F.lit("three"))
+    at = lambda rank, *urls: one(spark, evidence.support_index(docs, F.lit(rank).cast("int"), F.array(*map(F.lit, urls)).cast("array<string>")))
+    assert at(3) == 2 and at(9, "http://site.org/a/b/") == 1 and at(None, "https://other.org/x") is None and at(None, "") is None
+
+
+def test_a_support_that_is_there_is_not_injected(spark):
+    fact = "struct<fact_id:string,row:int,subject:string,property:string,object:string,valid_start:string,source_date:string,source_url:string,evidence_span:string>"
+    row = (["a", "b", "c"], [("f", 1, "S", "p", "O", None, None, "http://x.org/y", "quote"), ("g", 2, "S", "p", "O", None, None, "", "")])
+    df = spark.createDataFrame([row], f"docs array<string>, facts array<{fact}>")
+    build = lambda rank: df.select(evidence.probe_documents(F.col("docs"), F.col("facts"), F.lit(rank).cast("int"), F.array().cast("array<string>"), F.lit("2024-01-01"), F.lit("rel"), F.lit("Gold")).alias("d")).first()["d"]
+    d = build(2)
+    assert d["p1_natural"] == d["p2_support_presence"] and not d["injected"] and d["natural_support_rank"] == 2 and d["moved"]
+    assert [x.split("\n")[1] for x in d["p3_support_first"]] == ["b", "a", "c"] and d["n_facts"] == 1 and len(d["p4_evidence_only"]) == 1
+    d = build(None)
+    assert d["injected"] and len(d["p2_support_presence"]) == 4 and d["p3_support_first"][0].endswith("quote") and "Verified answer to the question: Gold" in d["p5_fact_card"][0]
+
+
+def test_ladder_with_a_title(spark):
+    q = spark.createDataFrame([(1, "who leads the Alpha Beta council", 'The "Alpha" office'), (2, "who", "")], "item_id int, question string, title string")
+    steps = {(r["item_id"], r["step"]): r["q"] for r in retrieval.ladder(q, title="title").collect()}
+    assert steps[1, 0] == '"The ""Alpha"" office"' and steps[1, 1] == '"alpha" AND "office"' and not any(i == 2 for i, _ in steps)
+    last = max(s for i, s in steps if i == 1)
+    assert steps[1, last].startswith('"alpha" OR "office" OR "leads"')
+    assert one(spark, text.any_query(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit("c")))) == '"b" OR "a" OR "c"'
+
+
+def test_cutoff_and_document_scope(spark):
+    """Later versions stay hidden, and a document comes once where its versions count as one."""
+    body = lambda n: f"The river council of Alden met in {n}. " + "Alden river council news and more of it. " * 12
+    rows = [(i, f"art{i % 2}", f"u{i}", f"2024-01-0{i + 1}", body(i)) for i in range(5)]
+    art = spark.createDataFrame(rows, "doc_id long, article_id string, url string, ts string, text string").withColumn("ts", F.to_timestamp("ts"))
+    q = spark.createDataFrame([(1, "What did the Alden river council do")], "item_id long, question string")
+    ranked = retrieval.fused(retrieval.passages(art), q, "2024-01-03")
+    both = retrieval.first_per(ranked, ["ts", "article_id"], 10).collect()
+    assert {str(r["ts"])[:10] for r in both} == {"2024-01-01", "2024-01-02", "2024-01-03"}
+    assert sorted(r["article_id"] for r in retrieval.first_per(ranked, ["article_id"], 10).collect()) == ["art0", "art1"]
+
+
+def test_index_is_written_and_read_by_term(spark, tmp_path):
+    art = spark.createDataFrame([(1, "a", "u", None, "Alden river " * 30), (2, "b", "v", None, "hill town " * 30)], "doc_id long, article_id string, url string, ts timestamp, text string")
+    retrieval.build_index(art, str(tmp_path))
+    p, postings = retrieval.open_index(spark, str(tmp_path), ["river", "nothing"])
+    assert p.count() == 2 and [r["pid"] >> 24 for r in postings.collect()] == [1]
+    assert retrieval.open_index(spark, str(tmp_path))[1].select("term").distinct().count() == 4
+
+
+def test_columns_by_first_name(spark):
+    df = spark.createDataFrame([(1, "t")], "page_id int, snapshot string")
+    assert df.select(retrieval.column_of(df, "timestamp", "snapshot").alias("a"), retrieval.column_of(df, "title").alias("b")).first() == ("t", "")

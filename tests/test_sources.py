@@ -35,6 +35,70 @@ def test_versions_and_questions(spark, tmp_path):
     assert [s["answer"] for s in row["spans"]] == ["a", "b"]
 
 
+def test_csv_under_the_union_of_columns(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x")], "k int, a string"), spark.createDataFrame([("y", 2)], "b string, k int")
+    records.write_csv(spark, [a, b], str(tmp_path / "c"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "c"))
+    assert got.columns == ["k", "a", "b"] and sorted(tuple(r) for r in got.na.fill("-").collect()) == [("1", "x", "-"), ("2", "-", "y")]
+    records.write_csv(spark, [], str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
+
+
+def test_versions_that_come_twice(spark):
+    text = lambda t: (t + " ") * 40
+    maps = [json.dumps({"http://b": {"1": {"source_text": text("late"), "archive_url": "http://x", "source_timestamp": "t"}}, "http://a": {"2": {"source_text": text("first"), "archive_url": "http://x", "source_timestamp": "t"}}})]
+    got = records.versions(spark.createDataFrame([(m,) for m in maps], "value string"), "value").collect()
+    assert [(r["source_url"], r["url"], r["text"]) for r in got] == [("http://a", "http://x", text("first").strip())]
+
+
+def test_items_of_any_shape(spark, tmp_path):
+    long = "word " * 20
+    items = [None, "oops", "[1, 2]", json.dumps({"x": {"Headline": "", "title_of": " A  title "}, "n": [{"body_text": "short"}], "link": 5}), json.dumps({"a": "tiny", "b": [long, long + "more"]}), json.dumps({"q": {"question": "why"}, "published_on": "2024-01-01", "t": None})]
+    df = spark.createDataFrame(list(enumerate(items)), "id int, item string")
+    got = {r["id"]: r for r in records.scan_items(df, "item", ["id"]).collect()}
+    assert [(got[i]["title"], got[i]["text"], got[i]["url"]) for i in range(5)] == [("", "", "")] * 3 + [("A title", "short", "5"), ("", (long + "more").strip(), "")]
+    assert (got[5]["hint"], got[5]["timestamp"]) == ("why", "2024-01-01")
+    write = lambda name, text: (tmp_path / name).write_text(text)
+    write("a.jsonl", '{"k": 1}\n\n{"k": 2}\n')
+    write("b.json", '[{"k": 1}, 5, {"k": 2}]')
+    write("c.json", '{"u": {"k": 1}, "v": {"k": 2}}')
+    write("d.json", '{"k": 1, "v": {"k": 2}}')
+    write("e.csv", "k,t\n1,x\n")
+    count = lambda name: records.read_items(spark, str(tmp_path / name), "." + name.split(".")[1]).count()
+    assert [count(n) for n in ("a.jsonl", "b.json", "c.json", "d.json", "e.csv")] == [2, 2, 2, 1, 1]
+    with pytest.raises(ValueError):
+        records.read_items(spark, "x.txt", ".txt")
+
+
+def test_documents_folders_and_fingerprints(spark, tmp_path):
+    folders = records.run_folder(tmp_path, "trial", {"a": [1, "é"]}, "20240101")
+    assert records.read_document(folders["run"] / "settings.json") == {"a": [1, "é"]} and folders["metrics"].is_dir()
+    with pytest.raises(FileExistsError):
+        records.run_folder(tmp_path, "trial", {}, "20240101")
+    (tmp_path / "f.bin").write_bytes(b"x" * 3_000_000)
+    import hashlib
+
+    got = records.fingerprints(spark, str(tmp_path / "f.bin")).first()
+    assert got["sha256"] == hashlib.sha256(b"x" * 3_000_000).hexdigest()
+
+
+def test_checkpoints_and_last_rows(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"2024-01-01T00:00:00": ["a", "b"], "2024-02-01T00:00:00": ["a"]}))
+    assert sorted((str(r["t"])[:10], r["question"]) for r in records.read_checkpoints(spark, str(tmp_path / "t.json")).collect()) == [("2024-01-01", "a"), ("2024-01-01", "b"), ("2024-02-01", "a")]
+    rows = spark.createDataFrame([(1, 0, "x"), (1, 2, "z"), (1, 1, "y"), (2, 0, "w")], "k int, line int, v string")
+    assert sorted((r["k"], r["v"]) for r in records.last_by_key(rows, "k", "line").collect()) == [(1, "z"), (2, "w")]
+
+
+def test_live_budgets_and_sessions(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:{s:02d}", 7, "a", 1.0, None) for i, s in enumerate((0, 5, 8))] + [(9, "2024-01-01 02:00:00", 7, "a", 5.0, None), (10, "2024-01-02 00:00:00", 8, "a", 1.0, None)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "event_type", "value", "props")
+    df.write.parquet(str(tmp_path / "src"))
+    for name, make, want in (("b", lambda s: responses.budget(s, "60 seconds", "60 seconds"), {(3, 3.0), (1, 5.0)}), ("s", responses.sessions, {3, 1})):
+        responses.run_to_end(make(responses.events(spark, str(tmp_path / "src"))), str(tmp_path / f"log{name}"), str(tmp_path / name))
+        got = spark.read.parquet(str(tmp_path / name)).filter("user_id = 7").collect()
+        assert {(r["requests"], r["spent"]) if name == "b" else r["events"] for r in got} == want
+
+
 def test_unique_keys(spark):
     with pytest.raises(ValueError):
         records.require_unique(spark.createDataFrame([(1,), (1,)], "id int"), "id")

@@ -59,9 +59,15 @@ def _occurrences(a: Column, t: Column) -> Column:
     return F.size(F.filter(a, lambda e: e == t))
 
 
+def _repeats(x: Column) -> Column:
+    """Each token of an array as often as it comes again."""
+    return let(lambda s: F.filter(s["x"], lambda t, i: (i > 0) & (F.get(s["x"], i - 1) == t)), x=F.array_sort(x))
+
+
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, t: acc + F.least(_occurrences(a, t), _occurrences(b, t)))
+    """Size of the multiset intersection of two token arrays: the tokens of both once, and those that come again in both."""
+    again = lambda s: F.aggregate(F.array_intersect(s["p"], s["q"]), F.lit(0), lambda acc, t: acc + F.least(_occurrences(s["p"], t), _occurrences(s["q"], t)))
+    return F.size(F.array_intersect(a, b)) + let(again, p=_repeats(a), q=_repeats(b))
 
 
 def _f1(common: Column, n: Column, m: Column) -> Column:
@@ -260,6 +266,14 @@ def search_tokens(c: Column) -> Column:
     return F.filter(stemmed, lambda t: (F.length(t) >= 2) & ~_stop(t))
 
 
+def search_rows(df, text: Column, keys: list[str], name: str = "term"):
+    """``search_tokens`` of a text as one row a token, keys beside it: flat columns, one step a projection, so that all of it is compiled."""
+    out = df.select(*keys, F.explode(words_of(F.lower(text))).alias(name))
+    for step in (bare, _without_suffix, _singular):
+        out = out.withColumn(name, step(F.col(name)))
+    return out.filter((F.length(name) >= 2) & ~_stop(F.col(name)))
+
+
 def numbers(c: Column) -> Column:
     """Numbers of a text without separators, signs of per cent or ordinal endings."""
     raw = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?<!\w)([+-]?\d[\d,]*(?:\.\d+)?(?:%|st|nd|rd|th)?)"), 1)
@@ -327,11 +341,16 @@ def title_of(c: Column, most: int = 180) -> Column:
 
 def word_chunks(c: Column, size: int = 180, shared: int = 40, least: int = 80) -> Column:
     """Windows of words as array<struct<chunk_index, chunk>>; short ones are left out and not numbered."""
-    words = F.filter(F.split(squeeze(c), " "), lambda w: w != "")
-    return let(lambda s: _word_chunks(s["words"], size, shared, least), words=words)
+    return let(lambda s: chunks_of_words(s["words"], size, shared, least), words=words_between(c))
+
 
+def words_between(c: Column) -> Column:
+    """What stands between white space."""
+    return F.array_remove(F.split(squeeze(c), " "), "")
 
-def _word_chunks(words: Column, size: int, shared: int, least: int) -> Column:
+
+def chunks_of_words(words: Column, size: int = 180, shared: int = 40, least: int = 80) -> Column:
+    """``word_chunks`` of an array of words."""
     step = max(1, size - shared)
     last = F.greatest(F.ceil((F.size(words) - size) / F.lit(step)), F.lit(0)).cast("int")
     texts = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(words, k * step + 1, size), " "))
@@ -361,3 +380,15 @@ def _char_chunks(text: Column, size: int, shared: int) -> Column:
 
 def token_estimate(c: Column, per_token: float = 3.6, extra: int = 16) -> Column:
     return (F.ceil(F.length(F.coalesce(c, F.lit(""))) / F.lit(per_token)) + extra).cast("long")
+
+
+#: Forms of secrets and of a user's folder that must not be published.
+SECRETS = {
+    "sk_key": r"\bsk-[A-Za-z0-9_-]{20,}\b", "hf_token": r"\bhf_[A-Za-z0-9]{20,}\b", "bearer": r"(?i)\bBearer\s+[A-Za-z0-9._-]{24,}\b", "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "user_path": r"[A-Za-z]:\\Users\\[^\\\s]+",
+}
+
+
+def secrets(c: Column) -> Column:
+    """Struct of flags: which secrets a text holds."""
+    return F.struct(*(F.coalesce(c.rlike(p), F.lit(False)).alias(k) for k, p in SECRETS.items()))

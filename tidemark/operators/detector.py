@@ -24,8 +24,34 @@ def rank_counts(reference: DataFrame, values: DataFrame, column: str) -> DataFra
     return values.join(keyed, column).crossJoin(F.broadcast(total))
 
 
-def prefix_sum(points: DataFrame, order: str, value: str, name: str, blocks: int = 64) -> DataFrame:
-    """Running sum over distinct ``order`` values: in range blocks in parallel, plus the sum of the blocks before."""
+#: Distinct values of a block of a running sum.
+BLOCK = 100_000
+
+
+def numbered(rows: DataFrame, key: str, name: str = "pos") -> DataFrame:
+    """rows with their place (from 0) in the order of a unique key, without a window over the whole table."""
+    points = rows.select(key).withColumn("_one", F.lit(1).cast("long"))
+    return rows.join(prefix_sum(points, key, "_one", name).select(key, (F.col(name) - 1).alias(name)), key)
+
+
+def quantiles(rows: DataFrame, column: str, qs: list[float]) -> DataFrame:
+    """One row q0, q1, ...: exact quantiles, linear between the values on both sides, from counts of distinct values."""
+    points = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c")).persist()
+    upto = prefix_sum(points, "x", "c", "upto").crossJoin(F.broadcast(points.agg(F.sum("c").alias("n"))))
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("x")))
+    place = lambda q: (F.col("n") - 1) * F.lit(q)
+    out = upto.agg(F.first("n").alias("n"), *(f(at(g(place(q)))).alias(f"{k}{i}") for i, q in enumerate(qs) for k, g, f in (("lo", F.floor, lambda c: c), ("hi", F.ceil, lambda c: c))))
+    part = lambda q: (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
+    return out.select(*((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * part(q)).alias(f"q{i}") for i, q in enumerate(qs)))
+
+
+def prefix_sum(points: DataFrame, order: str, value: str, name: str, blocks: int | None = None) -> DataFrame:
+    """Running sum over distinct ``order`` values: in range blocks in parallel, plus the sum of the blocks before.
+
+    There is a block for each ``BLOCK`` values, so a block's window does not grow with the table.
+    """
+    points = points.persist()
+    blocks = blocks or max(2, -(-points.count() // BLOCK))
     cuts = points.filter(F.col(order).isNotNull()).agg(F.percentile_approx(order, F.array(*(F.lit(i / blocks) for i in range(1, blocks))), 1000).alias("cuts"))
     block = F.size(F.filter("cuts", lambda c: c < F.col(order)))
     dealt = points.crossJoin(F.broadcast(cuts)).withColumn("block", block).drop("cuts")
@@ -45,9 +71,9 @@ def clipped_ecdf(upto: Column, total: Column) -> Column:
 
 def robust_scale(reference: DataFrame, column: str) -> DataFrame:
     """One row (median, scale): scale is IQR / 1.349, else the deviation, else 1."""
-    q = reference.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_pop(column).alias("sd"))
-    iqr = (F.col("q")[2] - F.col("q")[0]) / 1.349
-    return q.select(F.col("q")[1].alias("median"), F.when(iqr >= 1e-12, iqr).when(F.col("sd") >= 1e-12, F.col("sd")).otherwise(1.0).alias("scale"))
+    q = quantiles(reference, column, [0.25, 0.5, 0.75]).crossJoin(F.broadcast(reference.agg(F.stddev_pop(column).alias("sd"))))
+    iqr = (F.col("q2") - F.col("q0")) / 1.349
+    return q.select(F.col("q1").alias("median"), F.when(iqr >= 1e-12, iqr).when(F.col("sd") >= 1e-12, F.col("sd")).otherwise(1.0).alias("scale"))
 
 
 def robust_z(value: Column) -> Column:
@@ -96,6 +122,22 @@ def auroc_by(rows: DataFrame, keys: list[str]) -> DataFrame:
     return up.groupBy(*keys).agg(F.try_divide(wins, F.sum("p") * F.sum("m")).alias("auroc"))
 
 
+def metrics_by(rows: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
+    """(keys, auroc, auprc, f1, precision, threshold) of each group at its best threshold, in one plan.
+
+    Scores of 0 to 1 are rounded, so a group has at most 10 ** digits + 1 of them, and its window is bounded.
+    """
+    by = rows.groupBy(*keys, F.round("score", digits).alias("score")).agg(F.sum("y").cast("long").alias("p"), F.sum(1 - F.col("y")).cast("long").alias("m"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
+    all_ = Window.partitionBy(*keys)
+    up = by.select("*", F.sum("p").over(down).alias("tp"), F.sum("m").over(down).alias("fp"), F.sum("p").over(all_).alias("pos"), F.sum("m").over(all_).alias("negs"))
+    precision = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
+    best = F.struct(F.round(2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("pos")), 12).alias("f1"), F.round(precision, 12).alias("precision"), F.col("score").alias("threshold"))
+    wins = F.sum(F.col("m") * (F.col("tp") - F.col("p")) + 0.5 * F.col("m") * F.col("p"))
+    out = up.groupBy(*keys).agg(F.try_divide(wins, F.first("pos") * F.first("negs")).alias("auroc"), F.sum(F.try_divide(F.col("p"), F.col("pos")) * precision).alias("auprc"), F.max(best).alias("_b"))
+    return out.select(*keys, "auroc", "auprc", "_b.*")
+
+
 def best_f1(rows: DataFrame) -> DataFrame:
     """The threshold (a score, 0 or 1) with the largest (F1, precision, threshold)."""
     c = _curve(rows)
@@ -107,6 +149,15 @@ def best_f1(rows: DataFrame) -> DataFrame:
 
 
 def stratified_folds(rows: DataFrame, k: int, salt: str) -> DataFrame:
-    """fold 0 .. k - 1 by the md5 order within each class, so that folds are alike and reproducible."""
+    """fold 0 .. k - 1 by the md5 order within each class, so that folds are alike and reproducible.
+
+    A class is put in order in blocks by the first digits of the hash; a block's first place is the number of rows in the
+    blocks before it, so no window holds a whole class.
+    """
     h = F.md5(F.concat(F.lit(f"{salt}|"), F.col("doc_id").cast("string")))
-    return rows.withColumn("fold", ((F.row_number().over(Window.partitionBy("y").orderBy(h)) - 1) % k).cast("int"))
+    dealt = rows.withColumn("_h", h).withColumn("_b", F.left("_h", F.lit(3)))
+    sizes = dealt.groupBy("y", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("y", "_b", before.alias("_base"))
+    place = F.col("_base") + F.row_number().over(Window.partitionBy("y", "_b").orderBy("_h", "doc_id")) - 1
+    return dealt.join(F.broadcast(bases), ["y", "_b"]).withColumn("fold", (place % k).cast("int")).drop("_h", "_b", "_base")

@@ -34,25 +34,35 @@ def centroids(v: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pairs(v: DataFrame) -> DataFrame:
-    """(question_id, side, sq, i, j): all ordered pairs of a question's vectors, side xx, yy or xy."""
+    """(question_id, side, sq): each two different vectors of a question once, side xx, yy or xy."""
     a = v.select("question_id", F.col("condition").alias("ca"), F.col("vec_id").alias("i"), F.col("v").alias("va"))
     b = v.select("question_id", F.col("condition").alias("cb"), F.col("vec_id").alias("j"), F.col("v").alias("vb"))
-    side = F.when((F.col("ca") == "stale_only") & (F.col("cb") == "stale_only"), "xx").when((F.col("ca") == "current_only") & (F.col("cb") == "current_only"), "yy").when(F.col("ca") == "stale_only", "xy")
-    return a.join(b, "question_id").select("question_id", side.alias("side"), "i", "j", squared(F.col("va"), F.col("vb")).alias("sq"))
+    side = F.when(F.col("ca") != F.col("cb"), "xy").when(F.col("ca") == "stale_only", "xx").otherwise("yy")
+    return a.join(b, "question_id").filter("i < j").select("question_id", side.alias("side"), squared(F.col("va"), F.col("vb")).alias("sq"))
 
 
-def energy(p: DataFrame) -> DataFrame:
-    mean = lambda s: F.avg(F.when(F.col("side") == s, F.sqrt("sq")))
-    return p.groupBy("question_id").agg(F.greatest(F.lit(0.0), 2 * mean("xy") - mean("xx") - mean("yy")).alias("energy"))
+def _sides(v: DataFrame) -> DataFrame:
+    """(question_id, nx, ny): vectors of each side."""
+    n = lambda c: F.sum((F.col("condition") == c).cast("double"))
+    return v.groupBy("question_id").agg(n("stale_only").alias("nx"), n("current_only").alias("ny"))
 
 
-def mmd(p: DataFrame) -> DataFrame:
+def energy(v: DataFrame) -> DataFrame:
+    """Twice the mean distance between the sides, less those within each (a vector's zero distance to itself counts there)."""
+    total = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.sqrt("sq"))), F.lit(0.0))
+    sums = pairs(v).groupBy("question_id").agg(*(total(s).alias(s) for s in ("xx", "yy", "xy")))
+    nx, ny = F.col("nx"), F.col("ny")
+    value = 2 * F.col("xy") / (nx * ny) - 2 * F.col("xx") / (nx * nx) - 2 * F.col("yy") / (ny * ny)
+    return sums.join(_sides(v), "question_id").select("question_id", F.greatest(F.lit(0.0), value).alias("energy"))
+
+
+def mmd(v: DataFrame) -> DataFrame:
     """U-statistic of the RBF kernel, bandwidth the median of the positive pooled distances."""
-    sigma = p.filter("i < j and sq > 0").groupBy("question_id").agg(F.percentile(F.sqrt("sq"), F.lit(0.5)).alias("sigma"))
+    p = pairs(v).persist()
+    sigma = p.filter("sq > 0").groupBy("question_id").agg(F.percentile(F.sqrt("sq"), F.lit(0.5)).alias("sigma"))
     k = F.exp(-F.col("sq") / F.greatest(2 * F.col("sigma") * F.col("sigma"), F.lit(1e-12)))
-    mean = lambda s, c=F.lit(True): F.coalesce(F.avg(F.when((F.col("side") == s) & c, k)), F.lit(0.0))
-    off = F.col("i") != F.col("j")
-    return p.join(sigma, "question_id").groupBy("question_id").agg(F.greatest(F.lit(0.0), mean("xx", off) + mean("yy", off) - 2 * mean("xy")).alias("mmd"))
+    mean = lambda s: F.coalesce(F.avg(F.when(F.col("side") == s, k)), F.lit(0.0))
+    return p.join(sigma, "question_id").groupBy("question_id").agg(F.greatest(F.lit(0.0), mean("xx") + mean("yy") - 2 * mean("xy")).alias("mmd"))
 
 
 def entropy(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -121,3 +131,122 @@ def per_cell(v: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
 
 def matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack(pdf["v"].to_list()).astype(float) if len(pdf) else np.zeros((0, 0))
+
+
+def hashed_embedding(texts: DataFrame, key: str, text: Column, bins: int = 768) -> DataFrame:
+    """(key, bin, value): unit vectors of signed token counts, each token in the bin that a hash of it names; sparse, zeros left out."""
+    from tidemark.functions import text as tx
+
+    h = F.md5("token")
+    part = lambda lo: F.conv(F.substring(h, lo, 8), 16, 10).cast("long")
+    rows = texts.select(key, F.explode(tx.tokens(text)).alias("token")).select(key, F.pmod(part(1), F.lit(bins)).alias("bin"), F.when(part(9) % 2 == 0, 1.0).otherwise(-1.0).alias("w"))
+    sums = rows.groupBy(key, "bin").agg(F.sum("w").alias("x")).filter("x <> 0")
+    norm = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return sums.join(norm, key).select(key, "bin", (F.col("x") / F.col("norm")).alias("value"))
+
+
+def each_once(rows: DataFrame, text: str, encode) -> DataFrame:
+    """rows with what ``encode`` (a function of a table of distinct texts) adds to each text: equal texts are encoded once."""
+    return rows.join(encode(rows.select(text).distinct()), text)
+
+
+def equivalence_clusters(rows: DataFrame, keys: list[str], item: str, text: str, same) -> DataFrame:
+    """rows with component: the smallest item that a chain of equivalent texts of its cell leads to.
+
+    ``same`` is an expression of two texts.  Each two rows of a cell are compared once; cells are bounded by the sampling
+    plan, so their links are closed cell by cell.
+    """
+    x = rows.select(*keys, F.col(item).alias("_i"), F.col(text).alias("_a"))
+    y = rows.select(*keys, F.col(item).alias("_j"), F.col(text).alias("_b"))
+    links = x.join(y, keys).filter("_i < _j").filter(same(F.col("_a"), F.col("_b"))).select(*keys, "_i", "_j")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema.fields[:-1]) + ", component long"
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        up: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while up.setdefault(i, i) != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        for i, j in zip(pdf["_i"], pdf["_j"]):
+            a, b = root(i), root(j)
+            up[max(a, b)] = min(a, b)
+        items = sorted(up)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "_i": items, "component": [root(i) for i in items]})[[*keys, "_i", "component"]]
+
+    found = links.groupBy(*keys).applyInPandas(close, fields).withColumnRenamed("_i", item)
+    return rows.join(found, [*keys, item], "left").withColumn("component", F.coalesce("component", F.col(item).cast("long")))
+
+
+def density_clusters(x: np.ndarray, least: int = 5) -> np.ndarray:
+    """Hierarchical density clusters of unit rows by Euclidean distance, -1 for noise.
+
+    Rows are joined by the spanning tree of their mutual reachability (the larger of their distance and of the distances to
+    their ``least``-th neighbours).  Of its hierarchy, branches of ``least`` rows or more count as clusters, and those that
+    outlast what they split into are chosen.
+    """
+    n = len(x)
+    if n < 2 * least:
+        return np.full(n, -1)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.divide(x, norm, out=x.copy(), where=norm > 0)
+    d = np.sqrt(np.maximum(0, 2 - 2 * u @ u.T))
+    core = np.sort(d, axis=1)[:, min(least, n - 1)]
+    reach = np.maximum(np.maximum(core[:, None], core[None, :]), d)
+    # Prim's tree, its edges then joined from short to long
+    best, source, out, edges = reach[0].copy(), np.zeros(n, int), np.ones(n, bool), []
+    out[0] = False
+    for _ in range(n - 1):
+        j = int(np.argmin(np.where(out, best, np.inf)))
+        edges.append((best[j], int(source[j]), j))
+        out[j] = False
+        closer = out & (reach[j] < best)
+        best[closer], source[closer] = reach[j][closer], j
+    node, size, kids, top = list(range(n)), [1] * n, {}, {i: i for i in range(n)}
+
+    def root(i: int) -> int:
+        while node[i] != i:
+            node[i] = i = node[node[i]]
+        return i
+
+    for far, i, j in sorted(edges):
+        a, b = root(i), root(j)
+        new = len(size)
+        size.append(size[top[a]] + size[top[b]])
+        kids[new] = (top[a], top[b], max(far, 1e-12))
+        node[b], top[a] = a, new
+    members: dict[int, list[int]] = {i: [i] for i in range(n)}
+    for k, (a, b, _) in kids.items():
+        members[k] = members[a] + members[b]
+
+    def gain(k: int, born: float) -> tuple[float, list[int]]:
+        """(stability, clusters) of the best choice within a branch that began at density ``born``."""
+        here, total = k, 0.0
+        while here in kids:
+            a, b, far = kids[here]
+            density = 1 / far
+            big = [c for c in (a, b) if size[c] >= least]
+            total += (density - born) * (size[here] if len(big) != 1 else size[here] - size[big[0]])
+            if len(big) == 2:
+                below = [gain(c, density) for c in big]
+                return (total, [k]) if total >= sum(g for g, _ in below) else (sum(g for g, _ in below), [c for _, cs in below for c in cs])
+            if not big:
+                break
+            here = big[0]
+        return total, [k]
+
+    top_node = len(size) - 1
+    found = gain(top_node, 0.0)[1]
+    labels = np.full(n, -1)
+    for number, k in enumerate(c for c in found if c != top_node):
+        labels[members[k]] = number
+    return labels
+
+
+def noise_apart(labels: np.ndarray) -> np.ndarray:
+    """Each row of noise (-1) as a cluster of its own."""
+    out, free = labels.copy(), int(labels.max(initial=-1)) + 1
+    for i in np.flatnonzero(labels < 0).tolist():
+        out[i], free = free, free + 1
+    return out

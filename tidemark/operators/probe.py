@@ -6,9 +6,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The stages of the probe, in order; also the names of mechanisms below.
 STAGES = ("p1_natural", "p2_support_presence", "p3_support_first", "p4_evidence_only", "p5_fact_card")
 
 
+#: Parts that controls are ranked in before their best are ranked together.
+SALTS = 64
+
+
 def interleave(current: Column, stale: Column) -> Column:
     """Alternating elements, the longer array first (current at equal length); what is left over at the end."""
     first, second = F.when(F.size(current) >= F.size(stale), current).otherwise(stale), F.when(F.size(current) >= F.size(stale), stale).otherwise(current)
@@ -86,13 +91,17 @@ def match_controls(cases: DataFrame, controls: DataFrame, limit: int) -> DataFra
 
     What is left of ``limit`` goes to the riskiest other controls; these have no case and no cost.
 
-    Cases are few by design (alarms of one update).  Each case first keeps its ``limit`` nearest controls, which is
-    enough for any greedy choice among ``limit`` cases; the sequential choice then sees those rows only, and the
+    Only the first ``limit`` cases by id can take a control, so these are the query set that is broadcast, whatever the
+    size of both tables.  Each case keeps its ``limit`` nearest controls, first in ``SALTS`` parts of the controls and then
+    of what they keep, which is enough for any greedy choice; the sequential choice then sees those rows only, and the
     ``2 * limit`` riskiest controls, which are enough to fill up with.
     """
-    d = cases.select(*(F.col(c).alias(f"c_{c}") for c in ("id", "transition", "relation", "style", "risk"))).join(F.broadcast(controls), F.lit(True))
+    first = cases.orderBy("id").limit(limit).select(*(F.col(c).alias(f"c_{c}") for c in ("id", "transition", "relation", "style", "risk")))
+    d = controls.join(F.broadcast(first), F.lit(True))
     cost = F.when(F.col("c_transition") != F.col("transition"), 10).otherwise(0) + F.when(F.col("c_relation") != F.col("relation"), 3).otherwise(0) + F.when(F.col("c_style") != F.col("style"), 1).otherwise(0) + F.abs(F.col("c_risk") - F.col("risk"))
-    near = d.select(F.col("c_id").alias("case_id"), "id", F.round(cost, 9).alias("cost")).withColumn("n", F.row_number().over(Window.partitionBy("case_id").orderBy("cost", "id"))).filter(F.col("n") <= limit)
+    ranked = lambda rows, *keys: rows.withColumn("n", F.row_number().over(Window.partitionBy("case_id", *keys).orderBy("cost", "id"))).filter(F.col("n") <= limit)
+    parts = d.select(F.col("c_id").alias("case_id"), "id", F.round(cost, 9).alias("cost"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("part"))
+    near = ranked(ranked(parts, "part").drop("part", "n"))
     # a row of the fill has n = 0 and its risk, falling, in place of a cost
     fill = controls.orderBy(F.desc("risk"), "id").limit(2 * limit).select(F.lit(0).alias("case_id"), "id", (-F.col("risk")).cast("double").alias("cost"), F.lit(0).alias("n"))
 
@@ -126,3 +135,17 @@ def quota_controls(targets: DataFrame, controls: DataFrame, exact: list[str], co
     rest = ranked.filter("quota is null or n > quota").select(*controls.columns).join(common, coarse, "left")
     keys = [F.when(F.col("common").isNotNull(), F.col(c)) for c in coarse]
     return first.unionByName(rest.orderBy(F.desc_nulls_last("common"), *keys, F.desc("risk"), "id").limit(short).select(*controls.columns))
+
+
+def annotated(rows: DataFrame, column: str = "metadata", **fields: str) -> DataFrame:
+    """rows with constant fields in a struct column, in place of older ones of their names."""
+    out = F.col(column)
+    for k, v in fields.items():
+        out = out.withField(k, F.lit(v))
+    return rows.withColumn(column, out)
+
+
+def flattened(rows: DataFrame, column: str, fields: list[str], nested: dict[str, str]) -> DataFrame:
+    """rows with fields of a struct column, and fields further down, as columns."""
+    rest = [c for c in rows.columns if c != column]
+    return rows.select(*rest, *(F.col(f"{column}.{f}").alias(f) for f in fields), *(F.col(f"{column}.{p}").alias(n) for n, p in nested.items()))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Draws of a round that are made at once.
+SLOTS = 4096
+
+
 def draw(seed: str, round_: Column, slot: Column, n: Column) -> Column:
     """An index 0 .. n - 1."""
     h = F.md5(F.concat_ws("|", F.lit(seed), round_.cast("string"), slot.cast("string")))
@@ -15,7 +19,10 @@ def draw(seed: str, round_: Column, slot: Column, n: Column) -> Column:
 def rounds_of(rows: DataFrame, key: str, rounds: int, seed: str) -> DataFrame:
     """(key, round, pick): as many draws in each round as the key has rows (pick counts from 0)."""
     n = rows.groupBy(key).agg(F.count("*").alias("n"))
-    slots = n.select(key, "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
+    # slots come in blocks, so that no array grows with the rows of a key
+    blocks = n.select(key, "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOTS))).alias("block"))
+    last = F.least(F.col("n"), (F.col("block") + 1) * SLOTS) - 1
+    slots = blocks.select(key, "n", "round", F.explode(F.sequence(F.col("block") * SLOTS, last)).alias("slot"))
     return slots.select(key, "round", draw(seed, F.col("round"), F.col("slot"), F.col("n")).alias("pick"))
 
 

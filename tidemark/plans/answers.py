@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.functions import text as tx
+from tidemark.operators.detector import numbered
 from tidemark.operators.retrieval import ladder
 from tidemark.plans.views import ANSWER_PAIRS, RESPONSES, answer_pairs, f1, norm, responses, table, toks
 
@@ -77,9 +78,9 @@ _NUM = "list_distinct(list_transform(list_transform(regexp_extract_all(lower({0}
   n AS (SELECT item_id, {_NUM.format('a')} AS p, {_NUM.format('b')} AS q FROM x)
   SELECT item_id, CAST(len(list_filter(p, lambda e: NOT list_contains(q, e))) > 0 AND len(list_filter(q, lambda e: NOT list_contains(p, e))) > 0 AS INTEGER) AS mismatch, CAST(len(p) AS BIGINT) AS n_left FROM n""")
 def numbers_mismatch(spark, sf):
-    from pyspark.sql import Window
-
-    d = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("a"), F.lead("text").over(Window.orderBy("item_id")).alias("b")).filter("b is not null")
+    d = numbered(table(spark, sf, "benchmark"), "item_id")
+    after = d.select((F.col("pos") - 1).alias("pos"), F.col("text").alias("b"))
+    d = d.join(after, "pos").select("item_id", F.col("text").alias("a"), "b")
     item = F.col("item_id")
     a = F.concat(F.lit("in "), "a", F.lit(" 1,5"), item.cast("string"), F.lit("% of "), (item % 7).cast("string"), F.lit("th"))
     b = F.concat(F.lit("at "), "b", F.lit(" "), (item % 7).cast("string"), F.lit(" or "), (item % 5).cast("string"), F.lit(".5"))
@@ -174,7 +175,12 @@ def cost_plan(spark, sf):
     )
 
 
-@query("""SELECT doc_id, CAST(regexp_matches(text, 'AKIA[0-9A-Z]{16}') AS INTEGER) AS has_key, CAST(regexp_matches(text, '[A-Za-z]:\\\\|/home/|/Users/') AS INTEGER) AS has_path FROM documents""")
+_SECRET_TEXT = """text || CASE doc_id % 6 WHEN 0 THEN ' sk-' || repeat('aB3_', 6) || ' ' WHEN 1 THEN ' hf_' || repeat('x9', 11) WHEN 2 THEN ' bearer ' || repeat('t.', 14) || 'z' WHEN 3 THEN chr(10) || '-----BEGIN EC PRIVATE KEY-----' WHEN 4 THEN ' C:\\Users\\me\\x' ELSE ' sk-short' END"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_SECRET_TEXT} AS t FROM documents) SELECT doc_id, {', '.join(f"regexp_matches(t, '{p}') AS {k}" for k, p in tx.SECRETS.items())} FROM t""")
 def secret_scan(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.col("text").rlike("AKIA[0-9A-Z]{16}").cast("int").alias("has_key"), F.col("text").rlike(r"[A-Za-z]:\\|/home/|/Users/").cast("int").alias("has_path"))
+    """Secrets in whole texts, to each of which one of the forms was added."""
+    i = F.col("doc_id") % 6
+    more = F.when(i == 0, " sk-" + "aB3_" * 6 + " ").when(i == 1, " hf_" + "x9" * 11).when(i == 2, " bearer " + "t." * 14 + "z").when(i == 3, "\n-----BEGIN EC PRIVATE KEY-----").when(i == 4, " C:\\Users\\me\\x").otherwise(" sk-short")
+    return table(spark, sf, "documents").select("doc_id", tx.secrets(F.concat("text", more)).alias("s")).select("doc_id", "s.*")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.operators import probe as pb
 from tidemark.operators import resample as rs
+from tidemark.operators.detector import numbered
 from tidemark.plans.views import ARTICLES, SCORED_LABELS, articles, scored_labels, table
 
 _ROUND = "CAST(round(avg(CASE WHEN {0} THEN 1.0::DOUBLE ELSE 0 END), 6) AS DOUBLE)"
@@ -56,7 +56,7 @@ _DRAW = "(('0x' || substr(md5('cls|' || CAST(r AS VARCHAR) || '|' || CAST(slot A
 def classifier_bootstrap(spark, sf):
     """Intervals of precision and recall; rounds that drew one class are left out."""
     rows = scored_labels(spark, sf).select("doc_id", "y", (F.col("score") >= 0.03).cast("int").alias("hit")).withColumn("one", F.lit(1))
-    rows = rows.withColumn("pos", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long"))
+    rows = numbered(rows, "doc_id")
     drawn = rs.rounds_of(rows, "one", 40, "cls").join(rows.select(F.col("pos").alias("pick"), "y", "hit"), "pick")
     y, hit = F.col("y"), F.col("hit")
     m = drawn.groupBy("round").agg(F.sum(y * hit).alias("tp"), F.sum((1 - y) * hit).alias("fp"), F.sum("y").alias("pos"), F.count("*").alias("n")).filter("pos > 0 and pos < n")

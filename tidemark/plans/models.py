@@ -70,8 +70,8 @@ def transition_metrics(spark, sf):
 
 
 @query(f"""WITH {SCORED_LABELS.replace('score,', 'score,')}, t0 AS (SELECT * FROM scored WHERE split = 't0'), cand AS (SELECT DISTINCT t FROM (SELECT score AS t FROM t0 UNION ALL SELECT 0.0 UNION ALL SELECT 1.0)), e AS (SELECT t, sum(CASE WHEN score >= t THEN y ELSE 0 END) AS tp, sum(CASE WHEN score >= t THEN 1 - y ELSE 0 END) AS fp, sum(y) AS pos FROM cand, t0 GROUP BY 1),
-  best AS (SELECT t FROM e ORDER BY round(coalesce(2.0 * tp / nullif(tp + fp + pos, 0), 0.0), 12) DESC, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 12) DESC, t DESC LIMIT 1), h AS (SELECT s.*, score >= t AS hit, 1 AS one FROM scored s, best WHERE split = 'future'), c AS ({_METRIC.format(k='', t='h', g='')}),
-  {_AUC.replace('scored', "(SELECT * FROM scored WHERE split = 'future')")} SELECT 'score' AS baseline, {_OUT}, (SELECT round(sum(m * (tp - p) + 0.5 * m * p) / (any_value(pos) * any_value(negs)), 6) FROM u) AS auroc FROM c""")
+  best AS (SELECT t FROM e ORDER BY round(coalesce(2.0 * tp / nullif(tp + fp + pos, 0), 0.0), 12) DESC, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 12) DESC, t DESC LIMIT 1), h AS (SELECT s.*, score >= t AS hit, 1 AS one FROM scored s, best WHERE split = 'future'), k AS ({_METRIC.format(k='', t='h', g='')}),
+  {_AUC.replace('scored', "(SELECT * FROM scored WHERE split = 'future')")} SELECT 'score' AS baseline, {_OUT}, (SELECT round(sum(m * (tp - p) + 0.5 * m * p) / (any_value(pos) * any_value(negs)), 6) FROM u) AS auroc FROM k""")
 def score_baseline(spark, sf):
     """A single score as detector: its threshold from the first update, its metrics on later ones."""
     s = scored_labels(spark, sf)
@@ -99,20 +99,41 @@ def detector_families(spark, sf):
     """Every family fitted on the first update with its first settings, its threshold chosen there, and its metrics on later updates."""
     rows = _core(spark, sf).cache()
     t0, future = rows.filter("split = 't0'"), rows.filter("split = 'future'")
-    out = None
+    seen = unseen = None
     for name, family in fm.families(_FEATURES, t0.count()).items():
         model = fm.fit(family, t0, **family.settings()[0])
-        cut = dt.best_f1(fm.predict(family, model, t0).select("y", F.round("score", 6).alias("score"))).select(F.col("threshold").alias("cut"))
-        scored = fm.predict(family, model, future).select("doc_id", "y", F.round("score", 6).alias("score"))
-        one = dt.confusion(scored.crossJoin(F.broadcast(cut)), F.col("cut")).crossJoin(F.broadcast(dt.auroc_ap(scored))).select(F.lit(name).alias("model"), *(F.round(c, 6).alias(c) for c in ("auroc", "auprc", "precision", "recall", "f1")))
-        out = one if out is None else out.unionByName(one)
-    return out
+        a, b = (fm.predict(family, model, part).select(F.lit(name).alias("model"), "y", F.round("score", 4).alias("score")) for part in (t0, future))
+        seen, unseen = (a, b) if seen is None else (seen.unionByName(a), unseen.unionByName(b))
+    cuts = dt.metrics_by(seen, ["model"]).select("model", F.col("threshold").alias("cut"))
+    at_cut = dt.confusion(unseen.join(F.broadcast(cuts), "model"), F.col("cut"), ["model"])
+    ranks = dt.metrics_by(unseen, ["model"]).select("model", "auroc", "auprc")
+    return at_cut.join(ranks, "model").select("model", *(F.round(c, 6).alias(c) for c in ("auroc", "auprc", "precision", "recall", "f1")))
 
 
 @query()
 def detector_oof(spark, sf):
     """Out-of-fold risk of the quadratic family, its settings chosen inside each training part."""
-    rows = _core(spark, sf).filter("split = 't0'").select("doc_id", "y", *_FEATURES)
+    rows = _core(spark, sf).filter("split = 't0'").select("doc_id", "y", *_FEATURES).cache()
     family = fm.families(_FEATURES, 200)["quadratic_logistic"]
-    scores, _ = fm.nested_oof(family, rows, folds=3, inner=2)
+    scores, _ = fm.nested_oof(family, rows, folds=2, inner=2)
     return scores.select("doc_id", "y", F.round("score", 6).alias("score"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text FROM conversations), g AS (SELECT *, CASE WHEN turn % 5 = 0 THEN '  ' ELSE role || chr(10) || text || chr(10) END AS x FROM c), l AS (SELECT *, string_split(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), chr(10))[-1] AS last FROM g)
+  SELECT conv_id, turn, md5('Mock answer for: ' || role || ' | ' || left(coalesce(nullif(last, ''), 'insufficient context'), 160)) AS answer_md5 FROM l""")
+def mock_answers(spark, sf):
+    """What the mock generator says to every question and context."""
+    from tidemark.operators import generation as gn
+
+    c = table(spark, sf, "conversations")
+    context = F.when(F.col("turn") % 5 == 0, "  ").otherwise(F.concat("role", F.lit("\n"), "text", F.lit("\n")))
+    return c.select("conv_id", "turn", F.md5(gn.mock_answer(F.col("role"), context)).alias("answer_md5"))
+
+
+@query("""WITH l AS (SELECT CAST(l_quantity AS DOUBLE) AS v FROM lineitem), e AS (SELECT min(v) AS lo, max(v) AS hi FROM l), b AS (SELECT least(floor((v - lo) / ((hi - lo) / 20)), 19) AS bin, lo, hi FROM l, e) SELECT CAST(bin AS INTEGER) AS bin, round(any_value(lo) + bin * (any_value(hi) - any_value(lo)) / 20, 6) AS low, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY bin""")
+def chart_data(spark, sf):
+    """The counts behind a distribution chart."""
+    from tidemark.operators import reports as rp
+
+    h = rp.histogram(table(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("v")), "v")
+    return h.select("bin", F.round("low", 6).alias("low"), "n")

@@ -118,3 +118,29 @@ def probe_summary(spark, sf):
     return long.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("accuracy"), F.round(F.avg(F.col("v") - F.col("p1")), 6).alias("gain"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 6).alias("sd"))
 
 
+
+_GAIN_DRAW = "(('0x' || substr(md5('gain|' || CAST(r AS VARCHAR) || '|' || CAST(slot AS VARCHAR)), 1, 8))::BIGINT % n)"
+
+
+@query(f"""WITH {PROBE}, g AS (SELECT stage, v - p1 AS d, row_number() OVER (PARTITION BY stage ORDER BY question_id) - 1 AS pos, count(*) OVER (PARTITION BY stage) AS n FROM (SELECT question_id, p1, unnest(['p2', 'p3', 'p4', 'p5']) AS stage, unnest([p2, p3, p4, p5]) AS v FROM probe) WHERE v - p1 IS NOT NULL),
+  s AS (SELECT stage, n, r, unnest(range(0, n)) AS slot FROM (SELECT stage, any_value(n) AS n, unnest(range(0, 100)) AS r FROM g GROUP BY stage)), k AS (SELECT stage, r, {_GAIN_DRAW} AS pos FROM s), m AS (SELECT k.stage, r, avg(d) AS m FROM k JOIN g ON g.stage = k.stage AND g.pos = k.pos GROUP BY 1, 2),
+  a AS (SELECT stage, avg(d) AS mean FROM g GROUP BY 1) SELECT m.stage, round(any_value(mean), 6) AS gain, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m JOIN a ON a.stage = m.stage GROUP BY 1""")
+def probe_gain_ci(spark, sf):
+    """The gain of each stage over the first, with its bootstrap interval."""
+    from pyspark.sql import Window
+
+    from tidemark.operators import resample as rs
+
+    long = _probe(spark, sf).select("question_id", F.expr("stack(4, 'p2', p2 - p1, 'p3', p3 - p1, 'p4', p4 - p1, 'p5', p5 - p1) as (stage, d)")).filter("d is not null")
+    rows = long.withColumn("pos", (F.row_number().over(Window.partitionBy("stage").orderBy("question_id")) - 1).cast("long"))
+    b = rs.bootstrap_mean(rows, "stage", "d", 100, "gain")
+    return b.select("stage", F.round("mean", 6).alias("gain"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("""SELECT o_orderkey AS id, 'changed_future' AS split, strftime(o_orderdate, '%Y-%m') AS time_x, o_orderstatus AS change_label, o_orderkey % 2 = 0 AS injected, o_orderkey % 3 = 0 AS moved FROM orders""")
+def record_metadata(spark, sf):
+    """Records annotated with their part in the study, and their nested metadata as columns."""
+    i = F.col("o_orderkey")
+    meta = F.struct(F.date_format("o_orderdate", "yyyy-MM").alias("time_x"), F.col("o_orderstatus").alias("change_label"), F.struct((i % 2 == 0).alias("injected"), (i % 3 == 0).alias("moved")).alias("intervention"))
+    rows = table(spark, sf, "orders").select(i.alias("id"), meta.alias("metadata"))
+    return pb.flattened(pb.annotated(rows, split="changed_future"), "metadata", ["split", "time_x", "change_label"], {"injected": "intervention.injected", "moved": "intervention.moved"})

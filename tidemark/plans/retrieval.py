@@ -17,7 +17,7 @@ _TITLE = f"left(coalesce(list_filter(list_transform(string_split(text, chr(10)),
 PASSAGES = f"""{ARTICLES}, w AS (SELECT *, {_TITLE} AS title, list_filter(string_split({_SQUEEZE.format('text')}, ' '), lambda x: x <> '') AS words FROM articles),
 k AS (SELECT *, unnest(range(0, CAST(greatest(ceil((len(words) - 180) / 140.0), 0) AS BIGINT) + 1)) AS step FROM w WHERE len(words) > 0),
 h AS (SELECT *, array_to_string(words[step * 140 + 1 : step * 140 + 180], ' ') AS chunk FROM k),
-passages AS (SELECT doc_id, article_id, url, ts, title, chunk, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS chunk_index, doc_id * 10000 + row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS pid FROM h WHERE length(chunk) >= 80)"""
+passages AS (SELECT doc_id, article_id, url, ts, title, chunk, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS chunk_index, doc_id * 16777216 + row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS pid FROM h WHERE length(chunk) >= 80)"""
 _FOLD = f"regexp_extract_all(translate(lower({{0}}), '{rt.ACCENTED}', '{rt.PLAIN}'), '([a-z0-9ß]+)', 1)"
 FTS = f"""{PASSAGES}, {QUESTIONS}, tok AS (SELECT pid, unnest({_FOLD.format('title')}) AS term, 3.0 AS w FROM passages UNION ALL SELECT pid, unnest({_FOLD.format('chunk')}) AS term, 1.0 AS w FROM passages),
 sz AS (SELECT pid, count(*) AS size FROM tok GROUP BY 1), post AS (SELECT pid, term, CAST(sum(w) AS DOUBLE) AS f FROM tok GROUP BY 1, 2),
@@ -55,11 +55,10 @@ def title_infer(spark, sf):
   SELECT item_id, pid, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def retrieval_fts_weighted(spark, sf):
     p, q = _passages(spark, sf), questions(spark, sf)
-    postings = rt.weighted_postings(p)
     terms = q.select("item_id", F.explode(tx.query_terms(F.col("question"))).alias("term"))
-    scores = rt.weighted_bm25(postings, postings.select("pid", "size").distinct(), terms, ["item_id"]).withColumn("score", F.round("score", 9))
     live = p.filter(F.col("ts") <= F.lit(CUTOFF).cast("timestamp")).select("pid")
-    top = rt.top_k(scores.join(live, "pid", "left_semi"), ["item_id"], [F.desc("score"), F.asc("pid")], 10)
+    scores = rt.weighted_bm25(rt.weighted_postings(p), terms, ["item_id"], live).withColumn("score", F.round("score", 9))
+    top = rt.top_k(scores, ["item_id"], [F.desc("score"), F.asc("pid")], 10)
     return top.select("item_id", "pid", F.round("score", 6).alias("score"), "rank")
 
 
@@ -85,8 +84,8 @@ SCORES = f"""{PASSAGES}, {QUESTIONS}, body AS (SELECT pid, term, count(*) AS tf
 
 def _live_scores(spark, sf):
     p = _passages(spark, sf)
-    live = p.filter(F.col("ts") <= F.lit(CUTOFF).cast("timestamp")).select("pid", "ts")
-    return rt.lexical_scores(p, questions(spark, sf)).join(live, "pid"), live
+    live = p.filter(F.col("ts") <= F.lit(CUTOFF).cast("timestamp")).select("pid", "ts").persist()
+    return rt.lexical_scores(p, questions(spark, sf), live.select("pid")).join(live, "pid"), live
 
 
 def _top(rows, column):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.operators import resample as rs
+from tidemark.operators.detector import numbered
 from tidemark.plans.views import QUESTION_METRICS, SCORED_LABELS, question_metrics, scored_labels
 
 _DIFF = f"""{QUESTION_METRICS}, d0 AS (SELECT a.question_id, round(b.accuracy - a.accuracy, 6) AS d FROM question_metrics a JOIN question_metrics b ON a.question_id = b.question_id AND a.condition = 'current_only' AND b.condition = 'stale_only'),
@@ -70,7 +71,7 @@ def clustered_bootstrap(spark, sf):
     c = scored_labels(spark, sf).select((F.col("doc_id") % 40).alias("cluster"), "y", (F.col("score") >= 0.03).cast("int").alias("hit"))
     y, hit = F.col("y"), F.col("hit")
     sums = c.groupBy("cluster").agg(F.sum(y * hit).alias("tp"), F.sum((1 - y) * hit).alias("fp"), F.sum(y * (1 - hit)).alias("fn"))
-    sums = sums.withColumns({"one": F.lit(1), "pos": (F.row_number().over(Window.orderBy("cluster")) - 1).cast("long")})
+    sums = numbered(sums, "cluster").withColumn("one", F.lit(1))
     m = rs.rounds_of(sums, "one", 100, "clu").join(sums.withColumnRenamed("pos", "pick").drop("one"), "pick").groupBy("round").agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn")))
     f1, recall = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)), F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0))
     q = m.select(f1.alias("f1"), recall.alias("recall")).agg(*(F.percentile(x, F.array(F.lit(0.025), F.lit(0.975))).alias(x) for x in ("f1", "recall")))

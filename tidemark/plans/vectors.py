@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.operators import distances as ds
-from tidemark.plans.views import SPANS, VECTORS, spans, table, vectors
+from tidemark.functions import text as tx
+from tidemark.plans.views import SPANS, VECTORS, f1, norm, spans, table, toks, vectors
 
 _PAIRS = f"""{VECTORS}, p AS (SELECT a.question_id, a.vec_id AS i, b.vec_id AS j, CASE WHEN a.condition = 'stale_only' AND b.condition = 'stale_only' THEN 'xx' WHEN a.condition = 'current_only' AND b.condition = 'current_only' THEN 'yy' WHEN a.condition = 'stale_only' THEN 'xy' END AS side,
   list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS sq FROM vectors a JOIN vectors b ON a.question_id = b.question_id)"""
@@ -16,13 +17,13 @@ _PAIRS = f"""{VECTORS}, p AS (SELECT a.question_id, a.vec_id AS i, b.vec_id AS j
 
 @query(f"WITH {_PAIRS} SELECT question_id, round(greatest(0.0, 2 * avg(sqrt(sq)) FILTER (WHERE side = 'xy') - avg(sqrt(sq)) FILTER (WHERE side = 'xx') - avg(sqrt(sq)) FILTER (WHERE side = 'yy')), 6) AS energy FROM p GROUP BY 1")
 def energy_by_pair(spark, sf):
-    return ds.energy(ds.pairs(vectors(spark, sf))).select("question_id", F.round("energy", 6).alias("energy"))
+    return ds.energy(vectors(spark, sf)).select("question_id", F.round("energy", 6).alias("energy"))
 
 
 @query(f"""WITH {_PAIRS}, s AS (SELECT question_id, quantile_cont(sqrt(sq), 0.5) AS sigma FROM p WHERE i < j AND sq > 0 GROUP BY 1), k AS (SELECT p.*, exp(-sq / greatest(2 * sigma * sigma, 1e-12)) AS k FROM p JOIN s USING (question_id))
   SELECT question_id, round(greatest(0.0, coalesce(avg(k) FILTER (WHERE side = 'xx' AND i <> j), 0) + coalesce(avg(k) FILTER (WHERE side = 'yy' AND i <> j), 0) - 2 * coalesce(avg(k) FILTER (WHERE side = 'xy'), 0)), 6) AS mmd FROM k GROUP BY 1""")
 def mmd_by_pair(spark, sf):
-    return ds.mmd(ds.pairs(vectors(spark, sf))).select("question_id", F.round("mmd", 6).alias("mmd"))
+    return ds.mmd(vectors(spark, sf)).select("question_id", F.round("mmd", 6).alias("mmd"))
 
 
 _CENT = "cen AS (SELECT question_id, condition, list(m ORDER BY i) AS c FROM (SELECT question_id, condition, i, avg(x) AS m FROM (SELECT question_id, condition, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM {t}) GROUP BY 1, 2, 3) GROUP BY 1, 2)"
@@ -106,14 +107,19 @@ def cluster_js(spark, sf):
 
 
 _EDGES = "eq AS (SELECT c_custkey AS a, c_nationkey AS k1, CAST(floor(c_acctbal / 500) AS BIGINT) AS k2 FROM customer)"
+_EQUAL = "(na <> '' AND nb <> '' AND (contains(na, nb) OR contains(nb, na) OR {f} >= 0.5))"
 
 
-@query(f"WITH {_EDGES} SELECT a AS item, min(a) OVER (PARTITION BY k1, k2) AS component FROM eq")
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, turn, left(regexp_replace(text, '\\s+', ' ', 'g'), 30) || ' ' || CAST(turn % 3 AS VARCHAR) AS a, {norm("left(regexp_replace(text, '\\s+', ' ', 'g'), 30) || ' ' || CAST(turn % 3 AS VARCHAR)")} AS n FROM conversations), t AS (SELECT *, {toks('n')} AS t FROM c),
+  p AS (SELECT x.conv_id, x.turn AS i, y.turn AS j, x.n AS na, y.n AS nb, {f1('x.t', 'y.t')} AS f, list_filter(x.t, lambda e: regexp_matches(e, '^[0-9]+$')) AS mx, list_filter(y.t, lambda e: regexp_matches(e, '^[0-9]+$')) AS my FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.turn < y.turn),
+  e AS (SELECT conv_id, i, j FROM p WHERE {_EQUAL.format(f='f')} AND NOT (len(list_filter(mx, lambda v: NOT list_contains(my, v))) > 0 AND len(list_filter(my, lambda v: NOT list_contains(mx, v))) > 0)), bo AS (SELECT conv_id, i, j FROM e UNION SELECT conv_id, j, i FROM e),
+  r AS (SELECT conv_id, turn AS i, turn AS j FROM c UNION SELECT r.conv_id, r.i, bo.j FROM r JOIN bo ON bo.conv_id = r.conv_id AND bo.i = r.j) SELECT conv_id, i AS turn, CAST(min(j) AS BIGINT) AS component FROM r GROUP BY 1, 2""")
 def equivalence_components(spark, sf):
-    """Components of an equivalence relation: the class is the key, its name the smallest member."""
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("item"), F.col("c_nationkey").alias("k1"), F.floor(F.col("c_acctbal") / 500).alias("k2"))
-    names = c.groupBy("k1", "k2").agg(F.min("item").alias("component"))
-    return c.join(names, ["k1", "k2"]).select("item", "component")
+    """Clusters of a question's answers: what pairwise equivalence, split where numbers disagree, joins in any number of steps."""
+    a = F.concat(F.left(F.regexp_replace("text", r"\s+", " "), F.lit(30)), F.lit(" "), (F.col("turn") % 3).cast("string"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", a.alias("a"))
+    same = lambda x, y: tx.lexically_equal(x, y, 0.5) & ~tx.numbers_disagree(x, y)
+    return ds.equivalence_clusters(c, ["conv_id"], "turn", "a", same).select("conv_id", "turn", "component")
 
 
 @query(f"WITH {_EDGES}, f AS (SELECT k1, k2, min(a) AS first FROM eq GROUP BY 1, 2), r AS (SELECT k1, k2, CAST(row_number() OVER (PARTITION BY k1 ORDER BY first) - 1 AS INTEGER) AS label FROM f) SELECT eq.a AS item, label FROM eq JOIN r USING (k1, k2)")
@@ -129,3 +135,44 @@ def compact_labels(spark, sf):
 def l2_normalize(spark, sf):
     u = vectors(spark, sf).withColumn("v", ds.unit(F.col("v")))
     return u.select("vec_id", F.round(ds.dot(F.col("v"), F.col("v")), 6).alias("norm2"), F.round(F.col("v")[0], 6).alias("first"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, unnest({toks(norm('text'))}) AS token FROM conversations), h AS (SELECT conv_id, (('0x' || substr(md5(token), 1, 8))::BIGINT) % 768 AS bin, CASE WHEN (('0x' || substr(md5(token), 9, 8))::BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END AS w FROM t),
+  s AS (SELECT conv_id, bin, CAST(sum(w) AS DOUBLE) AS x FROM h GROUP BY 1, 2 HAVING sum(w) <> 0), n AS (SELECT conv_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY 1) SELECT s.conv_id, bin, round(x / norm, 6) AS value FROM s JOIN n ON n.conv_id = s.conv_id""")
+def hashing_embedding(spark, sf):
+    """Unit vectors of hashed token counts, where no model gives vectors."""
+    e = ds.hashed_embedding(table(spark, sf, "conversations"), "conv_id", F.col("text"))
+    return e.select("conv_id", "bin", F.round("value", 6).alias("value"))
+
+
+@query("""WITH t AS (SELECT event_id, event_type || CAST(user_id % 5 AS VARCHAR) AS text FROM events) SELECT event_id, left(md5(text), 8) AS vector, CAST(count(*) OVER (PARTITION BY text) AS BIGINT) AS shared_by FROM t""")
+def embedding_cache(spark, sf):
+    """Texts encoded once, however many rows have them."""
+    t = table(spark, sf, "events").select("event_id", F.concat("event_type", (F.col("user_id") % 5).cast("string")).alias("text"))
+    counts = t.groupBy("text").agg(F.count("*").alias("shared_by"))
+    return ds.each_once(t, "text", lambda d: d.join(counts, "text").select("text", F.left(F.md5("text"), F.lit(8)).alias("vector"), "shared_by")).select("event_id", "vector", "shared_by")
+
+
+@query()
+def density_clusters(spark, sf):
+    """Density clusters of a question's pooled answers; noise is a cluster of its own each."""
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        return pdf[["question_id", "vec_id"]].assign(cluster=ds.noise_apart(ds.density_clusters(ds.matrix(pdf), 4)))
+
+    return ds.per_cell(vectors(spark, sf), ["question_id"], cell, "question_id int, vec_id long, cluster int")
+
+
+@query()
+def projection_2d(spark, sf):
+    """The two principal components of all vectors, each with its largest weight positive."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = vectors(spark, sf).select("vec_id", array_to_vector("v").alias("x"))
+    model = PCA(k=2, inputCol="x", outputCol="p").fit(v)
+    weights = model.pc.toArray()
+    sign = [1.0 if weights[abs(weights[:, k]).argmax(), k] > 0 else -1.0 for k in (0, 1)]
+    p = model.transform(v).select("vec_id", vector_to_array("p").alias("p"))
+    return p.select("vec_id", *(F.round(F.col("p")[k] * sign[k], 6).alias(n) for k, n in enumerate(("x", "y"))))
