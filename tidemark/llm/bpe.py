@@ -50,7 +50,7 @@ class Encoder:
     LONGEST = 8 * EIGHTS
     _shared: dict[tuple[str, int], "Encoder"] = {}
 
-    def __init__(self, path: str, slots: int = 1 << 19):
+    def __init__(self, path: str, slots: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -81,25 +81,28 @@ class Encoder:
 
     def _encode_parts(self, raw: bytes, chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each part); parts without white space but a leading blank share one call."""
-        parts = [raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]
         plain = ~SPACE[chunk.buf[ends - 1]]
-        size = np.zeros(len(parts), np.int64)
-        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(parts)
+        size, found = np.zeros(len(starts), np.int64), []
         which = np.flatnonzero(plain)
         for lo in range(0, len(which), 2000):
             some = which[lo : lo + 2000]
-            text = "\n".join([parts[i] for i in some.tolist()]) + "\n"
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            text = b"\n".join([raw[s:e] for s, e in zip(starts[some].tolist(), ends[some].tolist())]) + b"\n"
+            ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, self.dtype)
             cut = np.flatnonzero(ids == self.newline)
             assert len(cut) == len(some)
-            begin = np.concatenate([[0], cut[:-1] + 1])
-            size[some] = cut - begin
-            for i, b, e in zip(some.tolist(), begin.tolist(), cut.tolist()):
-                out[i] = ids[b:e]
-        for i in np.flatnonzero(~plain).tolist():
-            out[i] = np.array(self._ids(parts[i]), self.dtype)
-            size[i] = len(out[i])
-        return (np.concatenate(out) if out else np.zeros(0, self.dtype)), size
+            size[some] = np.diff(cut, prepend=-1) - 1
+            found.append(ids[ids != self.newline])
+        others = np.flatnonzero(~plain)
+        spaced = [np.array(self._ids(raw[starts[i] : ends[i]].decode()), self.dtype) for i in others.tolist()]
+        size[others] = [len(x) for x in spaced]
+        where = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), self.dtype)
+        if found:
+            n = size[which]
+            out[np.arange(int(n.sum())) + np.repeat(where[which] - (np.cumsum(n) - n), n)] = np.concatenate(found)
+        for i, x in zip(others.tolist(), spaced):
+            out[where[i] : where[i] + len(x)] = x
+        return out, size
 
     def _distinct(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, eights: np.ndarray, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(parts, which of them each missed part equals), by their bytes: those that a hash puts together are compared."""
