@@ -391,3 +391,15 @@ def test_hot_join_equals_a_left_join(spark):
     right = spark.createDataFrame([(1, "a"), (2, "b"), (5, "z")], "k long, w string")
     key = lambda df: sorted(map(str, df.select("k", "v", "w").collect()))
     assert key(hot_join(left, right, "k")) == key(left.join(right, "k", "left"))
+
+
+def test_what_is_left_can_be_cleared(spark):
+    from tidemark.llm import storage
+
+    a, b = (storage.materialise(spark.range(3), "left") for _ in range(2))
+    storage.release(spark, a)
+    assert b.count() == 3
+    storage.clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(b.tidemark_path).count()
+    storage.clear(spark)

@@ -46,8 +46,19 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Tables and folders that this process made in the shared folder and has not released.
+_left: dict[str, set[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application left in the shared folder; for callers that have read their results."""
+    release(spark, *_left.pop(spark.sparkContext.applicationId, ()))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -67,6 +78,7 @@ def release(spark: SparkSession, *tables: DataFrame | str) -> None:
         if path:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _left.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def pyarrow_fs(uri: str):
