@@ -265,3 +265,61 @@ def test_reports(spark, tmp_path):
     assert reports.bars(df, "name", "v", "e").count("<rect") == 2
     with pytest.raises(ValueError):
         reports.markdown_table(spark.range(1001), ["id"])
+
+
+def vectors_of(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    return {(q, side): np.array([r["embedding"] for r in sorted(rows, key=lambda r: r["vec_id"]) if r["label"] == q and (r["vec_id"] % 2 == 0) == (side == "stale_only")], float) for q in {r["label"] for r in rows} for side in ("stale_only", "current_only")}
+
+
+def test_volume_and_sliced_distance_queries(spark):
+    """Volumes from eigenvalues of the Gram matrix; sliced distances from quantile functions of each projection."""
+    cells = vectors_of(spark)
+    for r in catalog.QUERIES["semantic_volume"](spark, SF).collect():
+        x = cells[r["question_id"], r["condition"]]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        c = u - u.mean(0)
+        w = np.sort(np.linalg.eigvalsh(c @ c.T))[::-1][: min(10, len(x) - 1, x.shape[1])]
+        assert r["volume"] == pytest.approx(np.log(np.maximum(w, 0) + 1e-10).sum(), abs=1e-3)
+    for r in catalog.QUERIES["sliced_wasserstein"](spark, SF).collect():
+        a, b = cells[r["question_id"], "stale_only"], cells[r["question_id"], "current_only"]
+        rng = np.random.default_rng(42)
+        total = []
+        for d in rng.normal(size=(128, a.shape[1])):
+            d = d / (np.linalg.norm(d) + 1e-12)
+            n = max(len(a), len(b))
+            total.append(np.mean([abs(np.quantile(a @ d, k / (n - 1)) - np.quantile(b @ d, k / (n - 1))) for k in range(n)]))
+        assert r["swd"] == pytest.approx(np.mean(total), abs=1e-5)
+
+
+def test_projection_query(spark):
+    rows = sorted(spark.read.parquet(f"{SF}/embeddings.parquet").collect(), key=lambda r: r["vec_id"])
+    x = np.array([r["embedding"] for r in rows], float)
+    _, _, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    got = {r["vec_id"]: (r["x"], r["y"]) for r in catalog.QUERIES["projection_2d"](spark, SF).collect()}
+    for k in (0, 1):
+        want = x @ (v[k] * np.sign(v[k][abs(v[k]).argmax()]))
+        assert [got[r["vec_id"]][k] for r in rows] == pytest.approx(want.tolist(), abs=1e-3)
+
+
+def test_rouge_query(spark):
+    import re
+    import string
+
+    c = pd.read_parquet(f"{SF}/conversations.parquet")
+    text = {(a, b): t for a, b, t in zip(c.conv_id, c.turn, c.text)}
+    tokens = lambda t: re.sub(f"[{re.escape(string.punctuation)}]", "", t.lower()).split()
+
+    def lcs(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            row, old = [0], row
+            for j, b in enumerate(y):
+                row.append(old[j] + 1 if a == b else max(old[j + 1], row[j]))
+        return row[-1]
+
+    got = {(r["conv_id"], r["turn"]): r["rouge_l"] for r in catalog.QUERIES["rouge_l_pairs"](spark, SF).collect()}
+    assert len(got) > 10
+    for (conv, turn), score in got.items():
+        x, y = tokens(text[conv, turn + 1]), tokens(text[conv, turn])
+        assert score == pytest.approx(2 * lcs(x, y) / (len(x) + len(y)) if x and y else 0.0, abs=1e-5)

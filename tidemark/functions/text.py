@@ -61,7 +61,7 @@ def _occurrences(a: Column, t: Column) -> Column:
 
 def _repeats(x: Column) -> Column:
     """Each token of an array as often as it comes again."""
-    return let(lambda s: F.filter(s["x"], lambda t, i: (i > 0) & (F.get(s["x"], i - 1) == t)), x=F.array_sort(x))
+    return let(lambda s: F.filter(s["x"], lambda t, i: (i > 0) & (F.get(s["x"], i - 1) == t)), x=F.sort_array(x))
 
 
 def overlap(a: Column, b: Column) -> Column:

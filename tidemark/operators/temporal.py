@@ -48,20 +48,14 @@ def missing_jobs(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFra
     return wanted.join(done.select(*keys), keys, "left_anti")
 
 
-def rolling_sum(key: str | None, at: str, value: Column, seconds: int) -> Column:
-    """Sum over the last seconds up to each row (rows of one moment included)."""
-    w = (Window.partitionBy(key) if key else Window).orderBy(F.col(at).cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
-    return F.sum(value).over(w)
-
-
-def rolling_all(rows: DataFrame, at: str, sums: dict[str, Column], width: int) -> DataFrame:
-    """rows with sums over all rows of the ``width`` units of ``at`` (an integer) up to each, its start left out.
+def rolling_all(rows: DataFrame, at: str, sums: dict[str, Column], width: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """rows with sums over all rows (of their keys) in the ``width`` units of ``at`` (an integer) up to each, its start left out.
 
     Time is cut into spans of that width; each row also counts in the span after its own, so a window never leaves a
-    span's rows and no task sees more than two widths of time.
+    span's rows and no task sees more than two widths of time, however long a key's history.
     """
     dealt = rows.withColumns({f"_{k}": v for k, v in sums.items()}).withColumn("_span", F.floor(F.col(at) / F.lit(width)))
     twice = dealt.withColumn("_next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_span", F.col("_span") + F.col("_next"))
-    w = Window.partitionBy("_span").orderBy(at).rangeBetween(-(width - 1), 0)
+    w = Window.partitionBy(*keys, "_span").orderBy(at).rangeBetween(-(width - 1), 0)
     kept = [c for c in rows.columns if c not in sums]
     return twice.select(*kept, "_next", *(F.sum(f"_{k}").over(w).alias(k) for k in sums)).filter("_next = 0").drop("_next")

@@ -118,8 +118,9 @@ def resume_anti_join(spark, sf):
 @query("""SELECT event_id, CAST(count(*) OVER w AS BIGINT) AS requests, round(sum(value) OVER w, 4) AS spent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW)""")
 def rolling_rate(spark, sf):
     """Requests and spend of a user in the last hour, at each event."""
-    e = table(spark, sf, "events")
-    return e.select("event_id", tp.rolling_sum("user_id", "ts", F.lit(1), 3600).cast("long").alias("requests"), F.round(tp.rolling_sum("user_id", "ts", F.col("value"), 3600), 4).alias("spent"))
+    e = table(spark, sf, "events").select("event_id", "user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    rolled = tp.rolling_all(e, "t", {"requests": F.lit(1).cast("long"), "spent": F.col("value")}, 3_600_000_001, ("user_id",))
+    return rolled.select("event_id", "requests", F.round("spent", 4).alias("spent"))
 
 
 @query(f"""WITH {RESPONSES}, u AS (SELECT *, 0 AS run FROM responses UNION ALL SELECT question_id, condition, sample_idx, answer || '!', 1 FROM responses WHERE question_id % 2 = 0), f AS (SELECT *, row_number() OVER (PARTITION BY question_id, condition, sample_idx ORDER BY run) AS n FROM u)

@@ -12,6 +12,7 @@ from tidemark.plans.probe import _DOCS, _contexts
 from tidemark.plans.views import norm, table
 from tidemark.sources import records as rc
 
+#: Questions that facts of a property answer, with and without an object.
 _TEMPLATES = {
     "chairperson": {"subject_q": ("Who is the chairperson of {subject}?", "{object}"), "binary": ("Is {object} the chairperson of {subject}?", "yes")},
     "residence": {"subject_q": ("Who lives in {subject}?", "{object}"), "object_q": ("Where does {object} live?", "{subject}")},
