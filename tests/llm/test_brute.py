@@ -41,7 +41,7 @@ def one_hash(piece: bytes) -> int:
     return int(c.hashes(np.array([0]), np.array([len(piece)]))[0])
 
 
-@pytest.mark.parametrize("n", [1024, 2048, 4096])
+@pytest.mark.parametrize("n", [4096])
 def test_words_that_polynomials_confuse(spark, n):
     """A Thue-Morse word and its complement stay two words everywhere."""
     a, b = thue_morse(n)
@@ -128,7 +128,7 @@ def test_toxicity_scores(spark):
     assert len(got) == documents(spark).count()
     for d in documents(spark).collect():
         t = re.sub("[A-Z]", lambda m: m.group().lower(), d["text"] or "")
-        found = {one_hash(t[i : i + n].encode()) >> (64 - toxicity.BITS) for n in toxicity.SIZES for i in range(len(t) - n + 1)} if len(t) < 4000 else None
+        found = {one_hash(t[i : i + n].encode()) >> (64 - toxicity.BITS) for n in toxicity.SIZES for i in range(len(t) - n + 1)} if len(t) < 1500 else None
         r = got[d["doc_id"]]
         assert r["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5)
         if found is not None:
@@ -170,7 +170,7 @@ def test_language_scores(spark):
     assert len(got) == documents(spark).count()
     for d in documents(spark).collect():
         r, w = got[d["doc_id"]], letters(d["text"] or "")
-        if len(d["text"] or "") > 4000:
+        if len(d["text"] or "") > 2000:
             continue
         sums = [sum(x) for x in zip(*map(of, w))] if w else []
         assert 0 <= r["score"] <= 1 and (r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", d["text"] or ""))
@@ -384,9 +384,12 @@ def test_stages_of_odd_rows(spark, name):
         assert Counter(tuple(r) for r in got) == Counter(tuple(r) for r in df.collect())
 
 
-def test_hot_join_equals_a_left_join(spark):
+def test_hot_join_equals_a_left_join(spark, monkeypatch):
+    from tidemark.llm import storage
     from tidemark.llm.storage import hot_join
 
+    monkeypatch.setattr(storage, "HOT", 50)
+
     left = spark.createDataFrame([(1, i) for i in range(300)] + [(2, i) for i in range(5)] + [(None, 1), (9, 9)], "k long, v long")
     right = spark.createDataFrame([(1, "a"), (2, "b"), (5, "z")], "k long, w string")
     key = lambda df: sorted(map(str, df.select("k", "v", "w").collect()))

@@ -129,8 +129,8 @@ def privately(docs: DataFrame, keep: tuple[str, ...] = ("text",)) -> tuple[DataF
     return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
 
 
-#: Rows of a key that a task takes without a thought.
-HOT = 50
+#: Rows of a key (an id or two each) that a task takes without a thought.
+HOT = 10_000
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000) -> DataFrame:
