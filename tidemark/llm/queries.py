@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat
+from tidemark.llm import chat, clusters
 from tidemark.session import ship
 
 
@@ -93,6 +93,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.clusters import kmeans, report
+
+    return report(*kmeans(_table(spark, sf_dir, "embeddings"))).drop("scans")
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -141,9 +147,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
+    "op12_centroid_clustering": clusters.SQL,
 }
