@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, clusters
+from tidemark.llm import chat, clusters, licenses
 from tidemark.session import ship
 
 
@@ -93,6 +93,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.clusters import kmeans, report
 
@@ -147,11 +152,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_license_scans": op11_license_scans,
     "op12_centroid_clustering": op12_centroid_clustering,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
+    "op11_license_scans": licenses.SQL,
     "op12_centroid_clustering": clusters.SQL,
 }
