@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, clusters, licenses
+from tidemark.llm import chat, clusters, licenses, repair
 from tidemark.session import ship
 
 
@@ -104,6 +104,12 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(*kmeans(_table(spark, sf_dir, "embeddings"))).drop("scans")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    found = repair.with_all(rows, repair.digests(repair.repair(repair.damage(rows))))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -154,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_license_scans": op11_license_scans,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.SQL,
@@ -161,4 +168,5 @@ ORACLES: dict[str, str] = {
     "op10_minhash_near_dedup": OP10_SQL,
     "op11_license_scans": licenses.SQL,
     "op12_centroid_clustering": clusters.SQL,
+    "op13_conversation_repair": repair.SQL,
 }
