@@ -81,14 +81,16 @@ def templates_of(pairs=TEMPLATES) -> list[Template]:
     return out
 
 
-def normalised(text: Column) -> Column:
-    """The words of a text, each between two blanks of its own."""
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP, "  "))
-    return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+def read_words(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep and, of each text, ``norm`` (the words, each between two blanks of its own) and ``words``.
 
-
-def word_list(norm: Column) -> Column:
-    return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(norm), "  "))
+    The steps are selects of their own, so that no text is lowered or split twice.
+    """
+    bare, none = F.col("bare"), F.col("bare") == ""
+    lowered = docs.select(*keep, F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), GAP, "  ").alias("bare"))
+    return lowered.select(*keep, F.trim("bare").alias("bare")).select(
+        *keep, F.when(none, "").otherwise(F.concat(F.lit(" "), bare, F.lit(" "))).alias("norm"), F.when(none, F.array().cast("array<string>")).otherwise(F.split(bare, "  ")).alias("words")
+    )
 
 
 def _n_words(norm: Column) -> Column:
@@ -123,7 +125,7 @@ def _base(norm: Column, phrases: dict[str, str]) -> dict[str, Column]:
 def frequency_order(docs: DataFrame, templates: list[Template]) -> list[str]:
     """The templates' words, those of the fewest documents first."""
     words = sorted({w for t in templates for w in t.words})
-    there = docs.select(F.explode(F.array_intersect(_literal(words), word_list(normalised(F.col("text"))))).alias("w"))
+    there = read_words(docs).select(F.array_intersect(_literal(words), F.col("words")).alias("of")).select(F.explode("of").alias("w"))
     counts = {r["w"]: r["n"] for r in there.groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row for each word of the templates
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
 
@@ -181,8 +183,7 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, phrases: dict
     docs = docs.select("doc_id", "text")
     order = frequency_order(docs, templates)
     norm, words = F.col("norm"), F.col("words")
-    read = docs.select("doc_id", normalised(F.col("text")).alias("norm")).select("doc_id", "norm", word_list(norm).alias("words"))
-    found = read.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size(words).cast("long").alias("n_words"), *(c.alias(n) for n, c in _base(norm, phrases).items()), _blocks(words, templates, order, threshold).alias("blocks"))
+    found = read_words(docs, "doc_id").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size(words).cast("long").alias("n_words"), *(c.alias(n) for n, c in _base(norm, phrases).items()), _blocks(words, templates, order, threshold).alias("blocks"))
     found = materialise(found, "licenses")
     blocks = found.filter(F.size("blocks") > 0).select("row", F.explode("blocks").alias("x")).select("row", "x.*")
     start = F.col("block") * F.col("width")
