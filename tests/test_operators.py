@@ -1,12 +1,13 @@
 import datetime as dt
 import itertools
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import answers, text
-from tidemark.operators import contexts, detector, distances, drift, evidence, probe, retrieval, temporal
+from tidemark.operators import contexts, detector, distances, drift, evidence, index, probe, retrieval, temporal
 
 
 @pytest.mark.parametrize(
@@ -244,24 +245,71 @@ def test_ladder_with_a_title(spark):
     assert one(spark, text.any_query(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit("c")))) == '"b" OR "a" OR "c"'
 
 
-def test_cutoff_and_document_scope(spark):
+def test_cutoff_and_document_scope(spark, tmp_path):
     """Later versions stay hidden, and a document comes once where its versions count as one."""
     body = lambda n: f"The river council of Alden met in {n}. " + "Alden river council news and more of it. " * 12
     rows = [(i, f"art{i % 2}", f"u{i}", f"2024-01-0{i + 1}", body(i)) for i in range(5)]
     art = spark.createDataFrame(rows, "doc_id long, article_id string, url string, ts string, text string").withColumn("ts", F.to_timestamp("ts"))
     q = spark.createDataFrame([(1, "What did the Alden river council do")], "item_id long, question string")
-    ranked = retrieval.fused(retrieval.passages(art), q, "2024-01-03")
+    ranked = retrieval.fused(index.build(retrieval.passages(art), str(tmp_path)), q, "2024-01-03")
     both = retrieval.first_per(ranked, ["ts", "article_id"], 10).collect()
     assert {str(r["ts"])[:10] for r in both} == {"2024-01-01", "2024-01-02", "2024-01-03"}
     assert sorted(r["article_id"] for r in retrieval.first_per(ranked, ["article_id"], 10).collect()) == ["art0", "art1"]
 
 
-def test_index_is_written_and_read_by_term(spark, tmp_path):
-    art = spark.createDataFrame([(1, "a", "u", None, "Alden river " * 30), (2, "b", "v", None, "hill town " * 30)], "doc_id long, article_id string, url string, ts timestamp, text string")
-    retrieval.build_index(art, str(tmp_path))
-    p, postings = retrieval.open_index(spark, str(tmp_path), ["river", "nothing"])
-    assert p.count() == 2 and [r["pid"] >> 24 for r in postings.collect()] == [1]
-    assert retrieval.open_index(spark, str(tmp_path))[1].select("term").distinct().count() == 4
+def small_index(spark, folder, texts, **size):
+    rows = [(i, f"2024-01-{1 + i % 28:02d}", t, b) for i, (t, b) in enumerate(texts)]
+    p = spark.createDataFrame(rows, "pid long, ts string, title string, chunk string").withColumn("ts", F.to_timestamp("ts"))
+    return index.build(p, str(folder), **size)
+
+
+def test_postings_have_positions_and_files_follow_the_data(spark, tmp_path):
+    texts = [("The river", "river Alden the river"), ("", "hill town"), ("of", "...")]
+    x = small_index(spark, tmp_path, texts)
+    got = {(r["term"], r["pid"]): (r["size"], r["title"], r["body"], r["positions"]) for r in x.table("postings").collect()}
+    assert got["river", 0] == (6, 1, 2, [1, 3, 6]) and got["the", 0] == (6, 1, 1, [0, 5]) and got["hill", 1] == (2, 0, 1, [1]) and got["of", 2] == (1, 1, 0, [0])
+    many = [(f"title {i}", f"common words w{i} and more of them " * 8) for i in range(600)]
+    parts = small_index(spark, tmp_path / "many", many, file_bytes=40_000).table("postings")
+    files = {r[0] for r in parts.select(F.input_file_name()).distinct().collect()}
+    assert len(files) > 5 and len({r[0] for r in parts.filter("term = 'common'").select(F.input_file_name()).distinct().collect()}) >= 1
+    assert parts.groupBy("term", "block").count().agg(F.max("count")).first()[0] <= index.BLOCK
+    blocks = small_index(spark, tmp_path / "again", many, file_bytes=40_000).table("blocks").filter("term = 'common'")
+    assert blocks.count() >= 600 // index.BLOCK and blocks.agg(F.sum("n")).first()[0] == 600
+
+
+def test_phrases_stand_within_one_field(spark, tmp_path):
+    texts = [("a b", "c a b c"), ("x", "a b c a b c a"), ("a", "b c"), ("", "b a c"), ("", "a a a b"), ("q", "A-B, c")]
+    x = small_index(spark, tmp_path, texts)
+    phrases = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "a"]), (3, ["a", "b"]), (4, []), (5, ["a", "zz"]), (6, ["c", "a", "b", "c"])], "item int, phrase array<string>")
+    got = sorted((r["item"], r["pid"], r["places"]) for r in index.phrase_hits(x, phrases, "item").collect())
+    assert got == [(1, 0, 1), (1, 1, 2), (1, 5, 1), (2, 4, 2), (3, 0, 2), (3, 1, 2), (3, 4, 1), (3, 5, 1), (6, 0, 1), (6, 1, 1)]
+    assert sorted(r["pid"] for r in index.phrase_hits(x, phrases.filter("item = 3"), "item", "2024-01-02").collect()) == [0, 1]
+
+
+def test_no_best_passage_is_lost_to_block_bounds(spark, tmp_path):
+    rng = random.Random(1)
+    texts = [("", " ".join(rng.choices(["one", "two", "three", "four", "rare", "scarce", "filler", "more"], [300, 200, 100, 50, 3, 1, 200, 100], k=rng.randrange(5, 60)))) for _ in range(700)]
+    x = small_index(spark, tmp_path, texts)
+    wanted = spark.createDataFrame([(q, t) for q, ts in enumerate([["one", "rare"], ["one", "two", "three"], ["scarce", "rare", "four", "one"], ["absent"], ["absent", "two"]]) for t in ts], "item int, term string")
+    every = index.postings_scores(x, wanted, "item").collect()
+    best = {}
+    for q in range(5):
+        best[q] = sorted(((round(r["score"], 9), -r["pid"]) for r in every if r["item"] == q), reverse=True)[:10]
+    pruned = index.top_passages(x, wanted, "item", 10).collect()
+    for q in range(5):
+        assert sorted(((round(r["score"], 9), -r["pid"]) for r in pruned if r["item"] == q), reverse=True)[:10] == best[q]
+    # a common term proposes nothing beside a rare one that enough passages have
+    count = lambda rows, q: sum(r["item"] == q for r in rows)
+    assert count(pruned, 0) < count(every, 0) / 2 and count(pruned, 3) == 0
+
+
+def test_queries_of_the_index_are_compiled(spark, tmp_path, capfd):
+    texts = [("Some title of it", "The runners were running and studies of tested things " * 5)] * 3
+    p = spark.createDataFrame([(i, None, t, b) for i, (t, b) in enumerate(texts)], "pid long, ts timestamp, title string, chunk string")
+    x = index.build(p, str(tmp_path), "stemmed")
+    q = spark.createDataFrame([(1, "tested runner of studies")], "item_id long, question string")
+    assert retrieval.lexical_scores(x, q).count() == 3
+    assert "Whole-stage codegen disabled" not in capfd.readouterr().err
 
 
 def test_columns_by_first_name(spark):

@@ -1,6 +1,6 @@
 """Weighted lexical retrieval over timestamped passages: postings, scores, rank fusion, deduplication.
 
-The index is a postings table keyed by term.  All questions are scored in one plan: query terms join
+Postings come from a written index.  All questions are scored in one plan: query terms join
 the postings, partial sums combine before the exchange, and top-k uses a bounded rank window per question.
 Corpus statistics are whole-index values; a time cutoff filters rows and not statistics.
 """
@@ -11,15 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-
-#: Letters and what they fold to.
-ACCENTED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
+from tidemark.operators import index as ix
+from tidemark.shared import written
 
 #: Passages that one document may have: their numbers and the document's make up a passage's id.
 PASSAGES = 1 << 24
-#: Query terms of at most this many bytes are broadcast.
-BROADCAST_BYTES = 8 << 20
 
 
 def passages(articles: DataFrame, size: int = 180, shared: int = 40, least: int = 80) -> DataFrame:
@@ -30,66 +26,27 @@ def passages(articles: DataFrame, size: int = 180, shared: int = 40, least: int
     return cut.select("doc_id", "article_id", "url", "ts", "title", pid.alias("pid"), "c.chunk_index", F.col("c.chunk").alias("chunk"))
 
 
-def folded_terms(c: Column) -> Column:
-    """Lowered terms without accents."""
-    return F.regexp_extract_all(F.translate(F.lower(c), ACCENTED, PLAIN), F.lit("([a-z0-9ß]+)"), 1)
-
-
-def weighted_postings(p: DataFrame, title_weight: float = 3.0, text_weight: float = 1.0) -> DataFrame:
-    """(pid, term, f, size): weighted frequency in title and text, and the tokens of both.  Written once: all that follows reads it several times."""
-    terms = p.select("pid", folded_terms(F.col("title")).alias("title"), folded_terms(F.col("chunk")).alias("body"))
-    sized = terms.select("pid", (F.size("title") + F.size("body")).alias("size"), F.size("title").alias("n"), F.concat("title", "body").alias("terms"))
-    # the title's terms come first
-    rows = sized.select("pid", "size", "n", F.posexplode("terms").alias("i", "term"))
-    weight = F.when(F.col("i") < F.col("n"), title_weight).otherwise(text_weight)
-    return rows.groupBy("pid", "term").agg(F.sum(weight).alias("f"), F.first("size").alias("size")).persist()
-
-
-def _with_terms(wanted: DataFrame, postings: DataFrame) -> DataFrame:
-    """postings of the wanted terms.  Terms of questions are broadcast while their size allows, so that a common term's postings stay spread; else both sides are shuffled."""
-    size = wanted.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    return postings.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, "term")
-
-
-def _term_counts(postings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, df) of the wanted terms."""
-    return _with_terms(wanted.select("term").distinct(), postings).groupBy("term").agg(F.count("*").alias("df"))
+def weighted_index(articles: DataFrame) -> ix.Index:
+    return ix.index_of(articles, "folded", passages)
 
 
-def weighted_bm25(postings: DataFrame, wanted: DataFrame, keys: list[str], live: DataFrame | None = None) -> DataFrame:
-    """Scores of passages for the terms of ``wanted`` (keys, term): 2.2 f / (f + 1.2 (0.25 + 0.75 size / mean size)), idf clamped.
+def search_index(articles: DataFrame) -> ix.Index:
+    return ix.index_of(articles, "stemmed", passages)
 
-    Statistics are those of all passages; only passages of ``live`` (pid), if given, are scored.
-    """
-    stats = postings.groupBy("pid").agg(F.first("size").alias("size")).agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = wanted.join(_term_counts(postings, wanted), "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.when(raw <= 0, 1e-6).otherwise(raw))
-    scored = _with_terms(weighed, postings if live is None else postings.join(live, "pid", "left_semi"))
-    part = F.col("idf") * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("size") / F.col("mean")))
-    return scored.groupBy(*keys, "pid").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 
-
-def search_postings(p: DataFrame) -> DataFrame:
-    """(pid, term, tf, in_title) of stemmed terms; terms of the title alone have tf 0.  Passages without a term of their own have none."""
-    body = tx.search_rows(p, F.col("chunk"), ["pid"]).withColumns({"tf": F.lit(1).cast("long"), "in_title": F.lit(0)})
-    title = tx.search_rows(p, F.col("title"), ["pid"]).withColumns({"tf": F.lit(0).cast("long"), "in_title": F.lit(1)})
-    return body.unionByName(title).groupBy("pid", "term").agg(F.sum("tf").alias("tf"), F.max("in_title").alias("in_title")).persist()
-
-
-def lexical_scores(p: DataFrame, questions: DataFrame, live: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(item_id, pid, lexical, bm25) of passages that share a term with a question (of ``live`` alone, if given; statistics are those of all)."""
-    postings = search_postings(p)
-    sizes = postings.groupBy("pid").agg(F.sum("tf").alias("size")).filter("size > 0").persist()
-    totals = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    terms = tx.search_rows(questions, F.col("question"), ["item_id"]).groupBy("item_id", "term").agg(F.count("*").alias("times"))
-    df = _term_counts(postings.filter("tf > 0"), terms)
-    weighed = terms.join(df, "term", "left").crossJoin(F.broadcast(totals))
-    rows = _with_terms(weighed, postings if live is None else postings.join(live, "pid", "left_semi")).join(sizes, "pid")
-    smooth = F.coalesce(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, F.lit(1.0))
-    okapi = F.coalesce(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
-    lexical = smooth * F.least(F.col("tf"), F.lit(3).cast("long")) + F.col("in_title") * 0.35 * smooth
-    gain = okapi * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean"))) + F.col("in_title") * 0.35 * F.greatest(okapi, F.lit(0.1))
-    return rows.groupBy("item_id", "pid").agg((F.sum(F.col("times") * lexical) / F.sqrt(F.first("size"))).alias("lexical"), F.sum(F.when(F.col("tf") > 0, F.col("times") * gain).otherwise(0.0)).alias("bm25"))
+def lexical_scores(index: ix.Index, questions: DataFrame, cutoff: str | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(item_id, pid, ts, lexical, bm25) of passages (until the cutoff, if given) that share a term with a question; statistics are those of all."""
+    totals = index.totals
+    terms = written(questions.select("item_id", F.explode(tx.search_tokens(F.col("question"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("times")))
+    n, df, tf, size = F.lit(totals["n"]), F.col("df_body"), F.col("body"), F.col("size")
+    weighed = ix.small(terms).join(index.terms.select("term", F.when(F.col("df_body") > 0, F.col("df_body")).alias("df_body")), "term", "left")
+    rows = index.postings(weighed, cutoff)
+    smooth = F.coalesce(F.log((n + 1) / (df + 1)) + 1, F.lit(1.0))
+    okapi = F.coalesce(F.log(1 + (n - df + 0.5) / (df + 0.5)), F.lit(0.0))
+    titled = F.when(F.col("title") > 0, 0.35).otherwise(0.0)
+    lexical = smooth * F.least(tf, F.lit(3)) + titled * smooth
+    gain = okapi * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * size / totals["mean"])) + titled * F.greatest(okapi, F.lit(0.1))
+    return rows.groupBy("item_id", "pid").agg(F.first("ts").alias("ts"), (F.sum(F.col("times") * lexical) / F.sqrt(F.first("size"))).alias("lexical"), F.sum(F.when(tf > 0, F.col("times") * gain).otherwise(0.0)).alias("bm25"))
 
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -122,7 +79,7 @@ def ladder_terms(questions: DataFrame) -> DataFrame:
 def cosine(p: DataFrame, questions: DataFrame, pairs: DataFrame) -> DataFrame:
     """(item_id, pid, dense): cosine of term counts of question and passage, for given pairs."""
     def counted(df: DataFrame, key: str, text: str) -> DataFrame:
-        c = df.select(key, F.explode(folded_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").cast("double").alias("c"))
+        c = df.select(key, F.explode(ix.folded_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").cast("double").alias("c"))
         return c.join(c.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm")), key)
 
     # only the passages of the pairs are cut into terms
@@ -131,16 +88,18 @@ def cosine(p: DataFrame, questions: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(dots, ["item_id", "pid"], "left").withColumn("dense", F.coalesce("dense", F.lit(0.0)))
 
 
-def fused(p: DataFrame, questions: DataFrame, cutoff: str, candidates: int = 100, k: int = 10, rrf: int = 60) -> DataFrame:
+def fused(index: ix.Index, questions: DataFrame, cutoff: str, candidates: int = 100, k: int = 10, rrf: int = 60) -> DataFrame:
     """Candidates of the query ladder, fused over variants, then with dense ranks, in final order (column place)."""
-    live = p.filter(F.col("ts") <= F.lit(cutoff).cast("timestamp")).select("pid", "ts", "article_id").persist()
-    hits = weighted_bm25(weighted_postings(p), ladder_terms(questions), ["item_id", "step", "broad", "need"], live.select("pid")).filter("matched >= need").join(live, "pid")
-    ranked = top_k(hits.withColumn("score", F.round("score", 9)), ["item_id", "step"], [F.desc("score"), F.asc("pid")], candidates, "query_rank")
+    p = index.passages
+    hits = ix.ladder_hits(index, ladder_terms(questions), "item_id", cutoff)
+    best = top_k(hits.withColumn("score", F.round("score", 9)), ["item_id", "step"], [F.desc("score"), F.asc("pid")], candidates, "query_rank")
+    ranked = written(p.select("pid", "article_id").join(ix.small(written(best)), "pid"))
     # the broad query counts only where the narrow ones leave the pool small
     pool = ranked.filter(~F.col("broad")).groupBy("item_id").agg(F.countDistinct("pid").alias("pool"))
     used = ranked.join(pool, "item_id", "left").filter(~F.col("broad") | (F.coalesce("pool", F.lit(0)) < min(candidates, max(4 * k, 20))))
     merged = used.groupBy("item_id", "pid", "ts", "article_id").agg(F.round(F.sum(1.0 / (rrf + F.col("query_rank"))), 9).alias("sparse_rrf"), F.max("score").alias("bm25"))
-    sparse = top_k(merged, ["item_id"], [F.desc("sparse_rrf"), F.desc("bm25"), F.desc("ts"), F.asc("pid")], candidates, "sparse_rank").persist()
+    sparse = top_k(merged, ["item_id"], [F.desc("sparse_rrf"), F.desc("bm25"), F.desc("ts"), F.asc("pid")], candidates, "sparse_rank")
+    sparse = written(sparse)
     dense = cosine(p, questions, sparse).withColumn("dense", F.round("dense", 9))
     w = Window.partitionBy("item_id")
     both = dense.withColumn("dense_rank", F.row_number().over(w.orderBy(F.desc("dense"), F.asc("sparse_rank"))))
@@ -155,25 +114,6 @@ def first_per(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     return top_k(kept, ["item_id"], [F.asc("place")], k)
 
 
-def build_index(articles: DataFrame, folder: str, buckets: int = 64) -> None:
-    """Write passages, postings (in ``buckets`` folders by a hash of the term, sorted by it), sizes and totals of a corpus."""
-    p = passages(articles)
-    p.write.mode("overwrite").parquet(f"{folder}/passages")
-    postings = weighted_postings(articles.sparkSession.read.parquet(f"{folder}/passages"))
-    dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "term")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-    postings.unpersist()
-
-
-def open_index(spark, folder: str, terms: list[str] | None = None, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(passages, postings) of a written index; with ``terms``, only their buckets are read."""
-    postings = spark.read.parquet(f"{folder}/postings")
-    if terms is not None:
-        wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct()
-        postings = postings.filter(F.col("bucket").isin([r[0] for r in wanted.collect()]) & F.col("term").isin(terms))
-    return spark.read.parquet(f"{folder}/passages"), postings.drop("bucket")
-
-
 def archive_map(rows: DataFrame, order: str) -> DataFrame:
     """(url, timestamp, archive_url): the last entry, by ``order``, of each URL and timestamp that has all three."""
     full = rows.filter("url <> '' and timestamp <> '' and archive_url <> ''")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query
 from tidemark.functions import text as tx
 from tidemark.functions import urls
+from tidemark.operators import index as ix
 from tidemark.operators import retrieval as rt
 from tidemark.plans.answers import _BARE, _RAW, _STOP
 from tidemark.plans.views import ARTICLES, QUESTIONS, articles, questions, table
@@ -18,7 +19,7 @@ PASSAGES = f"""{ARTICLES}, w AS (SELECT *, {_TITLE} AS title, list_filter(string
 k AS (SELECT *, unnest(range(0, CAST(greatest(ceil((len(words) - 180) / 140.0), 0) AS BIGINT) + 1)) AS step FROM w WHERE len(words) > 0),
 h AS (SELECT *, array_to_string(words[step * 140 + 1 : step * 140 + 180], ' ') AS chunk FROM k),
 passages AS (SELECT doc_id, article_id, url, ts, title, chunk, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS chunk_index, doc_id * 16777216 + row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS pid FROM h WHERE length(chunk) >= 80)"""
-_FOLD = f"regexp_extract_all(translate(lower({{0}}), '{rt.ACCENTED}', '{rt.PLAIN}'), '([a-z0-9ß]+)', 1)"
+_FOLD = f"regexp_extract_all(translate(lower({{0}}), '{ix.ACCENTED}', '{ix.PLAIN}'), '([a-z0-9ß]+)', 1)"
 FTS = f"""{PASSAGES}, {QUESTIONS}, tok AS (SELECT pid, unnest({_FOLD.format('title')}) AS term, 3.0 AS w FROM passages UNION ALL SELECT pid, unnest({_FOLD.format('chunk')}) AS term, 1.0 AS w FROM passages),
 sz AS (SELECT pid, count(*) AS size FROM tok GROUP BY 1), post AS (SELECT pid, term, CAST(sum(w) AS DOUBLE) AS f FROM tok GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), st AS (SELECT count(*) AS n, avg(size) AS mean FROM sz)"""
@@ -54,10 +55,9 @@ def title_infer(spark, sf):
   r AS (SELECT s.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, s.pid) AS rank FROM s JOIN passages p ON p.pid = s.pid WHERE p.ts <= TIMESTAMP '{CUTOFF}')
   SELECT item_id, pid, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def retrieval_fts_weighted(spark, sf):
-    p, q = _passages(spark, sf), questions(spark, sf)
+    index, q = rt.weighted_index(articles(spark, sf)), questions(spark, sf)
     terms = q.select("item_id", F.explode(tx.query_terms(F.col("question"))).alias("term"))
-    live = p.filter(F.col("ts") <= F.lit(CUTOFF).cast("timestamp")).select("pid")
-    scores = rt.weighted_bm25(rt.weighted_postings(p), terms, ["item_id"], live).withColumn("score", F.round("score", 9))
+    scores = ix.top_passages(index, terms, "item_id", 10, CUTOFF).withColumn("score", F.round("score", 9))
     top = rt.top_k(scores, ["item_id"], [F.desc("score"), F.asc("pid")], 10)
     return top.select("item_id", "pid", F.round("score", 6).alias("score"), "rank")
 
@@ -82,10 +82,32 @@ SCORES = f"""{PASSAGES}, {QUESTIONS}, body AS (SELECT pid, term, count(*) AS tf
   live AS (SELECT s.*, p.ts FROM scores s JOIN passages p ON p.pid = s.pid WHERE p.ts <= TIMESTAMP '{CUTOFF}')"""
 
 
+@query(f"WITH {FTS} SELECT df.term, df.df, round(max(f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS top FROM df JOIN post USING (term) JOIN sz USING (pid), st GROUP BY ALL")
+def index_terms(spark, sf):
+    """The terms of the written index: document frequencies and the largest weight of a posting.  The first query of an application writes it."""
+    return rt.weighted_index(articles(spark, sf)).terms.select("term", "df", F.round("top", 6).alias("top"))
+
+
+@query(f"WITH {SCORES} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(count(*) FILTER (tf > 0) AS BIGINT) AS df_body FROM post JOIN sz USING (pid) GROUP BY ALL")
+def search_terms(spark, sf):
+    """The stemmed terms of the written search index."""
+    return rt.search_index(articles(spark, sf)).terms.select("term", "df", "df_body")
+
+
+_PHRASE = f"list_filter({_FOLD.format('question')}, lambda x: true)[1:5]"
+
+
+@query(f"""WITH {PASSAGES}, {QUESTIONS}, q AS (SELECT item_id, {_PHRASE} AS w FROM questions), c AS (SELECT pid, {_FOLD.format('title')} AS t FROM passages WHERE ts <= TIMESTAMP '{CUTOFF}' UNION ALL SELECT pid, {_FOLD.format('chunk')} AS t FROM passages WHERE ts <= TIMESTAMP '{CUTOFF}'),
+  n AS (SELECT pid, t[i : i + k - 1] AS w FROM (SELECT pid, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM c, (SELECT DISTINCT len(w) AS k FROM q) WHERE k > 0))
+  SELECT item_id, pid, count(*) AS places FROM q JOIN n USING (w) GROUP BY ALL""")
+def phrase_match(spark, sf):
+    """Passages in which a question's first five terms stand as a phrase, by intersecting positions of the index."""
+    phrases = questions(spark, sf).select("item_id", F.slice(ix.folded_terms(F.col("question")), 1, 5).alias("phrase"))
+    return ix.phrase_hits(rt.weighted_index(articles(spark, sf)), phrases, "item_id", CUTOFF)
+
+
 def _live_scores(spark, sf):
-    p = _passages(spark, sf)
-    live = p.filter(F.col("ts") <= F.lit(CUTOFF).cast("timestamp")).select("pid", "ts").persist()
-    return rt.lexical_scores(p, questions(spark, sf), live.select("pid")).join(live, "pid"), live
+    return rt.lexical_scores(rt.search_index(articles(spark, sf)), questions(spark, sf), CUTOFF)
 
 
 def _top(rows, column):
@@ -99,12 +121,12 @@ def _top_sql(column: str) -> str:
 
 @query(f"WITH {SCORES} {_top_sql('lexical')}")
 def lexical_score_topk(spark, sf):
-    return _top(_live_scores(spark, sf)[0], F.col("lexical"))
+    return _top(_live_scores(spark, sf), F.col("lexical"))
 
 
 @query(f"WITH {SCORES} {_top_sql('bm25')}")
 def retrieval_bm25_topk(spark, sf):
-    return _top(_live_scores(spark, sf)[0], F.col("bm25"))
+    return _top(_live_scores(spark, sf), F.col("bm25"))
 
 
 def _minmax_sql(c: str) -> str:
@@ -117,8 +139,8 @@ def _minmax_sql(c: str) -> str:
 def hybrid_minmax_topk(spark, sf):
     from pyspark.sql import Window
 
-    scores, live = _live_scores(spark, sf)
-    rows = scores.crossJoin(F.broadcast(live.agg(F.count("*").alias("total")))).withColumn("others", F.col("total") - F.count("*").over(Window.partitionBy("item_id")))
+    live = rt.search_index(articles(spark, sf)).passages.filter(F.col("ts") <= F.lit(CUTOFF).cast("timestamp")).count()
+    rows = _live_scores(spark, sf).withColumn("others", live - F.count("*").over(Window.partitionBy("item_id")))
     return _top(rows, 0.5 * rt.minmax(F.col("lexical"), ["item_id"], F.col("others")) + 0.5 * rt.minmax(F.col("bm25"), ["item_id"], F.col("others")))
 
 
@@ -152,7 +174,7 @@ def _first_sql(keys: str) -> str:
 
 
 def _first(spark, sf, keys):
-    top = rt.first_per(rt.fused(_passages(spark, sf), questions(spark, sf), CUTOFF), keys, 10)
+    top = rt.first_per(rt.fused(rt.weighted_index(articles(spark, sf)), questions(spark, sf), CUTOFF), keys, 10)
     return top.select("item_id", "pid", "sparse_rank", "dense_rank", F.round("rrf_score", 6).alias("rrf_score"), "rank")
 
 
@@ -170,7 +192,7 @@ def retrieval_dedup_scope(spark, sf):
   || chr(10) || 'RRF score: ' || printf('%.6f', t.rrf_score) || chr(10) || p.chunk) AS block_md5 FROM top t JOIN passages p ON p.pid = t.pid""")
 def retrieved_blocks(spark, sf):
     """The header block and text that a retrieved passage is shown with."""
-    p = _passages(spark, sf)
+    p = rt.weighted_index(articles(spark, sf)).passages
     top = _first(spark, sf, ["ts", "article_id"]).join(p, "pid")
     block = F.concat_ws(
         "\n", F.format_string("[retrieved rank %d]", "rank"), F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Source URL: "), "url"), F.concat(F.lit("Document ID: "), "article_id"),
