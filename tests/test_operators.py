@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import answers, text
-from tidemark.operators import contexts, detector, distances, drift, evidence, index, probe, retrieval, temporal
+from tidemark.operators import contexts, detector, drift, evidence, index, probe, retrieval, temporal
 
 
 @pytest.mark.parametrize(
@@ -124,19 +124,6 @@ def test_stratum_controls_fall_back(spark):
     assert chosen(rows + [(40 + i, *s, 0.1 * i) for i, s in enumerate(strata)]) == [10, 41, 42, 43, 44]
 
 
-def test_distances():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(12, 8))
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    g = (u - u.mean(0)).T @ (u - u.mean(0))
-    w = np.sort(np.linalg.eigvalsh(g))[::-1][:8]
-    assert distances.volume_of(x) == pytest.approx(float(np.log(w + 1e-10).sum()), rel=1e-6)
-    assert distances.volume_of(np.ones((16, 20))) == pytest.approx(10 * np.log(1e-10))
-    assert distances.sliced_wasserstein(x, x) == 0
-    labels = distances.average_linkage(np.array([[1, 0], [1, 0.01], [0, 1], [0.01, 1.0]]), 0.8)
-    assert labels[0] == labels[1] != labels[2] == labels[3]
-
-
 def one(spark, column, schema="x int", *row):
     return spark.createDataFrame([row or (1,)], schema).select(column.alias("v")).first()["v"]
 

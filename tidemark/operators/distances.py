@@ -1,8 +1,6 @@
-"""Distances between two sets of answer vectors, entropy, clusters and volume, per question cell.
+"""Means, entropy, divergence and clusters of answers, per question cell; distances over all pairs are in ``tiles``.
 
-A cell (question x condition) is bounded by the sampling plan (16 answers, some dozens at most), while the number
-of cells grows.  Sums over pairs join within a cell on its key; linear algebra without an expression form
-runs per cell in Arrow groups.
+Texts of a cell that are compared with each other are bounded by the sampling plan (16 answers).
 """
 
 from __future__ import annotations
@@ -33,38 +31,6 @@ def centroids(v: DataFrame, keys: list[str]) -> DataFrame:
     return per.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def pairs(v: DataFrame) -> DataFrame:
-    """(question_id, side, sq): each two different vectors of a question once, side xx, yy or xy."""
-    a = v.select("question_id", F.col("condition").alias("ca"), F.col("vec_id").alias("i"), F.col("v").alias("va"))
-    b = v.select("question_id", F.col("condition").alias("cb"), F.col("vec_id").alias("j"), F.col("v").alias("vb"))
-    side = F.when(F.col("ca") != F.col("cb"), "xy").when(F.col("ca") == "stale_only", "xx").otherwise("yy")
-    return a.join(b, "question_id").filter("i < j").select("question_id", side.alias("side"), squared(F.col("va"), F.col("vb")).alias("sq"))
-
-
-def _sides(v: DataFrame) -> DataFrame:
-    """(question_id, nx, ny): vectors of each side."""
-    n = lambda c: F.sum((F.col("condition") == c).cast("double"))
-    return v.groupBy("question_id").agg(n("stale_only").alias("nx"), n("current_only").alias("ny"))
-
-
-def energy(v: DataFrame) -> DataFrame:
-    """Twice the mean distance between the sides, less those within each (a vector's zero distance to itself counts there)."""
-    total = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.sqrt("sq"))), F.lit(0.0))
-    sums = pairs(v).groupBy("question_id").agg(*(total(s).alias(s) for s in ("xx", "yy", "xy")))
-    nx, ny = F.col("nx"), F.col("ny")
-    value = 2 * F.col("xy") / (nx * ny) - 2 * F.col("xx") / (nx * nx) - 2 * F.col("yy") / (ny * ny)
-    return sums.join(_sides(v), "question_id").select("question_id", F.greatest(F.lit(0.0), value).alias("energy"))
-
-
-def mmd(v: DataFrame) -> DataFrame:
-    """U-statistic of the RBF kernel, bandwidth the median of the positive pooled distances."""
-    p = pairs(v).persist()
-    sigma = p.filter("sq > 0").groupBy("question_id").agg(F.percentile(F.sqrt("sq"), F.lit(0.5)).alias("sigma"))
-    k = F.exp(-F.col("sq") / F.greatest(2 * F.col("sigma") * F.col("sigma"), F.lit(1e-12)))
-    mean = lambda s: F.coalesce(F.avg(F.when(F.col("side") == s, k)), F.lit(0.0))
-    return p.join(sigma, "question_id").groupBy("question_id").agg(F.greatest(F.lit(0.0), mean("xx") + mean("yy") - 2 * mean("xy")).alias("mmd"))
-
-
 def entropy(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
     """-sum p ln(p + 1e-12), at least 0."""
     c = rows.groupBy(*keys, label).agg(F.count("*").alias("c"))
@@ -83,47 +49,6 @@ def js(rows: DataFrame, key: str, label: str, left: Column, right: Column) -> Da
     return c.join(t, key).groupBy(key).agg((0.5 * F.sum(term(p)) + 0.5 * F.sum(term(q))).alias("js"))
 
 
-def volume_of(x: np.ndarray, dim: int = 10, eps: float = 1e-10) -> float:
-    """Log volume: sum of ln(s^2 + eps) over the leading singular values of the centred unit rows."""
-    if len(x) <= 1 or not x.shape[1]:
-        return 0.0
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    u = np.divide(x, n, out=x.copy(), where=n > 0)
-    s = np.linalg.svd(u - u.mean(0), compute_uv=False)[: min(dim, len(x) - 1, x.shape[1])]
-    return float(np.log(s * s + eps).sum())
-
-
-def sliced_wasserstein(a: np.ndarray, b: np.ndarray, projections: int = 128, seed: int = 42) -> float:
-    if not len(a) or not len(b):
-        return 0.0
-    w = np.random.default_rng(seed).normal(size=(projections, a.shape[1]))
-    w /= np.linalg.norm(w, axis=1, keepdims=True) + 1e-12
-    p, q = np.sort(a @ w.T, axis=0), np.sort(b @ w.T, axis=0)
-    at = np.linspace(0, 1, max(len(p), len(q)))
-    level = lambda z: np.stack([np.interp(at, np.linspace(0, 1, len(z)), z[:, k]) for k in range(projections)])
-    return float(np.abs(level(p) - level(q)).mean())
-
-
-def average_linkage(x: np.ndarray, similarity: float = 0.82) -> np.ndarray:
-    """Labels of average-linkage clusters by cosine; clusters merge while their mean distance is below 1 - similarity."""
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    u = np.divide(x, n, out=x.copy(), where=n > 0)
-    d = 1 - u @ u.T
-    np.fill_diagonal(d, np.inf)
-    label, size, alive = np.arange(len(x)), np.ones(len(x)), np.ones(len(x), bool)
-    while alive.sum() > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if d[i, j] >= 1 - similarity:
-            break
-        i, j = min(i, j), max(i, j)
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i], d[j], d[:, j], d[i, i] = row, row, np.inf, np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
 def per_cell(v: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     """fn(pandas frame of a cell) for each cell."""
     return v.groupBy(*keys).applyInPandas(fn, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import query
 from tidemark.operators import distances as ds
+from tidemark.operators import tiles
 from tidemark.functions import text as tx
 from tidemark.plans.views import SPANS, VECTORS, f1, norm, spans, table, toks, vectors
 
@@ -17,13 +18,13 @@ _PAIRS = f"""{VECTORS}, p AS (SELECT a.question_id, a.vec_id AS i, b.vec_id AS j
 
 @query(f"WITH {_PAIRS} SELECT question_id, round(greatest(0.0, 2 * avg(sqrt(sq)) FILTER (WHERE side = 'xy') - avg(sqrt(sq)) FILTER (WHERE side = 'xx') - avg(sqrt(sq)) FILTER (WHERE side = 'yy')), 6) AS energy FROM p GROUP BY 1")
 def energy_by_pair(spark, sf):
-    return ds.energy(vectors(spark, sf)).select("question_id", F.round("energy", 6).alias("energy"))
+    return tiles.energy(vectors(spark, sf)).select(F.col("question_id").cast("int").alias("question_id"), F.round("energy", 6).alias("energy"))
 
 
 @query(f"""WITH {_PAIRS}, s AS (SELECT question_id, quantile_cont(sqrt(sq), 0.5) AS sigma FROM p WHERE i < j AND sq > 0 GROUP BY 1), k AS (SELECT p.*, exp(-sq / greatest(2 * sigma * sigma, 1e-12)) AS k FROM p JOIN s USING (question_id))
   SELECT question_id, round(greatest(0.0, coalesce(avg(k) FILTER (WHERE side = 'xx' AND i <> j), 0) + coalesce(avg(k) FILTER (WHERE side = 'yy' AND i <> j), 0) - 2 * coalesce(avg(k) FILTER (WHERE side = 'xy'), 0)), 6) AS mmd FROM k GROUP BY 1""")
 def mmd_by_pair(spark, sf):
-    return ds.mmd(vectors(spark, sf)).select("question_id", F.round("mmd", 6).alias("mmd"))
+    return tiles.mmd(vectors(spark, sf)).select(F.col("question_id").cast("int").alias("question_id"), F.round("mmd", 6).alias("mmd"))
 
 
 _CENT = "cen AS (SELECT question_id, condition, list(m ORDER BY i) AS c FROM (SELECT question_id, condition, i, avg(x) AS m FROM (SELECT question_id, condition, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM {t}) GROUP BY 1, 2, 3) GROUP BY 1, 2)"
@@ -71,31 +72,19 @@ def js_by_pair(spark, sf):
 
 @query()
 def semantic_volume(spark, sf):
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"question_id": pdf["question_id"].iloc[:1], "condition": pdf["condition"].iloc[:1], "volume": [round(ds.volume_of(ds.matrix(pdf)), 6)]})
-
-    return ds.per_cell(vectors(spark, sf), ["question_id", "condition"], cell, "question_id int, condition string, volume double")
+    return tiles.volumes(vectors(spark, sf)).select(F.col("question_id").cast("int").alias("question_id"), "condition", F.round("volume", 6).alias("volume"))
 
 
 @query()
 def sliced_wasserstein(spark, sf):
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        a, b = (ds.matrix(pdf[pdf["condition"] == c]) for c in ("stale_only", "current_only"))
-        return pd.DataFrame({"question_id": pdf["question_id"].iloc[:1], "swd": [round(ds.sliced_wasserstein(a, b), 6)]})
-
-    return ds.per_cell(vectors(spark, sf), ["question_id"], cell, "question_id int, swd double")
+    return tiles.sliced(vectors(spark, sf)).select(F.col("question_id").cast("int").alias("question_id"), F.round("swd", 6).alias("swd"))
 
 
 @query()
 def agglomerative_clusters(spark, sf):
-    """Average-linkage clusters of a question's pooled answers."""
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        return pdf[["question_id", "vec_id", "condition"]].assign(cluster=ds.average_linkage(ds.matrix(pdf), 0.3))
-
-    return ds.per_cell(vectors(spark, sf), ["question_id"], cell, "question_id int, vec_id long, condition string, cluster int")
+    """Average-linkage clusters of a question's pooled answers, each named by its smallest vector."""
+    v = vectors(spark, sf)
+    return v.select("question_id", "vec_id", "condition").join(tiles.average_linkage(v, 0.3), ["question_id", "vec_id"])
 
 
 @query()
