@@ -11,23 +11,23 @@ from tidemark.operators import families as fm
 from tidemark.plans.detection import _AUC, _METRIC, _OUT, _rounded
 from tidemark.plans.views import QUESTION_METRICS, SCORED_LABELS, question_metrics, scored_labels, table
 
-_DISTANCES = """distances AS (SELECT l_suppkey AS question_id, CASE l_linenumber % 3 WHEN 0 THEN 'current_only__vs__mixed' WHEN 1 THEN 'current_only__vs__stale_only' ELSE 'mixed__vs__stale_only' END AS comparison, round(avg(l_tax) * 10, 6) AS energy, round(avg(l_discount) * 10, 6) AS mmd FROM lineitem WHERE l_suppkey % 9 > 0 OR l_linenumber % 3 = 1 GROUP BY 1, 2)"""
+_DISTANCES = """distances AS (SELECT l_suppkey AS question_id, CASE l_linenumber % 3 WHEN 0 THEN 'current_only__vs__mixed' WHEN 1 THEN 'current_only__vs__stale_only' ELSE 'mixed__vs__stale_only' END AS comparison, round(avg(l_tax) * 10, 6) AS energy, round(avg(l_discount) * 10, 6) AS mmd FROM lineitem GROUP BY 1, 2)"""
 
 
 def _distances(spark, sf):
-    l = table(spark, sf, "lineitem").filter("l_suppkey % 9 > 0 or l_linenumber % 3 = 1")  # noqa: E741
+    l = table(spark, sf, "lineitem")  # noqa: E741
     n = F.col("l_linenumber") % 3
     c = F.when(n == 0, "current_only__vs__mixed").when(n == 1, "current_only__vs__stale_only").otherwise("mixed__vs__stale_only")
     return l.groupBy(F.col("l_suppkey").alias("question_id"), c.alias("comparison")).agg(F.round(F.avg("l_tax") * 10, 6).alias("energy"), F.round(F.avg("l_discount") * 10, 6).alias("mmd"))
 
 
 @query(f"""WITH {QUESTION_METRICS}, {_DISTANCES}, w AS (SELECT question_id, first(accuracy) FILTER (WHERE condition = 'stale_only') AS a_old, first(accuracy) FILTER (WHERE condition = 'current_only') AS a_new, first(semantic_entropy) FILTER (WHERE condition = 'stale_only') AS e_old, first(semantic_entropy) FILTER (WHERE condition = 'current_only') AS e_new,
-    first(semantic_volume) FILTER (WHERE condition = 'stale_only') AS v_old, first(semantic_volume) FILTER (WHERE condition = 'current_only') AS v_new FROM question_metrics GROUP BY 1), m AS (SELECT s_suppkey AS question_id, CASE WHEN s_suppkey % 3 = 0 THEN 'changed' ELSE 'stable' END AS change_label FROM supplier WHERE s_suppkey % 11 > 0)
+    first(semantic_volume) FILTER (WHERE condition = 'stale_only') AS v_old, first(semantic_volume) FILTER (WHERE condition = 'current_only') AS v_new FROM question_metrics GROUP BY 1), m AS (SELECT s_suppkey AS question_id, CASE WHEN s_acctbal < 0 THEN NULL WHEN s_suppkey % 3 = 0 THEN 'changed' ELSE 'stable' END AS change_label FROM supplier)
   SELECT w.question_id, energy, mmd, a_old AS accuracy_stale, a_new AS accuracy_current, round(a_old - a_new, 6) AS accuracy_drop, round(e_new - e_old, 6) AS delta_entropy, round(v_new - v_old, 6) AS delta_volume, CAST(NOT (a_old < 0.32 AND a_new < 0.32) AND round(a_old - a_new, 9) >= 0.02 AS INTEGER) AS target, coalesce(change_label, 'none') AS change_label
   FROM distances d JOIN w ON w.question_id = d.question_id LEFT JOIN m ON m.question_id = w.question_id WHERE comparison = 'current_only__vs__stale_only'""")
 def run_frame(spark, sf):
     """Distances, metrics of both snapshots side by side, metadata and the target of each question of a run."""
-    meta = table(spark, sf, "supplier").filter("s_suppkey % 11 > 0").select(F.col("s_suppkey").alias("question_id"), F.when(F.col("s_suppkey") % 3 == 0, "changed").otherwise("stable").alias("change_label"))
+    meta = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("question_id"), F.when(F.col("s_acctbal") < 0, None).when(F.col("s_suppkey") % 3 == 0, "changed").otherwise("stable").alias("change_label"))
     f = dr.run_frame(question_metrics(spark, sf), _distances(spark, sf), meta, drop=0.02, failure=0.32)
     r = lambda c: F.round(c, 6).alias(c)
     return f.select("question_id", "energy", "mmd", "accuracy_stale", "accuracy_current", r("accuracy_drop"), r("delta_entropy"), r("delta_volume"), "target", F.coalesce("change_label", F.lit("none")).alias("change_label"))

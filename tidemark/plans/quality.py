@@ -29,7 +29,7 @@ def answer_patterns(spark, sf):
 
 #: Answers of the turns of a conversation: turn 1 is the gold answer, turn 2 the stale one, turns 3 and 4 an alias of each.
 _TURNS = f"""c AS (SELECT * FROM conversations WHERE role <> 'system'), r AS (SELECT x.conv_id, any_value(x.text) FILTER (WHERE turn = 1) AS gold, any_value(x.text) FILTER (WHERE turn = 2) AS stale, any_value(x.text) FILTER (WHERE turn = 3) AS alias, any_value(x.text) FILTER (WHERE turn = 4) AS old FROM c x GROUP BY 1 HAVING gold IS NOT NULL AND stale IS NOT NULL),
-  j AS (SELECT c.conv_id, c.turn, CASE c.role WHEN 'user' THEN 'stale_only' ELSE 'current_only' END AS condition, c.text AS answer, gold, stale, alias, old, 'Previous answer: ' || left(regexp_replace(stale, '[.;\\n].*', '', 's'), 60) AS doc FROM c JOIN r ON c.conv_id = r.conv_id)"""
+  j AS (SELECT c.conv_id, c.turn, CASE c.role WHEN 'user' THEN 'stale_only' ELSE 'current_only' END AS condition, c.text AS answer, gold, stale, alias, old, 'Previous answer: ' || stale AS doc FROM c JOIN r ON c.conv_id = r.conv_id)"""
 
 
 def _turns(spark, sf):
@@ -37,7 +37,7 @@ def _turns(spark, sf):
     of = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
     r = c.groupBy("conv_id").agg(of(1).alias("gold"), of(2).alias("stale"), of(3).alias("alias"), of(4).alias("old")).filter("gold is not null and stale is not null")
     condition = F.when(F.col("role") == "user", "stale_only").otherwise("current_only")
-    doc = F.concat(F.lit("Previous answer: "), F.left(F.regexp_replace("stale", r"(?s)[.;\n].*", ""), F.lit(60)))
+    doc = F.concat(F.lit("Previous answer: "), F.col("stale"))
     rows = c.select("conv_id", "turn", condition.alias("condition"), F.col("text").alias("answer")).join(r, "conv_id")
     some = lambda x: F.when(F.col(x).isNull(), F.array().cast("array<string>")).otherwise(F.array(x))
     return rows.select(

@@ -51,13 +51,13 @@ def prompt_messages(spark, sf):
     return c.select("conv_id", "turn", (own.isNotNull() | (cond != "free")).alias("dated"), F.md5(cx.plain_prompt(question, F.col("role"), "hybrid_answer")).alias("prompt_md5"))
 
 
-@query(f"""WITH {RESPONSES}, k AS (SELECT question_id, CASE condition WHEN 'user' THEN 'current_only' WHEN 'assistant' THEN 'stale_0' ELSE condition END AS c FROM responses WHERE question_id % 3 <> 0 OR condition <> 'user')
-  SELECT question_id, CASE WHEN bool_or(c = 'current_only') THEN 'current_only' WHEN bool_or(c = 'stale_0') THEN 'stale_0' ELSE min(c) END AS baseline FROM k GROUP BY 1""")
+@query(f"""WITH {RESPONSES}, k AS (SELECT question_id, sample_idx // 2 AS pair, CASE condition WHEN 'user' THEN 'current_only' WHEN 'assistant' THEN 'stale_0' ELSE condition END AS c FROM responses)
+  SELECT question_id, pair, CASE WHEN bool_or(c = 'current_only') THEN 'current_only' WHEN bool_or(c = 'stale_0') THEN 'stale_0' ELSE min(c) END AS baseline FROM k GROUP BY 1, 2""")
 def baseline_conditions(spark, sf):
-    """The condition that each question's others are compared with."""
-    r = responses(spark, sf).filter("question_id % 3 <> 0 or condition <> 'user'")
+    """The condition that each pair of answers to a question is compared with."""
+    r = responses(spark, sf).withColumn("pair", F.expr("sample_idx div 2"))
     c = F.when(F.col("condition") == "user", "current_only").when(F.col("condition") == "assistant", "stale_0").otherwise(F.col("condition"))
-    return r.select("question_id", c.alias("c")).groupBy("question_id").agg(cx.baseline(F.col("c")).alias("baseline"))
+    return r.select("question_id", "pair", c.alias("c")).groupBy("question_id", "pair").agg(cx.baseline(F.col("c")).alias("baseline"))
 
 
 @query(f"""WITH {RESPONSES}, u AS (SELECT condition, CASE WHEN sample_idx % 4 = 0 THEN '  ' WHEN sample_idx % 7 = 0 THEN NULL ELSE answer END AS a, CASE WHEN sample_idx % 5 = 0 THEN 'timeout' END AS error FROM responses)

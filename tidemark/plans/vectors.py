@@ -99,13 +99,13 @@ _EDGES = "eq AS (SELECT c_custkey AS a, c_nationkey AS k1, CAST(floor(c_acctbal
 _EQUAL = "(na <> '' AND nb <> '' AND (contains(na, nb) OR contains(nb, na) OR {f} >= 0.5))"
 
 
-@query(f"""WITH RECURSIVE c AS (SELECT conv_id, turn, left(regexp_replace(text, '\\s+', ' ', 'g'), 30) || ' ' || CAST(turn % 3 AS VARCHAR) AS a, {norm("left(regexp_replace(text, '\\s+', ' ', 'g'), 30) || ' ' || CAST(turn % 3 AS VARCHAR)")} AS n FROM conversations), t AS (SELECT *, {toks('n')} AS t FROM c),
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') || ' ' || CAST(turn % 3 AS VARCHAR) AS a, {norm("regexp_replace(text, '\\s+', ' ', 'g') || ' ' || CAST(turn % 3 AS VARCHAR)")} AS n FROM conversations), t AS (SELECT *, {toks('n')} AS t FROM c),
   p AS (SELECT x.conv_id, x.turn AS i, y.turn AS j, x.n AS na, y.n AS nb, {f1('x.t', 'y.t')} AS f, list_filter(x.t, lambda e: regexp_matches(e, '^[0-9]+$')) AS mx, list_filter(y.t, lambda e: regexp_matches(e, '^[0-9]+$')) AS my FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.turn < y.turn),
   e AS (SELECT conv_id, i, j FROM p WHERE {_EQUAL.format(f='f')} AND NOT (len(list_filter(mx, lambda v: NOT list_contains(my, v))) > 0 AND len(list_filter(my, lambda v: NOT list_contains(mx, v))) > 0)), bo AS (SELECT conv_id, i, j FROM e UNION SELECT conv_id, j, i FROM e),
   r AS (SELECT conv_id, turn AS i, turn AS j FROM c UNION SELECT r.conv_id, r.i, bo.j FROM r JOIN bo ON bo.conv_id = r.conv_id AND bo.i = r.j) SELECT conv_id, i AS turn, CAST(min(j) AS BIGINT) AS component FROM r GROUP BY 1, 2""")
 def equivalence_components(spark, sf):
     """Clusters of a question's answers: what pairwise equivalence, split where numbers disagree, joins in any number of steps."""
-    a = F.concat(F.left(F.regexp_replace("text", r"\s+", " "), F.lit(30)), F.lit(" "), (F.col("turn") % 3).cast("string"))
+    a = F.concat(F.regexp_replace("text", r"\s+", " "), F.lit(" "), (F.col("turn") % 3).cast("string"))
     c = table(spark, sf, "conversations").select("conv_id", "turn", a.alias("a"))
     same = lambda x, y: tx.lexically_equal(x, y, 0.5) & ~tx.numbers_disagree(x, y)
     return ds.equivalence_clusters(c, ["conv_id"], "turn", "a", same).select("conv_id", "turn", "component")
