@@ -5,7 +5,8 @@ import itertools
 import numpy as np
 import pytest
 
-from tidemark.operators import tiles
+from tidemark import catalog
+from tidemark.operators import distances, tiles
 
 
 def cells(seed=0, sizes=((0, 23, 31), (1, 1, 1), (2, 12, 0), (3, 40, 9), (4, 2, 1)), d=6):
@@ -114,3 +115,31 @@ def test_a_cell_of_many_tiles(spark):
     x, y = data[0]
     energy = tiles.energy(table(spark, data), 300).first()["energy"]
     assert energy == pytest.approx(2 * far(x, y).mean() - far(x, x).mean() - far(y, y).mean(), abs=1e-9)
+
+
+@pytest.mark.parametrize("size", [9, 512])
+def test_density_clusters_of_a_spanning_tree_in_rounds(spark, size):
+    rng = np.random.default_rng(8)
+    middle = np.eye(6)[:3] * 4
+    data = {0: (np.concatenate([middle[k] + rng.normal(scale=0.3, size=(9, 6)) for k in range(3)]), rng.normal(size=(6, 6))), 1: (rng.normal(size=(4, 6)), rng.normal(size=(2, 6))), 2: (rng.normal(size=(11, 6)), rng.normal(size=(9, 6)))}
+    got = {(r["question_id"], r["vec_id"]): r["cluster"] for r in tiles.density_clusters(table(spark, data), 4, size).collect()}
+    first = 0
+    for q, sides in data.items():
+        labels = distances.density_clusters(np.concatenate(sides), 4)
+        ids = np.arange(first, first + len(labels))
+        want = {i: (int(ids[labels == c].min()) if c >= 0 else int(i)) for i, c in zip(ids, labels, strict=True)}
+        assert {i: got[q, i] for i in ids} == want
+        first += len(labels)
+    assert len({got[0, i] for i in range(27)}) < 15
+
+
+def test_density_clusters_query(spark):
+    """The whole query against one pass over all pairs of each question."""
+    sf = "/root/testdata/sf0.001"
+    got = {r["vec_id"]: r["cluster"] for r in catalog.QUERIES["density_clusters"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    assert len(got) == len(rows)
+    for q in {r["label"] for r in rows}:
+        own = [r for r in rows if r["label"] == q]
+        labels, ids = distances.density_clusters(np.array([r["embedding"] for r in own], float), 4), np.array([r["vec_id"] for r in own])
+        assert [got[i] for i in ids] == [int(ids[labels == c].min()) if c >= 0 else int(i) for i, c in zip(ids, labels, strict=True)]

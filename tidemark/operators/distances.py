@@ -119,7 +119,7 @@ def density_clusters(x: np.ndarray, least: int = 5) -> np.ndarray:
     d = np.sqrt(np.maximum(0, 2 - 2 * u @ u.T))
     core = np.sort(d, axis=1)[:, min(least, n - 1)]
     reach = np.maximum(np.maximum(core[:, None], core[None, :]), d)
-    # Prim's tree, its edges then joined from short to long
+    # Prim's tree
     best, source, out, edges = reach[0].copy(), np.zeros(n, int), np.ones(n, bool), []
     out[0] = False
     for _ in range(n - 1):
@@ -128,7 +128,12 @@ def density_clusters(x: np.ndarray, least: int = 5) -> np.ndarray:
         out[j] = False
         closer = out & (reach[j] < best)
         best[closer], source[closer] = reach[j][closer], j
-    node, size, kids, top = list(range(n)), [1] * n, {}, {i: i for i in range(n)}
+    return clusters_of_tree(n, edges, least)
+
+
+def clusters_of_tree(n: int, edges: list[tuple[float, int, int]], least: int) -> np.ndarray:
+    """Clusters of n rows, -1 for noise, from the edges (length, row, row) of their spanning tree."""
+    node, size, kids, top = list(range(n)), [1] * n, {}, list(range(n))
 
     def root(i: int) -> int:
         while node[i] != i:
@@ -137,35 +142,51 @@ def density_clusters(x: np.ndarray, least: int = 5) -> np.ndarray:
 
     for far, i, j in sorted(edges):
         a, b = root(i), root(j)
+        if size[top[a]] < size[top[b]]:
+            a, b = b, a
         new = len(size)
         size.append(size[top[a]] + size[top[b]])
         kids[new] = (top[a], top[b], max(far, 1e-12))
         node[b], top[a] = a, new
-    members: dict[int, list[int]] = {i: [i] for i in range(n)}
-    for k, (a, b, _) in kids.items():
-        members[k] = members[a] + members[b]
-
-    def gain(k: int, born: float) -> tuple[float, list[int]]:
-        """(stability, clusters) of the best choice within a branch that began at density ``born``."""
-        here, total = k, 0.0
+    # the branches: from each, how long it lasts and what it splits into
+    whole = len(size) - 1
+    born, stability, splits, order, todo = {whole: 0.0}, {}, {}, [], [whole]
+    while todo:
+        k = todo.pop()
+        order.append(k)
+        here, total, below = k, 0.0, []
         while here in kids:
             a, b, far = kids[here]
             density = 1 / far
             big = [c for c in (a, b) if size[c] >= least]
-            total += (density - born) * (size[here] if len(big) != 1 else size[here] - size[big[0]])
-            if len(big) == 2:
-                below = [gain(c, density) for c in big]
-                return (total, [k]) if total >= sum(g for g, _ in below) else (sum(g for g, _ in below), [c for _, cs in below for c in cs])
-            if not big:
+            total += (density - born[k]) * (size[here] if len(big) != 1 else size[here] - size[big[0]])
+            if len(big) != 1:
+                below = [(c, density) for c in big]
                 break
             here = big[0]
-        return total, [k]
-
-    top_node = len(size) - 1
-    found = gain(top_node, 0.0)[1]
-    labels = np.full(n, -1)
-    for number, k in enumerate(c for c in found if c != top_node):
-        labels[members[k]] = number
+        stability[k], splits[k] = total, [c for c, _ in below]
+        born.update(below)
+        todo += splits[k]
+    # children come after their branch in this order, so they are weighed first
+    own, gains = {}, {}
+    for k in reversed(order):
+        under = sum(gains[c] for c in splits[k])
+        own[k] = not splits[k] or stability[k] >= under
+        gains[k] = stability[k] if own[k] else under
+    labels, number, todo = np.full(n, -1), 0, [whole]
+    while todo:
+        k = todo.pop()
+        if not own[k]:
+            todo += splits[k]
+        elif k != whole:
+            rows = [k]
+            while rows:
+                r = rows.pop()
+                if r < n:
+                    labels[r] = number
+                else:
+                    rows += kids[r][:2]
+            number += 1
     return labels
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import distances as ds
 from tidemark.operators.index import small
 from tidemark.shared import written
 
@@ -27,19 +28,20 @@ BINS, PASSES = 4096, 3
 NEAR = 1e-9
 
 
-def tiled(v: DataFrame, size: int = TILE) -> DataFrame:
-    """(question_id, tile, last, ids, sides, m): a question's vectors in tiles 0 to last; m is a tile's matrix row by row."""
-    rows = written(v.select(F.col("question_id").cast("long").alias("question_id"), "vec_id", (F.col("condition") == "stale_only").alias("side"), "v", F.monotonically_increasing_id().alias("row")))
+def tiled(v: DataFrame, size: int = TILE, more: tuple[str, ...] = ()) -> DataFrame:
+    """(question_id, tile, last, ids, sides, m): a question's vectors in tiles 0 to last; m is a tile's matrix row by row.  Columns of ``more`` are arrays."""
+    rows = written(v.select(F.col("question_id").cast("long").alias("question_id"), "vec_id", (F.col("condition") == "stale_only").alias("side"), "v", *more, F.monotonically_increasing_id().alias("row")))
     tiles = rows.groupBy("question_id").agg(F.ceil(F.count("*") / size).alias("tiles"))
     dealt = rows.join(small(tiles), "question_id").withColumn("tile", F.pmod("row", "tiles"))
-    each = dealt.groupBy("question_id", "tile").agg((F.first("tiles") - 1).alias("last"), F.sort_array(F.collect_list(F.struct("vec_id", "side", "v"))).alias("x"))
-    return written(each.select("question_id", "tile", "last", F.col("x.vec_id").alias("ids"), F.col("x.side").alias("sides"), F.flatten("x.v").alias("m")))
+    each = dealt.groupBy("question_id", "tile").agg((F.first("tiles") - 1).alias("last"), F.sort_array(F.collect_list(F.struct("vec_id", "side", "v", *more))).alias("x"))
+    return written(each.select("question_id", "tile", "last", F.col("x.vec_id").alias("ids"), F.col("x.side").alias("sides"), F.flatten("x.v").alias("m"), *(F.col(f"x.{c}").alias(c) for c in more)))
 
 
 def tile_pairs(tiles: DataFrame) -> DataFrame:
     """Each two tiles of a question once, and each tile with itself."""
-    a = tiles.select("question_id", F.col("tile").alias("i"), F.explode(F.sequence("tile", "last")).alias("j"), *(F.col(c).alias(f"a_{c}") for c in ("ids", "sides", "m")))
-    b = tiles.select("question_id", F.col("tile").alias("j"), *(F.col(c).alias(f"b_{c}") for c in ("ids", "sides", "m")))
+    carried = [c for c in tiles.columns if c not in ("question_id", "tile", "last")]
+    a = tiles.select("question_id", F.col("tile").alias("i"), F.explode(F.sequence("tile", "last")).alias("j"), *(F.col(c).alias(f"a_{c}") for c in carried))
+    b = tiles.select("question_id", F.col("tile").alias("j"), *(F.col(c).alias(f"b_{c}") for c in carried))
     return a.join(b, ["question_id", "j"])
 
 
@@ -235,6 +237,16 @@ def sliced(v: DataFrame, projections: int = 128, seed: int = 42) -> DataFrame:
     return sizes.select("question_id").join(found, "question_id", "left").withColumn("swd", F.coalesce("swd", F.lit(0.0)))
 
 
+def _units(v: DataFrame) -> DataFrame:
+    """(question_id, vec_id, v) with vectors of length one; a zero vector as it is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(v=list(_unit(np.stack(b["v"].to_list()).astype(float)))) if len(b) else b
+
+    return v.select(F.col("question_id").cast("long").alias("question_id"), "vec_id", "v").mapInPandas(run, "question_id long, vec_id long, v array<double>")
+
+
 def _merged(ids: np.ndarray, sums: np.ndarray, sizes: np.ndarray, most: float) -> dict[int, int]:
     """Of clusters in one tile: whom each is part of in the end; the two nearest are joined while they are nearer than ``most``."""
     into, alive = {int(i): int(i) for i in ids}, list(range(len(ids)))
@@ -269,13 +281,7 @@ def average_linkage(v: DataFrame, similarity: float = 0.82, size: int = TILE) ->
     A cluster is named by its smallest vec_id; equal distances go to the smaller name.
     """
     most = 1 - similarity
-
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(v=list(_unit(np.stack(b["v"].to_list()).astype(float)))) if len(b) else b
-
-    base = v.select(F.col("question_id").cast("long").alias("question_id"), F.col("vec_id").alias("cluster"), "v").mapInPandas(units, "question_id long, cluster long, v array<double>")
-    clusters = written(base.withColumn("n", F.lit(1).cast("long")))
+    clusters = written(_units(v).select("question_id", F.col("vec_id").alias("cluster"), "v", F.lit(1).cast("long").alias("n")))
     members = clusters.select("question_id", F.col("cluster").alias("vec_id"), "cluster")
 
     def finish(g: pd.DataFrame) -> pd.DataFrame:
@@ -311,3 +317,103 @@ def average_linkage(v: DataFrame, similarity: float = 0.82, size: int = TILE) ->
         parts = rest.join(small(merges), ["question_id", "cluster"], "left").select("question_id", F.coalesce("into", "cluster").alias("cluster"), "n", "v")
         entries = parts.select("question_id", "cluster", "n", F.posexplode("v").alias("i", "x")).groupBy("question_id", "cluster", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         clusters = written(entries.groupBy("question_id", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v"), F.max("n").alias("n")))
+
+
+def _lengths(row) -> np.ndarray:
+    """Distances of a pair of tiles of unit vectors; a vector is no neighbour of its own."""
+    x, y = (np.asarray(m, float).reshape(len(i), -1) for m, i in ((row.a_m, row.a_ids), (row.b_m, row.b_ids)))
+    d = np.sqrt(np.maximum(0, 2 - 2 * x @ y.T))
+    if row.i == row.j:
+        np.fill_diagonal(d, np.inf)
+    return d
+
+
+def _both(row, d: np.ndarray) -> list[tuple[str, str, np.ndarray]]:
+    """A pair of tiles from the side of each of them; a tile with itself once."""
+    return [("a", "b", d), ("b", "a", d.T)][: 1 if row.i == row.j else 2]
+
+
+def spanning_tree(units: DataFrame, least: int, size: int = TILE) -> DataFrame:
+    """(question_id, far, i, j): the edges of the spanning tree of each question's mutual reachability, in Boruvka's rounds.
+
+    In each round all components find their shortest edge to another one over pairs of tiles; edges are ordered by (length, ids), so that
+    what the components choose has no circle.  Components halve at least, and their new names are found by doubling pointers.
+    """
+
+    def nearest(row):
+        for own, _, d in _both(row, _lengths(row)):
+            k = min(least, d.shape[1])
+            yield from ((row.question_id, int(i), x[x < np.inf].tolist()) for i, x in zip(getattr(row, f"{own}_ids"), np.partition(d, k - 1, axis=1)[:, :k], strict=True))
+
+    found = over_pairs(tile_pairs(tiled(_conditioned(units), size)), nearest, "question_id long, vec_id long, x array<double>")
+    core = found.groupBy("question_id", "vec_id").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x")).select("question_id", "vec_id", F.coalesce(F.get("x", F.lit(least - 1)), F.array_max("x")).alias("core"))
+    rows = written(units.join(core, ["question_id", "vec_id"]).withColumn("comp", F.col("vec_id")))
+    tree = None
+
+    def shortest(row):
+        d = _lengths(row)
+        reach = np.maximum(np.maximum(np.asarray(row.a_core)[:, None], np.asarray(row.b_core)[None, :]), d)
+        reach[np.asarray(row.a_comp)[:, None] == np.asarray(row.b_comp)[None, :]] = np.inf
+        for own, other, r in _both(row, reach):
+            ids, comps, others, far_comps = (np.asarray(getattr(row, f"{s}_{n}")) for s, n in ((own, "ids"), (own, "comp"), (other, "ids"), (other, "comp")))
+            k = r.argmin(1)  # ids are in order, so the first of equals has the smallest
+            far = r[np.arange(len(ids)), k]
+            lo, hi = np.minimum(ids, others[k]), np.maximum(ids, others[k])
+            seen = set()
+            for at in np.lexsort((hi, lo, far, comps)).tolist():
+                if far[at] < np.inf and comps[at] not in seen:
+                    seen.add(comps[at])
+                    yield row.question_id, int(comps[at]), float(far[at]), int(lo[at]), int(hi[at]), int(far_comps[k[at]])
+
+    while True:
+        edges = over_pairs(tile_pairs(tiled(_conditioned(rows), size, ("core", "comp"))), shortest, "question_id long, comp long, far double, i long, j long, other long")
+        best = written(edges.groupBy("question_id", "comp").agg(F.min(F.struct("far", "i", "j", "other")).alias("e")).select("question_id", "comp", "e.*"))
+        if not best.limit(1).count():
+            return tree if tree is not None else best.select("question_id", "far", "i", "j")
+        new = best.select("question_id", "far", "i", "j").distinct()
+        tree = written(new if tree is None else tree.unionByName(new))
+        back = best.select("question_id", F.col("comp").alias("other"), F.col("other").alias("comp"), F.lit(True).alias("mutual"))
+        up = best.join(back, ["question_id", "comp", "other"], "left")
+        up = written(up.select("question_id", "comp", F.when(F.col("mutual") & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("into")))
+        while True:
+            above = up.select("question_id", F.col("comp").alias("into"), F.col("into").alias("next"))
+            jumped = written(up.join(above, ["question_id", "into"]).select("question_id", "comp", F.col("next").alias("into"), (F.col("next") != F.col("into")).alias("moved")))
+            up = jumped.drop("moved")
+            if not jumped.filter("moved").limit(1).count():
+                break
+        rows = written(rows.join(small(up), ["question_id", "comp"], "left").select("question_id", "vec_id", "v", "core", F.coalesce("into", "comp").alias("comp")))
+
+
+def _conditioned(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("condition", F.lit("stale_only"))
+
+
+def density_clusters(v: DataFrame, least: int = 5, size: int = TILE) -> DataFrame:
+    """(question_id, vec_id, cluster): hierarchical density clusters, named by their smallest vec_id; noise is a cluster of its own each.
+
+    A question that fits a tile is clustered there.  Of a larger one the spanning tree is found in rounds; one task then takes its edges,
+    three numbers a vector and no vectors, from short to long.
+    """
+    units = written(_units(v))
+    counts = written(units.groupBy("question_id").agg(F.count("*").alias("n")))
+    few = counts.filter(F.col("n") <= size).select("question_id")
+    schema = "question_id long, vec_id long, cluster long"
+
+    def named(q: int, ids: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
+        first = {c: int(ids[labels == c].min()) for c in np.unique(labels) if c >= 0}
+        return pd.DataFrame({"question_id": q, "vec_id": ids, "cluster": [first.get(c, int(i)) for c, i in zip(labels, ids, strict=True)]})
+
+    def whole(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("vec_id")
+        return named(g["question_id"].iloc[0], g["vec_id"].to_numpy(), ds.density_clusters(np.stack(g["v"].to_list()).astype(float), least))
+
+    def of_tree(g: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([g["i"], g["j"]]))
+        edges = list(zip(g["far"].tolist(), np.searchsorted(ids, g["i"]).tolist(), np.searchsorted(ids, g["j"]).tolist(), strict=True))
+        return named(g["question_id"].iloc[0], ids, ds.clusters_of_tree(len(ids), edges, least) if len(ids) >= 2 * least else np.full(len(ids), -1))
+
+    near = units.join(small(few), "question_id", "left_semi").groupBy("question_id").applyInPandas(whole, schema)
+    large = written(units.join(small(few), "question_id", "left_anti"))
+    if not large.limit(1).count():
+        return near
+    return near.unionByName(spanning_tree(large, least, size).groupBy("question_id").applyInPandas(of_tree, schema))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -146,11 +145,8 @@ def embedding_cache(spark, sf):
 def density_clusters(spark, sf):
     """Density clusters of a question's pooled answers; noise is a cluster of its own each."""
 
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        return pdf[["question_id", "vec_id"]].assign(cluster=ds.noise_apart(ds.density_clusters(ds.matrix(pdf), 4)))
-
-    return ds.per_cell(vectors(spark, sf), ["question_id"], cell, "question_id int, vec_id long, cluster int")
+    found = tiles.density_clusters(vectors(spark, sf), 4)
+    return found.select(F.col("question_id").cast("int").alias("question_id"), "vec_id", "cluster")
 
 
 @query()
