@@ -1,7 +1,12 @@
+import datetime as dt
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import tables, text
+from tidemark.operators import cache
 from tidemark.sources import records
 from tidemark.streaming import responses
 
@@ -114,3 +119,59 @@ def test_stream_resumes_and_drops_repeats(spark, tmp_path):
     make([(3, "2024-01-01 00:01:00", 7, "a", 1.0, None)]).write.mode("append").parquet(src)
     responses.run_to_end(responses.first_answers(responses.events(spark, src)), log, out)
     assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_rolling_totals_keep_order_out_and_late_rows_apart(spark, tmp_path):
+    """Rows of open spans come in any order; a span that is closed takes none."""
+    rng = random.Random(2)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=rng.randrange(6 * 3600)), rng.randrange(9)) for i in range(300)] + [(900, base + dt.timedelta(seconds=3599), 5), (901, base + dt.timedelta(seconds=3600), 7)]
+    df = spark.createDataFrame(rows, responses.REQUEST)
+    stream, late = responses.replayed(df, slices=3)
+    responses.run_to_end(responses.rolling_totals(stream, late=late), str(tmp_path / "p"), str(tmp_path / "o"))
+    got = {r["event_id"]: (r["requests"], r["tokens"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    want = {}
+    for i, t, _ in rows:
+        near = [n for _, u, n in rows if dt.timedelta(0) <= t - u < dt.timedelta(seconds=60)]
+        want[i] = (len(near), sum(near))
+    assert got == want
+    # a row of the first hour behind rows of the third day
+    folder = str(tmp_path / "late")
+    for k, part in enumerate(([(1, base, 1)], [(2, base + dt.timedelta(days=3), 1)], [(3, base, 1)], [(4, base + dt.timedelta(days=6), 1)], [(5, base + dt.timedelta(days=9), 1)])):
+        spark.createDataFrame(part, responses.REQUEST).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(responses.REQUEST).option("maxFilesPerTrigger", 1).parquet(folder)
+    responses.run_to_end(responses.rolling_totals(stream), str(tmp_path / "lp"), str(tmp_path / "lo"))
+    got = {r["event_id"]: r["requests"] for r in spark.read.parquet(str(tmp_path / "lo")).collect()}
+    assert got[1] == 1 and 3 not in got
+
+
+def test_a_second_run_encodes_nothing(spark, tmp_path):
+    asked = []
+
+    def encode(texts):
+        asked.append(texts.count())
+        return cache.hashed(texts, 8)
+
+    c = cache.Cache(spark, str(tmp_path / "c"), "toy", encode)
+    one = spark.createDataFrame([(1, "red fish"), (2, "red fish"), (3, None), (4, "")], "id int, text string").withColumn("v0", F.lit(1))
+    rows, n = c.encoded(one, "text")
+    first = {r["id"]: (r["v"], r["cached"]) for r in rows.collect()}
+    assert n == 2 and first[1] == first[2] and first[3] == first[4] == ([0.0] * 8, False)
+    rows, n = c.encoded(one.unionByName(spark.createDataFrame([(5, "blue fish")], "id int, text string").withColumn("v0", F.lit(1))), "text")
+    again = {r["id"]: (r["v"], r["cached"]) for r in rows.collect()}
+    assert n == 1 and again[1] == (first[1][0], True) and not again[5][1]
+    assert c.encoded(one, "text")[1] == 0 and asked == [2, 1, 0]
+    # another encoder shares nothing; the key that the last run did not use goes first
+    assert cache.Cache(spark, str(tmp_path / "c"), "other", encode).key("text") is not None
+    assert c.evict(2) == 2 and c.encoded(one, "text")[1] == 0
+    assert c.encoded(spark.createDataFrame([("blue fish",)], "text string"), "text")[1] == 1
+
+
+def test_the_table_function_equals_the_expression(spark):
+    texts = [None, "", "  ", "one", "a b c d e f g h", "word " * 11, "\n x  y\tz "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    tables.register(spark)
+    for size, shared, least in ((3, 1, 1), (5, 2, 4), (180, 40, 80), (2, 2, 1)):
+        got = spark.sql(f"SELECT d.id, p.* FROM {{d}} d, LATERAL word_passages(d.text, {size}, {shared}, {least}) p", d=df).collect()
+        want = df.select("id", F.explode(text.chunks_of_words(text.words_between(F.col("text")), size, shared, least)).alias("c")).select("id", "c.chunk_index", "c.chunk").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))

@@ -70,14 +70,32 @@ def usable_responses(spark, sf):
     return r.groupBy("condition").agg(F.count("*").alias("rows_all"), n(text).alias("usable"), n(F.col("a").isNotNull() & clean).alias("answered"), n(text & clean).alias("complete"))
 
 
-@query("""WITH e AS (SELECT event_id, epoch_us(ts) AS t, CAST(1 + event_id % 50 AS BIGINT) AS tokens FROM events)
-  SELECT event_id, CAST(count(*) OVER w AS BIGINT) AS requests, CAST(sum(tokens) OVER w AS BIGINT) AS tokens FROM e WINDOW w AS (ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)""")
+_ROLLING = """WITH e AS (SELECT event_id, epoch_us(ts) AS t, CAST(1 + event_id % 50 AS BIGINT) AS tokens FROM events)
+  SELECT event_id, CAST(count(*) OVER w AS BIGINT) AS requests, CAST(sum(tokens) OVER w AS BIGINT) AS tokens FROM e WINDOW w AS (ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)"""
+
+
+@query(_ROLLING)
 def rolling_budget(spark, sf):
     """Requests and tokens of everybody in the last 60 seconds, at each request; no task sees more than two minutes of rows."""
     e = table(spark, sf, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (1 + F.col("event_id") % 50).cast("long").alias("tokens"))
     return tp.rolling_all(e, "t", {"requests": F.lit(1).cast("long"), "tokens": F.col("tokens")}, 60_000_000).select("event_id", "requests", "tokens")
 
 
+@query(_ROLLING)
+def streamed_budget(spark, sf):
+    """The same from a stream: events are replayed, and state with timers gives each request its totals."""
+    import uuid
+
+    from tidemark.shared import shared_dir
+    from tidemark.streaming import responses as live
+
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (1 + F.col("event_id") % 50).cast("long").alias("tokens"))
+    stream, late = live.replayed(e)
+    out = f"{shared_dir(spark)}/budget-{uuid.uuid4().hex}"
+    live.run_to_end(live.rolling_totals(stream, late=late), f"{out}/progress", f"{out}/rows")
+    return spark.read.schema("event_id long, requests long, tokens long").parquet(f"{out}/rows")
+
+
 @query(f"""WITH d AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN ' NaN ' WHEN 1 THEN NULL ELSE chr(9) || text END AS t FROM documents), s AS (SELECT doc_id, trim(regexp_replace(coalesce(t, ''), '\\s+', ' ', 'g')) AS t FROM d)
   SELECT doc_id, md5(CASE WHEN lower(t) = 'nan' THEN '' ELSE t END) AS clean_md5 FROM s""")
 def clean_texts(spark, sf):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
+from tidemark.functions import tables, urls
 from tidemark.functions import text as tx
-from tidemark.functions import urls
 from tidemark.operators import index as ix
 from tidemark.operators import retrieval as rt
 from tidemark.plans.answers import _BARE, _RAW, _STOP
@@ -37,6 +37,13 @@ def chunk_words(spark, sf):
     return _passages(spark, sf).select("pid", "chunk_index", F.md5("chunk").alias("chunk_md5"), "title")
 
 
+@query(f"WITH {PASSAGES} SELECT doc_id, chunk_index, md5(chunk) AS chunk_md5 FROM passages")
+def passages_by_sql(spark, sf):
+    """Word windows by a table function in SQL."""
+    tables.register(table(spark, sf, "documents").sparkSession)
+    return spark.sql("SELECT d.doc_id, p.chunk_index, md5(p.chunk) AS chunk_md5 FROM {docs} d, LATERAL word_passages(d.text, 180, 40, 80) p", docs=table(spark, sf, "documents"))
+
+
 @query(f"""WITH s AS (SELECT doc_id, {_SQUEEZE.format('text')} AS t FROM documents), k AS (SELECT *, unnest(range(0, CAST(greatest(ceil((length(t) - 1200) / 1000.0), 0) AS BIGINT) + 1)) AS k FROM s WHERE t <> ''),
   r AS (SELECT *, substring(t, k * 1000 + 1, 1200) AS raw FROM k), c AS (SELECT doc_id, k, trim(CASE WHEN k * 1000 + 1200 < length(t) AND contains(raw, ' ') THEN regexp_replace(raw, ' [^ ]*$', '') ELSE raw END) AS chunk FROM r)
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS INTEGER) AS chunk_index, md5(chunk) AS chunk_md5 FROM c WHERE chunk <> ''""")

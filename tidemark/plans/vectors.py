@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
+from tidemark.operators import cache as ch
 from tidemark.operators import distances as ds
 from tidemark.operators import tiles
 from tidemark.functions import text as tx
+from tidemark.shared import shared_dir
 from tidemark.plans.views import SPANS, VECTORS, f1, norm, spans, table, toks, vectors
 
 _PAIRS = f"""{VECTORS}, p AS (SELECT a.question_id, a.vec_id AS i, b.vec_id AS j, CASE WHEN a.condition = 'stale_only' AND b.condition = 'stale_only' THEN 'xx' WHEN a.condition = 'current_only' AND b.condition = 'current_only' THEN 'yy' WHEN a.condition = 'stale_only' THEN 'xy' END AS side,
@@ -133,12 +137,16 @@ def hashing_embedding(spark, sf):
     return e.select("conv_id", "bin", F.round("value", 6).alias("value"))
 
 
-@query("""WITH t AS (SELECT event_id, event_type || CAST(user_id % 5 AS VARCHAR) AS text FROM events) SELECT event_id, left(md5(text), 8) AS vector, CAST(count(*) OVER (PARTITION BY text) AS BIGINT) AS shared_by FROM t""")
+@query(f"""WITH t AS (SELECT conv_id, turn, role, text, unnest({toks(norm('text'))}) AS token FROM conversations), h AS (SELECT conv_id, turn, (('0x' || substr(md5(token), 1, 8))::BIGINT) % 64 AS bin, CASE WHEN (('0x' || substr(md5(token), 9, 8))::BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END AS w FROM t),
+  s AS (SELECT conv_id, turn, bin, CAST(sum(w) AS DOUBLE) AS x FROM h GROUP BY 1, 2, 3), n AS (SELECT conv_id, turn, greatest(max(x) / nullif(sqrt(sum(x * x)), 0), 0) AS top FROM s GROUP BY 1, 2)
+  SELECT c.conv_id, c.turn, round(coalesce(top, 0.0), 6) AS top, c.text IN (SELECT text FROM conversations WHERE role = 'assistant') AS cached FROM conversations c LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn""")
 def embedding_cache(spark, sf):
-    """Texts encoded once, however many rows have them."""
-    t = table(spark, sf, "events").select("event_id", F.concat("event_type", (F.col("user_id") % 5).cast("string")).alias("text"))
-    counts = t.groupBy("text").agg(F.count("*").alias("shared_by"))
-    return ds.each_once(t, "text", lambda d: d.join(counts, "text").select("text", F.left(F.md5("text"), F.lit(8)).alias("vector"), "shared_by")).select("event_id", "vector", "shared_by")
+    """Vectors of all messages from a cache that a first run has filled with the assistant's: each text is encoded once."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    cache = ch.Cache(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", "hashed-64", ch.hashed)
+    cache.encoded(c.filter("role = 'assistant'"), "text")
+    found, _ = cache.encoded(c, "text")
+    return found.select("conv_id", "turn", F.round(F.array_max("v"), 6).alias("top"), "cached")
 
 
 @query()
