@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 #: Words left out of queries.
 STOPWORDS = (
-    "a an and are as at be by did do does for from how in is it its of on or that the to was were what when where which who"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "did", "do", "does", "for", "from", "how", "in",
+    "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "what", "when", "where", "which", "who",
+)
 #: Phrases of an answer that abstains.
 MISSING_PATTERNS = (
     "i don't know", "i do not know", "cannot determine", "can't determine", "not enough information", "insufficient information",

@@ -12,15 +12,15 @@ from tidemark.functions import text as tx
 from tidemark.operators import probe as pb
 
 #: What generators are told.
-_SHORT = (
-    "Return only the shortest final answer needed to answer the question. For a yes/no question, return only Yes or No. "
-    "Do not explain your reasoning, cite documents, restate the question, or add qualifications."
-)
 SYSTEM = {
     "grounded": "Answer the question using the provided retrieved context. If the context is insufficient or contradictory, "
-    "answer as best as possible without inventing unsupported facts. " + _SHORT,
+    "answer as best as possible without inventing unsupported facts. "
+    "Return only the shortest final answer needed to answer the question. For a yes/no question, return only Yes or No. "
+    "Do not explain your reasoning, cite documents, restate the question, or add qualifications.",
     "hybrid": "Answer the question using the provided retrieved context as your primary evidence. If the context is incomplete or contradictory, "
-    "you may also rely on your own knowledge to give the best answer you can, but do not fabricate facts and prefer context-supported information when possible. " + _SHORT,
+    "you may also rely on your own knowledge to give the best answer you can, but do not fabricate facts and prefer context-supported information when possible. "
+    "Return only the shortest final answer needed to answer the question. For a yes/no question, return only Yes or No. "
+    "Do not explain your reasoning, cite documents, restate the question, or add qualifications.",
 }
 MODES = {"grounded": "grounded", "default": "grounded", "hybrid": "hybrid", "parametric_hybrid": "hybrid", "hybrid_answer": "hybrid"}
 RATIO = r"^stale_(\d{1,3})(?:_(interleave|current_first|stale_first))?$"
