@@ -323,3 +323,28 @@ def test_rouge_query(spark):
     for (conv, turn), score in got.items():
         x, y = tokens(text[conv, turn + 1]), tokens(text[conv, turn])
         assert score == pytest.approx(2 * lcs(x, y) / (len(x) + len(y)) if x and y else 0.0, abs=1e-5)
+
+
+def test_accuracy_fields_query(spark):
+    """All fields of the whole query, from tokens and a table of common subsequences."""
+    from tidemark.functions import text
+    from tidemark.plans.views import answer_pairs
+
+    pairs = answer_pairs(spark, SF).select("conv_id", "turn", text.normalize(F.col("answer")).alias("a"), text.normalize(F.col("reference")).alias("r")).collect()
+    got = {(r["conv_id"], r["turn"]): r for r in catalog.QUERIES["accuracy_fields"](spark, SF).collect()}
+    assert len(got) == len(pairs) > 20
+    for p in pairs:
+        x, y = p["a"].split(), p["r"].split()
+        row = [0] * (len(y) + 1)
+        for t in x:
+            before = row[:]
+            for j, u in enumerate(y):
+                row[j + 1] = before[j] + 1 if t == u else max(before[j + 1], row[j])
+        common = sum(min(x.count(t), y.count(t)) for t in set(x))
+        size = len(x) + len(y)
+        f1, rouge = (2 * n / size if size and x and y else 0.0 for n in (common, row[-1]))
+        exact = bool(p["r"]) and p["a"] == p["r"]
+        sub = bool(p["a"]) and bool(p["r"]) and (p["a"] in p["r"] or p["r"] in p["a"])
+        g = got[p["conv_id"], p["turn"]]
+        assert (g["exact_match"], g["substring_match"], g["correct"]) == (int(exact), int(sub), int(exact or sub or f1 >= 0.75))
+        assert (g["token_f1"], g["rouge_l"]) == (pytest.approx(f1, abs=1e-6), pytest.approx(rouge, abs=1e-6))

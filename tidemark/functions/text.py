@@ -321,6 +321,12 @@ def accuracy(answer: Column, gold: Column, threshold: float = 0.75) -> Column:
     return _with_f1(scores, answer, gold)
 
 
+def accuracy_of(rows, answer: str, gold: str, threshold: float = 0.75):
+    """rows with all fields of the score of an answer: correct, exact_match, substring_match, token_f1 and rouge_l."""
+    scored = rows.withColumn("_s", accuracy(F.col(answer), F.col(gold), threshold)).withColumn("rouge_l", rouge_l(tokens(F.col(answer)), tokens(F.col(gold))))
+    return scored.select(*rows.columns, "_s.correct", "_s.exact_match", "_s.substring_match", "_s.token_f1", "rouge_l")
+
+
 def quality_label(answer: Column, current: Column, stale: Column, threshold: float = 0.75) -> Column:
     """missing, ambiguous, perfect_current, perfect_stale or harmful_other."""
     match = lambda ref: lexically_equal(answer, ref, threshold)

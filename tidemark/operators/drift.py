@@ -59,6 +59,11 @@ def benchmark_label(condition: Column, drop: Column, shift: Column, baseline: st
     )
 
 
+def of_role(metrics: DataFrame, role: str = "primary", column: str = "embedding_model_role") -> DataFrame:
+    """Metrics of one role of embedding model; summaries and drift are taken from the primary one, and tables without roles are that."""
+    return metrics.filter(F.col(column) == role) if column in metrics.columns else metrics
+
+
 def condition_summary(metrics: DataFrame, columns: list[str]) -> DataFrame:
     """Per condition: questions, and mean, sample deviation (0 for one) and standard error of each metric."""
     aggs = [F.countDistinct("question_id").alias("n_questions")]

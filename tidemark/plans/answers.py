@@ -42,6 +42,13 @@ def rouge_l_pairs(spark, sf):
     return answer_pairs(spark, sf).select("conv_id", "turn", F.round(tx.rouge_l(tx.tokens(F.col("answer")), tx.tokens(F.col("reference"))), 6).alias("rouge_l"))
 
 
+@query()
+def accuracy_fields(spark, sf):
+    """All fields of the score of an answer against its reference."""
+    a = tx.accuracy_of(answer_pairs(spark, sf), "answer", "reference")
+    return a.select("conv_id", "turn", "correct", "exact_match", "substring_match", *(F.round(c, 6).alias(c) for c in ("token_f1", "rouge_l")))
+
+
 def _contradiction_sql(a: str, b: str, ta: str, tb: str) -> str:
     yes, no = "['yes','true','correct','supported']", "['no','false','incorrect','unsupported']"
     pol = lambda t: f"CASE WHEN list_has_any({t}, {yes}) AND NOT list_has_any({t}, {no}) THEN 1 WHEN list_has_any({t}, {no}) AND NOT list_has_any({t}, {yes}) THEN 2 END"

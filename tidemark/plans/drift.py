@@ -81,6 +81,15 @@ def condition_summary(spark, sf):
     return dr.condition_summary(question_metrics(spark, sf), ["accuracy", "semantic_volume"])
 
 
+@query(f"""WITH {QUESTION_METRICS}, r AS (SELECT question_id, condition, semantic_volume, 'primary' AS embedding_model_role FROM question_metrics UNION ALL SELECT question_id, condition, semantic_entropy, 'robustness' FROM question_metrics), p AS (SELECT * FROM r WHERE embedding_model_role = 'primary')
+  SELECT condition, CAST(count(DISTINCT question_id) AS BIGINT) AS n_questions, round(avg(semantic_volume), 6) AS semantic_volume_mean, round(coalesce(stddev_samp(semantic_volume), 0), 6) AS semantic_volume_std, round(coalesce(stddev_samp(semantic_volume), 0) / sqrt(greatest(count(semantic_volume), 1)), 6) AS semantic_volume_se FROM p GROUP BY 1""")
+def primary_role_summary(spark, sf):
+    """Summary of the primary embedding model's rows, where metrics have a row for each model."""
+    m = question_metrics(spark, sf)
+    roles = [m.select("question_id", "condition", F.col(c).alias("semantic_volume"), F.lit(r).alias("embedding_model_role")) for c, r in (("semantic_volume", "primary"), ("semantic_entropy", "robustness"))]
+    return dr.condition_summary(dr.of_role(roles[0].unionByName(roles[1])), ["semantic_volume"])
+
+
 @query(f"WITH {QUESTION_METRICS} SELECT question_id, max(CASE WHEN condition = 'current_only' THEN accuracy END) AS current_only, max(CASE WHEN condition = 'mixed' THEN accuracy END) AS mixed, max(CASE WHEN condition = 'stale_only' THEN accuracy END) AS stale_only FROM question_metrics GROUP BY 1")
 def pivot_conditions(spark, sf):
     return question_metrics(spark, sf).groupBy("question_id").pivot("condition", ["current_only", "mixed", "stale_only"]).agg(F.first("accuracy"))
