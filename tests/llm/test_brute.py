@@ -281,6 +281,64 @@ def test_window_sets_are_small_and_keep_colliding_windows_apart():
     assert len(keys) == len(begin) - 1 and len(owner) == sum(400 - 9 for _ in items)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_hits_by_plain_comparison_of_words(seed, monkeypatch):
+    """Repeated items, long words and windows of all lengths, in one chunk and with few pairs gathered at a time."""
+    monkeypatch.setattr(decontam, "OWNED", [1, 7, 1 << 20][seed % 3])
+    rng = random.Random(seed)
+    pool = ["the", "a", "é", "x" * 9, "x" * 300, "x" * 299 + "y"] + [f"w{i}" for i in range(rng.choice([1, 30]))]
+    items = [(str(rng.randrange(20)), " ".join(rng.choices(pool, k=rng.choice([0, 1, 3, 9, 10, 11, 25])))) for _ in range(30)]
+    docs = [" ".join(rng.choices(pool, k=rng.choice([0, 1, 5, 30, 300]))) for _ in range(20)]
+    (c,) = textcore.chunks(pa.array(docs, pa.large_string()))
+    hit, found = decontam.WindowSet(items).scan(c.lowered().words(textcore.ALNUM))
+    expect, which = [], {}
+    for d, text in enumerate(docs):
+        w = text.split()
+        marks = [False] * len(w)
+        for i, item in items:
+            t = item.split()
+            n = min(len(t), 10)
+            windows = {tuple(t[k : k + n]) for k in range(len(t) - n + 1)} if t else set()
+            for k in range(len(w) - n + 1 if windows else 0):
+                if tuple(w[k : k + n]) in windows:
+                    marks[k : k + n] = [True] * n
+                    which.setdefault(d, set()).add(i)
+        expect += marks
+    assert hit.tolist() == expect and found == which
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    """With hashes of two bits nearly all lookups hit; only the words decide."""
+    whole = textcore.Words.windows
+    monkeypatch.setattr(textcore.Words, "windows", lambda self, n: (lambda at, h: (at, h & np.uint64(3)))(*whole(self, n)))
+    items = [("1", "a b"), ("2", "c d"), ("3", "a b"), ("4", "e f")]
+    (c,) = textcore.chunks(pa.array(["x a b y", "c d e g", "b a"], pa.large_string()))
+    hit, found = decontam.WindowSet([items[0], items[1], items[3]]).scan(c.lowered().words(textcore.ALNUM))
+    assert hit.tolist() == [False, True, True, False, True, True, False, False, False, False] and found == {0: {"1"}, 1: {"2"}}
+
+
+def test_few_tasks_and_short_spans_of_copies_change_no_place(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(60)] + [(7, "often")] * 50 + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def places(name):
+        out = sharding.external_shuffle(df, 3, bucket_bytes=100, out=str(tmp_path / name))
+        return sorted((r["__shard"], r["__slot"], str(r["doc_id"]), str(r["text"])) for r in sharding.slots(spark, out, df.columns).collect())
+
+    usual = places("usual")
+    monkeypatch.setattr(sharding, "MOST_TASKS", 2)
+    monkeypatch.setattr(sharding, "TWINS", 7)
+    assert places("few") == usual and len(usual) == len(rows)
+    assert Counter((d, t) for *_, d, t in usual) == Counter((str(i), str(t)) for i, t in rows)
+    monkeypatch.setattr(tokenstore, "MOST_TASKS", 1)
+    store = tokenstore.TokenStore.write(df, str(tmp_path / "store"), shard_bytes=64)
+    assert store.bases.count() > 3
+    monkeypatch.undo()
+    other = tokenstore.TokenStore.write(df, str(tmp_path / "other"), shard_bytes=64)
+    read = lambda x: sorted((r["start"], str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in x.read(x.lookup(df), payload=False).collect())
+    assert read(store) == read(other) and len(read(store)) == len(rows)
+
+
 @pytest.mark.parametrize("words_", [3, 10, 11, 40, 200])
 def test_pieces_have_the_windows_of_their_text(words_):
     text = " ".join(f"Wörd{i}," for i in range(words_))

@@ -27,24 +27,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.storage import bounded, materialise, privately, reducer
-from tidemark.llm.textcore import ALNUM, Words, bitmap, chunks, in_sorted
+from tidemark.llm.textcore import ALNUM, LONG, Chunk, Words, bitmap, chunks, distinct, in_sorted
 
 WINDOW = 10
 #: Benchmark text behind one broadcast: at most 14 bytes of memory a byte (``tests/llm`` measures it), so about 110 MB in a worker.
 BLOCK_BYTES = 8 << 20
 #: Longer items are cut into pieces that share a window less one word.
 PIECE_BYTES = 1 << 20
+#: Pairs of a document and an item that are gathered at a time.
+OWNED = 1 << 20
 _SPANS = "array<struct<start:long,end:long,first:long,last:long>>"
 _SPAN = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "end", "first", "last")]))
 
 
+class Place:
+    """Where the words of all benchmark items stand, in one run of bytes."""
+
+    def __init__(self, words: list[Words]):
+        base = np.cumsum([0, *(len(w.chunk.buf) for w in words)])
+        raw = np.concatenate([w.chunk.buf for w in words] or [np.zeros(0, np.uint8)])
+        self.chunk = Chunk(raw, np.array([0, len(raw)]), 0, 1)
+        self.starts, self.ends = (np.concatenate([(x + o).astype(np.int32) for x, o in zip(at, base)] or [np.zeros(0, np.int32)]) for at in ([w.starts for w in words], [w.ends for w in words]))
+
+
+def alike(a: Words | Place, i: np.ndarray, b: Words | Place, j: np.ndarray, n: int) -> np.ndarray:
+    """Whether the ``n`` words of a from each word i are those of b from the word j beside it, byte for byte."""
+    same = np.ones(len(i), bool)
+    for k in range(n):
+        s, t = a.starts[i + k].astype(np.int64), b.starts[j + k].astype(np.int64)
+        size = a.ends[i + k] - s
+        same &= size == b.ends[j + k] - t
+        left = np.flatnonzero(same)
+        for step in range(0, min(int(size[left].max(initial=0)), LONG), 8):
+            left = left[size[left] > step]
+            now = left[a.chunk.eights(s[left] + step, size[left] - step) != b.chunk.eights(t[left] + step, size[left] - step)]
+            same[now] = False
+        for x in np.flatnonzero(same & (size > LONG)).tolist():
+            same[x] = np.array_equal(a.chunk.buf[s[x] : s[x] + size[x]], b.chunk.buf[t[x] : t[x] + size[x]])
+    return same
+
+
 class WindowSet:
     """The windows of some benchmark items, by length: sorted hashes, where each stands in the items, and its items."""
 
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
         self.size, self.ids = size, [i for i, _ in items]
-        self.parts: list[tuple[bytes, np.ndarray, np.ndarray]] = []
         found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        parts, words = [], 0
         for c in chunks(pa.array([t for _, t in items], pa.large_string())):
             w = c.lowered().words(ALNUM)
             length = np.minimum(w.count, size)
@@ -52,41 +81,63 @@ class WindowSet:
                 at, h = w.windows(n)
                 ok = length[w.doc[at]] == n
                 at = at[ok]
-                found.setdefault(n, []).append((h[ok], np.full(len(at), len(self.parts), np.int32), at.astype(np.int32), (c.lo + w.doc[at]).astype(np.int32)))
-            self.parts.append((w.chunk.buf.tobytes(), w.starts.astype(np.int32), w.ends.astype(np.int32)))
-        self.by_length = {}
+                found.setdefault(n, []).append((h[ok], (words + at).astype(np.int32), (c.lo + w.doc[at]).astype(np.int32)))
+            parts.append(w)
+            words += len(w.starts)
+        self.place, self.by_length = Place(parts), {}
         for n, columns in found.items():
-            h, part, at, owner = (np.concatenate(x) for x in zip(*columns))
+            h, at, owner = (np.concatenate(x) for x in zip(*columns))
             order = np.lexsort((owner, h))
-            h, part, at, owner = h[order], part[order], at[order], owner[order]
+            h, at, owner = h[order], at[order], owner[order]
             first = np.append(True, h[1:] != h[:-1])
             head = np.flatnonzero(first)[np.cumsum(first) - 1]
             # windows of one hash that differ in their words stay apart, next to each other
-            for i in np.flatnonzero(~first).tolist():
-                first[i] = self.text(part[i], at[i], n) != self.text(part[head[i]], at[head[i]], n)
+            again = np.flatnonzero(~first)
+            first[again] = ~alike(self.place, at[again], self.place, at[head[again]], n)
             begin = np.flatnonzero(first)
-            self.by_length[n] = (h[begin], bitmap(h[begin]), part[begin], at[begin], np.append(begin, len(h)), owner)
-
-    def text(self, part: int, at: int, n: int) -> bytes:
-        raw, starts, ends = self.parts[part]
-        return b" ".join(raw[s:e] for s, e in zip(starts[at : at + n].tolist(), ends[at : at + n].tolist()))
+            self.by_length[n] = (h[begin], bitmap(h[begin]), at[begin], np.append(begin, len(h)), owner)
+        self.place.chunk.forget()
 
     def scan(self, words: Words) -> tuple[np.ndarray, dict[int, set]]:
-        """(which words of the chunk lie in an occurrence, items of each document that has one)."""
-        edge, items = np.zeros(len(words.hash) + 1, np.int64), {}
-        for n, (keys, bits, part, place, begin, owner) in self.by_length.items():
+        """(which words of the chunk lie in an occurrence, items of each document that has one).
+
+        Every hit is verified on its words, all hits of a length at once; the items are looked up for the distinct
+        windows of a document, however often each occurs.
+        """
+        edge, pairs = np.zeros(len(words.hash) + 1, np.int64), np.zeros(0, np.int64)
+        for n, (keys, bits, place, begin, owner) in self.by_length.items():
             at, h = words.windows(n)
-            for p in in_sorted(keys, h, bits).tolist():
-                i, k = int(at[p]), int(np.searchsorted(keys, h[p]))
-                here = b" ".join(words.text(i, n))
-                while k < len(keys) and keys[k] == h[p]:
-                    if self.text(part[k], place[k], n) == here:
-                        edge[i] += 1
-                        edge[i + n] -= 1
-                        items.setdefault(int(words.doc[i]), set()).update(self.ids[o] for o in owner[begin[k] : begin[k + 1]].tolist())
-                    k += 1
+            near = in_sorted(keys, h, bits)
+            at, h = at[near], h[near]
+            window = np.searchsorted(keys, h)
+            while len(at):
+                good = alike(self.place, place[window], words, at, n)
+                edge += np.bincount(at[good], minlength=len(edge)) - np.bincount(at[good] + n, minlength=len(edge))
+                pairs = self._owned(pairs, distinct(words.doc[at[good]] * len(keys) + window[good]), len(keys), begin, owner)
+                # another window of that hash
+                window = window + 1
+                more = np.flatnonzero(keys[np.minimum(window, len(keys) - 1)] == h)
+                more = more[window[more] < len(keys)]
+                at, h, window = at[more], h[more], window[more]
+        items: dict[int, set] = {}
+        for d, o in zip((pairs // max(1, len(self.ids))).tolist(), (pairs % max(1, len(self.ids))).tolist()):
+            items.setdefault(d, set()).add(self.ids[o])
         return np.cumsum(edge[:-1]) > 0, items
 
+    def _owned(self, pairs: np.ndarray, hits: np.ndarray, n_keys: int, begin: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """``pairs`` of documents and items (as one number) with those of the hits, which are documents and windows."""
+        doc, window = hits // n_keys, hits % n_keys
+        count = begin[window + 1] - begin[window]
+        upto, lo = np.cumsum(count), 0
+        while lo < len(hits):
+            # about OWNED pairs at a time, so that windows with very many items take no more memory than others
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - count[lo] + OWNED, "right")))
+            c = count[lo:hi]
+            at = np.repeat(begin[window[lo:hi]] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            pairs = distinct(np.concatenate([pairs, np.repeat(doc[lo:hi], c) * len(self.ids) + owner[at]]))
+            lo = hi
+        return pairs
+
 
 def pieces(text: str, size: int, limit: int) -> list[str]:
     """A text in pieces of about ``limit`` bytes that have all its windows between them, and no others."""

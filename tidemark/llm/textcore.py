@@ -90,6 +90,10 @@ class Chunk:
             self._words = np.ndarray((len(self.buf) + 1,), "<u8", padded, strides=(1,))
         return self._words[at] & _LOW[np.minimum(left, 8)]
 
+    def forget(self) -> None:
+        """Leave out the copy that ``eights`` reads, before the chunk is sent anywhere."""
+        self._words = None
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes of each span, wherever it stands.
 
