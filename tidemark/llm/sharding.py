@@ -5,7 +5,8 @@ hash for each shard (rendezvous hashing), so one more shard takes rows only into
 
 Pass 1 scatters records uniformly into buckets: the shard, and within it one of as many buckets as keep
 a bucket near ``bucket_bytes``, by a seeded hash of the whole record.  Equal records are numbered off, and
-the number is part of the hash, so that they are scattered as well.  Pass 2 takes each bucket into
+the number is part of the hash, so that they are scattered as well.  The exchange has a task a bucket, up to
+``MOST_TASKS``; which task a bucket is in changes nothing.  Pass 2 takes each bucket into
 memory in a fixed base order, shuffles it by Fisher-Yates with a seed of its own and writes it.  Bucket
 by bucket that is a uniformly random order of the shard, and it is the same in every attempt and on any
 cluster.  A shard's slots run through its buckets without a gap.
@@ -32,6 +33,10 @@ from tidemark.llm.storage import bounded, materialise, new_path, reducer
 SHARDS = 24
 SEED = 20240131
 BUCKET_BYTES = 8 << 20
+#: Tasks of the exchange. Beyond that many buckets a task sorts and shuffles several, one after another.
+MOST_TASKS = 20_000
+#: Equal records that a task counts out.
+TWINS = 1000
 
 
 def size_of(text: Column) -> Column:
@@ -67,7 +72,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
         return docs.withColumn("__twin", F.lit(0).cast("long"))
     seen = reducer(again, "__h1").marked(docs.withColumn("__h1", F.xxhash64(*whole)), "__h1", "__near")
     grouped = seen.filter("__near").groupBy(*whole).agg(F.count("*").alias("__n"))
-    counted = grouped.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__twin")).drop("__n")
+    # a record of n copies is counted out by n / TWINS tasks
+    spans = grouped.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(TWINS).cast("long"))).alias("__from"))
+    spread = spans.repartition(F.xxhash64(*whole), "__from")
+    upto = F.least(F.col("__n"), F.col("__from") + TWINS) - 1
+    counted = spread.select(*whole, F.explode(F.sequence("__from", upto)).alias("__twin"))
     return seen.filter("not __near").select(*whole, F.lit(0).cast("long").alias("__twin")).unionByName(counted)
 
 
@@ -81,7 +90,7 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     rows = (
         _numbered(bounded(docs)).withColumn("__order", F.xxhash64(*whole)).withColumn("__shard", shard_of(F.col("doc_id"), shards, seed))
         .withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__order", "__twin"), F.lit(buckets)).cast("int"))
-        .repartition(max(1, shards * buckets), "__shard", "__bucket")
+        .repartition(min(shards * buckets, MOST_TASKS), "__shard", "__bucket")
         .sortWithinPartitions("__shard", "__bucket", "doc_id", "__order", "__twin")
         .drop("__order", "__twin")
     )
