@@ -46,6 +46,8 @@ SHARD_BYTES = 16 << 20
 SEGMENT_KEYS = 1 << 18
 #: Bytes of shard that a bulk read takes at once, and files that a range may have.
 READ_BYTES, FILES = 4 << 20, 1 << 20
+#: Ranges of keys; beyond that many shards a task writes several, one after another.
+MOST_TASKS = 20_000
 HEADER = 16
 _U = np.uint64
 _RUN = ("shard", "at", "ids", "ordinal", "count")
@@ -247,7 +249,7 @@ class TokenStore:
         root, path = root or new_path(spark, "tokens"), path or default_path()
         docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-        ranges, segments = max(1, math.ceil((size or 0) / shard_bytes)), max(1, math.ceil(rows / segment_keys))
+        ranges, segments = min(MOST_TASKS, max(1, math.ceil((size or 0) / shard_bytes))), max(1, math.ceil(rows / segment_keys))
         tie = F.xxhash64("text")
         ranged = docs.withColumn("tie", tie).repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
