@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import tables, text
 from tidemark.operators import cache
-from tidemark.sources import records
+from tidemark.sources import nested, records
 from tidemark.streaming import responses
 
 
@@ -175,3 +175,36 @@ def test_the_table_function_equals_the_expression(spark):
         got = spark.sql(f"SELECT d.id, p.* FROM {{d}} d, LATERAL word_passages(d.text, {size}, {shared}, {least}) p", d=df).collect()
         want = df.select("id", F.explode(text.chunks_of_words(text.words_between(F.col("text")), size, shared, least)).alias("c")).select("id", "c.chunk_index", "c.chunk").collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+_ODD = ['a "quoted" [x], {y}', "back\\slash\\\\", "\\" * 9 + '"', "é, ü]", "", "x" * 50, ",]}{["]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64, 1 << 20])
+def test_members_of_a_list_by_blocks_of_any_size(spark, tmp_path, block):
+    value = [{"k": t, "more": [t, {"a,": [1, [2, "]"]]}]} for t in _ODD] + [1, None, "s, \"t\"", [], {}, [[1], 2]]
+    (tmp_path / "a.json").write_text(json.dumps(value, ensure_ascii=False, indent=1), encoding="utf-8")
+    got = nested.split_json(spark, str(tmp_path / "a.json"), block=block, task=200).orderBy("at").collect()
+    assert [json.loads(r["item"]) for r in got] == value and {r["kind"] for r in got} == {"["}
+
+
+@pytest.mark.parametrize("block", [2, 5, 1 << 20])
+def test_members_of_maps_and_of_files_without_any(spark, tmp_path, block):
+    value = {t: {"inner, ": [t]} for t in _ODD}
+    (tmp_path / "a.json").write_text("\ufeff \n" + json.dumps(value, ensure_ascii=True), encoding="utf-8")
+    for name, text_ in (("b", "[]"), ("c", " { } "), ("d", ""), ("e", " \n"), ("f", "12"), ("g", '"[1, 2]"')):
+        (tmp_path / f"{name}.json").write_text(text_)
+    got = nested.split_json(spark, str(tmp_path), block=block, task=50).orderBy("at").collect()
+    assert [json.loads(r["item"]) for r in got] == [{k: v} for k, v in value.items()]
+    (tmp_path / "cut.json").write_text('[1, "two')
+    with pytest.raises(Exception, match="ends within a member"):
+        nested.split_json(spark, str(tmp_path / "cut.json"), block=block).collect()
+
+
+def test_a_large_list_is_read_by_many_tasks(spark, tmp_path):
+    with open(tmp_path / "big.json", "w") as f:
+        f.write("[" + ",".join(json.dumps({"id": i, "text": "word " * 40}) for i in range(40000)) + "]")
+    rows = nested.split_json(spark, str(tmp_path / "big.json"), block=1 << 18, task=1 << 20)
+    ids = rows.select(F.from_json("item", "id long").alias("r")).select("r.id").distinct().count()
+    assert ids == 40000
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 6

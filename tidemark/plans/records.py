@@ -12,6 +12,8 @@ from tidemark.operators import retrieval as rt
 from tidemark.operators import temporal as tp
 from tidemark.plans.probe import _DOCS, _contexts
 from tidemark.plans.views import RESPONSES, norm, responses, table
+from tidemark.shared import new_path
+from tidemark.sources.nested import split_json
 
 _CONDITIONS = ("current_only", "stale_only", "mixed", "stale_25", "stale_50_current_first", "stale_75_stale_first")
 
@@ -218,3 +220,26 @@ def last_linkage(spark, sf):
 
     c = table(spark, sf, "conversations").select("role", "conv_id", "turn", F.md5(tx.normalize(F.col("text"))).alias("answer_md5"))
     return last_by_key(c, "role", "conv_id", "turn")
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM documents")
+def split_lists(spark, sf):
+    """Documents written as JSON lists, one list a file, and the lists' members read back by blocks of the files."""
+
+    def listed(batches):
+        import pyarrow as pa
+
+        # a line a member; a comma ends the line before it
+        mark = "["
+        for b in batches:
+            lines = []
+            for item in b["value"].to_pylist():
+                lines.append(mark + item)
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"])], names=["value"])
+
+    path = new_path(spark, "lists")
+    table(spark, sf, "documents").select(F.to_json(F.struct("doc_id", "text")).alias("value")).mapInArrow(listed, "value string").write.text(path)
+    d = split_json(spark, path).select(F.from_json("item", "doc_id long, text string").alias("d")).select("d.*")
+    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))

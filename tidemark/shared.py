@@ -23,8 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _made[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of df as a table in the shared folder, so that what reads them more than once computes them once."""
-    path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

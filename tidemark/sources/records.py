@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.nested import split_json
+
 RESPONSE = "question_id string, question string, gold_answer string, condition string, sample_idx long, answer string, context_hash string, error string"
 DATASET = "id string, question string, gold_answer string, stale_answer string, current_docs array<string>, stale_docs array<string>, metadata struct<stale_answer:string,old_answer:string,previous_answer:string,time_x:string,time_y:string,change_label:string>"
 VERSIONS = "map<string,map<string,struct<source_timestamp:string,source_text:string,archive_url:string>>>"
@@ -102,8 +104,8 @@ def versions(raw: DataFrame, column: str, least: int = 80) -> DataFrame:
 
 
 def read_versions(spark: SparkSession, path: str, least: int = 80) -> DataFrame:
-    """``versions`` of files that hold one map each."""
-    return versions(spark.read.option("wholetext", True).text(path), "value", least)
+    """``versions`` of files that hold one map each, however large."""
+    return versions(split_json(spark, path), "item", least)
 
 
 #: Parts of a field's path that say what it holds.
@@ -161,7 +163,10 @@ def scan_items(items: DataFrame, column: str, carry: list[str], least: int = 80)
 
 
 def read_items(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """(item) of a file: a JSON object a line (.jsonl), the objects of a list or of a map of objects (.json), or the rows of a CSV file as JSON."""
+    """(item) of a file: a JSON object a line (.jsonl), the objects of a list or of a map of objects (.json), or the rows of a CSV file as JSON.
+
+    A .json file is one row first; of a list or map that is too large for that, ``split_json`` gives the members.
+    """
     if suffix == ".jsonl":
         return spark.read.text(path).filter(F.trim("value") != "").withColumnRenamed("value", "item")
     if suffix == ".csv":
@@ -191,7 +196,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """A map of timestamp to questions as (timestamp, question)."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", T.DataType.fromDDL("map<string,array<string>>")).alias("m"))
+    raw = split_json(spark, path).select(F.from_json("item", T.DataType.fromDDL("map<string,array<string>>")).alias("m"))
     return raw.select(F.explode("m").alias("t", "questions")).select(F.to_timestamp("t").alias("t"), F.explode("questions").alias("question"))
 
 
