@@ -56,6 +56,22 @@ def test_versions_that_start_alike(spark, tmp_path):
     assert sorted(r["doc_id"] for r in catalog.QUERIES["version_dedup"](spark, str(tmp_path)).collect()) == [1, 2, 3, 852]
 
 
+#: Of each supplier's lines before and after the date: how many, and how many of them are N.
+_STEPS = [(100, 35, 100, 33), (100, 33, 100, 35), (100, 50, 100, 48), (300, 97, 300, 103), (300, 103, 300, 97), (3, 1, 150, 47), (25, 8, 100, 31), (0, 0, 50, 17), (40, 13, 0, 0), (90, 31, 90, 31)]
+
+
+@pytest.mark.parametrize("name", ["outcome_states"])
+def test_outcomes_at_exactly_the_drop(spark, tmp_path, name):
+    """A difference that is the drop but for the last digits of its numbers counts as in SQL."""
+    flags = lambda n, k: [i < k for i in range(n)]
+    rows = [(s, "N" if f else "A", t) for s, (n, k, m, j) in enumerate(_STEPS) for t, fs in (("1998-01-01", flags(n, k)), ("1998-07-01", flags(m, j))) for f in fs]
+    df = pd.DataFrame(rows, columns=["l_suppkey", "l_returnflag", "l_shipdate"]).astype({"l_suppkey": "int64", "l_shipdate": "datetime64[us]"})
+    df.to_parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
+    assert normal(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(c.execute(catalog.ORACLES[name]).df())
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def outcome(old: Column, new: Column, change: Column, drop: float = 0.1, failure: float = 0.5, success: float = 0.5) -> Column:
-    """persistent_failure before new_degradation before recovery_or_adaptive_success before normal."""
+    """persistent_failure before new_degradation before recovery_or_adaptive_success before normal; a difference counts to nine digits."""
     return (
         F.when((old < failure) & (new < failure), "persistent_failure")
-        .when(old - new >= drop, "new_degradation")
-        .when((new - old >= drop) | ((change == "changed") & (new >= success)), "recovery_or_adaptive_success")
+        .when(F.round(old - new, 9) >= drop, "new_degradation")
+        .when((F.round(new - old, 9) >= drop) | ((change == "changed") & (new >= success)), "recovery_or_adaptive_success")
         .otherwise("normal")
     )
 

@@ -13,7 +13,7 @@ _OUT = """CASE WHEN accuracy_stale < 0.32 AND accuracy_current < 0.32 THEN 'pers
 
 
 def _outcomes(spark, sf):
-    e = event_quality(spark, sf).withColumns({c: F.round(c, 9) for c in ("accuracy_stale", "accuracy_current")})
+    e = event_quality(spark, sf)
     return e.withColumn("outcome_state", dr.outcome(F.col("accuracy_stale"), F.col("accuracy_current"), F.col("change_label"), 0.02, 0.32, 0.33))
 
 
