@@ -60,7 +60,7 @@ def test_versions_that_start_alike(spark, tmp_path):
 _STEPS = [(100, 35, 100, 33), (100, 33, 100, 35), (100, 50, 100, 48), (300, 97, 300, 103), (300, 103, 300, 97), (3, 1, 150, 47), (25, 8, 100, 31), (0, 0, 50, 17), (40, 13, 0, 0), (90, 31, 90, 31)]
 
 
-@pytest.mark.parametrize("name", ["outcome_states", "state_counts"])
+@pytest.mark.parametrize("name", ["outcome_states", "state_counts", "primary_subset"])
 def test_outcomes_at_exactly_the_drop(spark, tmp_path, name):
     """A difference that is the drop but for the last digits of its numbers counts as in SQL."""
     flags = lambda n, k: [i < k for i in range(n)]
