@@ -302,3 +302,27 @@ def test_queries_of_the_index_are_compiled(spark, tmp_path, capfd):
 def test_columns_by_first_name(spark):
     df = spark.createDataFrame([(1, "t")], "page_id int, snapshot string")
     assert df.select(retrieval.column_of(df, "timestamp", "snapshot").alias("a"), retrieval.column_of(df, "title").alias("b")).first() == ("t", "")
+
+
+def test_linkage_of_many_alike(spark):
+    """Rows that ask the same are looked up once, and facts that a question may be about are not met by each peer one by one."""
+    from tidemark.operators import evidence
+
+    day = "timestamp'2024-01-01'"
+    fact = lambda i, o: f"(bigint({i}), 'f{i}', 'X', 'chair', '{o}', {day}, cast(null as timestamp))"
+    facts = [fact(i, "") for i in range(40)] + [fact(i, f"P {i % 3}") for i in range(40, 61)]
+    f = spark.sql(f"SELECT * FROM VALUES {', '.join(facts)} AS t(row, fact_id, subject, property, object, start_ts, end_ts)")
+    made = evidence.entries(f, {"chair": {"binary": ("Is {object} chair of {subject}?", "yes")}}, {"chair": [("absence", "Has {subject} no chair?", "no")]})
+    ask = lambda i, q, a, end="cast(null as timestamp)": f"(bigint({i}), '{q}', '{a}', {day}, {end})"
+    asked = [ask(i, "has X no  chair?", "Yes.") for i in range(50)] + [ask(i, "Is P 1 chair of X?", "No") for i in range(50, 55)] + [ask(60, "?", "a")] * 3 + [ask(61, "Is P 9 chair of X?", "no")]
+    asked += [ask(70, "Has X no chair?", "no"), ask(70, "?", "a"), ask(71, "Has X no chair?", "yes", "timestamp'2023-01-01'")]
+    q = spark.sql(f"SELECT * FROM VALUES {', '.join(asked)} AS t(row, question, answer, start_ts, end_ts)")
+    got = [tuple(r) for r in evidence.link(q, made, f).collect()]
+    want = [(i, "absence_yes_competing", f"f{k}", "competing_present_fact") for i in range(50) for k in range(40, 61)]
+    want += [(i, "binary_no_competing", f"f{k}", "competing_current_fact") for i in range(50, 55) for k in [*range(40), *(k for k in range(40, 61) if k % 3 != 1)]]
+    want += [(60, "unmapped", None, None)] * 3 + [(61, "unmapped", None, None)] + [(70, "direct", f"f{k}", "direct") for k in range(40)] + [(71, "absence_yes_unmapped", None, None)]
+    key = lambda rows: sorted(rows, key=str)
+    assert key(got) == key(want)
+    counts = {r["status"]: (r["questions"], r["facts"]) for r in evidence.coverage(q, made, f).collect()}
+    assert counts == {s: (len({r[0] for r in got if r[1] == s}), sum(r[1] == s and r[2] is not None for r in got)) for s in {r[1] for r in got}}
+    assert evidence.asked_once(q)[0].select("row").distinct().count() == 6

@@ -9,6 +9,7 @@ from tidemark.functions import text as tx
 from tidemark.functions import urls
 from tidemark.operators import temporal as tp
 from tidemark.operators.probe import STAGES
+from tidemark.shared import written
 
 
 def fact_id(row: Column, subject: Column, prop: Column, obj: Column, link: Column) -> Column:
@@ -34,37 +35,70 @@ def entries(facts: DataFrame, templates: dict[str, dict[str, tuple[str, str]]],
     return rows.withColumns({"q": tx.normalize(F.col("question")), "a": tx.normalize(F.col("answer"))})
 
 
-def link(questions: DataFrame, made: DataFrame, facts: DataFrame) -> DataFrame:
-    """(row, status, fact_id, support): the facts behind each question (row, question, answer, start_ts, end_ts).
+def asked_once(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, q, a, start_ts, end_ts) of one row for all that ask the same in the same time, and (first, row): whom each of these stands for."""
+    q = questions.select("row", tx.normalize(F.col("question")).alias("q"), tx.normalize(F.col("answer")).alias("a"), "start_ts", "end_ts")
+    # a row that comes more than once asks all that it asks
+    each = written(q.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("q", "a", "start_ts", "end_ts"))).alias("asks"), F.count("*").alias("times")))
+    first = written(each.groupBy("asks").agg(F.min("row").alias("first")))
+    stands = each.join(first, "asks").select("first", "row", "times")
+    return first.select(F.col("first").alias("row"), F.explode("asks").alias("e")).select("row", "e.*"), stands
+
+
+def link_once(q: DataFrame, made: DataFrame, facts: DataFrame) -> DataFrame:
+    """(row, status, fact_id, support) of rows of ``asked_once``.
 
     direct: the facts whose template gives question and answer, those that agree best with its interval.  Else for
     ``no`` to a yes/no question about a fact: other objects of its subject and property in that time; for ``yes`` to
     a question of absence: any object in that time.  What has no support keeps a row that says so.
     """
-    q = questions.withColumns({"q": tx.normalize(F.col("question")), "a": tx.normalize(F.col("answer"))})
     span = lambda c: F.col(c)
-    scored = q.select("row", "q", "a", "start_ts", "end_ts").join(made.select("q", "a", "fact_id", F.col("start_ts").alias("fs"), F.col("end_ts").alias("fe")), ["q", "a"])
+    scored = q.join(made.select("q", "a", "fact_id", F.col("start_ts").alias("fs"), F.col("end_ts").alias("fe")), ["q", "a"])
     scored = scored.withColumn("score", tp.match_score(span("start_ts"), span("end_ts"), span("fs"), span("fe")))
-    direct = tp.best_matches(scored, ["row"], "score").select("row", "fact_id").distinct().select("row", F.lit("direct").alias("status"), "fact_id", F.lit("direct").alias("support"))
+    direct = written(tp.best_matches(scored, ["row"], "score").select("row", "fact_id").distinct().select("row", F.lit("direct").alias("status"), "fact_id", F.lit("direct").alias("support")))
     open_ = q.join(direct.select("row").distinct(), "row", "left_anti")
 
     def competing(answer: str, kind: str, support: str, found: str, lost: str) -> DataFrame:
         asked = open_.filter(F.col("a") == answer).select("row", "q", "start_ts", "end_ts")
-        target = made.filter(F.col("kind") == kind).select("q", "subject", "property", F.col("fact_id").alias("target"), F.col("object").alias("target_object"))
+        # of the facts that a question is about, what their peers are held against: the objects, and two of each object's facts, as no fact competes with itself
+        target = made.filter(F.col("kind") == kind).select("q", "subject", "property", "fact_id", F.coalesce("object", F.lit("")).alias("target_object"))
+        of = ["q", "subject", "property", *(["target_object"] if kind == "binary" else [])]
+        target = target.groupBy(*of).agg(F.min("fact_id").alias("one"), F.max("fact_id").alias("two"))
         hits = asked.join(target, "q")
         peers = facts.select("subject", "property", "fact_id", F.coalesce("object", F.lit("")).alias("object"), F.col("start_ts").alias("fs"), F.col("end_ts").alias("fe"))
-        other = (F.col("fact_id") != F.col("target")) & (F.col("object") != F.coalesce("target_object", F.lit(""))) if kind == "binary" else F.col("object") != ""
-        pairs = hits.join(peers, ["subject", "property"]).filter(other & tp.overlap(span("start_ts"), span("end_ts"), span("fs"), span("fe"))).select("row", "fact_id").distinct()
-        none = hits.select("row").distinct().join(pairs, "row", "left_anti")
+        other = ((F.col("fact_id") != F.col("one")) | (F.col("fact_id") != F.col("two"))) & (F.col("object") != F.col("target_object")) if kind == "binary" else F.col("object") != ""
+        pairs = written(hits.join(peers, ["subject", "property"]).filter(other & tp.overlap(span("start_ts"), span("end_ts"), span("fs"), span("fe"))).select("row", "fact_id").distinct())
+        none = hits.select("row").distinct().join(pairs.select("row").distinct(), "row", "left_anti")
         return pairs.select("row", F.lit(found).alias("status"), "fact_id", F.lit(support).alias("support")).unionByName(none.select("row", F.lit(lost).alias("status"), F.lit(None).cast("string").alias("fact_id"), F.lit(None).cast("string").alias("support")))
 
     no = competing("no", "binary", "competing_current_fact", "binary_no_competing", "binary_no_unmapped")
     yes = competing("yes", "absence", "competing_present_fact", "absence_yes_competing", "absence_yes_unmapped")
     known = direct.unionByName(no).unionByName(yes)
-    rest = q.select("row").join(known.select("row").distinct(), "row", "left_anti").select("row", F.lit("unmapped").alias("status"), F.lit(None).cast("string").alias("fact_id"), F.lit(None).cast("string").alias("support"))
+    rest = q.select("row").distinct().join(known.select("row").distinct(), "row", "left_anti").select("row", F.lit("unmapped").alias("status"), F.lit(None).cast("string").alias("fact_id"), F.lit(None).cast("string").alias("support"))
     return known.unionByName(rest)
 
 
+def link(questions: DataFrame, made: DataFrame, facts: DataFrame) -> DataFrame:
+    """(row, status, fact_id, support): the facts behind each question (row, question, answer, start_ts, end_ts), see ``link_once``.
+
+    Rows that ask the same in the same time have the same facts: these are looked for once and given to all of them.
+    """
+    q, stands = asked_once(questions)
+    found = written(link_once(q, made, facts))
+    out = found.withColumnRenamed("row", "first").join(stands, "first").select("row", "status", "fact_id", "support")
+    # an unmapped row comes as often as it is asked
+    more = found.filter("status = 'unmapped'").withColumnRenamed("row", "first").join(stands.filter("times > 1").withColumn("times", F.explode(F.sequence(F.lit(2), F.col("times").cast("int")))), "first")
+    return out.unionByName(more.select("row", "status", "fact_id", "support"))
+
+
+def coverage(questions: DataFrame, made: DataFrame, facts: DataFrame) -> DataFrame:
+    """(status, questions, facts): how many questions are linked in each way, and to how many facts; counted without listing each question's facts."""
+    q, stands = asked_once(questions)
+    each = link_once(q, made, facts).groupBy("row", "status").agg(F.count("fact_id").alias("facts"))
+    rows = stands.groupBy(F.col("first").alias("row")).agg(F.count("*").alias("questions"))
+    return each.join(rows, "row").groupBy("status").agg(F.sum("questions").alias("questions"), F.sum(F.col("questions") * F.col("facts")).alias("facts"))
+
+
 def payloads(facts: DataFrame, versions: DataFrame) -> DataFrame:
     """facts with archive_versions: those of their link (source_url, timestamp, archive_url), by timestamp."""
     v = versions.select(F.col("source_url").alias("_u"), F.struct("timestamp", F.coalesce(F.nullif("archive_url", F.lit("")), "source_url").alias("archive_url")).alias("_v"))
