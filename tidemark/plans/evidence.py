@@ -93,7 +93,8 @@ def linked_questions(spark, sf):
 @query(f"WITH {_LINKED} SELECT status, CAST(count(DISTINCT row) AS BIGINT) AS questions, CAST(count(fact_id) AS BIGINT) AS facts FROM linked GROUP BY 1")
 def linkage_coverage(spark, sf):
     """Questions and facts by the way they were linked."""
-    return _linked(spark, sf).groupBy("status").agg(F.countDistinct("row").alias("questions"), F.count("fact_id").alias("facts"))
+    f = _facts(spark, sf)
+    return ev.coverage(_asked(spark, sf), ev.entries(f, _TEMPLATES, _ABSENT), f)
 
 
 @query(f"""WITH {FACTS}, v AS (SELECT 'https://www.site' || CAST(page_id % 40 AS VARCHAR) || '.org/a/' AS u, '2023-0' || CAST(1 + page_id % 9 AS VARCHAR) || '-' || lpad(CAST(page_id AS VARCHAR), 6, '0') AS t, CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS a FROM pages),
