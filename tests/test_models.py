@@ -348,3 +348,12 @@ def test_accuracy_fields_query(spark):
         g = got[p["conv_id"], p["turn"]]
         assert (g["exact_match"], g["substring_match"], g["correct"]) == (int(exact), int(sub), int(exact or sub or f1 >= 0.75))
         assert (g["token_f1"], g["rouge_l"]) == (pytest.approx(f1, abs=1e-6), pytest.approx(rouge, abs=1e-6))
+
+
+def test_families_of_null_texts_and_labels(spark, tmp_path):
+    """A null text is an empty one, and a document without a label is left out; a family needs its scores only once."""
+    docs = [(i, None if i % 9 == 0 else f"{'a1 ' * (i % 7)} words {i}", "en", "s", 1) for i in range(80)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, None if i % 10 == 7 else int(i % 7 > 2), 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = catalog.QUERIES["detector_families"](spark, str(tmp_path)).collect()
+    assert len(rows) == 10 and all(0 <= r["auroc"] <= 1 for r in rows)

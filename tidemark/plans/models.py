@@ -10,6 +10,7 @@ from tidemark.operators import drift as dr
 from tidemark.operators import families as fm
 from tidemark.plans.detection import _AUC, _METRIC, _OUT, _rounded
 from tidemark.plans.views import QUESTION_METRICS, SCORED_LABELS, question_metrics, scored_labels, table
+from tidemark.shared import written
 
 _DISTANCES = """distances AS (SELECT l_suppkey AS question_id, CASE l_linenumber % 3 WHEN 0 THEN 'current_only__vs__mixed' WHEN 1 THEN 'current_only__vs__stale_only' ELSE 'mixed__vs__stale_only' END AS comparison, round(avg(l_tax) * 10, 6) AS energy, round(avg(l_discount) * 10, 6) AS mmd FROM lineitem GROUP BY 1, 2)"""
 
@@ -85,25 +86,27 @@ _FEATURES = ["f1", "f2", "f3", "f4"]
 
 
 def _core(spark, sf):
-    """Four scores of a document in robust units, its label and its update."""
-    d = table(spark, sf, "documents")
+    """Four scores of a document in robust units (null text: empty), its label and its update; documents without a label are left out."""
+    d = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     n = F.greatest(F.length("text"), F.lit(1))
     share = lambda p: F.length(F.regexp_replace("text", p, "")) / n
     f = d.select("doc_id", *(F.round(x, 6).alias(f"f{i + 1}") for i, x in enumerate((share("[a-z ]") * 20 - 1, share("[^0-9]") * 50, F.log(n) - 6, share("[^aeiou]") * 10 - 3))))
-    lab = table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).cast("int").alias("y"))
+    lab = table(spark, sf, "labels").filter("quality is not null").select("doc_id", (1 - F.col("quality")).cast("int").alias("y"))
     return lab.join(f, "doc_id").withColumn("split", F.when(F.col("doc_id") % 2 == 0, "t0").otherwise("future"))
 
 
 @query()
 def detector_families(spark, sf):
     """Every family fitted on the first update with its first settings, its threshold chosen there, and its metrics on later updates."""
-    rows = _core(spark, sf).cache()
+    rows = written(_core(spark, sf))
     t0, future = rows.filter("split = 't0'"), rows.filter("split = 'future'")
     seen = unseen = None
     for name, family in fm.families(_FEATURES, t0.count()).items():
         model = fm.fit(family, t0, **family.settings()[0])
         a, b = (fm.predict(family, model, part).select(F.lit(name).alias("model"), "y", F.round("score", 4).alias("score")) for part in (t0, future))
         seen, unseen = (a, b) if seen is None else (seen.unionByName(a), unseen.unionByName(b))
+    # each family scores once, and what reads the scores does not carry the plans of all of them
+    seen, unseen = written(seen), written(unseen)
     cuts = dt.metrics_by(seen, ["model"]).select("model", F.col("threshold").alias("cut"))
     at_cut = dt.confusion(unseen.join(F.broadcast(cuts), "model"), F.col("cut"), ["model"])
     ranks = dt.metrics_by(unseen, ["model"]).select("model", "auroc", "auprc")
