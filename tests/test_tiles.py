@@ -106,6 +106,26 @@ def test_average_linkage_in_rounds(spark, size):
     assert all(min(s) == c for (_, c), s in got.items()) and max(map(len, got.values())) > 3
 
 
+def linkage_of_all(x, similarity):
+    """As linkage, with zero vectors as clusters of their own."""
+    some = np.flatnonzero(np.abs(x).sum(1))
+    return {frozenset(int(some[i]) for i in s) for s in linkage(x[some], similarity)} | {frozenset([int(i)]) for i in np.flatnonzero(np.abs(x).sum(1) == 0)}
+
+
+@pytest.mark.parametrize("size", [4, 512])
+def test_average_linkage_of_copies(spark, monkeypatch, size):
+    """Copies of a vector are one from the start, so the rounds do not grow with them; copies of a zero vector stay apart."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 6)), 40, 0), rng.normal(size=(17, 6)), np.zeros((2, 6)), 3 * rng.normal(size=(4, 6))])
+    rounds, first = [], tiles.over_pairs
+    monkeypatch.setattr(tiles, "over_pairs", lambda *a: rounds.append(1) or first(*a))
+    got = {}
+    for r in tiles.average_linkage(table(spark, {0: (x[:30], x[30:])}), 0.3, size).collect():
+        got.setdefault(r["cluster"], set()).add(r["vec_id"])
+    assert {frozenset(s) for s in got.values()} == linkage_of_all(x, 0.3) and all(min(s) == c for c, s in got.items())
+    assert len(rounds) < 20
+
+
 def test_a_cell_of_many_tiles(spark):
     """One question of many vectors is many rows of work, none with more than two tiles."""
     data = cells(6, sizes=((0, 1500, 900),), d=3)

@@ -248,21 +248,34 @@ def _units(v: DataFrame) -> DataFrame:
 
 
 def _merged(ids: np.ndarray, sums: np.ndarray, sizes: np.ndarray, most: float) -> dict[int, int]:
-    """Of clusters in one tile: whom each is part of in the end; the two nearest are joined while they are nearer than ``most``."""
-    into, alive = {int(i): int(i) for i in ids}, list(range(len(ids)))
-    ids, sums, sizes = ids.copy(), sums.copy(), sizes.astype(float)
-    d = 1 - (sums / sizes[:, None]) @ (sums / sizes[:, None]).T
+    """Of clusters in one task: whom each is part of in the end; the two nearest are joined while they are nearer than ``most``.
+
+    ids are in order.  Each cluster's nearest one is kept, and looked for again only where that one was joined.
+    """
+    into, sizes = {int(i): int(i) for i in ids}, sizes.astype(float)
+    means = sums / sizes[:, None]
+    d = means @ means.T
+    np.subtract(1, d, out=d)
     np.fill_diagonal(d, np.inf)
-    while len(alive) > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if d[i, j] >= most:
+    near = d.argmin(1)
+    far = d[np.arange(len(ids)), near]
+    for _ in range(len(ids) - 1):
+        i = int(far.argmin())
+        if far[i] >= most:
             break
-        a, b = (i, j) if ids[i] < ids[j] else (j, i)
+        a, b = sorted((i, int(near[i])))
         row = (sizes[a] * d[a] + sizes[b] * d[b]) / (sizes[a] + sizes[b])
-        d[a], d[:, a], d[b], d[:, b], d[a, a] = row, row, np.inf, np.inf, np.inf
+        row[[a, b]] = np.inf
+        d[a], d[:, a], d[b], d[:, b] = row, row, np.inf, np.inf
         sizes[a] += sizes[b]
         into[int(ids[b])] = int(ids[a])
-        alive.remove(b)
+        far[b] = np.inf
+        lost = np.flatnonzero((near == a) | (near == b))
+        closer = (row < far) | ((row == far) & (near > a))
+        far[closer], near[closer] = row[closer], a
+        for k in {a, *lost.tolist()} - {b}:
+            near[k] = d[k].argmin()
+            far[k] = d[k, near[k]]
 
     def root(i: int) -> int:
         while into[i] != i:
@@ -272,51 +285,94 @@ def _merged(ids: np.ndarray, sums: np.ndarray, sizes: np.ndarray, most: float) -
     return {i: root(i) for i in into}
 
 
-def average_linkage(v: DataFrame, similarity: float = 0.82, size: int = TILE) -> DataFrame:
+#: Clusters of a tile of average linkage; a question of twice as many is finished in one task.
+LINKED = 2048
+
+
+def average_linkage(v: DataFrame, similarity: float = 0.82, size: int = LINKED) -> DataFrame:
     """(question_id, vec_id, cluster): average-linkage clusters by cosine, merged while their mean distance is below 1 - similarity.
 
     The mean distance of two clusters is one less the product of their mean unit vectors, so a cluster is the sum of its vectors and their
-    number.  In each round all clusters find their nearest one over pairs of tiles, and those that are each other's nearest are merged, which
-    for average linkage gives what merging the nearest two one by one gives.  A question whose clusters fit a tile is finished there.
-    A cluster is named by its smallest vec_id; equal distances go to the smaller name.
+    number; equal vectors are one from the start.  In each round clusters find their nearest one over pairs of tiles, and those that are each
+    other's nearest are merged, which for average linkage gives what merging the nearest two one by one gives.  What two clusters become is
+    no nearer to a third than the nearer of them was: a cluster keeps its nearest one until that is merged, and one that has none near enough
+    is done.  A question of up to two tiles of clusters is finished in one task.  A cluster is named by its smallest vec_id; equal distances
+    go to the smaller name.
     """
-    most = 1 - similarity
-    clusters = written(_units(v).select("question_id", F.col("vec_id").alias("cluster"), "v", F.lit(1).cast("long").alias("n")))
-    members = clusters.select("question_id", F.col("cluster").alias("vec_id"), "cluster")
+    most, key = 1 - similarity, ["question_id", "cluster"]
+    units = written(_units(v))
+    # a zero vector is far from its copies, too
+    zero = F.when(F.exists("v", lambda x: x != 0), 0).otherwise(F.col("vec_id") + 1)
+    sets = written(units.groupBy("question_id", "v", zero.alias("zero")).agg(F.min("vec_id").alias("cluster"), F.count("*").alias("n")))
+    clusters = sets.select(*key, F.when(F.col("zero") == 0, F.transform("v", lambda x: x * F.col("n"))).otherwise(F.col("v")).alias("v"), "n")
+    copies = sets.filter("n > 1").select("question_id", "v", "cluster")
+    members = written(units.join(small(copies), ["question_id", "v"], "left").select("question_id", "vec_id", F.coalesce("cluster", "vec_id").alias("cluster")))
 
     def finish(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("cluster")
         into = _merged(g["cluster"].to_numpy(), np.stack(g["v"].to_list()).astype(float), g["n"].to_numpy(), most)
         return pd.DataFrame({"question_id": g["question_id"].iloc[0], "cluster": list(into), "into": list(into.values())})
 
-    def nearest(row):
+    def nearest(row, both=True):
         x, y = (np.asarray(m, float).reshape(len(i), -1) for m, i in ((row.a_m, row.a_ids), (row.b_m, row.b_ids)))
         d = 1 - x @ y.T
-        if row.i == row.j:
-            np.fill_diagonal(d, np.inf)
+        d[np.asarray(row.a_ids)[:, None] == np.asarray(row.b_ids)[None, :]] = np.inf
         # ids are in order within a tile, so the first of equals is the smallest
-        for ids, others, far in ((row.a_ids, row.b_ids, d), (row.b_ids, row.a_ids, d.T))[: 1 if row.i == row.j else 2]:
+        for ids, others, far in ((row.a_ids, row.b_ids, d), (row.b_ids, row.a_ids, d.T))[: 2 if both and row.i != row.j else 1]:
             k = far.argmin(1)
             yield from ((row.question_id, int(i), float(far[r, k[r]]), int(others[k[r]])) for r, i in enumerate(ids) if far[r, k[r]] < most)
 
+    def in_tiles(rows: DataFrame) -> DataFrame:
+        return tiled(rows.select("question_id", F.lit("stale_only").alias("condition"), F.col("cluster").alias("vec_id"), F.transform("v", lambda x: x / F.col("n")).alias("v")), size)
+
+    def found(rows: DataFrame, asked: DataFrame | None) -> DataFrame:
+        """The nearest clusters of all rows, or of those asked for."""
+        if asked is None:
+            pairs = tile_pairs(in_tiles(rows))
+        else:
+            b = in_tiles(rows).select("question_id", F.col("tile").alias("j"), "last", F.col("ids").alias("b_ids"), F.col("m").alias("b_m"))
+            a = in_tiles(asked).drop("last").join(small(b.select("question_id", "last").distinct()), "question_id")
+            a = a.select("question_id", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("j"), F.col("ids").alias("a_ids"), F.col("m").alias("a_m"))
+            pairs = a.join(b.drop("last"), ["question_id", "j"])
+        far = over_pairs(pairs, nearest if asked is None else lambda row: nearest(row, False), "question_id long, cluster long, far double, other long")
+        return far.groupBy(*key).agg(F.min(F.struct("far", "other")).alias("b")).select(*key, "b.other")
+
+    best = None
     while True:
-        counts = written(clusters.groupBy("question_id").agg(F.count("*").alias("clusters")))
-        few = counts.filter(F.col("clusters") <= size).select("question_id")
-        done = written(clusters.join(small(few), "question_id", "left_semi").groupBy("question_id").applyInPandas(finish, "question_id long, cluster long, into long"))
+        few = written(clusters.groupBy("question_id").agg(F.count("*").alias("clusters")).filter(F.col("clusters") <= 2 * size).select("question_id"))
+        done = clusters.join(small(few), "question_id", "left_semi").groupBy("question_id").applyInPandas(finish, "question_id long, cluster long, into long")
         rest = written(clusters.join(small(few), "question_id", "left_anti"))
-        means = rest.select("question_id", F.lit("stale_only").alias("condition"), F.col("cluster").alias("vec_id"), F.transform("v", lambda x: x / F.col("n")).alias("v"))
-        found = over_pairs(tile_pairs(tiled(means, size)), nearest, "question_id long, cluster long, far double, other long")
-        best = written(found.groupBy("question_id", "cluster").agg(F.min(F.struct("far", "other")).alias("b")).select("question_id", "cluster", "b.other"))
+        if not rest.limit(1).count():
+            return _moved(members, written(done))
+        asked = None
+        if best is not None:
+            kept = best.join(rest.select(*key), key, "left_semi")
+            lost = written(rest.join(kept.select(*key), key, "left_anti"))
+            asked = lost if 2 * lost.count() < rest.count() else None
+        best = written(found(rest, None) if asked is None else kept.unionByName(found(rest, asked)))
         back = best.select("question_id", F.col("cluster").alias("other"), F.col("other").alias("cluster"))
         # each other's nearest: the larger name goes into the smaller
-        merges = written(best.join(back, ["question_id", "cluster", "other"]).filter("other < cluster").select("question_id", "cluster", F.col("other").alias("into")))
-        moves = done.unionByName(merges)
-        members = written(members.join(small(moves), ["question_id", "cluster"], "left").select("question_id", "vec_id", F.coalesce("into", "cluster").alias("cluster")))
+        merges = written(best.join(back, [*key, "other"]).filter("other < cluster").select(*key, F.col("other").alias("into")))
+        members = _moved(members, written(done.unionByName(merges)))
         if not merges.limit(1).count():
-            return members
-        parts = rest.join(small(merges), ["question_id", "cluster"], "left").select("question_id", F.coalesce("into", "cluster").alias("cluster"), "n", "v")
-        entries = parts.select("question_id", "cluster", "n", F.posexplode("v").alias("i", "x")).groupBy("question_id", "cluster", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-        clusters = written(entries.groupBy("question_id", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v"), F.max("n").alias("n")))
+            if asked is None:
+                return members
+            # equal distances that went round in a circle: all look again
+            best, clusters = None, rest
+            continue
+        touched = written(merges.select(*key).unionByName(merges.select("question_id", F.col("into").alias("cluster"))))
+        live = rest.join(best.select(*key), key, "left_semi")
+        other = live.select("question_id", F.col("cluster").alias("into"), F.col("v").alias("w"), F.col("n").alias("k"))
+        pairs = live.join(merges, key).join(other, ["question_id", "into"])
+        joined = pairs.select("question_id", F.col("into").alias("cluster"), F.zip_with("v", "w", lambda x, y: x + y).alias("v"), (F.col("n") + F.col("k")).alias("n"))
+        clusters = written(live.join(small(touched), key, "left_anti").unionByName(joined))
+        gone = touched.select("question_id", F.col("cluster").alias("other"))
+        best = written(best.join(small(touched), key, "left_anti").join(small(gone), ["question_id", "other"], "left_anti"))
+
+
+def _moved(members: DataFrame, moves: DataFrame) -> DataFrame:
+    """members (question_id, vec_id, cluster) under the names that their clusters go into."""
+    return written(members.join(small(moves), ["question_id", "cluster"], "left").select("question_id", "vec_id", F.coalesce("into", "cluster").alias("cluster")))
 
 
 def _lengths(row) -> np.ndarray:
