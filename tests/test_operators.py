@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -264,6 +265,24 @@ def test_postings_have_positions_and_files_follow_the_data(spark, tmp_path):
     assert blocks.count() >= 600 // index.BLOCK and blocks.agg(F.sum("n")).first()[0] == 600
 
 
+def test_postings_are_dealt_in_slices(spark, tmp_path, monkeypatch):
+    """An index dealt in many slices of terms has the postings of one dealt at once, and leaves nothing beside its tables."""
+    from tidemark import shared
+
+    many = [(f"title {i}", f"common words w{i} and more of them " * 8) for i in range(120)]
+    kept = Path(shared.shared_dir(spark).removeprefix("file://"))
+    before = set(kept.glob("*"))
+    one = small_index(spark, tmp_path / "one", many)
+    jobs, first = [], index.dropped
+    monkeypatch.setattr(index, "dropped", lambda s, path: jobs.append(path) or first(s, path))
+    more = small_index(spark, tmp_path / "more", many, file_bytes=2_000)
+    assert len(jobs) > 5 and set(kept.glob("*")) == before
+    columns = ["term", "pid", "ts", "size", "title", "body", "positions"]
+    a, b = (sorted(map(tuple, x.table("postings").select(*columns).collect())) for x in (one, more))
+    assert a == b and sorted(map(tuple, one.terms.collect())) == sorted(map(tuple, more.terms.collect()))
+    assert {p.name for p in Path(str(more.folder).removeprefix("file://")).glob("*")} == {"passages", "postings", "blocks", "terms", "totals"}
+
+
 def test_phrases_stand_within_one_field(spark, tmp_path):
     texts = [("a b", "c a b c"), ("x", "a b c a b c a"), ("a", "b c"), ("", "b a c"), ("", "a a a b"), ("q", "A-B, c")]
     x = small_index(spark, tmp_path, texts)
