@@ -163,3 +163,17 @@ def test_density_clusters_query(spark):
         own = [r for r in rows if r["label"] == q]
         labels, ids = distances.density_clusters(np.array([r["embedding"] for r in own], float), 4), np.array([r["vec_id"] for r in own])
         assert [got[i] for i in ids] == [int(ids[labels == c].min()) if c >= 0 else int(i) for i, c in zip(ids, labels, strict=True)]
+
+
+def test_rounds_of_a_tree_leave_no_tiles(spark):
+    """Tables of vectors that a round has read are gone after it, however many rounds there are."""
+    from pathlib import Path
+
+    from tidemark import shared
+
+    kept = Path(shared.shared_dir(spark).removeprefix("file://"))
+    units = shared.written(tiles._units(table(spark, cells(4, sizes=((0, 30, 25),)))))
+    before = set(kept.glob("*"))
+    assert tiles.spanning_tree(units, 4, 9).count() == 54
+    wide = [p for p in set(kept.glob("*")) - before if {"v", "m"} & set(spark.read.parquet(str(p)).columns)]
+    assert len(wide) <= 2

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import distances as ds
 from tidemark.operators.index import small
-from tidemark.shared import written
+from tidemark.shared import forgotten, shuffles_cleaned, written
 
 TILE = 512
 #: Intervals of one pass of the search for a median, and its passes: distances are told apart to 2^-36 of the largest.
@@ -34,7 +34,9 @@ def tiled(v: DataFrame, size: int = TILE, more: tuple[str, ...] = ()) -> DataFra
     tiles = rows.groupBy("question_id").agg(F.ceil(F.count("*") / size).alias("tiles"))
     dealt = rows.join(small(tiles), "question_id").withColumn("tile", F.pmod("row", "tiles"))
     each = dealt.groupBy("question_id", "tile").agg((F.first("tiles") - 1).alias("last"), F.sort_array(F.collect_list(F.struct("vec_id", "side", "v", *more))).alias("x"))
-    return written(each.select("question_id", "tile", "last", F.col("x.vec_id").alias("ids"), F.col("x.side").alias("sides"), F.flatten("x.v").alias("m"), *(F.col(f"x.{c}").alias(c) for c in more)))
+    out = written(each.select("question_id", "tile", "last", F.col("x.vec_id").alias("ids"), F.col("x.side").alias("sides"), F.flatten("x.v").alias("m"), *(F.col(f"x.{c}").alias(c) for c in more)))
+    forgotten(rows)
+    return out
 
 
 def tile_pairs(tiles: DataFrame) -> DataFrame:
@@ -422,8 +424,11 @@ def spanning_tree(units: DataFrame, least: int, size: int = TILE) -> DataFrame:
                     yield row.question_id, int(comps[at]), float(far[at]), int(lo[at]), int(hi[at]), int(far_comps[k[at]])
 
     while True:
-        edges = over_pairs(tile_pairs(tiled(_conditioned(rows), size, ("core", "comp"))), shortest, "question_id long, comp long, far double, i long, j long, other long")
-        best = written(edges.groupBy("question_id", "comp").agg(F.min(F.struct("far", "i", "j", "other")).alias("e")).select("question_id", "comp", "e.*"))
+        with shuffles_cleaned(units.sparkSession):
+            dealt = tiled(_conditioned(rows), size, ("core", "comp"))
+            edges = over_pairs(tile_pairs(dealt), shortest, "question_id long, comp long, far double, i long, j long, other long")
+            best = written(edges.groupBy("question_id", "comp").agg(F.min(F.struct("far", "i", "j", "other")).alias("e")).select("question_id", "comp", "e.*"))
+            forgotten(dealt)
         if not best.limit(1).count():
             return tree if tree is not None else best.select("question_id", "far", "i", "j")
         new = best.select("question_id", "far", "i", "j").distinct()
@@ -437,7 +442,8 @@ def spanning_tree(units: DataFrame, least: int, size: int = TILE) -> DataFrame:
             up = jumped.drop("moved")
             if not jumped.filter("moved").limit(1).count():
                 break
-        rows = written(rows.join(small(up), ["question_id", "comp"], "left").select("question_id", "vec_id", "v", "core", F.coalesce("into", "comp").alias("comp")))
+        old, rows = rows, written(rows.join(small(up), ["question_id", "comp"], "left").select("question_id", "vec_id", "v", "core", F.coalesce("into", "comp").alias("comp")))
+        forgotten(old)
 
 
 def _conditioned(rows: DataFrame) -> DataFrame:

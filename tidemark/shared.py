@@ -49,6 +49,12 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forgotten(df: DataFrame) -> None:
+    """Delete the table that ``written`` made, which nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        dropped(df.sparkSession, path)
+
+
 @contextmanager
 def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
     """What is written in here leaves no shuffle files behind, however late the driver collects its garbage."""
