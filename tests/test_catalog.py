@@ -72,6 +72,17 @@ def test_outcomes_at_exactly_the_drop(spark, tmp_path, name):
     assert normal(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(c.execute(catalog.ORACLES[name]).df())
 
 
+def test_rates_that_end_in_a_five(spark, tmp_path):
+    """Shares of 640 suppliers have seven digits, of which the last is rounded as SQL does."""
+    rows = [(s, "N" if t < "1998-06" or s >= 41 else "A", t) for s in range(640) for t in ("1998-01-01", "1998-07-01")]
+    df = pd.DataFrame(rows, columns=["l_suppkey", "l_returnflag", "l_shipdate"]).astype({"l_suppkey": "int64", "l_shipdate": "datetime64[us]"})
+    df.to_parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
+    got, want = catalog.QUERIES["state_counts"](spark, str(tmp_path)).toPandas(), c.execute(catalog.ORACLES["state_counts"]).df()
+    assert sorted(map(tuple, got[["outcome_state", "n", "rate"]].values)) == sorted(map(tuple, want[["outcome_state", "n", "rate"]].values)) and (got.n == 41).any()
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())

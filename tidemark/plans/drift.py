@@ -26,7 +26,9 @@ def outcome_states(spark, sf):
 def state_counts(spark, sf):
     o = _outcomes(spark, sf)
     total = o.agg(F.count("*").alias("total"))
-    return o.groupBy("outcome_state").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("outcome_state", "n", F.round(F.col("n") / F.col("total"), 6).alias("rate"))
+    # rounded in doubles, as SQL does: the digits of 41 / 640 end in a five, its double times a million in less
+    rate = F.round(F.col("n") / F.col("total") * 1e6) / 1e6
+    return o.groupBy("outcome_state").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("outcome_state", "n", rate.alias("rate"))
 
 
 @query(f"WITH {EVENT_QUALITY}, o AS (SELECT question_id, {_OUT} AS s FROM event_quality) SELECT question_id, CAST(s = 'new_degradation' AS INTEGER) AS target FROM o WHERE s IN ('new_degradation', 'normal', 'recovery_or_adaptive_success')")
