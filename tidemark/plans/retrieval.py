@@ -11,6 +11,7 @@ from tidemark.operators import index as ix
 from tidemark.operators import retrieval as rt
 from tidemark.plans.answers import _BARE, _RAW, _STOP
 from tidemark.plans.views import ARTICLES, QUESTIONS, articles, questions, table
+from tidemark.shared import written
 
 CUTOFF = "2023-06-30"
 _SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
@@ -144,11 +145,9 @@ def _minmax_sql(c: str) -> str:
 @query(f"""WITH {SCORES.replace('live AS', 'live0 AS')}, tot AS (SELECT count(*) AS total FROM passages WHERE ts <= TIMESTAMP '{CUTOFF}'), lo AS (SELECT *, total - count(*) OVER (PARTITION BY item_id) AS others FROM live0, tot),
   live AS (SELECT *, 0.5 * ({_minmax_sql('lexical')}) + 0.5 * ({_minmax_sql('bm25')}) AS hybrid FROM lo WINDOW i AS (PARTITION BY item_id)) {_top_sql('hybrid')}""")
 def hybrid_minmax_topk(spark, sf):
-    from pyspark.sql import Window
-
     live = rt.search_index(articles(spark, sf)).passages.filter(F.col("ts") <= F.lit(CUTOFF).cast("timestamp")).count()
-    rows = _live_scores(spark, sf).withColumn("others", live - F.count("*").over(Window.partitionBy("item_id")))
-    return _top(rows, 0.5 * rt.minmax(F.col("lexical"), ["item_id"], F.col("others")) + 0.5 * rt.minmax(F.col("bm25"), ["item_id"], F.col("others")))
+    rows = rt.minmax(_live_scores(spark, sf), "item_id", ["lexical", "bm25"], live)
+    return _top(rows, 0.5 * F.col("lexical_minmax") + 0.5 * F.col("bm25_minmax"))
 
 
 def _ladder_sql() -> str:
@@ -200,7 +199,8 @@ def retrieval_dedup_scope(spark, sf):
 def retrieved_blocks(spark, sf):
     """The header block and text that a retrieved passage is shown with."""
     p = rt.weighted_index(articles(spark, sf)).passages
-    top = _first(spark, sf, ["ts", "article_id"]).join(p, "pid")
+    # ten rows a question: they are sent to the passages, and no passage is dealt
+    top = p.join(ix.small(written(_first(spark, sf, ["ts", "article_id"]))), "pid")
     block = F.concat_ws(
         "\n", F.format_string("[retrieved rank %d]", "rank"), F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Source URL: "), "url"), F.concat(F.lit("Document ID: "), "article_id"),
         F.format_string("Chunk: %d", "chunk_index"), F.format_string("RRF score: %.6f", "rrf_score"), "chunk",
