@@ -93,7 +93,7 @@ SCORES = f"""{PASSAGES}, {QUESTIONS}, body AS (SELECT pid, term, count(*) AS tf
 @query(f"WITH {FTS} SELECT df.term, df.df, round(max(f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS top FROM df JOIN post USING (term) JOIN sz USING (pid), st GROUP BY ALL")
 def index_terms(spark, sf):
     """The terms of the written index: document frequencies and the largest weight of a posting.  The first query of an application writes it."""
-    return rt.weighted_index(articles(spark, sf)).terms.select("term", "df", F.round("top", 6).alias("top"))
+    return rt.weighted_index(articles(spark, sf), positions=True).terms.select("term", "df", F.round("top", 6).alias("top"))
 
 
 @query(f"WITH {SCORES} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(count(*) FILTER (tf > 0) AS BIGINT) AS df_body FROM post JOIN sz USING (pid) GROUP BY ALL")
@@ -111,7 +111,7 @@ _PHRASE = f"list_filter({_FOLD.format('question')}, lambda x: true)[1:5]"
 def phrase_match(spark, sf):
     """Passages in which a question's first five terms stand as a phrase, by intersecting positions of the index."""
     phrases = questions(spark, sf).select("item_id", F.slice(ix.folded_terms(F.col("question")), 1, 5).alias("phrase"))
-    return ix.phrase_hits(rt.weighted_index(articles(spark, sf)), phrases, "item_id", CUTOFF)
+    return ix.phrase_hits(rt.weighted_index(articles(spark, sf), positions=True), phrases, "item_id", CUTOFF)
 
 
 def _live_scores(spark, sf):
@@ -198,9 +198,9 @@ def retrieval_dedup_scope(spark, sf):
   || chr(10) || 'RRF score: ' || printf('%.6f', t.rrf_score) || chr(10) || p.chunk) AS block_md5 FROM top t JOIN passages p ON p.pid = t.pid""")
 def retrieved_blocks(spark, sf):
     """The header block and text that a retrieved passage is shown with."""
-    p = rt.weighted_index(articles(spark, sf)).passages
     # ten rows a question: they are sent to the passages, and no passage is dealt
-    top = p.join(ix.small(written(_first(spark, sf, ["ts", "article_id"]))), "pid")
+    best = written(_first(spark, sf, ["ts", "article_id"]))
+    top = rt.weighted_index(articles(spark, sf)).texts(best).join(ix.small(best), "pid")
     block = F.concat_ws(
         "\n", F.format_string("[retrieved rank %d]", "rank"), F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Source URL: "), "url"), F.concat(F.lit("Document ID: "), "article_id"),
         F.format_string("Chunk: %d", "chunk_index"), F.format_string("RRF score: %.6f", "rrf_score"), "chunk",
