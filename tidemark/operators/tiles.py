@@ -287,6 +287,31 @@ def _merged(ids: np.ndarray, sums: np.ndarray, sizes: np.ndarray, most: float) -
     return {i: root(i) for i in into}
 
 
+#: Rows of a tile that meet the other tile at once.
+MEET = 256
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray, most: float, both: bool) -> Iterator[tuple[int, float, int]]:
+    """(cluster, far, other): the nearest of ``others`` to each of ids, and with ``both`` the other way round, where it is nearer than ``most``.
+
+    ids are in order within a tile, so the first of equals is the smallest.  Only what is near enough is looked at beyond its product.
+    """
+    far_other, of_other = np.full(len(others), np.inf), np.zeros(len(others), int)
+    for at in range(0, len(ids), MEET):
+        d = x[at : at + MEET] @ y.T
+        near = np.subtract(1, d, out=d) < most
+        near &= ids[at : at + MEET, None] != others[None, :]
+        for r in np.flatnonzero(near.any(1)).tolist():
+            k = np.flatnonzero(near[r])
+            far = d[r, k]
+            first = far.argmin()
+            yield int(ids[at + r]), float(far[first]), int(others[k[first]])
+            if both:
+                closer = far < far_other[k]
+                far_other[k[closer]], of_other[k[closer]] = far[closer], ids[at + r]
+    yield from ((int(others[k]), float(far_other[k]), int(of_other[k])) for k in np.flatnonzero(far_other < most).tolist())
+
+
 #: Clusters of a tile of average linkage; a question of twice as many is finished in one task.
 LINKED = 2048
 
@@ -317,12 +342,7 @@ def average_linkage(v: DataFrame, similarity: float = 0.82, size: int = LINKED)
 
     def nearest(row, both=True):
         x, y = (np.asarray(m, float).reshape(len(i), -1) for m, i in ((row.a_m, row.a_ids), (row.b_m, row.b_ids)))
-        d = 1 - x @ y.T
-        d[np.asarray(row.a_ids)[:, None] == np.asarray(row.b_ids)[None, :]] = np.inf
-        # ids are in order within a tile, so the first of equals is the smallest
-        for ids, others, far in ((row.a_ids, row.b_ids, d), (row.b_ids, row.a_ids, d.T))[: 2 if both and row.i != row.j else 1]:
-            k = far.argmin(1)
-            yield from ((row.question_id, int(i), float(far[r, k[r]]), int(others[k[r]])) for r, i in enumerate(ids) if far[r, k[r]] < most)
+        yield from ((row.question_id, *r) for r in _nearest(x, y, np.asarray(row.a_ids), np.asarray(row.b_ids), most, both and row.i != row.j))
 
     def in_tiles(rows: DataFrame) -> DataFrame:
         return tiled(rows.select("question_id", F.lit("stale_only").alias("condition"), F.col("cluster").alias("vec_id"), F.transform("v", lambda x: x / F.col("n")).alias("v")), size)
