@@ -115,7 +115,8 @@ def phrase_match(spark, sf):
 
 
 def _live_scores(spark, sf):
-    return rt.lexical_scores(rt.search_index(articles(spark, sf)), questions(spark, sf), CUTOFF)
+    q = questions(spark, sf)
+    return rt.lexical_scores(rt.search_index(articles(spark, sf), q), q, CUTOFF)
 
 
 def _top(rows, column):
