@@ -146,7 +146,7 @@ def _minmax_sql(c: str) -> str:
 @query(f"""WITH {SCORES.replace('live AS', 'live0 AS')}, tot AS (SELECT count(*) AS total FROM passages WHERE ts <= TIMESTAMP '{CUTOFF}'), lo AS (SELECT *, total - count(*) OVER (PARTITION BY item_id) AS others FROM live0, tot),
   live AS (SELECT *, 0.5 * ({_minmax_sql('lexical')}) + 0.5 * ({_minmax_sql('bm25')}) AS hybrid FROM lo WINDOW i AS (PARTITION BY item_id)) {_top_sql('hybrid')}""")
 def hybrid_minmax_topk(spark, sf):
-    live = rt.search_index(articles(spark, sf)).passages.filter(F.col("ts") <= F.lit(CUTOFF).cast("timestamp")).count()
+    live = rt.search_index(articles(spark, sf), questions(spark, sf)).passages.filter(F.col("ts") <= F.lit(CUTOFF).cast("timestamp")).count()
     rows = rt.minmax(_live_scores(spark, sf), "item_id", ["lexical", "bm25"], live)
     return _top(rows, 0.5 * F.col("lexical_minmax") + 0.5 * F.col("bm25_minmax"))
 
