@@ -63,9 +63,9 @@ def title_infer(spark, sf):
   r AS (SELECT s.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, s.pid) AS rank FROM s JOIN passages p ON p.pid = s.pid WHERE p.ts <= TIMESTAMP '{CUTOFF}')
   SELECT item_id, pid, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def retrieval_fts_weighted(spark, sf):
-    index, q = rt.weighted_index(articles(spark, sf)), questions(spark, sf)
-    terms = q.select("item_id", F.explode(tx.query_terms(F.col("question"))).alias("term"))
-    scores = ix.top_passages(index, terms, "item_id", 10, CUTOFF).withColumn("score", F.round("score", 9))
+    q = questions(spark, sf)
+    index = rt.weighted_index(articles(spark, sf), questions=q)
+    scores = ix.top_passages(index, rt.query_terms(q), "item_id", 10, CUTOFF).withColumn("score", F.round("score", 9))
     top = rt.top_k(scores, ["item_id"], [F.desc("score"), F.asc("pid")], 10)
     return top.select("item_id", "pid", F.round("score", 6).alias("score"), "rank")
 
