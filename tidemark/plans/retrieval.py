@@ -181,7 +181,8 @@ def _first_sql(keys: str) -> str:
 
 
 def _first(spark, sf, keys):
-    top = rt.first_per(rt.fused(rt.weighted_index(articles(spark, sf)), questions(spark, sf), CUTOFF), keys, 10)
+    q = questions(spark, sf)
+    top = rt.first_per(rt.fused(rt.weighted_index(articles(spark, sf), questions=q), q, CUTOFF), keys, 10)
     return top.select("item_id", "pid", "sparse_rank", "dense_rank", F.round("rrf_score", 6).alias("rrf_score"), "rank")
 
 
@@ -201,7 +202,7 @@ def retrieved_blocks(spark, sf):
     """The header block and text that a retrieved passage is shown with."""
     # ten rows a question: they are sent to the passages, and no passage is dealt
     best = written(_first(spark, sf, ["ts", "article_id"]))
-    top = rt.weighted_index(articles(spark, sf)).texts(best).join(ix.small(best), "pid")
+    top = rt.weighted_index(articles(spark, sf), questions=questions(spark, sf)).texts(best).join(ix.small(best), "pid")
     block = F.concat_ws(
         "\n", F.format_string("[retrieved rank %d]", "rank"), F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Source URL: "), "url"), F.concat(F.lit("Document ID: "), "article_id"),
         F.format_string("Chunk: %d", "chunk_index"), F.format_string("RRF score: %.6f", "rrf_score"), "chunk",
